@@ -18,10 +18,21 @@ def sql_str(s: str) -> str:
 
 
 def sql_estr(s: str) -> str:
-    """A DuckDB escape-string literal, for text with newlines and tabs."""
-    body = (s.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n")
-            .replace("\t", "\\t").replace("\r", "\\r").replace("\x0b", "\\v").replace("\x0c", "\\f"))
-    return "E'" + body + "'"
+    """A DuckDB string expression for any text (escape strings for newline,
+    tab and CR; ``chr()`` for vertical tab and form feed)."""
+    def lit(part: str) -> str:
+        body = (part.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n")
+                .replace("\t", "\\t").replace("\r", "\\r"))
+        return "E'" + body + "'"
+    out, cur = [], ""
+    for ch in s:
+        if ch in "\x0b\x0c":
+            out += [lit(cur), f"chr({ord(ch)})"]
+            cur = ""
+        else:
+            cur += ch
+    out.append(lit(cur))
+    return out[0] if len(out) == 1 else "(" + " || ".join(out) + ")"
 
 
 def rule_expr(rule_id: str, x: str) -> str:

@@ -36,7 +36,7 @@ def cascade_sql(x: str) -> str:
 
 
 def tokens_sql(x: str) -> str:
-    return f"filter(split({cascade_sql(x)}, {spark_sql_str(WS_RUN)}), t -> t <> '')"
+    return f"array_remove(split({cascade_sql(x)}, {spark_sql_str(WS_RUN)}), '')"
 
 
 def register_sql_functions(spark: SparkSession) -> None:

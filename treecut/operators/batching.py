@@ -14,8 +14,8 @@ Here the walk is turned into pointer jumping, all with DataFrame joins:
    sums with the sorted targets ``P[i-1] + limit`` (range partitioned, with
    a carry of one row per part);
 3. the batch starts are the orbit of item 0 under ``next``: pointer doubling
-   (``next^(2^k)`` by self-join, ``ceil(log2 n)`` rounds, lineage cut with
-   ``checkpoint``), then ``A <- A + next^(2^k)(A)`` from the top level down;
+   (``J = next^(2^k)`` by self-join) interleaved with ``A <- A + J(A)``,
+   ``ceil(log2(batches + 1))`` rounds, lineage cut with ``checkpoint``;
 4. ``batch_id`` = number of starts up to the item, minus one (same prefix
    machinery as step 1).
 
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import ensure_checkpoint_dir
+from ..session import cut_lineage
 
 # The reference's per-call byte limits.
 REFERENCE_LIMIT_PY = 520_000_000
@@ -51,7 +51,7 @@ def _prefix(df: DataFrame, order: list[str], value: str, n_parts: int, out: str,
     rows).
     """
     # The part id is materialised once, so every use below sees the same parts.
-    parted = df.repartitionByRange(n_parts, *order).withColumn("_part", F.spark_partition_id()).checkpoint()
+    parted = cut_lineage(df.repartitionByRange(n_parts, *order).withColumn("_part", F.spark_partition_id()))
     w = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = parted.select("*", F.sum(F.col(value)).over(w).alias("_lsum"),
                           F.row_number().over(Window.partitionBy("_part").orderBy(*order)).alias("_lrow"))
@@ -73,8 +73,8 @@ def _next_pointers(ranked: DataFrame, size_col: str, limit: int, n: int, n_parts
     queries = ranked.select((F.col("_P") - F.col(size_col) + F.lit(limit)).alias("v"),
                             F.lit(0).alias("t"), F.col("_rank").alias("idx"))
     ev = items.unionByName(queries)
-    parted = ev.repartitionByRange(n_parts, "v", "t", "idx").withColumn(
-        "_part", F.spark_partition_id()).checkpoint()
+    parted = cut_lineage(ev.repartitionByRange(n_parts, "v", "t", "idx").withColumn(
+        "_part", F.spark_partition_id()))
     # Next item at or after each row, inside its part (items sort by rank too).
     w = Window.partitionBy("_part").orderBy("v", "t", "idx").rowsBetween(0, Window.unboundedFollowing)
     local = parted.select("*", F.min(F.when(F.col("t") == 1, F.col("idx"))).over(w).alias("_local"))
@@ -89,23 +89,26 @@ def _next_pointers(ranked: DataFrame, size_col: str, limit: int, n: int, n_parts
 
 
 def _orbit_of_zero(nexts: DataFrame, n: int) -> DataFrame:
-    """Ranks reachable from 0 under ``nxt``: the batch starts."""
+    """Ranks reachable from 0 under ``nxt``: the batch starts.
+
+    Round k holds ``J = next^(2^k)`` and ``A`` = the first ``2^k`` starts;
+    then ``A <- A + J(A)`` and ``J <- J o J``.  It ends when ``J(0)`` is the
+    end, so the rounds are ``ceil(log2(batches + 1))``, not ``log2(n)``.
+    """
     spark = nexts.sparkSession
-    ensure_checkpoint_dir(spark)
     sink = spark.range(n, n + 1).select(F.col("id").alias("i"), F.col("id").alias("nxt"))
-    level = nexts.unionByName(sink).checkpoint()
-    levels = [level]
-    rounds = max(1, math.ceil(math.log2(n + 1)))
-    for _ in range(rounds):
-        a = level.alias("a")
-        b = level.alias("b")
-        level = a.join(b, F.col("a.nxt") == F.col("b.i")).select(
-            F.col("a.i").alias("i"), F.col("b.nxt").alias("nxt")).checkpoint()
-        levels.append(level)
+    jump = cut_lineage(nexts.unionByName(sink))
     starts = spark.range(0, 1).select(F.col("id").alias("i"))
-    for lvl in reversed(levels):
-        hop = starts.join(lvl, "i").select(F.col("nxt").alias("i")).where(F.col("i") < n)
-        starts = starts.unionByName(hop).distinct().checkpoint()
+    for _ in range(max(1, math.ceil(math.log2(n + 1))) + 1):
+        # One join gives both a start and its jump, so the start set appears
+        # once per round and the plan stays flat after the checkpoint.
+        stepped = starts.join(jump, "i").select(F.explode(F.array("i", "nxt")).alias("i"))
+        starts = cut_lineage(stepped.where(F.col("i") < n).distinct())
+        if jump.where(F.col("i") == 0).select("nxt").first()[0] >= n:
+            break
+        a, b = jump.alias("a"), jump.alias("b")
+        jump = cut_lineage(a.join(b, F.col("a.nxt") == F.col("b.i")).select(
+            F.col("a.i").alias("i"), F.col("b.nxt").alias("nxt")))
     return starts
 
 
@@ -120,7 +123,7 @@ def next_fit(manifest: DataFrame, order_cols: list[str], size_col: str, limit: i
     n_parts = _parts(manifest)
     base = manifest.select(*order_cols, F.col(size_col).cast("bigint").alias(size_col),
                            *[c for c in manifest.columns if c not in order_cols and c != size_col])
-    ranked = _prefix(base, order_cols, size_col, n_parts, "_P").checkpoint()
+    ranked = cut_lineage(_prefix(base, order_cols, size_col, n_parts, "_P"))
     n = ranked.count()
     if n == 0:
         return ranked.select(*base.columns, F.col("_rank").alias("rank"), F.lit(0).cast("bigint").alias("batch_id"))

@@ -52,6 +52,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf_dir
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared checkpoint folder and cut its lineage
+    (a reliable checkpoint: it survives the loss of the executors that made it)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A folder below the shared checkpoint directory for written tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
