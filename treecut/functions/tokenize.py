@@ -70,7 +70,7 @@ def _fast_plan() -> list[tuple]:
     """
     def rx(rule_id):
         pat, rep = next((p, r) for rid, p, r in RULES if rid == rule_id)
-        return ("regex", render_pattern(pat, JAVA), render_replacement(rep, JAVA))
+        return ("regex", render_pattern(pat, JAVA), render_replacement(rep, JAVA), rule_id)
 
     steps: list[tuple] = [("first_quote",)]                    # T1
     steps.append(("replace", "``", " `` "))                   # T2
@@ -98,9 +98,19 @@ def _fast_plan() -> list[tuple]:
 FAST_PLAN = _fast_plan()
 
 
-def _apply(x: Column, steps: list[tuple]) -> Column:
+# A Java pattern that never matches: T7 switched off for a row.
+_NEVER = "(?!)"
+
+
+def _apply(x: Column, steps: list[tuple], final_period: Column | None = None) -> Column:
     for step in steps:
         kind = step[0]
+        if kind == "regex" and final_period is not None and step[3:] == ("T7",):
+            # The pattern becomes a column; Spark recompiles only when it
+            # changes, i.e. around the few rows where the flag is set.
+            pat = F.when(final_period, F.lit(step[1])).otherwise(F.lit(_NEVER))
+            x = F.regexp_replace(x, pat, F.lit(step[2]))
+            continue
         if kind == "first_quote":
             # A quote that opens the text.  Only this first step looks at its
             # input more than once, and the input is normally a plain column.
@@ -116,22 +126,27 @@ def _apply(x: Column, steps: list[tuple]) -> Column:
     return x
 
 
-def _fast_steps(x: Column) -> Column:
-    return _apply(x, FAST_PLAN)
+def _fast_steps(x: Column, final_period: Column | None = None) -> Column:
+    return _apply(x, FAST_PLAN, final_period)
 
 
-def ptb_text(col: Column | str, plan: str = "fast", upto: str | None = None) -> Column:
+def ptb_text(col: Column | str, plan: str = "fast", upto: str | None = None,
+             final_period: Column | None = None) -> Column:
     """The text after the cascade: tokens separated by whitespace.
 
     ``upto`` stops after the named rule (canonical plan only) - used by the
-    per-rule queries and tests.
+    per-rule queries and tests.  ``final_period`` (a boolean column) switches
+    T7 - the period at the end of the text - on or off per row; the
+    large-file reader sets it only on the last non-blank line of a file.
     """
     x = _col(col)
     if plan == "canonical" or upto is not None:
+        if final_period is not None:
+            raise ValueError("final_period needs the fast plan")
         return _canonical_steps(x, upto)
     if plan != "fast":
         raise ValueError(f"unknown plan {plan!r}")
-    return _fast_steps(x)
+    return _fast_steps(x, final_period)
 
 
 def split_tokens(spaced: Column | str) -> Column:
@@ -144,9 +159,9 @@ def split_tokens(spaced: Column | str) -> Column:
     return F.array_remove(F.split(_col(spaced), WS_RUN), "")
 
 
-def ptb_tokens(col: Column | str, plan: str = "fast") -> Column:
+def ptb_tokens(col: Column | str, plan: str = "fast", final_period: Column | None = None) -> Column:
     """Treebank tokens of a text column, ARRAY<STRING>."""
-    return split_tokens(ptb_text(col, plan))
+    return split_tokens(ptb_text(col, plan, final_period=final_period))
 
 
 def ptb_token_count(col: Column | str, plan: str = "fast") -> Column:

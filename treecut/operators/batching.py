@@ -32,41 +32,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import cut_lineage
+from .ordering import default_parts as _parts
+from .ordering import running_total
 
 # The reference's per-call byte limits.
 REFERENCE_LIMIT_PY = 520_000_000
 REFERENCE_LIMIT_CPP = 320_000_000
 
 
-def _parts(df: DataFrame) -> int:
-    return max(2, df.sparkSession.sparkContext.defaultParallelism)
-
-
-def _prefix(df: DataFrame, order: list[str], value: str, n_parts: int, out: str,
-            rank_out: str = "_rank") -> DataFrame:
-    """Add ``out`` = running sum of ``value`` in ``order`` and ``rank_out`` (from 0).
-
-    Range-partition on ``order``; inside every part a window gives the local
-    running sum; one row per part gives the offsets (broadcast: ``n_parts``
-    rows).
-    """
-    # The part id is materialised once, so every use below sees the same parts.
-    parted = cut_lineage(df.repartitionByRange(n_parts, *order).withColumn("_part", F.spark_partition_id()))
-    w = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = parted.select("*", F.sum(F.col(value)).over(w).alias("_lsum"),
-                          F.row_number().over(Window.partitionBy("_part").orderBy(*order)).alias("_lrow"))
-    per_part = local.groupBy("_part").agg(F.count(F.lit(1)).alias("_pn"), F.sum(F.col(value)).alias("_ps"))
-    wp = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_part.select("_part", F.coalesce(F.sum("_pn").over(wp), F.lit(0)).alias("_on"),
-                              F.coalesce(F.sum("_ps").over(wp), F.lit(0)).alias("_os"))
-    joined = local.join(F.broadcast(offsets), "_part")
-    return joined.select(
-        *[c for c in df.columns],
-        (F.col("_on") + F.col("_lrow") - 1).cast("bigint").alias(rank_out),
-        (F.col("_os") + F.col("_lsum")).cast("bigint").alias(out),
-    )
-
-
 def _next_pointers(ranked: DataFrame, size_col: str, limit: int, n: int, n_parts: int) -> DataFrame:
     """``(i, nxt)``: where a batch opened at item ``i`` is closed (``n`` = never)."""
     items = ranked.select(F.col("_P").alias("v"), F.lit(1).alias("t"), F.col("_rank").alias("idx"))
@@ -123,14 +96,14 @@ def next_fit(manifest: DataFrame, order_cols: list[str], size_col: str, limit: i
     n_parts = _parts(manifest)
     base = manifest.select(*order_cols, F.col(size_col).cast("bigint").alias(size_col),
                            *[c for c in manifest.columns if c not in order_cols and c != size_col])
-    ranked = cut_lineage(_prefix(base, order_cols, size_col, n_parts, "_P"))
+    ranked = cut_lineage(running_total(base, order_cols, size_col, "_P", n_parts=n_parts))
     n = ranked.count()
     if n == 0:
         return ranked.select(*base.columns, F.col("_rank").alias("rank"), F.lit(0).cast("bigint").alias("batch_id"))
     starts = _orbit_of_zero(_next_pointers(ranked, size_col, limit, n, n_parts), n)
     flagged = ranked.join(starts.select(F.col("i").alias("_rank"), F.lit(1).alias("_start")), "_rank", "left")
     flagged = flagged.select(*base.columns, "_rank", F.coalesce("_start", F.lit(0)).alias("_start"))
-    counted = _prefix(flagged, ["_rank"], "_start", n_parts, "_nstarts", rank_out="_rank2")
+    counted = running_total(flagged, ["_rank"], "_start", "_nstarts", rank_out="_rank2", n_parts=n_parts)
     return counted.select(*base.columns, F.col("_rank").alias("rank"),
                           (F.col("_nstarts") - 1).cast("bigint").alias("batch_id"))
 
