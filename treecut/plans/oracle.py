@@ -212,3 +212,28 @@ _ROLL = ("count(*)::BIGINT AS files, sum(r.c)::BIGINT AS mismatched, sum(r.i)::B
 ORACLE["mismatch_rollup"] = f"WITH {_pairs_ptb_ws()},\nw AS ({_walk('pairs', False)})\nSELECT {_ROLL} FROM w"
 ORACLE["mismatch_rollup_by_lang"] = (
     f"WITH {_pairs_ptb_ws(['lang'])},\nw AS ({_walk('pairs', False)})\nSELECT lang, {_ROLL} FROM w GROUP BY lang")
+
+
+# -- Files derived from the tables ---------------------------------------------
+from .derived import FILE_TEXT_SQL  # noqa: E402
+
+_ctes, _t = _tokenised("files", ["file"], "text")
+ORACLE["file_corpus"] = f"""WITH {FILE_TEXT_SQL},
+{_ctes}
+SELECT f.file, strlen(f.text)::BIGINT AS bytes, strlen(f.text)::BIGINT AS text_bytes, len(t.tl)::BIGINT AS n_tokens
+FROM files f JOIN {_t} t USING (file)"""
+
+_ctes, _rows = _token_rows("files", ["file"], "text")
+ORACLE["large_file_tokens"] = f"WITH {FILE_TEXT_SQL},\n{_ctes}\nSELECT file, pos, token FROM {_rows}"
+
+_ctes, _rows = _token_rows("documents", ["doc_id"], "text")
+ORACLE["token_parts"] = f"""WITH RECURSIVE {_WALK},
+{_ctes}
+SELECT w.batch_id, count(*)::BIGINT AS n_tokens, string_agg(r.token, ' ' ORDER BY r.doc_id, r.pos) AS tokens
+FROM {_rows} r JOIN walk w USING (doc_id) GROUP BY w.batch_id"""
+
+_ctes, _t = _tokenised("files", ["file"], "text")
+ORACLE["stream_totals"] = f"""WITH {FILE_TEXT_SQL},
+{_ctes}
+SELECT count(*)::BIGINT AS files, sum(strlen(f.text))::BIGINT AS bytes, sum(len(t.tl))::BIGINT AS tokens
+FROM files f JOIN {_t} t USING (file)"""

@@ -269,3 +269,63 @@ def q_sql_rows(spark, sf_dir):
     return spark.sql("""
         SELECT c.conv_id, c.turn, r.pos, r.token
         FROM treecut_conversations c, LATERAL ptb_token_rows(c.text) r""")
+
+
+# -- Files derived from the tables: S1-S4, S6, S7, ST1, ST2 --------------------
+
+@register("file_corpus")
+def q_file_corpus(spark, sf_dir):
+    """Manifest sizes and whole-file texts of every file, tokenised."""
+    from ..sources.files import manifest, read_corpus
+    from .derived import documents_as_files, file_number
+    folder = documents_as_files(spark, sf_dir)
+    m = manifest(spark, f"{folder}/file=*").select(file_number().alias("file"), "length")
+    c = read_corpus(spark, f"{folder}/file=*")
+    t = c.select(file_number().alias("file"), F.octet_length("text").cast("bigint").alias("text_bytes"),
+                 F.size(ptb_tokens("text")).cast("bigint").alias("n_tokens"))
+    return m.join(t, "file").select("file", F.col("length").alias("bytes"), "text_bytes", "n_tokens")
+
+
+@register("large_file_tokens")
+def q_large_file_tokens(spark, sf_dir):
+    """Every file read by lines in parallel; token positions in the file."""
+    from ..sources.files import file_token_table, large_file_tokens
+    from .derived import documents_as_files, file_number
+    folder = documents_as_files(spark, sf_dir)
+    table = file_token_table(large_file_tokens(spark, f"{folder}/file=*"))
+    return table.select(file_number().alias("file"), "pos", "token")
+
+
+@register("token_parts")
+def q_token_parts(spark, sf_dir):
+    """S6 + S7: token parts written per W1 batch, read back per part."""
+    from ..session import scratch_path
+    from ..sources.files import read_token_parts
+    from ..sources.sinks import write_token_parts
+    import uuid
+    b = batching.next_fit(_doc_manifest(spark, sf_dir), ["doc_id"], "bytes", BATCH_LIMIT)
+    rows = tok.token_table(load_text(spark, sf_dir, "documents"), ["doc_id"])
+    rows = rows.join(b.select("doc_id", "batch_id"), "doc_id")
+    out = scratch_path(spark, f"token_parts/{uuid.uuid4().hex}")
+    write_token_parts(rows, out)
+    back = read_token_parts(spark, out)
+    return back.select(F.col("batch_id").cast("bigint").alias("batch_id"),
+                       F.size("tokens").cast("bigint").alias("n_tokens"), token_text("tokens").alias("tokens"))
+
+
+@register("stream_totals")
+def q_stream_totals(spark, sf_dir):
+    """ST1 + ST2: the files as a stream in byte-bounded chunks; running totals."""
+    from ..session import scratch_path
+    from ..streaming.stream import text_stream, tokenised_stream, totals_to_table
+    from .derived import documents_as_files
+    import uuid
+    folder = documents_as_files(spark, sf_dir)
+    name = "treecut_stream_totals_" + uuid.uuid4().hex[:8]
+    stream = tokenised_stream(text_stream(spark, f"{folder}/file=*", max_bytes_per_trigger=STREAM_CHUNK))
+    q = totals_to_table(stream, name, scratch_path(spark, f"stream_ck/{name}"))
+    q.awaitTermination()
+    return spark.table(name)
+
+
+STREAM_CHUNK = 1_000_000    # bytes per micro-batch for the stream query

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ def _top_level_only(df: DataFrame, root: str, path_col: str) -> DataFrame:
     The filter is on the file path, so Spark prunes the other files before
     reading them.
     """
-    root = root.rstrip("/")
+    root = re.sub(r"^[a-zA-Z]+:/+", "/", root.rstrip("/"))
     depth = F.size(F.split(F.regexp_replace(F.col(path_col), r"^[a-zA-Z]+:/+", "/"), "/"))
     root_depth = len([p for p in root.split("/") if p]) + 2
     return df.where(depth == F.lit(root_depth))
@@ -128,6 +130,13 @@ def read_token_part(spark: SparkSession, path: str) -> DataFrame:
     return df.select("path", split_tokens(normalise_marks(F.col("text"))).alias("tokens"))
 
 
+def read_token_parts(spark: SparkSession, folder: str, part_col: str = "batch_id") -> DataFrame:
+    """S7 for a whole sink folder: ``(part, path, tokens)`` per part file."""
+    df = spark.read.text(folder, wholetext=True).select(
+        F.col(part_col), F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return df.select(part_col, "path", split_tokens(normalise_marks(F.col("text"))).alias("tokens"))
+
+
 def line_ordinals(lines: DataFrame) -> DataFrame:
     """0-based line number within its file, in (block, lid) order.
 
