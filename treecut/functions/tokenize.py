@@ -46,9 +46,10 @@ def _pad(x: Column) -> Column:
 
 
 # T18-T21 fused: seven (head)(tail) pairs in one alternation.  Only one pair
-# matches at a time; Java skips groups that did not take part.
+# matches at a time; Java skips groups that did not take part.  The
+# look-ahead names the possible first letters.
 _FUSED_T18_T21 = (
-    r"(?i)" + JAVA.L
+    r"(?i)(?=[cdglm])" + JAVA.L
     + r"(?:(can)(not)|(d)('ye)|(gim)(me)|(gon)(na)|(got)(ta)|(lem)(me)|(mor)('n))"
     + JAVA.R
 )
@@ -63,53 +64,85 @@ def _canonical_steps(x: Column, upto: str | None) -> Column:
     return x
 
 
+def _hinted(rule_id: str, hint: str) -> tuple:
+    """A rule with a look-ahead ``hint`` in front that only restates what the
+    pattern itself requires at its first characters.  The matches are the
+    same; Java's matcher just rejects most positions after one or two char
+    tests instead of entering groups and alternations."""
+    pat, rep = next((p, r) for rid, p, r in RULES if rid == rule_id)
+    java = render_pattern(pat, JAVA)
+    flags = "(?i)" if java.startswith("(?i)") else ""
+    return ("regex", flags + "(?=" + hint + ")" + java[len(flags):], render_replacement(rep, JAVA), rule_id)
+
+
 def _fast_plan() -> list[tuple]:
-    """The fast plan as data: ("first_quote",), ("replace", s, r), ("regex", p, r), ("pad",).
+    """The fast plan as data: ("first_quote",), ("replace", s, r), ("regex", p, r[, rule]), ("pad",).
 
     Rendered both as a Column (``_apply``) and as Spark SQL text (``sqlfuncs``).
+    Every step equals its rule(s) of the table, in the same order, except:
+
+    * T3 matches the quote and looks behind for its opener: the opener a
+      match consumed can never be part of an earlier match (it is not a
+      quote), so consuming it or not gives the same result;
+    * T6 and T8 run as one class, before T7: none of ``;@#$%&?!`` is a
+      closing mark or a blank, so they commute with the final-period rule;
+    * T18-T21 run as one alternation (only one pair can match at a place).
     """
     def rx(rule_id):
         pat, rep = next((p, r) for rid, p, r in RULES if rid == rule_id)
         return ("regex", render_pattern(pat, JAVA), render_replacement(rep, JAVA), rule_id)
 
+    ws = JAVA.W[1:-1]
     steps: list[tuple] = [("first_quote",)]                    # T1
     steps.append(("replace", "``", " `` "))                   # T2
-    for c in " ([{<":                                          # T3, space first
-        steps.append(("replace", c + '"', c + " `` "))
+    steps.append(("regex", r'"(?<=[ (\[{<]")', " `` ", "T3"))  # T3
     steps.append(rx("T4"))
     steps.append(("replace", "...", " ... "))                 # T5
-    for c in ";@#$%&":                                         # T6
-        steps.append(("replace", c, " " + c + " "))
-    steps.append(rx("T7"))
-    for c in "?!":                                             # T8
-        steps.append(("replace", c, " " + c + " "))
+    steps.append(("regex", r"[;@#$%&?!]", " $0 ", "T6+T8"))    # T6, T8
+    steps.append(_hinted("T7", r"[^.]\."))
     steps.append(rx("T9"))
-    for c in "][(){}<>":                                       # T10
-        steps.append(("replace", c, " " + c + " "))
+    steps.append(("regex", r"[\]\[(){}<>]", " $0 ", "T10"))   # T10
     steps.append(("replace", "--", " -- "))                   # T11
     steps.append(("pad",))                                     # T12
     steps.append(("replace", '"', " '' "))                    # T13
-    steps += [rx("T14"), rx("T15"), rx("T16")]                 # T16 holds T17
-    steps.append(("regex", _FUSED_T18_T21, _FUSED_T18_T21_REP))
-    steps += [rx("T22"), rx("T23"), rx("T24")]
+    steps.append(_hinted("T14", "[^" + ws + "]''"))
+    steps.append(_hinted("T15", "[^' ]'"))
+    steps.append(_hinted("T16", "[^' ]['nN]"))                # T16 holds T17
+    steps.append(("regex", _FUSED_T18_T21, _FUSED_T18_T21_REP, "T18-T21"))
+    steps.append(_hinted("T22", "[wW]"))
+    steps += [rx("T23"), rx("T24")]
     return steps
 
 
 FAST_PLAN = _fast_plan()
 
 
-# A Java pattern that never matches: T7 switched off for a row.
+# A Java pattern that never matches: a rule switched off for a row.
 _NEVER = "(?!)"
 
+# Rules that can only match where the text holds an apostrophe: the input's
+# own, or the '' that T13 makes of a double quote.  No other rule creates one.
+APOSTROPHE_RULES = ("T9", "T14", "T15", "T16", "T23", "T24")
+
 
-def _apply(x: Column, steps: list[tuple], final_period: Column | None = None) -> Column:
+def _switched(x: Column, step: tuple, on: Column) -> Column:
+    # The pattern becomes a column; Spark recompiles only when it changes
+    # from one row to the next, and the never-matching pattern fails at
+    # once at every position.
+    pat = F.when(on, F.lit(step[1])).otherwise(F.lit(_NEVER))
+    return F.regexp_replace(x, pat, F.lit(step[2]))
+
+
+def _apply(x: Column, steps: list[tuple], final_period: Column | None = None,
+           has_quote: Column | None = None) -> Column:
     for step in steps:
         kind = step[0]
-        if kind == "regex" and final_period is not None and step[3:] == ("T7",):
-            # The pattern becomes a column; Spark recompiles only when it
-            # changes, i.e. around the few rows where the flag is set.
-            pat = F.when(final_period, F.lit(step[1])).otherwise(F.lit(_NEVER))
-            x = F.regexp_replace(x, pat, F.lit(step[2]))
+        rule_id = step[3] if len(step) > 3 else None
+        if kind == "regex" and final_period is not None and rule_id == "T7":
+            x = _switched(x, step, final_period)
+            continue
+        if kind == "regex" and has_quote is not None and rule_id in APOSTROPHE_RULES:
+            x = _switched(x, step, has_quote)
             continue
         if kind == "first_quote":
             # A quote that opens the text.  Only this first step looks at its
@@ -127,7 +160,10 @@ def _apply(x: Column, steps: list[tuple], final_period: Column | None = None) ->
 
 
 def _fast_steps(x: Column, final_period: Column | None = None) -> Column:
-    return _apply(x, FAST_PLAN, final_period)
+    # The fast path of the rule table: texts without ' or " skip the
+    # apostrophe rules (tested once on the input, a byte search).
+    has_quote = x.contains("'") | x.contains('"')
+    return _apply(x, FAST_PLAN, final_period, has_quote)
 
 
 def ptb_text(col: Column | str, plan: str = "fast", upto: str | None = None,
