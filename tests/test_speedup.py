@@ -24,7 +24,7 @@ def test_speedup_report(spark, tmp_dir):
     assert len(t) == 15 and sorted(r.k for r in t) == list(range(15))
     assert all(r.bytes == 1048576 and r.tokens == 1234 for r in t)
     runs = {(r.engine, r.size_mb): r.secs for r in label_runs(timing_lines(spark, path)).collect()}
-    assert runs[("nltk", 1)] == 10.0 and runs[("gpu_cpp", 100)] == 15.0
+    assert runs[("baseline", 1)] == 10.0 and runs[("engine_1", 100)] == 15.0
     rep = {(r.engine, r.size_mb): r.speedup for r in speedup_report(spark, path).collect()}
     assert len(rep) == 12
     for k, e in enumerate(ENGINES[1:], start=1):

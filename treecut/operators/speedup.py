@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from ..sources.files import line_ordinals, read_lines
 from .stats import RunReport
 
-# The engines of the reference's sweep in run order (baseline
-# first) and the data sizes in MB of its plot.
-ENGINES = ["nltk", "gpu_cpp", "gpu_py", "cpu_cpp", "onescan_py"]
+# Default labels for a sweep of five engines in run order (baseline first;
+# callers pass their own names) and the fixed data sizes in MB of the
+# reference's sweep.
+ENGINES = ["baseline", "engine_1", "engine_2", "engine_3", "engine_4"]
 SIZES_MB = [1, 10, 100, 300, 500, 1000]
 
 
