@@ -12,17 +12,19 @@ def test_next_fit_matches_loop(spark, seed, limit):
     rng = random.Random(seed)
     sizes = [rng.choice([0, 1, 2, 3, 5, 8, 13, 30]) for _ in range(rng.randint(1, 300))]
     df = spark.createDataFrame([(f"f{i:05d}", s) for i, s in enumerate(sizes)], "path string, length long")
-    got = {r.path: (r.rank, r.batch_id) for r in next_fit(df, ["path"], "length", limit).collect()}
     exp = next_fit_local(sizes, limit)
-    for i in range(len(sizes)):
-        assert got[f"f{i:05d}"] == (i, exp[i]), i
+    for seq_max in (0, 10**9):     # distributed path, then the bounded one-task path
+        got = {r.path: (r.rank, r.batch_id)
+               for r in next_fit(df, ["path"], "length", limit, sequential_max_items=seq_max).collect()}
+        for i in range(len(sizes)):
+            assert got[f"f{i:05d}"] == (i, exp[i]), (seq_max, i)
 
 
 def test_oversize_and_phase(spark):
     # Equal sizes whose batches never re-align across parts, plus oversize items.
     sizes = [1] * 57 + [50] + [1] * 20 + [99, 99] + [2] * 10
     df = spark.createDataFrame([(i, s) for i, s in enumerate(sizes)], "k long, bytes long")
-    got = [r.batch_id for r in next_fit(df, ["k"], "bytes", 3).orderBy("k").collect()]
+    got = [r.batch_id for r in next_fit(df, ["k"], "bytes", 3, sequential_max_items=0).orderBy("k").collect()]
     assert got == next_fit_local(sizes, 3)
 
 

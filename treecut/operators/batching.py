@@ -14,8 +14,9 @@ Here the walk is turned into pointer jumping, all with DataFrame joins:
    sums with the sorted targets ``P[i-1] + limit`` (range partitioned, with
    a carry of one row per part);
 3. the batch starts are the orbit of item 0 under ``next``: pointer doubling
-   (``J = next^(2^k)`` by self-join) interleaved with ``A <- A + J(A)``,
-   ``ceil(log2(batches + 1))`` rounds, lineage cut with ``checkpoint``;
+   (``J = next^(2^k)`` by self-join, lineage cut with ``checkpoint``), then
+   ``A <- A + J(A)`` level by level; ``ceil(log2(max batches + 1))`` levels,
+   where next-fit bounds the batches by ``2 * bytes / limit + 1``;
 4. ``batch_id`` = number of starts up to the item, minus one (same prefix
    machinery as step 1).
 
@@ -61,35 +62,69 @@ def _next_pointers(ranked: DataFrame, size_col: str, limit: int, n: int, n_parts
     return q.select(F.col("idx").alias("i"), F.greatest(nxt, F.col("idx") + 1).cast("bigint").alias("nxt"))
 
 
-def _orbit_of_zero(nexts: DataFrame, n: int) -> DataFrame:
+def _orbit_of_zero(nexts: DataFrame, n: int, max_batches: int) -> DataFrame:
     """Ranks reachable from 0 under ``nxt``: the batch starts.
 
-    Round k holds ``J = next^(2^k)`` and ``A`` = the first ``2^k`` starts;
-    then ``A <- A + J(A)`` and ``J <- J o J``.  It ends when ``J(0)`` is the
-    end, so the rounds are ``ceil(log2(batches + 1))``, not ``log2(n)``.
+    Levels ``J_k = next^(2^k)`` come from self-joins (one checkpoint each);
+    then ``A_(k+1) = A_k + J_k(A_k)`` from ``A_0 = {0}`` gives the first
+    ``2^(k+1)`` starts.  ``K = ceil(log2(max_batches + 1))`` levels cover every
+    start, so no round has to ask whether it is done.  The start set is one
+    join per level on checkpointed tables: a flat plan, materialised once.
     """
     spark = nexts.sparkSession
     sink = spark.range(n, n + 1).select(F.col("id").alias("i"), F.col("id").alias("nxt"))
-    jump = cut_lineage(nexts.unionByName(sink))
+    levels = [cut_lineage(nexts.unionByName(sink))]
+    rounds = max(1, math.ceil(math.log2(max_batches + 1)))
+    for _ in range(rounds - 1):
+        a, b = levels[-1].alias("a"), levels[-1].alias("b")
+        levels.append(cut_lineage(a.join(b, F.col("a.nxt") == F.col("b.i")).select(
+            F.col("a.i").alias("i"), F.col("b.nxt").alias("nxt"))))
     starts = spark.range(0, 1).select(F.col("id").alias("i"))
-    for _ in range(max(1, math.ceil(math.log2(n + 1))) + 1):
-        # One join gives both a start and its jump, so the start set appears
-        # once per round and the plan stays flat after the checkpoint.
-        stepped = starts.join(jump, "i").select(F.explode(F.array("i", "nxt")).alias("i"))
-        starts = cut_lineage(stepped.where(F.col("i") < n).distinct())
-        if jump.where(F.col("i") == 0).select("nxt").first()[0] >= n:
-            break
-        a, b = jump.alias("a"), jump.alias("b")
-        jump = cut_lineage(a.join(b, F.col("a.nxt") == F.col("b.i")).select(
-            F.col("a.i").alias("i"), F.col("b.nxt").alias("nxt")))
-    return starts
-
-
-def next_fit(manifest: DataFrame, order_cols: list[str], size_col: str, limit: int) -> DataFrame:
+    for lvl in levels:
+        stepped = starts.join(lvl, "i").select(F.explode(F.array("i", "nxt")).alias("i"))
+        starts = stepped.where(F.col("i") < n).distinct()
+    return cut_lineage(starts)
+
+
+# Manifests up to this many items are walked in one task (rank and size
+# only: 16 bytes a row, 32 MB at the bound); larger ones take the
+# distributed pointer-doubling path.
+SEQUENTIAL_MAX_ITEMS = 2_000_000
+
+
+def _walk_one_task(ranked: DataFrame, size_col: str, limit: int) -> DataFrame:
+    """``(_rank, _batch)`` by the reference loop, in a single group of bounded size."""
+    import numpy as np
+    import pandas as pd
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_rank")
+        sizes = pdf[size_col].to_numpy(dtype=np.int64)
+        out = np.empty(len(sizes), dtype=np.int64)
+        batch, fill = 0, 0
+        for k, sz in enumerate(sizes.tolist()):
+            if k == 0:
+                fill = sz
+            elif fill + sz < limit:
+                fill += sz
+            else:
+                batch += 1
+                fill = sz
+            out[k] = batch
+        return pd.DataFrame({"_rank": pdf["_rank"].to_numpy(), "_batch": out})
+
+    one = ranked.select(F.lit(0).alias("_g"), "_rank", size_col)
+    return one.groupBy("_g").applyInPandas(walk, "_rank long, _batch long")
+
+
+def next_fit(manifest: DataFrame, order_cols: list[str], size_col: str, limit: int,
+             sequential_max_items: int = SEQUENTIAL_MAX_ITEMS) -> DataFrame:
     """``manifest`` + ``rank`` + ``batch_id`` (from 0, no empty batches).
 
     ``manifest`` holds one row per item with its byte size; only keys and
     sizes are used, never content.  Items are taken in ``order_cols`` order.
+    A manifest of at most ``sequential_max_items`` items (checked with a
+    count) is walked in one task; beyond that the walk is distributed.
     """
     if limit <= 0:
         raise ValueError("limit must be positive")
@@ -97,10 +132,18 @@ def next_fit(manifest: DataFrame, order_cols: list[str], size_col: str, limit: i
     base = manifest.select(*order_cols, F.col(size_col).cast("bigint").alias(size_col),
                            *[c for c in manifest.columns if c not in order_cols and c != size_col])
     ranked = cut_lineage(running_total(base, order_cols, size_col, "_P", n_parts=n_parts))
-    n = ranked.count()
+    n, total = ranked.agg(F.count(F.lit(1)), F.coalesce(F.max("_P"), F.lit(0))).first()
     if n == 0:
         return ranked.select(*base.columns, F.col("_rank").alias("rank"), F.lit(0).cast("bigint").alias("batch_id"))
-    starts = _orbit_of_zero(_next_pointers(ranked, size_col, limit, n, n_parts), n)
+    if n <= sequential_max_items:
+        walked = _walk_one_task(ranked, size_col, limit)
+        out = ranked.join(walked, "_rank")
+        return out.select(*base.columns, F.col("_rank").alias("rank"), F.col("_batch").alias("batch_id"))
+    # Two consecutive batches hold at least `limit` bytes together (the
+    # second one's first item did not fit), so there are at most
+    # 2 * total / limit + 1 batches.
+    max_batches = min(n, 2 * (total // limit) + 2)
+    starts = _orbit_of_zero(_next_pointers(ranked, size_col, limit, n, n_parts), n, max_batches)
     flagged = ranked.join(starts.select(F.col("i").alias("_rank"), F.lit(1).alias("_start")), "_rank", "left")
     flagged = flagged.select(*base.columns, "_rank", F.coalesce("_start", F.lit(0)).alias("_start"))
     counted = running_total(flagged, ["_rank"], "_start", "_nstarts", rank_out="_rank2", n_parts=n_parts)

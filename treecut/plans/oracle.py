@@ -106,6 +106,7 @@ walk AS (
   FROM walk w JOIN items i ON i.rank = w.rank + 1)"""
 
 ORACLE["batch_manifest"] = f"WITH RECURSIVE {_WALK}\nSELECT doc_id, bytes, rank, batch_id FROM walk"
+ORACLE["batch_manifest_distributed"] = ORACLE["batch_manifest"]
 
 _ctes, _t = _tokenised("documents", ["doc_id"], "text")
 ORACLE["batch_totals"] = f"""WITH RECURSIVE {_WALK},

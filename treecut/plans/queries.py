@@ -170,6 +170,13 @@ def q_batch_manifest(spark, sf_dir):
     return batching.next_fit(_doc_manifest(spark, sf_dir), ["doc_id"], "bytes", BATCH_LIMIT)
 
 
+@register("batch_manifest_distributed")
+def q_batch_manifest_distributed(spark, sf_dir):
+    """W1 on the distributed pointer-doubling path, whatever the input size."""
+    return batching.next_fit(_doc_manifest(spark, sf_dir), ["doc_id"], "bytes", BATCH_LIMIT,
+                             sequential_max_items=0)
+
+
 @register("batch_totals")
 def q_batch_totals(spark, sf_dir):
     b = batching.next_fit(_doc_manifest(spark, sf_dir), ["doc_id"], "bytes", BATCH_LIMIT)
