@@ -207,7 +207,8 @@ def ptb_token_count(col: Column | str, plan: str = "fast") -> Column:
     rule removes them, so the whitespace split always has exactly one empty
     piece at each end: the count is ``size - 2``, with no filtering pass.
     """
-    return F.size(F.split(ptb_text(col, plan), WS_RUN)) - F.lit(2)
+    c = _col(col)
+    return F.when(c.isNotNull(), F.size(F.split(ptb_text(c, plan), WS_RUN)) - F.lit(2))
 
 
 def whitespace_tokens(col: Column | str) -> Column:

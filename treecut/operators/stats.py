@@ -17,22 +17,33 @@ def _token_count(text_col: str, method: str):
     return F.size(tokens(F.col(text_col), method))
 
 
+def _measured(df: DataFrame, text_col: str, group_cols: list[str], method: str) -> DataFrame:
+    """Bytes and token count per row, projected before any grouping.
+
+    Computing them here (not inside the aggregate) matters for ``rollup``:
+    its Expand copies every row once per grouping set, and a token count
+    inside the aggregate would run the cascade that many times.
+    """
+    return df.select(*group_cols, byte_length(F.col(text_col)).alias("_b"),
+                     _token_count(text_col, method).alias("_t"))
+
+
+def _measures() -> list:
+    return [F.count(F.lit(1)).alias("files"), F.sum("_b").cast("bigint").alias("bytes"),
+            F.sum("_t").cast("bigint").alias("tokens")]
+
+
 def corpus_totals(df: DataFrame, text_col: str = "text", group_cols: list[str] | None = None,
                   method: str = "ptb") -> DataFrame:
     """A2: ``files``, ``bytes`` (UTF-8), ``tokens``; grouped when ``group_cols`` is given.
 
-    Token counts use ``regexp_count`` on the tokenised text, so no token
-    array is built; the aggregate is partial per task, then final after a
-    shuffle of one row per group and task.
+    The token count builds no token array; the aggregate is partial per
+    task, then final after a shuffle of one row per group and task.
     """
-    measures = [
-        F.count(F.lit(1)).alias("files"),
-        F.sum(byte_length(F.col(text_col))).cast("bigint").alias("bytes"),
-        F.sum(_token_count(text_col, method)).cast("bigint").alias("tokens"),
-    ]
+    m = _measured(df, text_col, group_cols or [], method)
     if group_cols:
-        return df.groupBy(*group_cols).agg(*measures)
-    return df.agg(*measures)
+        return m.groupBy(*group_cols).agg(*_measures())
+    return m.agg(*_measures())
 
 
 def corpus_rollup(df: DataFrame, group_cols: list[str], text_col: str = "text", method: str = "ptb") -> DataFrame:
@@ -40,12 +51,8 @@ def corpus_rollup(df: DataFrame, group_cols: list[str], text_col: str = "text",
 
     ``level`` is the grouping id (0 = finest); NULL keys mark subtotal rows.
     """
-    return df.rollup(*group_cols).agg(
-        F.grouping_id().cast("bigint").alias("level"),
-        F.count(F.lit(1)).alias("files"),
-        F.sum(byte_length(F.col(text_col))).cast("bigint").alias("bytes"),
-        F.sum(_token_count(text_col, method)).cast("bigint").alias("tokens"),
-    )
+    m = _measured(df, text_col, group_cols, method)
+    return m.rollup(*group_cols).agg(F.grouping_id().cast("bigint").alias("level"), *_measures())
 
 
 def batch_totals(batched: DataFrame, text_col: str = "text", batch_col: str = "batch_id",

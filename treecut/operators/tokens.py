@@ -85,16 +85,22 @@ def retain_k(df: DataFrame, id_cols: list[str], text_col: str = "text", k: int =
                     token_text(first_tokens("_t", k)).alias("kept"))
 
 
-def output_cap(token_rows: DataFrame, group_col: str, doc_cols: list[str], cap: int = OUTPUT_CAP) -> DataFrame:
-    """L4: keep the first ``cap`` tokens of every output part (``group_col``).
-
-    A token's place in its part is (tokens of the earlier documents of the
-    part) + ``pos``.  The running count is a window over *documents* (one row
-    each, after a partial count per document), not over tokens; parts are
-    size-bounded batches, so every window partition is bounded too.
+def output_cap(docs: DataFrame, group_col: str, doc_cols: list[str], text_col: str = "text",
+               cap: int = OUTPUT_CAP, method: str = "ptb") -> DataFrame:
+    """L4: token rows ``(group, *doc_cols, pos, token)`` keeping the first
+    ``cap`` tokens of every output part (``group_col``), in document order.
+
+    One pass: each document is tokenised once; a window over the
+    *documents* of a part (one row each, carrying its token array) gives the
+    tokens of the earlier documents; the array is sliced to what still fits
+    and only that is exploded.  Parts are size-bounded batches (W1), so every
+    window partition is bounded too.
     """
-    per_doc = token_rows.groupBy(group_col, *doc_cols).agg(F.count(F.lit(1)).alias("_n"))
+    t = docs.select(group_col, *doc_cols, tokens(F.col(text_col), method).alias("_t"))
     w = Window.partitionBy(group_col).orderBy(*doc_cols).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_doc.select(group_col, *doc_cols, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    joined = token_rows.join(offsets, on=[group_col, *doc_cols], how="inner")
-    return joined.where(F.col("_off") + F.col("pos") < F.lit(cap)).drop("_off")
+    t = t.withColumn("_off", F.coalesce(F.sum(F.size("_t")).over(w), F.lit(0)))
+    room = F.greatest(F.lit(cap) - F.col("_off"), F.lit(0))
+    kept = t.where(room > 0).select(group_col, *doc_cols, F.slice("_t", 1, room.cast("int")).alias("_k"))
+    rows = kept.select(group_col, *doc_cols, F.posexplode_outer("_k").alias("pos", "token"))
+    return rows.where(F.col("token").isNotNull()).select(
+        group_col, *doc_cols, F.col("pos").cast("bigint").alias("pos"), "token")

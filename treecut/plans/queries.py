@@ -209,9 +209,8 @@ def q_retain_k(spark, sf_dir):
 @register("output_cap")
 def q_output_cap(spark, sf_dir):
     b = batching.next_fit(_doc_manifest(spark, sf_dir), ["doc_id"], "bytes", BATCH_LIMIT)
-    rows = tok.token_table(load_text(spark, sf_dir, "documents"), ["doc_id"])
-    rows = rows.join(b.select("doc_id", "batch_id"), "doc_id")
-    return tok.output_cap(rows, "batch_id", ["doc_id"], CAP).select("batch_id", "doc_id", "pos", "token")
+    docs = load_text(spark, sf_dir, "documents").join(b.select("doc_id", "batch_id"), "doc_id")
+    return tok.output_cap(docs, "batch_id", ["doc_id"], "text", CAP)
 
 
 # -- J1-J3, A4 --------------------------------------------------------------
