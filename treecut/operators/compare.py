@@ -155,15 +155,19 @@ def diff_rows(pairs: DataFrame, key_cols: list[str]) -> DataFrame:
     """One row per mismatch with its kind, cost and context on both sides.
 
     Context is tokens ``i-2 .. i+width-3`` of ``a`` and ``j-2 ..`` of ``b``
-    (clipped at the start), joined by spaces - ``slice`` on the JVM side.
+    (clipped at the start), joined by spaces.  The contexts are cut from the
+    arrays while they are still one row per pair (``transform`` over the
+    events, JVM-side), so the explode copies only the small event structs,
+    never the token arrays.
     """
-    ev = pairs.select(*key_cols, "a", "b", F.explode(_walk_udf("a", "b")).alias("e"))
-
-    def ctx(arr: str, k: Column) -> Column:
+    def ctx(arr: str, k: Column, width: Column) -> Column:
         start = F.greatest(k - F.lit(2), F.lit(0))
-        stop = k + F.col("e.width") - F.lit(2)
+        stop = k + width - F.lit(2)
         return F.concat_ws(" ", F.slice(F.col(arr), (start + 1).cast("int"), (stop - start).cast("int")))
 
-    return ev.select(*key_cols, F.col("e.seq").alias("seq"), F.col("e.i").alias("i"),
-                     F.col("e.j").alias("j"), F.col("e.kind").alias("kind"), F.col("e.cost").alias("cost"),
-                     ctx("a", F.col("e.i")).alias("a_context"), ctx("b", F.col("e.j")).alias("b_context"))
+    events = F.transform(_walk_udf("a", "b"), lambda e: F.struct(
+        e["seq"].alias("seq"), e["i"].alias("i"), e["j"].alias("j"), e["kind"].alias("kind"),
+        e["cost"].alias("cost"), ctx("a", e["i"], e["width"]).alias("a_context"),
+        ctx("b", e["j"], e["width"]).alias("b_context")))
+    ev = pairs.select(*key_cols, F.explode(events).alias("e"))
+    return ev.select(*key_cols, "e.seq", "e.i", "e.j", "e.kind", "e.cost", "e.a_context", "e.b_context")
