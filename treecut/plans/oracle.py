@@ -69,10 +69,13 @@ ORACLE["token_table"] = f"WITH {_ctes}\nSELECT doc_id, pos, token FROM {_rows}"
 _ctes, _rows = _token_rows("conversations", ["conv_id", "turn"], "text")
 ORACLE["sql_token_rows"] = f"WITH {_ctes}\nSELECT conv_id, turn, pos, token FROM {_rows}"
 
-_ctes, _t = _tokenised("conversations", ["conv_id", "turn"], "text")
-ORACLE["token_text"] = f"""WITH {_ctes}
-SELECT conv_id, count(*)::BIGINT AS n_turns, string_agg(array_to_string(tl, ' '), ' ' ORDER BY turn) AS text
-FROM {_t} GROUP BY conv_id"""
+_ctes, _t = _tokenised("conversations", ["conv_id", "turn", "role"], "text")
+ORACLE["token_text"] = f"""WITH {_ctes},
+turns AS (SELECT conv_id, turn, role, len(tl)::BIGINT AS n_tokens, array_to_string(tl, ' ') AS text FROM {_t})
+SELECT conv_id, turn, role, n_tokens, text,
+       count(*) OVER (PARTITION BY conv_id)::BIGINT AS conv_turns,
+       sum(n_tokens) OVER (PARTITION BY conv_id)::BIGINT AS conv_tokens
+FROM turns"""
 
 _norm = "replace(replace(html, '...', ' ... '), '--', ' -- ')"
 ORACLE["normalise_marks"] = (

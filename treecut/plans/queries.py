@@ -114,14 +114,16 @@ def q_token_table(spark, sf_dir):
 
 @register("token_text")
 def q_token_text(spark, sf_dir):
-    """F4 per conversation: the turns' tokens in turn order, one text."""
-    c = load_text(spark, sf_dir, "conversations")
-    t = c.select("conv_id", "turn", token_text(ptb_tokens("text")).alias("tt"))
-    g = t.groupBy("conv_id").agg(
-        F.count(F.lit(1)).alias("n_turns"),
-        F.array_sort(F.collect_list(F.struct("turn", "tt"))).alias("_turns"))
-    return g.select("conv_id", "n_turns",
-                    F.concat_ws(" ", F.transform("_turns", lambda s: s["tt"])).alias("text"))
+    """F4 on every conversation turn: its tokens as one text, with the
+    conversation's turn and token counts (aggregates joined back; the turns
+    of a conversation are never gathered into one row)."""
+    c = load_text(spark, sf_dir, "conversations", "role")
+    t = c.select("conv_id", "turn", "role", ptb_tokens("text").alias("_t"))
+    t = t.select("conv_id", "turn", "role", F.size("_t").cast("bigint").alias("n_tokens"),
+                 token_text("_t").alias("text"))
+    per_conv = t.groupBy("conv_id").agg(F.count(F.lit(1)).alias("conv_turns"),
+                                        F.sum("n_tokens").cast("bigint").alias("conv_tokens"))
+    return t.join(per_conv, "conv_id")
 
 
 @register("normalise_marks")
