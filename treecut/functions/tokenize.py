@@ -1,9 +1,10 @@
 """Tokenisers as pure Catalyst expressions (no Python per row).
 
 ``ptb_tokens(col)`` is the whole Treebank cascade (T1-T26) as one nested
-column expression.  Every step references its input exactly once, so the
-expression stays linear in size even when Catalyst inlines it (for example
-when a filter is pushed below the projection that defines it).
+column expression.  Every step references its input once, except the three
+guarded blocks of apostrophe rules (``when(has_quote, block(x)).otherwise(x)``):
+the tree stays small (a fixed factor, even when Catalyst inlines it into a
+pushed-down filter), and only the chosen branch is evaluated.
 
 Two plans compute the same function:
 
@@ -11,8 +12,10 @@ Two plans compute the same function:
 * ``fast`` (default) - rules whose regex only ever matches a fixed string are
   run as ``replace`` (a byte search on UTF8String that returns its input
   untouched when there is no match, with no UTF-16 round trip), and T18-T21
-  run as one alternation.  ``tests/test_rules_property.py`` checks that the two
-  plans agree on random adversarial text.
+  run as one alternation; look-ahead hints speed up the regex scans; blocks
+  of apostrophe rules are skipped for texts without ' or ".
+  ``tests/test_rules_property.py`` checks that the two plans agree on random
+  adversarial text.
 """
 
 from __future__ import annotations
@@ -135,18 +138,26 @@ def _switched(x: Column, step: tuple, on: Column) -> Column:
 
 def _apply(x: Column, steps: list[tuple], final_period: Column | None = None,
            has_quote: Column | None = None) -> Column:
-    for step in steps:
+    i = 0
+    while i < len(steps):
+        step = steps[i]
         kind = step[0]
         rule_id = step[3] if len(step) > 3 else None
-        if kind == "regex" and final_period is not None and rule_id == "T7":
-            x = _switched(x, step, final_period)
-            continue
         if kind == "regex" and has_quote is not None and rule_id in APOSTROPHE_RULES:
-            x = _switched(x, step, has_quote)
+            # A run of apostrophe rules is skipped as a block for texts with
+            # neither ' nor ".  Only the chosen branch runs, so the input of
+            # the block is evaluated once either way.
+            j = i
+            while j < len(steps) and len(steps[j]) > 3 and steps[j][3] in APOSTROPHE_RULES:
+                j += 1
+            x = F.when(has_quote, _apply(x, steps[i:j], final_period)).otherwise(x)
+            i = j
             continue
-        if kind == "first_quote":
-            # A quote that opens the text.  Only this first step looks at its
-            # input more than once, and the input is normally a plain column.
+        i += 1
+        if kind == "regex" and final_period is not None and rule_id == "T7":
+            x = _switched(x, step, final_period)
+        elif kind == "first_quote":
+            # A quote that opens the text.
             x = F.when(x.startswith('"'), F.concat(F.lit("``"), F.substring(x, 2, 2**31 - 1))).otherwise(x)
         elif kind == "replace":
             x = _lit_replace(x, step[1], step[2])
