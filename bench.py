@@ -5,7 +5,10 @@ Every query runs to completion into the ``noop`` sink (all rows computed,
 nothing collected).  A warm-up (the tokeniser over sf0.01 documents) starts
 the JVM and its JIT first; it is not timed.
 Also reported, as the reference does: bytes, tokens and seconds of one
-tokenising pass over ``documents`` (A3 run report).
+tokenising pass over ``documents`` (A3 run report), and - as a single-node
+reference point, since the baseline publishes only ratios over a Python
+Treebank tokeniser - the same ordered regex cascade run by Python ``re`` in
+one process over the same documents (``BENCH_PY_BASELINE=0`` skips it).
 """
 
 from __future__ import annotations
@@ -35,6 +38,20 @@ HEADLINE = [
 ]
 
 
+def python_cascade_baseline(sf_dir: str) -> dict:
+    """The rule cascade in plain Python ``re``, one process (reference point only)."""
+    import pyarrow.parquet as pq
+
+    from treecut.functions.rules import python_cascade
+
+    texts = pq.read_table(f"{sf_dir}/documents.parquet", columns=["text"]).column("text").to_pylist()
+    t0 = time.perf_counter()
+    n = sum(len(python_cascade(t)) for t in texts if t is not None)
+    secs = time.perf_counter() - t0
+    nbytes = sum(len(t.encode()) for t in texts if t is not None)
+    return {"sec": round(secs, 3), "tokens": n, "bytes": nbytes, "kb_per_s": round(nbytes / 1024 / secs, 1)}
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
@@ -55,6 +72,7 @@ def main() -> None:
         times[name] = round(time.perf_counter() - t0, 3)
 
     rep = run_report(load_text(spark, sf_dir, "documents"))
+    py = python_cascade_baseline(sf_dir) if os.environ.get("BENCH_PY_BASELINE", "1") != "0" else None
     total = round(sum(times.values()), 3)
     sf = os.path.basename(sf_dir).replace("sf", "")
     print(json.dumps({
@@ -68,6 +86,8 @@ def main() -> None:
             "bytes": rep.bytes, "tokens": rep.tokens, "files": rep.files,
             "sec": round(rep.seconds, 3), "kb_per_s": round(rep.kb_per_s, 1),
         },
+        **({"python_cascade_one_process": py,
+            "speedup_vs_python_cascade": round(py["sec"] / rep.seconds, 2)} if py else {}),
     }))
     spark.stop()
 
