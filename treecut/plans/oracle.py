@@ -241,3 +241,8 @@ ORACLE["stream_totals"] = f"""WITH {FILE_TEXT_SQL},
 {_ctes}
 SELECT count(*)::BIGINT AS files, sum(strlen(f.text))::BIGINT AS bytes, sum(len(t.tl))::BIGINT AS tokens
 FROM files f JOIN {_t} t USING (file)"""
+
+_ctes, _rows = _token_rows("files", ["file"], "text")
+ORACLE["stream_parts"] = f"""WITH {FILE_TEXT_SQL},
+{_ctes}
+SELECT token, count(*)::BIGINT AS n FROM {_rows} GROUP BY token"""

@@ -337,3 +337,20 @@ def q_stream_totals(spark, sf_dir):
 
 
 STREAM_CHUNK = 1_000_000    # bytes per micro-batch for the stream query
+
+
+@register("stream_parts")
+def q_stream_parts(spark, sf_dir):
+    """ST1 + ST3: the files streamed in byte-bounded chunks, one part folder
+    per chunk; all parts read back, token frequencies (nothing lost or doubled)."""
+    from ..session import scratch_path
+    from ..streaming.stream import text_stream, tokenised_stream, write_parts
+    from .derived import documents_as_files
+    import uuid
+    folder = documents_as_files(spark, sf_dir)
+    run = uuid.uuid4().hex
+    out = scratch_path(spark, f"stream_parts/{run}")
+    stream = tokenised_stream(text_stream(spark, f"{folder}/file=*", max_bytes_per_trigger=STREAM_CHUNK))
+    write_parts(stream, out, scratch_path(spark, f"stream_ck/{run}")).awaitTermination()
+    back = spark.read.option("lineSep", "\n").text(out).where(F.col("value") != "")
+    return back.groupBy(F.col("value").alias("token")).agg(F.count(F.lit(1)).alias("n"))
