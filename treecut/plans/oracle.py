@@ -246,3 +246,8 @@ _ctes, _rows = _token_rows("files", ["file"], "text")
 ORACLE["stream_parts"] = f"""WITH {FILE_TEXT_SQL},
 {_ctes}
 SELECT token, count(*)::BIGINT AS n FROM {_rows} GROUP BY token"""
+
+ORACLE["file_lines"] = f"""WITH {FILE_TEXT_SQL},
+parts AS (SELECT file, string_split(text, chr(10)) AS ls FROM files),
+lines AS (SELECT file, len(ls) AS k, unnest(ls) AS line, unnest(range(len(ls)))::BIGINT AS line_no FROM parts)
+SELECT file, line_no, line FROM lines WHERE line_no < k - 1"""

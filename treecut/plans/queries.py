@@ -354,3 +354,14 @@ def q_stream_parts(spark, sf_dir):
     write_parts(stream, out, scratch_path(spark, f"stream_ck/{run}")).awaitTermination()
     back = spark.read.option("lineSep", "\n").text(out).where(F.col("value") != "")
     return back.groupBy(F.col("value").alias("token")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("file_lines")
+def q_file_lines(spark, sf_dir):
+    """Every line of every file with its 0-based number in the file
+    (a distributed running count over (file, split, row) order)."""
+    from ..sources.files import line_ordinals, read_lines
+    from .derived import documents_as_files, file_number
+    folder = documents_as_files(spark, sf_dir)
+    lines = line_ordinals(read_lines(spark, f"{folder}/file=*"))
+    return lines.select(file_number().alias("file"), "line_no", "line")
