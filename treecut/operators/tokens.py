@@ -49,9 +49,13 @@ def last_tokens(arr: Column | str, k: int = PREVIEW_LAST) -> Column:
 def preview_line(arr: Column | str) -> Column:
     """The reference's preview: ``t1,...,t50,<gap>t-10,...,t-1,(N tokens)``."""
     a = F.col(arr) if isinstance(arr, str) else arr
-    head = F.concat_ws("", F.transform(first_tokens(a), lambda t: F.concat(t, F.lit(","))))
-    tail = F.concat_ws("", F.transform(last_tokens(a), lambda t: F.concat(t, F.lit(","))))
-    return F.concat(head, F.lit(PREVIEW_GAP), tail, F.lit("("), F.size(a).cast("string"), F.lit(" tokens)"))
+
+    def each_then_comma(part: Column) -> Column:
+        # "t1,t2,...,tk," - every token followed by a comma (codegen'd, no lambda).
+        return F.concat(F.concat_ws(",", part), F.when(F.size(part) > 0, F.lit(",")).otherwise(F.lit("")))
+
+    return F.concat(each_then_comma(first_tokens(a)), F.lit(PREVIEW_GAP), each_then_comma(last_tokens(a)),
+                    F.lit("("), F.size(a).cast("string"), F.lit(" tokens)"))
 
 
 def previews(df: DataFrame, id_cols: list[str], text_col: str = "text", method: str = "ptb") -> DataFrame:

@@ -71,8 +71,8 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def large_file_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """Tokens of files too large for one cell, tokenised line by line in parallel.
+def large_file_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Files too large for one cell, tokenised line by line in parallel.
 
     Each line is tokenised as ``'\\n' + line + '\\n'`` (no leading newline on
     a file's first line; no trailing one on its last line unless the file
@@ -80,8 +80,7 @@ def large_file_tokens(spark: SparkSession, path: str) -> DataFrame:
     whole text; T7 (final period) is switched on only for the last non-blank
     line.  The per-file facts (first, last and last non-blank line, whether
     the file ends with a newline) are one aggregate row per file, joined
-    back.  Returns ``(path, block, lid, pos, token)``; ``file_token_table``
-    adds the token's position in its file.
+    back.  Returns ``(path, block, lid, tokens)``, one row per line.
     """
     lines = read_lines(spark, path)
     key = F.struct("block", "lid")
@@ -101,23 +100,32 @@ def large_file_tokens(spark: SparkSession, path: str) -> DataFrame:
         F.when(is_last & ~F.col("_ends_nl"), F.lit("")).otherwise(F.lit("\n")),
     )
     final = F.coalesce(k == F.col("_last_nb"), F.lit(False))
-    toks = j.select("path", "block", "lid", F.posexplode_outer(ptb_tokens(sandwich, final_period=final))
-                    .alias("pos", "token"))
-    return toks.where(F.col("token").isNotNull()).select(
+    return j.select("path", "block", "lid", ptb_tokens(sandwich, final_period=final).alias("tokens"))
+
+
+def large_file_tokens(spark: SparkSession, path: str) -> DataFrame:
+    """S4 as token rows ``(path, block, lid, pos, token)``; ``pos`` is the
+    place in the line (``file_token_table`` gives the place in the file)."""
+    rows = large_file_lines(spark, path).select(
+        "path", "block", "lid", F.posexplode_outer("tokens").alias("pos", "token"))
+    return rows.where(F.col("token").isNotNull()).select(
         "path", "block", "lid", F.col("pos").cast("bigint").alias("pos"), "token")
 
 
-def file_token_table(line_tokens: DataFrame) -> DataFrame:
+def file_token_table(line_arrays: DataFrame) -> DataFrame:
     """``(path, pos, token)`` with ``pos`` the token's place in its file.
 
-    Tokens per line are counted (one row per line); a distributed running
-    sum in (path, block, lid) order gives each line's offset in its file,
-    joined back - no window holds a whole file.
+    Takes ``large_file_lines`` rows.  A distributed running sum of the
+    tokens per line in (path, block, lid) order gives each line's offset in
+    its file; the lines (with their token arrays) ride through it and are
+    materialised once there, so the cascade runs once per line, and only
+    then are the arrays exploded.  No window holds a whole file.
     """
-    per_line = line_tokens.groupBy("path", "block", "lid").agg(F.count(F.lit(1)).alias("_n"))
+    per_line = line_arrays.select("path", "block", "lid", "tokens", F.size("tokens").alias("_n"))
     offs = offsets_within(per_line, ["path"], ["block", "lid"], "_n", "_off")
-    out = line_tokens.join(offs.select("path", "block", "lid", "_off"), ["path", "block", "lid"])
-    return out.select("path", (F.col("_off") + F.col("pos")).cast("bigint").alias("pos"), "token")
+    rows = offs.select("path", "_off", F.posexplode_outer("tokens").alias("pos", "token"))
+    return rows.where(F.col("token").isNotNull()).select(
+        "path", (F.col("_off") + F.col("pos")).cast("bigint").alias("pos"), "token")
 
 
 def read_token_part(spark: SparkSession, path: str) -> DataFrame:
