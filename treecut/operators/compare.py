@@ -80,7 +80,11 @@ def pair_tokenisations(df: DataFrame, key_cols: list[str], text_col: str = "text
 
 def pair_tables(left: DataFrame, right: DataFrame, key_cols: list[str],
                 left_col: str = "tokens", right_col: str = "tokens") -> DataFrame:
-    """Inner equi-join of two tokenisations on the file/document key."""
+    """Inner equi-join of two tokenisations on the file/document key.
+
+    The key names one document on each side (a path, a document id), so the
+    join is one-to-one and emits no pairs within a key.
+    """
     lt = left.select(*key_cols, F.col(left_col).alias("a"))
     rt = right.select(*key_cols, F.col(right_col).alias("b"))
     return lt.join(rt, on=key_cols, how="inner")

@@ -74,10 +74,13 @@ def spread(df: DataFrame, *keys: str, factor: int = 2) -> DataFrame:
     scan has fewer partitions than ``factor`` x the default parallelism, hash
     the rows on ``keys`` (round robin when none) over that many partitions.
     A large input already has many splits and is left untouched, so at scale
-    this adds no shuffle.
+    this adds no shuffle.  ``treecut.spread.partitions`` (session conf)
+    overrides the target, e.g. to keep a small table on a big cluster from
+    being cut into thousands of tiny tasks; ``0`` never spreads.
     """
     spark = df.sparkSession
-    target = max(1, spark.sparkContext.defaultParallelism * factor)
+    conf = spark.conf.get("treecut.spread.partitions", None)
+    target = int(conf) if conf else max(1, spark.sparkContext.defaultParallelism * factor)
     if df.rdd.getNumPartitions() >= target:
         return df
     return df.repartition(target, *keys) if keys else df.repartition(target)
