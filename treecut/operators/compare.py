@@ -175,3 +175,13 @@ def diff_rows(pairs: DataFrame, key_cols: list[str]) -> DataFrame:
         ctx("b", e["j"], e["width"]).alias("b_context")))
     ev = pairs.select(*key_cols, F.explode(events).alias("e"))
     return ev.select(*key_cols, "e.seq", "e.i", "e.j", "e.kind", "e.cost", "e.a_context", "e.b_context")
+
+
+def compare_files(spark, path: str, base: str = "ptb", other: str = "ptb_lines") -> DataFrame:
+    """The comparison run end to end on a corpus folder or file: every file
+    tokenised two ways (S1/S2 + F1), walked (J2), one row per file with
+    ``(path, mismatched, compared, len_a, len_b)``; ``mismatch_rollup`` of
+    the result gives the totals and the rate (A4)."""
+    from ..sources.files import read_corpus
+    pairs = pair_tokenisations(read_corpus(spark, path), ["path"], "text", base, other)
+    return diff_table(pairs, ["path"])

@@ -251,3 +251,15 @@ ORACLE["file_lines"] = f"""WITH {FILE_TEXT_SQL},
 parts AS (SELECT file, string_split(text, chr(10)) AS ls FROM files),
 lines AS (SELECT file, len(ls) AS k, unnest(ls) AS line, unnest(range(len(ls)))::BIGINT AS line_no FROM parts)
 SELECT file, line_no, line FROM lines WHERE line_no < k - 1"""
+
+_ctes_a, _ta = _tokenised("files", ["file"], "text", "c")
+_ctes_l, _tl = _tokenised("flines", ["file", "ln"], "line", "l")
+ORACLE["file_compare"] = f"""WITH {FILE_TEXT_SQL},
+{_ctes_a},
+fparts AS (SELECT file, string_split(text, chr(10)) AS ls FROM files),
+flines AS (SELECT file, unnest(ls) AS line, unnest(range(len(ls))) AS ln FROM fparts),
+{_ctes_l},
+per_file AS (SELECT file, flatten(list(tl ORDER BY ln)) AS b FROM {_tl} GROUP BY file),
+pairs AS (SELECT file, x.tl AS a, y.b AS b FROM {_ta} x JOIN per_file y USING (file)),
+w AS ({_walk('pairs', False)})
+SELECT file, r.c AS mismatched, r.i AS compared, len(a)::BIGINT AS len_a, len(b)::BIGINT AS len_b FROM w"""

@@ -365,3 +365,12 @@ def q_file_lines(spark, sf_dir):
     folder = documents_as_files(spark, sf_dir)
     lines = line_ordinals(read_lines(spark, f"{folder}/file=*"))
     return lines.select(file_number().alias("file"), "line_no", "line")
+
+
+@register("file_compare")
+def q_file_compare(spark, sf_dir):
+    """The comparison run on files: Treebank vs naive per-line tokens per file."""
+    from .derived import documents_as_files, file_number
+    folder = documents_as_files(spark, sf_dir)
+    d = compare.compare_files(spark, f"{folder}/file=*", "ptb", "ptb_lines")
+    return d.select(file_number().alias("file"), "mismatched", "compared", "len_a", "len_b")
