@@ -43,3 +43,21 @@ def test_stream_totals_and_parts(spark, tmp_dir):
                 written += f.read().split("\n")
     written = [t for t in written if t]
     assert sorted(written) == sorted(t for x in texts.values() for t in python_cascade(x))
+
+
+def test_restart_processes_only_new_files(spark, tmp_dir):
+    src, texts = _files(tmp_dir)
+    out, ck = f"{tmp_dir}/out2", f"{tmp_dir}/ck3"
+    write_parts(tokenised_stream(text_stream(spark, src, max_bytes_per_trigger=300)), out, ck).awaitTermination()
+    first = set(glob.glob(f"{out}/chunk=*"))
+    extra = "Restarted streams don't repeat: \"quoted\" text, cannot."
+    with open(f"{src}/zz_new.txt", "w", encoding="utf-8") as f:
+        f.write(extra)
+    write_parts(tokenised_stream(text_stream(spark, src, max_bytes_per_trigger=300)), out, ck).awaitTermination()
+    assert first < set(glob.glob(f"{out}/chunk=*"))   # new chunks only, old ones kept
+    written = []
+    for part in sorted(glob.glob(f"{out}/chunk=*/part-*")):
+        with open(part, encoding="utf-8") as f:
+            written += [t for t in f.read().split("\n") if t]
+    exp = [t for x in list(texts.values()) + [extra] for t in python_cascade(x)]
+    assert sorted(written) == sorted(exp)
