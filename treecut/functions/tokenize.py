@@ -96,7 +96,7 @@ def _fast_plan() -> list[tuple]:
     steps: list[tuple] = [("first_quote",)]                    # T1
     steps.append(("replace", "``", " `` "))                   # T2
     steps.append(("regex", r'"(?<=[ (\[{<]")', " `` ", "T3"))  # T3
-    steps.append(rx("T4"))
+    steps.append(_hinted("T4", "[:,]"))
     steps.append(("replace", "...", " ... "))                 # T5
     steps.append(("regex", r"[;@#$%&?!]", " $0 ", "T6+T8"))    # T6, T8
     steps.append(_hinted("T7", r"[^.]\."))
