@@ -38,9 +38,9 @@ def _eq(a: Column, i: Column, b: Column, j: Column) -> Column:
 def token_diff(a: Column | str, b: Column | str) -> Column:
     """``STRUCT<mismatched BIGINT, compared BIGINT>`` for two token arrays.
 
-    A fold (``aggregate``) over ``sequence(0, n)``: each element is one turn
-    of the walk, and a finished walk passes its state through.  JVM-side,
-    linear in the shorter list, no Python.
+    A fold (``aggregate``) over the elements of ``a``: each element is one
+    turn of the walk, and a finished walk passes its state through.
+    JVM-side, linear in the list, no Python.
     """
     a = F.col(a) if isinstance(a, str) else a
     b = F.col(b) if isinstance(b, str) else b
@@ -63,7 +63,10 @@ def token_diff(a: Column | str, b: Column | str) -> Column:
         done = F.struct(i.alias("i"), j.alias("j"), c.alias("c"), F.lit(True).alias("s"))
         return F.when(live, move).otherwise(done)
 
-    res = F.aggregate(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), init, step)
+    # Each live step moves i by at least one and the walk ends before
+    # i = n - 1, so folding over ``a`` itself (size >= n) gives enough steps
+    # without allocating a separate index array; extra steps are no-ops.
+    res = F.aggregate(a, init, step)
     return F.struct(res["c"].alias("mismatched"), res["i"].cast("bigint").alias("compared"))
 
 
