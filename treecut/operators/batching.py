@@ -49,12 +49,17 @@ def _next_pointers(ranked: DataFrame, size_col: str, limit: int, n: int, n_parts
     ev = items.unionByName(queries)
     parted = cut_lineage(ev.repartitionByRange(n_parts, "v", "t", "idx").withColumn(
         "_part", F.spark_partition_id()))
-    # Next item at or after each row, inside its part (items sort by rank too).
-    w = Window.partitionBy("_part").orderBy("v", "t", "idx").rowsBetween(0, Window.unboundedFollowing)
+    # Next item at or after each row, inside its part (items sort by rank
+    # too).  The order is reversed so the frame is a running one (unbounded
+    # preceding .. current row), which Spark updates row by row; a frame to
+    # "unbounded following" would be recomputed for every row.
+    w = (Window.partitionBy("_part").orderBy(F.desc("v"), F.desc("t"), F.desc("idx"))
+         .rowsBetween(Window.unboundedPreceding, 0))
     local = parted.select("*", F.min(F.when(F.col("t") == 1, F.col("idx"))).over(w).alias("_local"))
     first_item = parted.where(F.col("t") == 1).groupBy("_part").agg(F.min("idx").alias("_first"))
     all_parts = parted.select("_part").distinct()
-    wc = Window.orderBy("_part").rowsBetween(1, Window.unboundedFollowing)
+    # First item of any later part: one row per part, so bounded.
+    wc = Window.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
     carry = all_parts.join(first_item, "_part", "left").select(
         "_part", F.min("_first").over(wc).alias("_carry"))
     q = local.where(F.col("t") == 0).join(F.broadcast(carry), "_part", "left")
