@@ -41,10 +41,44 @@ def running_total(df: DataFrame, order: list[str], value: str, out: str, rank_ou
     )
 
 
-def offsets_within(df: DataFrame, group: list[str], order: list[str], value: str, out: str) -> DataFrame:
+def offsets_within(df: DataFrame, group: list[str], order: list[str], value: str, out: str,
+                   n_parts: int | None = None) -> DataFrame:
     """Add ``out`` = sum of ``value`` over the earlier rows of the same group
-    (exclusive), in ``order``; groups of any size, no window over a group."""
-    ranked = running_total(df, group + order, value, "_cum", "_rk")
-    before = F.col("_cum") - F.col(value)
-    start = ranked.groupBy(*group).agg(F.min(before).alias("_g0"))
-    return ranked.join(start, group).select(*df.columns, (before - F.col("_g0")).cast("bigint").alias(out))
+    (exclusive), in ``order`` - for groups of any size, hot ones included.
+
+    Rows are range-partitioned on (group, order); a group may span many
+    parts.  The global exclusive running sum ``B`` never decreases, so the
+    start of a row's group is the running *max* of ``B`` over group-first
+    rows up to it: inside a part a running window, across parts a carry from
+    a table of one row per part (broadcast).  No join on the group key, so
+    one huge group is spread over many tasks like any other rows.
+    """
+    n_parts = n_parts or default_parts(df)
+    gkey = F.struct(*group)
+    parted = cut_lineage(df.repartitionByRange(n_parts, *group, *order).withColumn("_part", F.spark_partition_id()))
+    w = Window.partitionBy("_part").orderBy(*group, *order)
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    local = parted.select(
+        "*",
+        (F.sum(F.col(value)).over(run) - F.col(value)).alias("_lb"),        # exclusive, inside the part
+        F.row_number().over(w).alias("_lrow"),
+        F.lag(gkey).over(w).alias("_lprev"),
+    )
+    # Group starts inside the part (its first row is decided with the carry).
+    local = local.withColumn("_lmark", F.when((F.col("_lrow") > 1) & (F.col("_lprev") != gkey), F.col("_lb")))
+    local = local.withColumn("_lrun", F.max("_lmark").over(run))
+    per_part = local.groupBy("_part").agg(
+        F.sum(F.col(value)).alias("_ps"), F.min(gkey).alias("_gfirst"), F.max(gkey).alias("_glast"),
+        F.max("_lmark").alias("_pmark"))
+    wp = Window.orderBy("_part")
+    parts = per_part.select(
+        "_part", "_pmark", "_gfirst",
+        F.coalesce(F.sum("_ps").over(wp.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_os"),
+        F.lag("_glast").over(wp).alias("_prev_last"))
+    parts = parts.withColumn("_first_starts", F.col("_prev_last").isNull() | (F.col("_prev_last") != F.col("_gfirst")))
+    parts = parts.withColumn("_pstart", F.when(F.col("_pmark").isNotNull(), F.col("_os") + F.col("_pmark"))
+                             .when(F.col("_first_starts"), F.col("_os")))
+    parts = parts.withColumn("_carry", F.max("_pstart").over(wp.rowsBetween(Window.unboundedPreceding, -1)))
+    j = local.join(F.broadcast(parts.select("_part", "_os", "_first_starts", "_carry")), "_part")
+    start = F.greatest(F.col("_os") + F.col("_lrun"), F.when(F.col("_first_starts"), F.col("_os")), F.col("_carry"))
+    return j.select(*df.columns, (F.col("_os") + F.col("_lb") - start).cast("bigint").alias(out))
