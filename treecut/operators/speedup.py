@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.files import line_ordinals, read_lines
-from .stats import RunReport
 
 # Default labels for a sweep of five engines in run order (baseline first;
 # callers pass their own names) and the fixed data sizes in MB of the
@@ -85,8 +84,3 @@ def speedup_report(spark: SparkSession, log_path: str, engines: list[str] = ENGI
                    sizes_mb: list[int] = SIZES_MB) -> DataFrame:
     """The whole report: read logs, label the runs, divide by the baseline."""
     return speedup(label_runs(timing_lines(spark, log_path), engines, sizes_mb), engines[0])
-
-
-def log_line(report: RunReport) -> str:
-    """The timing line this engine writes for a run (same format as above)."""
-    return report.line()
