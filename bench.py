@@ -36,6 +36,7 @@ HEADLINE = [
     "token_diff_rows",        # J3: mismatch listing
     "batch_manifest",         # W1: exact next-fit batching (bounded one-task walk)
     "batch_manifest_distributed",  # W1 on the distributed pointer-doubling path
+    "large_file_tokens",      # S4: files read by lines in parallel, positions in the file
 ]
 
 
