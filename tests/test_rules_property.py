@@ -61,3 +61,27 @@ def test_tokens_have_no_whitespace_and_keep_order(pieces):
         found = text.find(t[:1], pos)
         assert found >= 0
         pos = found
+
+
+def _two_pass_t4_reading(text):
+    """The cascade with T4 as the two passes the rule source quotes:
+    ``([:,])([^\\d])`` -> `` \\1 \\2`` and then ``([:,])$`` -> `` \\1 ``
+    (Python's ``$`` also matches before a final newline)."""
+    import re
+
+    from treecut.functions.rules import PYTHON, RULES, render_pattern, render_replacement
+    for rid, pat, rep in RULES:
+        if rid == "T12":
+            text = " " + text + " "
+        elif rid == "T4":
+            text = re.sub(r"([:,])([^0-9])", r" \1 \2", text)
+            text = re.sub(r"([:,])$", r" \1 ", text)
+        else:
+            text = re.sub(render_pattern(pat, PYTHON), render_replacement(rep, PYTHON), text, flags=re.ASCII)
+    return [t for t in re.split(PYTHON.W + "+", text) if t]
+
+
+def test_fused_t4_equals_the_two_quoted_passes():
+    texts = random_texts(20000, seed=23) + ["a,", "a,\n", "a::", "a:,\n", "x,1,", ",", ":\n\n", "a, ,\n"]
+    bad = [t for t in texts if python_cascade(t) != _two_pass_t4_reading(t)]
+    assert not bad, bad[:5]
