@@ -80,10 +80,12 @@ def _orbit_of_zero(nexts: DataFrame, n: int, max_batches: int) -> DataFrame:
     sink = spark.range(n, n + 1).select(F.col("id").alias("i"), F.col("id").alias("nxt"))
     levels = [cut_lineage(nexts.unionByName(sink))]
     rounds = max(1, math.ceil(math.log2(max_batches + 1)))
-    for _ in range(rounds - 1):
+    for k in range(rounds - 1):
         a, b = levels[-1].alias("a"), levels[-1].alias("b")
-        levels.append(cut_lineage(a.join(b, F.col("a.nxt") == F.col("b.i")).select(
-            F.col("a.i").alias("i"), F.col("b.nxt").alias("nxt"))))
+        nxt = a.join(b, F.col("a.nxt") == F.col("b.i")).select(F.col("a.i").alias("i"), F.col("b.nxt").alias("nxt"))
+        # The last level feeds only the start set (one join in its final job),
+        # so it is not materialised on its own.
+        levels.append(nxt if k == rounds - 2 else cut_lineage(nxt))
     starts = spark.range(0, 1).select(F.col("id").alias("i"))
     for lvl in levels:
         stepped = starts.join(lvl, "i").select(F.explode(F.array("i", "nxt")).alias("i"))
