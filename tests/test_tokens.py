@@ -67,3 +67,14 @@ def test_totals_and_rollup(spark):
     assert roll[(None, 1)] == t.tokens
     for b in range(3):
         assert roll[(b, 0)] == sum(len(python_cascade(x)) for _d, bb, x in rows if bb == b)
+
+
+def test_corpus_previews_tokenise_only_the_edges(spark):
+    rows = [(i, "   ") for i in range(30)] + [(100 + i, f"w{i} x{i}.") for i in range(40)] + [(500, " "), (501, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    allrows = sorted((d, k, t) for d, text in rows for k, t in enumerate(python_cascade(text)))
+    head = [(r.doc_id, r.pos, r.token) for r in tok.corpus_preview_head(df, ["doc_id"], k=7).collect()]
+    tail = [(r.doc_id, r.pos, r.token) for r in tok.corpus_preview_tail(df, ["doc_id"], k=5).collect()]
+    assert head == allrows[:7] and tail == allrows[-5:]
+    tiny = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    assert [r.token for r in tok.corpus_preview_head(tiny, ["doc_id"], k=50).collect()] == ["a", "b"]

@@ -81,6 +81,43 @@ def corpus_tail(table: DataFrame, order_cols: list[str], k: int = PREVIEW_LAST)
     return last.orderBy(*order_cols)
 
 
+def _edge_tokens(df: DataFrame, id_cols: list[str], text_col: str, k: int, method: str,
+                 last: bool) -> DataFrame:
+    """Token rows of the fewest documents at one end of the key order that
+    hold at least ``k`` tokens (or of all documents, if they hold fewer).
+
+    The candidate keys come from a top-n over the key columns alone (the
+    scan reads no text), are semi-joined back as a broadcast of at most n
+    rows, and only those documents are tokenised; n grows 4x while they hold
+    fewer than ``k`` tokens (usually never: n starts at ``k``).
+    """
+    order = [F.col(c).desc() if last else F.col(c).asc() for c in id_cols]
+    n, total = k, None
+    while True:
+        keys = df.select(*id_cols).orderBy(*order).limit(n)
+        docs = df.join(F.broadcast(keys), id_cols, "left_semi")
+        table = token_table(docs, id_cols, text_col, method)
+        if table.count() >= k:
+            return table
+        total = df.count() if total is None else total
+        if n >= total:
+            return table
+        n *= 4
+
+
+def corpus_preview_head(df: DataFrame, id_cols: list[str], text_col: str = "text", k: int = PREVIEW_FIRST,
+                        method: str = "ptb") -> DataFrame:
+    """L1 over a corpus: its first ``k`` tokens in (key, pos) order, tokenising
+    only the first documents (see ``_edge_tokens``), not the whole corpus."""
+    return corpus_head(_edge_tokens(df, id_cols, text_col, k, method, last=False), id_cols + ["pos"], k)
+
+
+def corpus_preview_tail(df: DataFrame, id_cols: list[str], text_col: str = "text", k: int = PREVIEW_LAST,
+                        method: str = "ptb") -> DataFrame:
+    """L2 over a corpus: its last ``k`` tokens, tokenising only the last documents."""
+    return corpus_tail(_edge_tokens(df, id_cols, text_col, k, method, last=True), id_cols + ["pos"], k)
+
+
 def retain_k(df: DataFrame, id_cols: list[str], text_col: str = "text", k: int = RETAIN_K,
              method: str = "ptb") -> DataFrame:
     """L3: keep the first ``k`` tokens, count them all."""

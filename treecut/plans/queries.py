@@ -195,12 +195,13 @@ def q_previews(spark, sf_dir):
 
 @register("preview_first")
 def q_preview_first(spark, sf_dir):
-    return tok.corpus_head(tok.token_table(load_text(spark, sf_dir, "documents"), ["doc_id"]), ["doc_id", "pos"])
+    # No spread: only the first documents' text is ever read and tokenised.
+    return tok.corpus_preview_head(load(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
 
 
 @register("preview_last")
 def q_preview_last(spark, sf_dir):
-    return tok.corpus_tail(tok.token_table(load_text(spark, sf_dir, "documents"), ["doc_id"]), ["doc_id", "pos"])
+    return tok.corpus_preview_tail(load(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
 
 
 @register("retain_k")
