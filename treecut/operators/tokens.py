@@ -81,21 +81,32 @@ def corpus_tail(table: DataFrame, order_cols: list[str], k: int = PREVIEW_LAST)
     return last.orderBy(*order_cols)
 
 
+# A key list up to this size is sent as an IN filter, which Parquet pushdown
+# uses to skip row groups; longer lists are semi-joined as a broadcast.
+KEY_FILTER_MAX = 10_000
+
+
 def _edge_tokens(df: DataFrame, id_cols: list[str], text_col: str, k: int, method: str,
                  last: bool) -> DataFrame:
     """Token rows of the fewest documents at one end of the key order that
     hold at least ``k`` tokens (or of all documents, if they hold fewer).
 
     The candidate keys come from a top-n over the key columns alone (the
-    scan reads no text), are semi-joined back as a broadcast of at most n
-    rows, and only those documents are tokenised; n grows 4x while they hold
+    scan reads no text).  With one key column and at most ``KEY_FILTER_MAX``
+    keys they go back as an ``IN`` filter (pushed into the scan: row groups
+    without them are skipped); otherwise as a broadcast semi-join of at most
+    n rows.  Only those documents are tokenised; n grows 4x while they hold
     fewer than ``k`` tokens (usually never: n starts at ``k``).
     """
     order = [F.col(c).desc() if last else F.col(c).asc() for c in id_cols]
     n, total = k, None
     while True:
         keys = df.select(*id_cols).orderBy(*order).limit(n)
-        docs = df.join(F.broadcast(keys), id_cols, "left_semi")
+        if len(id_cols) == 1 and n <= KEY_FILTER_MAX:
+            values = [r[0] for r in keys.collect()]
+            docs = df.where(F.col(id_cols[0]).isin(values))
+        else:
+            docs = df.join(F.broadcast(keys), id_cols, "left_semi")
         table = token_table(docs, id_cols, text_col, method)
         if table.count() >= k:
             return table
