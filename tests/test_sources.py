@@ -91,3 +91,17 @@ def test_token_parts_roundtrip(spark, tmp_dir):
         # F5 spaces '...' and '--' inside tokens, as the reference's reader does.
         exp = " ".join(exp).replace("...", " ... ").replace("--", " -- ").split()
         assert back[0].tokens == exp
+
+
+def test_parts_replace_old_output_under_dynamic_overwrite(spark, tmp_dir):
+    out = f"{tmp_dir}/parts"
+    a = spark.createDataFrame([(0, 1, 0, "x"), (1, 2, 0, "y")], "batch_id int, doc_id int, pos int, token string")
+    b = spark.createDataFrame([(0, 1, 0, "z")], "batch_id int, doc_id int, pos int, token string")
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        write_token_parts(a, out)
+        write_token_parts(b, out)
+    finally:
+        spark.conf.unset("spark.sql.sources.partitionOverwriteMode")
+    import os
+    assert sorted(d for d in os.listdir(out) if d.startswith("batch_id=")) == ["batch_id=0"]

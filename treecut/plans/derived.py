@@ -31,7 +31,7 @@ def documents_as_files(spark: SparkSession, sf_dir: str) -> str:
         F.floor(F.col("doc_id") / F.lit(DOCS_PER_FILE)).cast("bigint").alias("file"), "doc_id", "text")
     # All rows of a file go to one task, sorted by doc_id there: one part per file.
     (d.repartition(F.col("file")).sortWithinPartitions("file", "doc_id").select("file", "text")
-      .write.mode("overwrite").partitionBy("file").text(out))
+      .write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("file").text(out))
     _WRITTEN[key] = out
     return out
 

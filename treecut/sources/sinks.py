@@ -17,4 +17,7 @@ def write_token_parts(token_rows: DataFrame, out: str, batch_col: str = "batch_i
     """
     cols = [batch_col, *order_cols]
     ordered = token_rows.repartition(F.col(batch_col)).sortWithinPartitions(*cols)
-    ordered.select(batch_col, "token").write.mode("overwrite").partitionBy(batch_col).text(out)
+    # Static overwrite: the whole folder is replaced even if the session is
+    # set to dynamic partition overwrite (stale parts must not survive).
+    (ordered.select(batch_col, "token").write.mode("overwrite").option("partitionOverwriteMode", "static")
+     .partitionBy(batch_col).text(out))
