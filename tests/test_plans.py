@@ -40,3 +40,24 @@ def test_rollup_expands_numbers_not_text(spark):
 def test_totals_build_no_token_array(spark):
     p = plan(REGISTRY["corpus_totals"](spark, SF01))
     assert "array_remove" not in p and "Generate" not in p
+
+
+def test_cascade_is_codegen_and_jit_sized(spark):
+    """The cascade runs inside whole-stage codegen, in methods small enough
+    for HotSpot to compile (it skips methods over 8,000 bytes of bytecode)."""
+    import contextlib
+    import io
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        buf = io.StringIO()
+        with contextlib.redirect_stdout(buf):
+            REGISTRY["ptb_tokens"](spark, SF01).explain("codegen")
+        out = buf.getvalue()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    blocks = out.split("== Subtree ")[1:]
+    cascade = [b for b in blocks if "regexp_replace" in b.split("\n", 2)[1] or "regexp_replace" in b.split("\n", 3)[2]]
+    assert cascade, out[:2000]
+    size = int(re.search(r"maxMethodCodeSize:(\d+)", cascade[0]).group(1))
+    assert size < 8000, size
