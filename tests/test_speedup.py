@@ -32,6 +32,14 @@ def test_speedup_report(spark, tmp_dir):
             assert abs(rep[(e, mb)] - (k + 1)) < 1e-3   # the log keeps 3 decimals
 
 
+def test_malformed_timing_line_is_null(spark, tmp_dir):
+    path = f"{tmp_dir}/bad.txt"
+    with open(path, "w") as f:
+        f.write("time: abc secs to tokenize 10b, 1kb/s (tokens:2).\ntime: 1.5 secs to tokenize 10b, 1kb/s (tokens:2).\n")
+    rows = sorted((r.k, r.secs) for r in timing_lines(spark, path).collect())
+    assert rows == [(0, None), (1, 1.5)]
+
+
 def test_run_report_line(spark):
     df = spark.createDataFrame([(1, "They'll save and invest more."), (2, "hi, my name can't hello,")],
                                "doc_id int, text string")

@@ -38,7 +38,7 @@ def timing_lines(spark: SparkSession, path: str) -> DataFrame:
     return numbered.select(
         "path",
         F.col("line_no").alias("k"),
-        F.get("_f", 1).cast("double").alias("secs"),
+        F.get("_f", 1).try_cast("double").alias("secs"),     # a malformed number gives NULL
         F.when(bytes_ != "", bytes_.cast("bigint")).alias("bytes"),
         F.when(toks != "", toks.cast("bigint")).alias("tokens"),
     )
