@@ -105,3 +105,19 @@ def test_parts_replace_old_output_under_dynamic_overwrite(spark, tmp_dir):
         spark.conf.unset("spark.sql.sources.partitionOverwriteMode")
     import os
     assert sorted(d for d in os.listdir(out) if d.startswith("batch_id=")) == ["batch_id=0"]
+
+
+EDGE_FILES = ["", "\n", "\n\n", "   ", " \n \n", "a.\n", "it's\n", "it's", "end.\r\n", "end.\r\n\r\n",
+              '"quote\n"next', "x\n\"y\" said.\n\n", "one\ntwo.", "'tis\n'twas it.", "a,\nb:\n"]
+
+
+def test_large_file_edge_cases(spark, tmp_dir):
+    for k, text in enumerate(EDGE_FILES):
+        _write(f"{tmp_dir}/e{k:02d}.txt", text)
+    table = file_token_table(large_file_lines(spark, tmp_dir))
+    got = {}
+    for r in table.collect():
+        got.setdefault(os.path.basename(r.path), {})[r.pos] = r.token
+    for k, text in enumerate(EDGE_FILES):
+        toks = got.get(f"e{k:02d}.txt", {})
+        assert [toks[i] for i in range(len(toks))] == python_cascade(text), repr(text)
