@@ -71,7 +71,12 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def large_file_lines(spark: SparkSession, path: str) -> DataFrame:
+# A file's facts row is joined to its lines in slices of about this many
+# bytes (see ``large_file_lines``).
+SALT_BYTES = 64 * 1024 * 1024
+
+
+def large_file_lines(spark: SparkSession, path: str, salt_bytes: int = SALT_BYTES) -> DataFrame:
     """Files too large for one cell, tokenised line by line in parallel.
 
     Each line is tokenised as ``'\\n' + line + '\\n'`` (no leading newline on
@@ -80,7 +85,12 @@ def large_file_lines(spark: SparkSession, path: str) -> DataFrame:
     whole text; T7 (final period) is switched on only for the last non-blank
     line.  The per-file facts (first, last and last non-blank line, whether
     the file ends with a newline) are one aggregate row per file, joined
-    back.  Returns ``(path, block, lid, tokens)``, one row per line.
+    back on (path, salt): a file of ``s`` bytes is cut into
+    ``ceil(s / salt_bytes)`` salts (``file_size`` is on every line, so both
+    sides compute it without a join) and its facts row is copied once per
+    salt, so one huge file is joined by many tasks, not one; the copies add
+    about ``bytes / salt_bytes`` rows in all.  Returns
+    ``(path, block, lid, tokens)``, one row per line.
     """
     lines = read_lines(spark, path)
     key = F.struct("block", "lid")
@@ -90,8 +100,14 @@ def large_file_lines(spark: SparkSession, path: str) -> DataFrame:
         F.max(key).alias("_last"),
         F.max(F.when(~blank, key)).alias("_last_nb"),
         (F.sum(F.octet_length("line") + 1) == F.first("file_size")).alias("_ends_nl"),
+        F.first("file_size").alias("_size"),
     )
-    j = lines.join(facts, "path")
+    def salts(size):
+        return F.greatest(F.lit(1), F.ceil(size / F.lit(salt_bytes))).cast("int")
+
+    facts = facts.select("*", F.explode(F.sequence(F.lit(0), salts(F.col("_size")) - 1)).alias("_salt"))
+    lines = lines.withColumn("_salt", F.pmod(F.col("lid"), salts(F.col("file_size"))).cast("int"))
+    j = lines.join(facts, ["path", "_salt"])
     k = F.struct("block", "lid")
     is_first, is_last = k == F.col("_first"), k == F.col("_last")
     sandwich = F.concat(
