@@ -81,8 +81,15 @@ def _orbit_of_zero(nexts: DataFrame, n: int, max_batches: int) -> DataFrame:
     levels = [cut_lineage(nexts.unionByName(sink))]
     rounds = max(1, math.ceil(math.log2(max_batches + 1)))
     for k in range(rounds - 1):
-        a, b = levels[-1].alias("a"), levels[-1].alias("b")
-        nxt = a.join(b, F.col("a.nxt") == F.col("b.i")).select(F.col("a.i").alias("i"), F.col("b.nxt").alias("nxt"))
+        level = levels[-1]
+        # Rows already at the end stay there (n -> n) and skip the join: at
+        # high levels most items point to the end, which would make `n` one
+        # hot join key holding nearly every row.  The keys left each hold at
+        # most the items of about one batch.
+        done = level.where(F.col("nxt") >= n)
+        a, b = level.where(F.col("nxt") < n).alias("a"), level.alias("b")
+        hop = a.join(b, F.col("a.nxt") == F.col("b.i")).select(F.col("a.i").alias("i"), F.col("b.nxt").alias("nxt"))
+        nxt = done.unionByName(hop)
         # The last level feeds only the start set (one join in its final job),
         # so it is not materialised on its own.
         levels.append(nxt if k == rounds - 2 else cut_lineage(nxt))
