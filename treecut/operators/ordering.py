@@ -82,3 +82,21 @@ def offsets_within(df: DataFrame, group: list[str], order: list[str], value: str
     j = local.join(F.broadcast(parts.select("_part", "_os", "_first_starts", "_carry")), "_part")
     start = F.greatest(F.col("_os") + F.col("_lrun"), F.when(F.col("_first_starts"), F.col("_os")), F.col("_carry"))
     return j.select(*df.columns, (F.col("_os") + F.col("_lb") - start).cast("bigint").alias(out))
+
+
+def with_group_aggregates(df: DataFrame, group: list[str], spread_col: str, aggs: list, bucket: int = 100_000
+                          ) -> DataFrame:
+    """Add per-group aggregates to every row without a hot join key.
+
+    The aggregates are computed per group (partial aggregation absorbs big
+    groups) and joined back on (group, ``floor(spread_col / bucket)``): the
+    bucket comes from the row itself, and the aggregate row is copied once
+    for every bucket between the group's smallest and largest value of
+    ``spread_col`` (an integer column, e.g. a turn or line number).  A group
+    with a third of all rows is then joined over many keys; the copies add
+    about ``rows / bucket`` rows in all.
+    """
+    b = F.floor(F.col(spread_col) / F.lit(bucket))
+    per_group = df.groupBy(*group).agg(*aggs, F.min(b).alias("_b0"), F.max(b).alias("_b1"))
+    per_group = per_group.select("*", F.explode(F.sequence("_b0", "_b1")).alias("_bucket")).drop("_b0", "_b1")
+    return df.withColumn("_bucket", b).join(per_group, [*group, "_bucket"]).drop("_bucket")

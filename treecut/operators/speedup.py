@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.files import line_ordinals, read_lines
+from .ordering import with_group_aggregates
 
 # Default labels for a sweep of five engines in run order (baseline first;
 # callers pass their own names) and the fixed data sizes in MB of the
@@ -53,8 +54,8 @@ def label_runs(timings: DataFrame, engines: list[str] = ENGINES, sizes_mb: list[
     reference does.  The matrix is two literal arrays indexed by position:
     no cross join.
     """
-    per_log = timings.groupBy("path").agg(F.count(F.lit(1)).alias("_n"))
-    t = timings.join(per_log, "path").withColumn("_per", F.floor(F.col("_n") / F.lit(len(engines))))
+    t = with_group_aggregates(timings, ["path"], "k", [F.count(F.lit(1)).alias("_n")])
+    t = t.withColumn("_per", F.floor(F.col("_n") / F.lit(len(engines))))
     t = t.where((F.col("_per") > 0) & (F.col("k") < F.col("_per") * F.lit(len(engines))))
     e_idx = F.floor(F.col("k") / F.col("_per")).cast("int")
     s_idx = (F.col("k") % F.col("_per")).cast("int")

@@ -121,9 +121,9 @@ def q_token_text(spark, sf_dir):
     t = c.select("conv_id", "turn", "role", ptb_tokens("text").alias("_t"))
     t = t.select("conv_id", "turn", "role", F.size("_t").cast("bigint").alias("n_tokens"),
                  token_text("_t").alias("text"))
-    per_conv = t.groupBy("conv_id").agg(F.count(F.lit(1)).alias("conv_turns"),
-                                        F.sum("n_tokens").cast("bigint").alias("conv_tokens"))
-    return t.join(per_conv, "conv_id")
+    from ..operators.ordering import with_group_aggregates
+    return with_group_aggregates(t, ["conv_id"], "turn", [
+        F.count(F.lit(1)).alias("conv_turns"), F.sum("n_tokens").cast("bigint").alias("conv_tokens")])
 
 
 @register("normalise_marks")
