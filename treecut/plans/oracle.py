@@ -263,3 +263,10 @@ per_file AS (SELECT file, flatten(list(tl ORDER BY ln)) AS b FROM {_tl} GROUP BY
 pairs AS (SELECT file, x.tl AS a, y.b AS b FROM {_ta} x JOIN per_file y USING (file)),
 w AS ({_walk('pairs', False)})
 SELECT file, r.c AS mismatched, r.i AS compared, len(a)::BIGINT AS len_a, len(b)::BIGINT AS len_b FROM w"""
+
+_ctes, _t = _tokenised("conversations", ["conv_id", "turn", "role"], "text")
+ORACLE["mismatch_rollup_by_role"] = f"""WITH {_ctes},
+pairs AS (SELECT t.conv_id, t.turn, t.role, t.tl AS a, {token_list('c.text')} AS b
+          FROM {_t} t JOIN conversations c USING (conv_id, turn)),
+w AS ({_walk('pairs', False)})
+SELECT role, {_ROLL} FROM w GROUP BY role"""

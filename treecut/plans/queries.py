@@ -375,3 +375,11 @@ def q_file_compare(spark, sf_dir):
     folder = documents_as_files(spark, sf_dir)
     d = compare.compare_files(spark, f"{folder}/file=*", "ptb", "ptb_lines")
     return d.select(file_number().alias("file"), "mismatched", "compared", "len_a", "len_b")
+
+
+@register("mismatch_rollup_by_role")
+def q_mismatch_by_role(spark, sf_dir):
+    """A4 on a second table: Treebank vs whitespace per conversation turn, by role."""
+    c = load_text(spark, sf_dir, "conversations", "role")
+    pairs = compare.pair_tokenisations(c, ["conv_id", "turn", "role"], "text", "ptb", "whitespace")
+    return compare.mismatch_rollup(compare.diff_table(pairs, ["conv_id", "turn", "role"]), ["role"])
