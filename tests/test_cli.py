@@ -42,3 +42,17 @@ def test_compare_command(spark, tmp_dir):
         assert main(["compare", tmp_dir, "--other", "whitespace"]) == 0
     lines = buf.getvalue().splitlines()
     assert lines[-1].startswith("mismatched : ") and sum("words not matched" in ln for ln in lines) == 6
+
+
+def test_tokenize_cap_and_method(spark, tmp_dir):
+    texts = _corpus(tmp_dir)
+    out = f"{tmp_dir}_capped"
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        assert main(["tokenize", tmp_dir, "--method", "whitespace", "--cap", "4", "--out", out]) == 0
+    written = []
+    for part in sorted(glob.glob(f"{out}/batch_id=*/part-*")):
+        with open(part, encoding="utf-8") as f:
+            written += [t for t in f.read().split("\n") if t]
+    first = [t for name in sorted(texts) for t in texts[name].split()]
+    assert written == first[:4]            # one batch (default limit), first 4 whitespace tokens
