@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .decontaminate import op8_decontamination
 from .langid import op5_language_id
+from .linededup import op2_line_dedup
 from .packing import op6_best_fit_packing
 
-REGISTRY = {f.__name__: f for f in (op5_language_id, op6_best_fit_packing)}
+REGISTRY = {f.__name__: f for f in (op2_line_dedup, op5_language_id, op6_best_fit_packing, op8_decontamination)}
 
 ORACLE: dict[str, str] = {}
