@@ -133,21 +133,23 @@ def learn(docs: DataFrame, text: str = "text", label: str = "lang") -> Model:
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keys``, ``lang_pred``, ``score`` and ``ambiguous`` for every row."""
-    source = docs.select(*keys, F.col(text).alias("_text"))
-    fields = [f"`{k}` {t}" for k, t in source.drop("_text").dtypes]
+    """``keys``, ``lang_pred``, ``score`` and ``ambiguous`` for every row; the
+    text may be one of the keys."""
+    source = docs.select(*(F.col(f"`{k}`").alias(f"_{i}") for i, k in enumerate([*keys, *[text][text in keys :]])))
+    own = source.columns[: len(keys)]
+    body_at = f"_{keys.index(text) if text in keys else len(keys)}"
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.select(*own).schema)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for (body,) in scan([batch], "_text"):
+            for (body,) in scan([batch], body_at):
                 grams = ngrams(body) if model.languages else None
                 found.append((UND, 0.0, True) if grams is None else model.decode(grams))
             lang, score, ambiguous = zip(*found) if found else ((), (), ())
-            own = [batch.column(k) for k in keys]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(ambiguous, pa.bool_())], names=[*keys, "lang_pred", "score", "ambiguous"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(ambiguous, pa.bool_())], names=[*own, "lang_pred", "score", "ambiguous"])
 
-    return source.mapInArrow(predict, ", ".join([*fields, "lang_pred string", "score double", "ambiguous boolean"]))
+    return source.mapInArrow(predict, f"{fields}, lang_pred string, score double, ambiguous boolean").toDF(*keys, "lang_pred", "score", "ambiguous")
 
 
 def fold(doc_id: Column, parts: int) -> Column:
