@@ -5,9 +5,10 @@ from __future__ import annotations
 from .decontaminate import op8_decontamination
 from .langid import op5_language_id
 from .linededup import op2_line_dedup
+from .lm import op7_lm_scoring
 from .neardedup import op4_minhash_near_dedup
 from .packing import op6_best_fit_packing
 
-REGISTRY = {f.__name__: f for f in (op2_line_dedup, op4_minhash_near_dedup, op5_language_id, op6_best_fit_packing, op8_decontamination)}
+REGISTRY = {f.__name__: f for f in (op2_line_dedup, op4_minhash_near_dedup, op5_language_id, op6_best_fit_packing, op7_lm_scoring, op8_decontamination)}
 
 ORACLE: dict[str, str] = {}
