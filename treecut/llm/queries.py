@@ -8,7 +8,8 @@ from .linededup import op2_line_dedup
 from .lm import op7_lm_scoring
 from .neardedup import op4_minhash_near_dedup
 from .packing import op6_best_fit_packing
+from .suffixdedup import op10_suffix_dedup
 
-REGISTRY = {f.__name__: f for f in (op2_line_dedup, op4_minhash_near_dedup, op5_language_id, op6_best_fit_packing, op7_lm_scoring, op8_decontamination)}
+REGISTRY = {f.__name__: f for f in (op2_line_dedup, op4_minhash_near_dedup, op5_language_id, op6_best_fit_packing, op7_lm_scoring, op8_decontamination, op10_suffix_dedup)}
 
 ORACLE: dict[str, str] = {}
