@@ -9,8 +9,9 @@ from .lm import op7_lm_scoring
 from .neardedup import op4_minhash_near_dedup
 from .packing import op6_best_fit_packing
 from .suffixdedup import op10_suffix_dedup
+from .tokencount import op9_token_counts
 from .topk import OP1_SQL, op1_exact_topk
 
-REGISTRY = {f.__name__: f for f in (op1_exact_topk, op2_line_dedup, op4_minhash_near_dedup, op5_language_id, op6_best_fit_packing, op7_lm_scoring, op8_decontamination, op10_suffix_dedup)}
+REGISTRY = {f.__name__: f for f in (op1_exact_topk, op2_line_dedup, op4_minhash_near_dedup, op5_language_id, op6_best_fit_packing, op7_lm_scoring, op8_decontamination, op9_token_counts, op10_suffix_dedup)}
 
 ORACLE: dict[str, str] = {"op1_exact_topk": OP1_SQL}
