@@ -28,6 +28,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def growing(df: DataFrame) -> DataFrame:
+    """Side of a join that grows with the corpus: sorted and merged at every
+    size, never broadcast."""
+    return df.hint("merge")
+
+
 def scan(batches: Iterable[pa.RecordBatch], *names: str) -> Iterator[tuple]:
     """Rows of Arrow batches as Python tuples, one at a time (a batch may hold
     very long texts, so it is never turned into Python objects as a whole)."""

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import emit, load, once_per_worker, scan, stored, words_of
+from .common import emit, growing, load, once_per_worker, scan, stored, words_of
 from .eliasfano import EliasFano, mapped, pack
 from .langid import fold
 
@@ -380,7 +380,7 @@ def score_texts(docs: DataFrame, held_out: Column, text: str = "text", key: str
 
     answer = F.sort_array(F.collect_list(F.struct("shard", "counts"))).alias("answers")  # of one block's words
     mine = answers.where("block is not null").groupBy("block").agg(answer)
-    both = blocks.select("block", "ids", "held", "lengths", "words", "tokens").join(mine, "block")
+    both = blocks.select("block", "ids", "held", "lengths", "words", "tokens").join(growing(mine), "block")
     return both.select("ids", "held", "lengths", "words", "tokens", "answers").mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 

@@ -44,7 +44,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import emit, load, once_per_worker, scan, stored, utf8
+from .common import emit, growing, load, once_per_worker, scan, stored, utf8
 
 LENGTH = 200
 GRAM = 100
@@ -424,11 +424,11 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", len
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + total // SHARD_ANCHORS)
     answer = stored(states(blocks, shards), "states")
     mine = answer.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("shard", "states"))).alias("states"))  # of one block's anchors
-    both = blocks.select("block", "lengths", "text", "places", "keys", "contexts").join(mine, "block")
+    both = blocks.select("block", "lengths", "text", "places", "keys", "contexts").join(growing(mine), "block")
     sent = stored(runs(both, shards, length, gram), "runs")
     settled = sent.where("shard is null").groupBy("block").agg(F.first("places").alias("settled"))
     found = stored(stretches(sent, length, gram), "stretches").groupBy("block").agg(F.collect_list("starts").alias("starts"))
-    done = blocks.select("block", "ids", "lengths", "text").join(settled.join(found, "block", "left"), "block", "left")
+    done = blocks.select("block", "ids", "lengths", "text").join(growing(settled.join(growing(found), "block", "left")), "block", "left")
     kind = dict(blocks.dtypes)["ids"][len("array<") : -1]
     schema = pa.schema([("doc_id", _ARROW[kind]), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
