@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, stored
+from .common import growing, load, stored
 
 #: Lines under the rolling hash, and how many lines a chunk has on average.
 WINDOW = 2
@@ -56,13 +56,13 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", window
     same, at = ["_c1", "_c2"], F.struct("_key", "_row", "_start")
     # Counted on hashes alone; a frequent chunk is one row per task here.
     repeated = stored(chunks.groupBy(*same).agg(F.min(at).alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n"), "repeated-chunks")
-    found = chunks.join(repeated, same).withColumn("_is_first", at.eqNullSafe(F.col("_first"))).withColumn("_body", F.array_join("_body", "\n"))
+    found = chunks.join(growing(repeated), same).withColumn("_is_first", at.eqNullSafe(F.col("_first"))).withColumn("_body", F.array_join("_body", "\n"))
     found = stored(found.select("_row", "_start", "_end", *same, "_is_first", "_body"), "chunk-bytes")
     kept = stored(found.where("_is_first").groupBy(*same).agg(F.min("_body").alias("_kept_body")), "kept-chunks")
-    equal = found.where("not _is_first").join(kept, same).where(F.col("_body") == F.col("_kept_body"))
+    equal = found.where("not _is_first").join(growing(kept), same).where(F.col("_body") == F.col("_kept_body"))
     cuts = equal.groupBy("_row").agg(F.collect_set(F.struct(F.col("_start").alias("s"), F.col("_end").alias("e"))).alias("_cuts"))
 
-    whole = docs.withColumn("_row", _row(key, text)).join(cuts, "_row", "left")
+    whole = docs.withColumn("_row", _row(key, text)).join(growing(cuts), "_row", "left")
     cut_lines = F.flatten(F.transform("_cuts", lambda c: F.sequence(c["s"], c["e"])))
     whole = whole.withColumn("_lines", F.when(F.col("_cuts").isNotNull(), _lines(F.col(text))))
     left = F.array_except(F.sequence(F.lit(1), F.size("_lines")), cut_lines)
