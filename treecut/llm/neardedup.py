@@ -6,11 +6,11 @@
    count of leading zeros and ten mantissa bits.  Bands of six such registers
    (an empty one borrows another's, in a fixed random order) put classes into
    buckets; buckets with the same members are one bucket.
-3. A bucket is cut into chunks of bounded size.  In a chunk, the Jaccard
-   similarity is estimated from the registers, less the collisions to be
-   expected of registers this short; pairs that may reach the threshold are
-   confirmed on their full sets, and a chunk returns a spanning forest of its
-   links, not its pairs.
+3. A bucket is cut into chunks of bounded size.  Two classes are compared in the
+   first bucket that they share: the Jaccard similarity is estimated from the
+   registers, less the collisions to be expected of registers this short; pairs
+   that may reach the threshold are confirmed on their full sets, and a chunk
+   returns a spanning forest of its links, not its pairs.
 4. Where a bucket of several chunks is not yet one component, every two of its
    chunks are compared as well, so no pair of a bucket is left out.
 5. Components come from label propagation with pointer jumping.
@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import emit, load, once_per_worker, scan, stored, words_of
+from .common import emit, growing, load, once_per_worker, scan, stored, words_of
 
 #: Registers of a signature, each the smallest hash of its part of the space.
 REGISTERS = 256
@@ -96,11 +96,12 @@ def expected_collisions(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     by chance: both smallest hashes (exponential, in units of a part) fall into
     the same cell of the same leading-zero class."""
     a, b = np.asarray(n, dtype=float) / REGISTERS, np.asarray(m, dtype=float) / REGISTERS
-    total = np.zeros(np.broadcast(a, b).shape)
-    for zeros in range(40):
-        low = 2.0 ** -(zeros + 1)
-        total += low / (1 << MANTISSA) * a * b / (a + b) * (np.exp(-(a + b) * low) - np.exp(-(a + b) * 2 * low))
-    return total
+
+    def cells() -> tuple[np.ndarray, np.ndarray]:
+        both, low = np.logspace(-3, 12, 600), 2.0 ** -np.arange(1, 41)[:, None]
+        return np.log(both), (low / (1 << MANTISSA) * (np.exp(-both * low) - np.exp(-both * 2 * low))).sum(axis=0)
+
+    return a * b / (a + b) * np.interp(np.log(a + b), *once_per_worker("cells", cells))
 
 
 def estimate(one: np.ndarray, n: int, many: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -114,68 +115,82 @@ def estimate(one: np.ndarray, n: int, many: np.ndarray, m: np.ndarray) -> np.nda
 def confirmed(left: list[np.ndarray], right: list[np.ndarray], near: np.ndarray, percent: int) -> np.ndarray:
     """Which of the pairs ``near`` (left x right) reach the threshold on their
     full sets; shared shingles are counted as products of 0/1 matrices."""
-    use_l, use_r = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
-    sets = [left[i] for i in use_l] + [right[j] for j in use_r]
-    n = np.array([len(s) for s in sets])
-    value, column = np.unique(np.concatenate(sets), return_inverse=True)
+    sets = [*left, *right]
+    n, n_left = np.array([len(s) for s in sets]), len(left)
+    value, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     owner = np.repeat(np.arange(len(sets)), n)
+    common = often > 1  # a shingle of one set is shared with none
+    owner, column = owner[common[column]], (np.cumsum(common) - 1)[column[common[column]]]
     order = np.argsort(column, kind="stable")
     column, owner = column[order], owner[order]
-    shared = np.zeros((len(use_l), len(use_r)), dtype=np.float64)
+    shared = np.zeros((n_left, len(right)), dtype=np.float64)
     step = max(1, (4 << 20) // len(sets))
-    for low in range(0, len(value), step):
+    for low in range(0, int(common.sum()), step):
         a, b = np.searchsorted(column, [low, low + step])
-        part = np.zeros((len(sets), min(step, len(value) - low)), dtype=np.float32)
+        part = np.zeros((len(sets), min(step, int(common.sum()) - low)), dtype=np.float32)
         part[owner[a:b], column[a:b] - low] = 1
-        shared += part[: len(use_l)] @ part[len(use_l) :].T
+        shared += part[:n_left] @ part[n_left:].T
     both = np.rint(shared).astype(np.int64)
-    union = n[: len(use_l), None] + n[None, len(use_l) :] - both
-    out = np.zeros_like(near)
-    out[np.ix_(use_l, use_r)] = 100 * both >= percent * union
-    return out & near
+    return near & (100 * both >= percent * (n[:n_left, None] + n[None, n_left:] - both))
 
 
-def forest(rows: list[tuple[int, bool, str]], size: int, percent: int) -> Iterator[tuple[int, int]]:
+def met_before(bucket: int, own: list[list[int]]) -> np.ndarray:
+    """Whether two classes also meet in a bucket of a smaller number, where they
+    are compared already.  ``own``: each class's buckets."""
+    flat = np.array([b for x in own for b in x], dtype=np.int64)
+    of = np.repeat(np.arange(len(own)), [len(x) for x in own])
+    value, column, often = np.unique(flat, return_inverse=True, return_counts=True)
+    use = (often > 1) & (value < bucket)
+    place, pick = np.cumsum(use) - 1, use[column]
+    table = np.zeros((len(own), int(use.sum())), dtype=np.float32)
+    table[of[pick], place[column[pick]]] = 1
+    return table @ table.T > 0
+
+
+def forest(bucket: int, rows: list[tuple], size: int, percent: int) -> Iterator[tuple[int, int]]:
     """Links between the classes of a chunk, or of two, as a spanning forest.
-    ``rows``: class number, whether of the second chunk, a text of the class."""
-    known: dict[int, tuple[bool, np.ndarray]] = {}
-    for number, second, text in rows:
-        if number not in known:
-            known[number] = second, hashes(text, size)
-    two = any(second for second, _ in known.values())
-    left = [k for k, (second, _) in known.items() if not second]
-    right = [k for k, (second, _) in known.items() if second] if two else left
-    if not left or not right:
-        return
-    sets_l, sets_r = [known[k][1] for k in left], [known[k][1] for k in right]
-    n_l, n_r = np.array([len(s) for s in sets_l]), np.array([len(s) for s in sets_r])
-    sig_r = np.array([registers(s) for s in sets_r])
-    least = percent / 100
-    near = 100 * np.minimum(n_l[:, None], n_r) >= percent * np.maximum(n_l[:, None], n_r)
-    if not two:
+    ``rows``: class number, whether of the second chunk, a text of the class, its
+    buckets, its component so far."""
+    rows = list({r[0]: r for r in rows}.values())
+    number, second, text, own, label = zip(*rows)
+    second, label = np.array(second), np.array(label)
+    near = (label[:, None] != label) & ~met_before(bucket, own)
+    if second.any():
+        near &= ~second[:, None] & second
+    else:
         near &= np.triu(np.ones_like(near), 1)
-    for i, own in enumerate(sets_l):
+    use_l, use_r = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+    near = near[np.ix_(use_l, use_r)]
+    sets = {i: hashes(text[i], size) for i in np.union1d(use_l, use_r).tolist()}
+    least = percent / 100
+    n_l, n_r = (np.array([len(sets[i]) for i in use.tolist()], dtype=np.int64) for use in (use_l, use_r))
+    near &= 100 * np.minimum(n_l[:, None], n_r) >= percent * np.maximum(n_l[:, None], n_r)
+    signature = {i: registers(own) for i, own in sets.items()}
+    right = np.array([signature[i] for i in use_r.tolist()])
+    for i in np.flatnonzero(near.any(axis=1)).tolist():
         at = np.flatnonzero(near[i])
-        if len(at):
-            slack = DEVIATIONS * np.sqrt(least * (1 - least) / np.minimum(REGISTERS, np.maximum(n_l[i], n_r[at])))
-            near[i, at] = estimate(registers(own) if two else sig_r[i], len(own), sig_r[at], n_r[at]) >= least - slack
-    if not near.any():
+        slack = DEVIATIONS * np.sqrt(least * (1 - least) / np.minimum(REGISTERS, np.maximum(n_l[i], n_r[at])))
+        near[i, at] = estimate(signature[int(use_l[i])], n_l[i], right[at], n_r[at]) >= least - slack
+    some_l, some_r = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+    if not len(some_l):
         return
-    root = {k: k for k in known}
-
-    def find(k: int) -> int:
-        while root[k] != k:
-            root[k] = root[root[k]]
-            k = root[k]
-        return k
-
-    for i, j in zip(*np.nonzero(confirmed(sets_l, sets_r, near, percent))):
-        a, b = find(left[i]), find(right[j])
+    use_l, use_r, near = use_l[some_l], use_r[some_r], near[np.ix_(some_l, some_r)]
+    root = {i: i for i in sets}
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    linked = confirmed([sets[i] for i in use_l.tolist()], [sets[i] for i in use_r.tolist()], near, percent)
+    for i, j in zip(*np.nonzero(linked)):
+        a, b = find(int(use_l[i])), find(int(use_r[j]))
         if a != b:
             root[max(a, b)] = min(a, b)
-    for k in known:
-        if find(k) != k:
-            yield find(k), k
+    for i in root:
+        if find(i) != i:
+            yield number[find(i)], number[i]
 
 
 def sketch(docs: DataFrame, text: str, key: str, size: int) -> DataFrame:
@@ -198,14 +213,15 @@ def sketch(docs: DataFrame, text: str, key: str, size: int) -> DataFrame:
 
 def compare(groups: DataFrame, size: int, percent: int) -> DataFrame:
     """Links found in groups (``bucket``, ``one``, ``two``) of texts."""
+    fields = ["bucket", "one", "two", "member", "second", "_text", "own", "label"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = scan(batches, "bucket", "one", "two", "member", "second", "_text")
-        links = (x for _, group in groupby(rows, key=lambda r: r[:3]) for x in forest([r[3:] for r in group], size, percent))
+        chunks = groupby(scan(batches, *fields), key=lambda r: r[:3])
+        links = (x for (bucket, _, _), rows in chunks for x in forest(bucket, [r[3:] for r in rows], size, percent))
         yield from emit(links, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
-    ordered = groups.repartition("bucket", "one", "two").sortWithinPartitions("bucket", "one", "two")
-    return ordered.select("bucket", "one", "two", "member", "second", "_text").mapInArrow(run, "a long, b long").distinct()
+    ordered = groups.select(*fields).repartition("bucket", "one", "two").sortWithinPartitions("bucket", "one", "two")
+    return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -215,10 +231,10 @@ def components(links: DataFrame) -> DataFrame:
     edges = stored(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct(), "edges")
     labels = stored(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "labels")
     while True:
-        near = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("_near"))
-        lower = stored(labels.join(near, "node").select("node", F.least("label", "_near").alias("label"), F.col("label").alias("_old")), "labels")
+        near = edges.join(growing(labels.withColumnRenamed("node", "b")), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("_near"))
+        lower = stored(labels.join(growing(near), "node").select("node", F.least("label", "_near").alias("label"), F.col("label").alias("_old")), "labels")
         jump = lower.select(F.col("node").alias("label"), F.col("label").alias("_next"))
-        labels = stored(lower.join(jump, "label").select("node", F.col("_next").alias("label"), "_old"), "labels")
+        labels = stored(lower.join(growing(jump), "label").select("node", F.col("_next").alias("label"), "_old"), "labels")
         moved = labels.where("label <> _old").limit(1).count()
         labels = labels.drop("_old")
         if not moved:
@@ -235,30 +251,31 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     filled = band.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(mark.cast("decimal(20,0)")).alias("_sum"), F.bit_xor(mark).alias("_xor")).where("n > 1")
     buckets = stored(filled.groupBy("n", "_sum", "_xor").agg(F.min("bucket").alias("bucket")).select("bucket", "n"), "buckets")
     n_chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-    members = stored(band.join(buckets, "bucket").select("bucket", "member", n_chunks.alias("n"), F.pmod(F.xxhash64("member", "bucket"), n_chunks).cast("int").alias("chunk")), "members")
+    members = stored(band.join(growing(buckets), "bucket").select("bucket", "member", n_chunks.alias("n"), F.pmod(F.xxhash64("member", "bucket"), n_chunks).cast("int").alias("chunk")), "members")
+    own = members.groupBy("member").agg(F.sort_array(F.collect_list("bucket")).alias("own"))  # a bucket per band at most
     texts = docs.select(F.xxhash64(key, text).alias("member"), F.col(text).alias("_text"))
-    texts = stored(texts.join(members.select("member").distinct(), "member", "left_semi").dropDuplicates(["member"]), "texts")
-    first = members.select("member", "bucket", F.col("chunk").alias("one"), F.col("chunk").alias("two"), F.lit(False).alias("second"))
-    links = stored(compare(first.join(texts, "member"), size, percent), "links")
+    texts = stored(texts.join(growing(own), "member").dropDuplicates(["member"]), "texts")
+    first = members.select("member", "bucket", F.col("chunk").alias("one"), F.col("chunk").alias("two"), F.lit(False).alias("second"), F.col("member").alias("label"))
+    links = stored(compare(first.join(growing(texts), "member"), size, percent), "links")
     labels = components(links)
 
     # Buckets of several chunks that are not one component yet.
-    large = members.where("n > 1").join(labels.withColumnRenamed("node", "member"), "member", "left").withColumn("label", F.coalesce("label", "member"))
+    large = members.where("n > 1").join(growing(labels.withColumnRenamed("node", "member")), "member", "left").withColumn("label", F.coalesce("label", "member"))
     large = stored(large, "large")
     open_ = large.groupBy("bucket").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo <> _hi").select("bucket")
     other = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("_other")
-    pairs = large.join(stored(open_, "open"), "bucket").select("member", "bucket", "chunk", other).where("_other <> chunk")
-    pairs = pairs.select("member", "bucket", F.least("chunk", "_other").alias("one"), F.greatest("chunk", "_other").alias("two"), (F.col("chunk") > F.col("_other")).alias("second"))
-    more = stored(compare(pairs.join(texts, "member"), size, percent), "links")
+    pairs = large.join(growing(stored(open_, "open")), "bucket").select("member", "bucket", "chunk", "label", other).where("_other <> chunk")
+    pairs = pairs.select("member", "bucket", "label", F.least("chunk", "_other").alias("one"), F.greatest("chunk", "_other").alias("two"), (F.col("chunk") > F.col("_other")).alias("second"))
+    more = stored(compare(pairs.join(growing(texts), "member"), size, percent), "links")
     if not more.isEmpty():
         labels = components(links.union(more))
 
-    known = classes.select("cls", "member").join(labels.withColumnRenamed("node", "member"), "member", "left")
+    known = classes.select("cls", "member").join(growing(labels.withColumnRenamed("node", "member")), "member", "left")
     known = stored(known.select("cls", F.coalesce("label", "member").alias("_label")), "class-labels")
     # A row without words is a component of its own: its hash, with a flag.
-    placed = stored(rows.join(known, "cls", "left").select("doc_id", "row", "n_shingles", "_label"), "placed")
+    placed = stored(rows.join(growing(known), "cls", "left").select("doc_id", "row", "n_shingles", "_label"), "placed")
     least = stored(placed.where("_label is not null").groupBy("_label").agg(F.min("doc_id").alias("_least"), F.min("row").alias("_row")), "least")
-    done = placed.join(least, "_label", "left").withColumn("component_id", F.when(F.col("_label").isNull(), F.col("doc_id")).otherwise(F.col("_least")))
+    done = placed.join(growing(least), "_label", "left").withColumn("component_id", F.when(F.col("_label").isNull(), F.col("doc_id")).otherwise(F.col("_least")))
     alone = F.col("_label").isNull() | (F.col("_least").isNull() & (F.col("row") == F.col("_row")))
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), alone)
     return done.select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "row")
