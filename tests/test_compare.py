@@ -4,7 +4,25 @@ import random
 
 from pyspark.sql import functions as F
 
-from treecut.operators.compare import diff_rows, diff_table, mismatch_rollup, pair_tables, walk_events
+from treecut.operators.compare import LOOKAHEAD, diff_rows, diff_table, mismatch_rollup, pair_tables
+
+
+def walk_events(a, b):
+    """The walk in plain Python, listing every mismatch."""
+    n, i, j, out = min(len(a), len(b)), 0, 0, []
+    while i < n - 1 and j < n - 1:
+        if a[i] == b[j]:
+            i, j = i + 1, j + 1
+            continue
+        for kind, da, db, mi, mj, cost, _ in LOOKAHEAD:
+            if i + da < len(a) and j + db < len(b) and a[i + da] == b[j + db]:
+                out.append({"seq": len(out), "kind": kind, "cost": cost})
+                i, j = i + mi, j + mj
+                break
+        else:
+            out.append({"seq": len(out), "kind": "stop", "cost": 0})
+            break
+    return out
 
 
 def walk_counts(a, b):
@@ -95,3 +113,17 @@ def test_pair_tables_join(spark):
     right = spark.createDataFrame([(1, ["a", "q", "c"]), (3, ["y"])], "doc_id int, tokens array<string>")
     out = diff_table(pair_tables(left, right, ["doc_id"]), ["doc_id"]).collect()
     assert [(r.doc_id, r.mismatched, r.compared) for r in out] == [(1, 1, 2)]
+
+
+def test_many_mismatches_fill_several_lists(spark):
+    a, b = ["x", "y"] * 700 + ["z"] * 3, ["x", "w"] * 700 + ["z"] * 3
+    df = spark.createDataFrame([(1, a, b)], "k int, a array<string>, b array<string>")
+    rows = diff_rows(df, ["k"]).orderBy("seq").collect()
+    assert [(r.seq, r.kind, r.cost) for r in rows] == [(e["seq"], e["kind"], e["cost"]) for e in walk_events(a, b)]
+    assert len(rows) == 700
+
+
+def test_diff_rows_runs_in_the_jvm(spark):
+    df = spark.createDataFrame([(1, ["a"], ["b"])], "k int, a array<string>, b array<string>")
+    plan = diff_rows(df, ["k"])._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan

@@ -36,10 +36,11 @@ def test_with_group_aggregates_hot_group(spark):
     from pyspark.sql import functions as F
 
     from treecut.operators.ordering import with_group_aggregates
-    rows = [("hot", k, 1) for k in range(1000)] + [("cold", k, 2) for k in range(5)]
+    rows = [("hot", k, 1) for k in range(1000)] + [("cold", k, 2) for k in range(5)] + [(None, None, 4), (None, 3, 4)]
     df = spark.createDataFrame(rows, "g string, turn long, v long")
-    out = with_group_aggregates(df, ["g"], "turn", [F.count(F.lit(1)).alias("n"), F.sum("v").alias("s")], bucket=7)
+    out = with_group_aggregates(df, ["g"], [F.count(F.lit(1)).alias("n"), F.sum("v").alias("s")])
     got = {(r.g, r.turn): (r.n, r.s) for r in out.collect()}
     assert len(got) == len(rows)
     assert all(got[("hot", k)] == (1000, 1000) for k in range(1000))
     assert all(got[("cold", k)] == (5, 10) for k in range(5))
+    assert got[(None, None)] == got[(None, 3)] == (2, 8)

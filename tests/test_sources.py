@@ -76,11 +76,9 @@ def test_line_ordinals(spark, tmp_dir):
 
 
 def test_token_parts_roundtrip(spark, tmp_dir):
-    rows = []
-    for doc_id, (_g, text, _e) in enumerate(GOLDEN):
-        for pos, tok in enumerate(python_cascade(text)):
-            rows.append((doc_id % 3, doc_id, pos, tok))
-    df = spark.createDataFrame(rows, "batch_id int, doc_id int, pos int, token string")
+    docs = [(k % 3, k, text) for k, (_g, text, _e) in enumerate(GOLDEN)]
+    rows = [(b, k, pos, tok) for b, k, text in docs for pos, tok in enumerate(python_cascade(text))]
+    df = spark.createDataFrame(docs, "batch_id int, doc_id int, text string").repartition(4)
     out = f"{tmp_dir}/parts"
     write_token_parts(df, out)
     write_token_parts(df, out)      # replaced, not appended
@@ -95,8 +93,8 @@ def test_token_parts_roundtrip(spark, tmp_dir):
 
 def test_parts_replace_old_output_under_dynamic_overwrite(spark, tmp_dir):
     out = f"{tmp_dir}/parts"
-    a = spark.createDataFrame([(0, 1, 0, "x"), (1, 2, 0, "y")], "batch_id int, doc_id int, pos int, token string")
-    b = spark.createDataFrame([(0, 1, 0, "z")], "batch_id int, doc_id int, pos int, token string")
+    a = spark.createDataFrame([(0, 1, "x"), (1, 2, "y")], "batch_id int, doc_id int, text string")
+    b = spark.createDataFrame([(0, 1, "z")], "batch_id int, doc_id int, text string")
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     try:
         write_token_parts(a, out)
@@ -121,3 +119,19 @@ def test_large_file_edge_cases(spark, tmp_dir):
     for k, text in enumerate(EDGE_FILES):
         toks = got.get(f"e{k:02d}.txt", {})
         assert [toks[i] for i in range(len(toks))] == python_cascade(text), repr(text)
+
+
+def test_paths_in_every_form(spark, tmp_dir, monkeypatch):
+    import os
+    folder = f"{tmp_dir}/a corpus"
+    os.makedirs(f"{folder}/below")
+    for name in ("a.txt", "b.txt", "below/c.txt"):
+        with open(f"{folder}/{name}", "w", encoding="utf-8") as f:
+            f.write("some text")
+    monkeypatch.chdir(tmp_dir)
+    # The JVM's working folder is that of the session, so relative paths start there.
+    relative = os.path.relpath(folder, spark.sparkContext._jvm.System.getProperty("user.dir"))
+    for path in (folder, folder + "/", "file:" + folder, "file://" + folder, "file:///" + folder.lstrip("/"), relative):
+        assert read_corpus(spark, path).count() == 2, path
+        assert manifest(spark, path).count() == 2, path
+        assert read_corpus(spark, f"{path.rstrip('/')}/a.txt").count() == 1, path

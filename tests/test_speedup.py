@@ -48,3 +48,10 @@ def test_run_report_line(spark):
     assert rep.bytes == len("They'll save and invest more.") + len("hi, my name can't hello,")
     line = RunReport(seconds=2.0, bytes=2048, tokens=7, files=1).line()
     assert line == "time: 2.000 secs to tokenize 2048b, 1kb/s (tokens:7)."
+
+
+def test_lines_split_at_any_white_space(spark, tmp_dir):
+    with open(f"{tmp_dir}/log", "w", encoding="utf-8", newline="") as f:
+        f.write("\ttime: 1.5 secs to tokenize 10b, 1kb/s (tokens:3).\ntime: 9.0 secs to\r\ntime: 2.5 secs to tokenize 20b, 1kb/s (tokens:4).\r\ntime: a b c d\nxtime: 1 2 3 4\n")
+    rows = timing_lines(spark, tmp_dir).orderBy("k").collect()
+    assert [(r.k, r.secs, r.bytes, r.tokens) for r in rows] == [(0, 1.5, 10, 3), (1, 2.5, 20, 4), (2, None, None, None)]

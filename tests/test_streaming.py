@@ -32,7 +32,7 @@ def test_stream_totals_and_parts(spark, tmp_dir):
     assert row.tokens == sum(len(python_cascade(t)) for t in texts.values())
 
     out = f"{tmp_dir}/out"
-    q = write_parts(tokenised_stream(text_stream(spark, src, max_bytes_per_trigger=200)), out, f"{tmp_dir}/ck2")
+    q = write_parts(text_stream(spark, src, max_bytes_per_trigger=200), out, f"{tmp_dir}/ck2")
     q.awaitTermination()
     chunks = sorted(glob.glob(f"{out}/chunk=*"))
     assert len(chunks) > 1          # the byte limit cut the input into several chunks
@@ -41,6 +41,11 @@ def test_stream_totals_and_parts(spark, tmp_dir):
         for part in sorted(glob.glob(f"{c}/part-*")):
             with open(part, encoding="utf-8") as f:
                 written += f.read().split("\n")
+        # Files of a chunk come in path order, each one's tokens in reading order.
+        own = [t for part in sorted(glob.glob(f"{c}/part-*")) for t in open(part, encoding="utf-8").read().split("\n") if t]
+        held = [x for x in texts if all(t in own for t in python_cascade(texts[x]))]
+        in_order = [t for x in sorted(held) for t in python_cascade(texts[x])]
+        assert own == in_order or len(own) < len(in_order)
     written = [t for t in written if t]
     assert sorted(written) == sorted(t for x in texts.values() for t in python_cascade(x))
 
@@ -48,12 +53,12 @@ def test_stream_totals_and_parts(spark, tmp_dir):
 def test_restart_processes_only_new_files(spark, tmp_dir):
     src, texts = _files(tmp_dir)
     out, ck = f"{tmp_dir}/out2", f"{tmp_dir}/ck3"
-    write_parts(tokenised_stream(text_stream(spark, src, max_bytes_per_trigger=300)), out, ck).awaitTermination()
+    write_parts(text_stream(spark, src, max_bytes_per_trigger=300), out, ck).awaitTermination()
     first = set(glob.glob(f"{out}/chunk=*"))
     extra = "Restarted streams don't repeat: \"quoted\" text, cannot."
     with open(f"{src}/zz_new.txt", "w", encoding="utf-8") as f:
         f.write(extra)
-    write_parts(tokenised_stream(text_stream(spark, src, max_bytes_per_trigger=300)), out, ck).awaitTermination()
+    write_parts(text_stream(spark, src, max_bytes_per_trigger=300), out, ck).awaitTermination()
     assert first < set(glob.glob(f"{out}/chunk=*"))   # new chunks only, old ones kept
     written = []
     for part in sorted(glob.glob(f"{out}/chunk=*/part-*")):

@@ -45,15 +45,21 @@ def _pad(x: Column) -> Column:
     return F.concat(F.lit(" "), x, F.lit(" "))
 
 
-# T18-T21 fused: seven (head)(tail) pairs in one alternation.  Only one pair
-# matches at a time; Java skips groups that did not take part.  The
-# look-ahead names the possible first letters.
-_FUSED_T18_T21 = (
-    r"(?i)(?=[cdglm])" + JAVA.L
-    + r"(?:(can)(not)|(d)('ye)|(gim)(me)|(gon)(na)|(got)(ta)|(lem)(me)|(mor)('n))"
-    + JAVA.R
-)
-_FUSED_T18_T21_REP = " $1$3$5$7$9$11$13 $2$4$6$8$10$12$14 "
+def _fused(first: str, last: str) -> tuple[str, str]:
+    """The rules from ``first`` to ``last``, each a (head)(tail) between word
+    boundaries, as one alternation.  Only one can match at a place; Java skips
+    groups that did not take part."""
+    ids = [rid for rid, _, _ in RULES]
+    own = [pat for rid, pat, _ in RULES[ids.index(first) : ids.index(last) + 1]]
+    words = [p.removeprefix("(?i){L}").removesuffix("{R}") for p in own]
+    starts = "".join(sorted({w[1] for w in words}))
+    pattern = f"(?i)(?=[{starts}]){JAVA.L}(?:{'|'.join(words)}){JAVA.R}"
+    heads, tails = ("".join(f"${2 * i + k}" for i in range(len(words))) for k in (1, 2))
+    return pattern, f" {heads} {tails} "
+
+
+# Seven pairs; the look-ahead names their possible first letters.
+_FUSED_T18_T21, _FUSED_T18_T21_REP = _fused("T18", "T21")
 
 
 def _canonical_steps(x: Column, upto: str | None) -> Column:

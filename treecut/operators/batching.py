@@ -5,170 +5,170 @@ bytes stay below the limit; the file that reaches the limit opens the next
 batch (so a file at or over the limit is a batch of its own).  Because the
 fill resets at every batch, a running sum does not give the batches.
 
-Here the walk is turned into pointer jumping, all with DataFrame joins:
-
-1. ``rank`` and the byte prefix sum ``P`` of every item, from range parts
-   (a window inside each part plus one offset row per part);
-2. ``next(i)``: where a batch that starts at item ``i`` ends - the first
-   ``j > i`` with ``P[j] - P[i-1] >= limit``; a merge of the sorted prefix
-   sums with the sorted targets ``P[i-1] + limit`` (range partitioned, with
-   a carry of one row per part);
-3. the batch starts are the orbit of item 0 under ``next``: pointer doubling
-   (``J = next^(2^k)`` by self-join, lineage cut with ``checkpoint``), then
-   ``A <- A + J(A)`` level by level; ``ceil(log2(max batches + 1))`` levels,
-   where next-fit bounds the batches by ``2 * bytes / limit + 1``;
-4. ``batch_id`` = number of starts up to the item, minus one (same prefix
-   machinery as step 1).
-
-Every table that goes to one task is bounded by the number of range parts;
-nothing passes through the driver but ``n`` (one count).
+1. The manifest (keys and sizes) is cut into range parts of about
+   ``ROWS_PER_PART`` items; the parts' byte counts give each part's offset.
+2. A part follows, for every item that could be its first batch start (those
+   behind less than ``limit`` bytes of the part), the batches to the last one
+   opened in the part.  That one's bytes plus the limit name where the next
+   batch starts: a place in a later part.
+3. These places meet the items of the part they fall into, which makes a
+   pointer from each possible first start to one of a later part.  The real
+   first starts are the orbit of item 0 (pointer doubling over parts).
+4. Every part walks from its real first start and numbers its batches.
+
+The driver holds one row per part; no step sees more than one part at once.
+A NULL size counts as 0 bytes.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..session import cut_lineage
-from .ordering import default_parts as _parts
-from .ordering import running_total
+from .ordering import parts_for
 
 # The reference's per-call byte limits.
 REFERENCE_LIMIT_PY = 520_000_000
 REFERENCE_LIMIT_CPP = 320_000_000
 
-
-def _next_pointers(ranked: DataFrame, size_col: str, limit: int, n: int, n_parts: int) -> DataFrame:
-    """``(i, nxt)``: where a batch opened at item ``i`` is closed (``n`` = never)."""
-    items = ranked.select(F.col("_P").alias("v"), F.lit(1).alias("t"), F.col("_rank").alias("idx"))
-    queries = ranked.select((F.col("_P") - F.col(size_col) + F.lit(limit)).alias("v"),
-                            F.lit(0).alias("t"), F.col("_rank").alias("idx"))
-    ev = items.unionByName(queries)
-    parted = cut_lineage(ev.repartitionByRange(n_parts, "v", "t", "idx").withColumn(
-        "_part", F.spark_partition_id()))
-    # Next item at or after each row, inside its part (items sort by rank
-    # too).  The order is reversed so the frame is a running one (unbounded
-    # preceding .. current row), which Spark updates row by row; a frame to
-    # "unbounded following" would be recomputed for every row.
-    w = (Window.partitionBy("_part").orderBy(F.desc("v"), F.desc("t"), F.desc("idx"))
-         .rowsBetween(Window.unboundedPreceding, 0))
-    local = parted.select("*", F.min(F.when(F.col("t") == 1, F.col("idx"))).over(w).alias("_local"))
-    first_item = parted.where(F.col("t") == 1).groupBy("_part").agg(F.min("idx").alias("_first"))
-    all_parts = parted.select("_part").distinct()
-    # First item of any later part: one row per part, so bounded.
-    wc = Window.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
-    carry = all_parts.join(first_item, "_part", "left").select(
-        "_part", F.min("_first").over(wc).alias("_carry"))
-    q = local.where(F.col("t") == 0).join(F.broadcast(carry), "_part", "left")
-    nxt = F.coalesce(F.col("_local"), F.col("_carry"), F.lit(n))
-    return q.select(F.col("idx").alias("i"), F.greatest(nxt, F.col("idx") + 1).cast("bigint").alias("nxt"))
-
-
-def _orbit_of_zero(nexts: DataFrame, n: int, max_batches: int) -> DataFrame:
-    """Ranks reachable from 0 under ``nxt``: the batch starts.
-
-    Levels ``J_k = next^(2^k)`` come from self-joins (one checkpoint each);
-    then ``A_(k+1) = A_k + J_k(A_k)`` from ``A_0 = {0}`` gives the first
-    ``2^(k+1)`` starts.  ``K = ceil(log2(max_batches + 1))`` levels cover every
-    start, so no round has to ask whether it is done.  The start set is one
-    join per level on checkpointed tables: a flat plan, materialised once.
-    """
-    spark = nexts.sparkSession
-    sink = spark.range(n, n + 1).select(F.col("id").alias("i"), F.col("id").alias("nxt"))
-    levels = [cut_lineage(nexts.unionByName(sink))]
-    rounds = max(1, math.ceil(math.log2(max_batches + 1)))
-    for k in range(rounds - 1):
-        level = levels[-1]
-        # Rows already at the end stay there (n -> n) and skip the join: at
-        # high levels most items point to the end, which would make `n` one
-        # hot join key holding nearly every row.  The keys left each hold at
-        # most the items of about one batch.
-        done = level.where(F.col("nxt") >= n)
-        a, b = level.where(F.col("nxt") < n).alias("a"), level.alias("b")
-        hop = a.join(b, F.col("a.nxt") == F.col("b.i")).select(F.col("a.i").alias("i"), F.col("b.nxt").alias("nxt"))
-        nxt = done.unionByName(hop)
-        # The last level feeds only the start set (one join in its final job),
-        # so it is not materialised on its own.
-        levels.append(nxt if k == rounds - 2 else cut_lineage(nxt))
-    starts = spark.range(0, 1).select(F.col("id").alias("i"))
-    for lvl in levels:
-        stepped = starts.join(lvl, "i").select(F.explode(F.array("i", "nxt")).alias("i"))
-        starts = stepped.where(F.col("i") < n).distinct()
-    return cut_lineage(starts)
-
-
-# Manifests up to this many items are walked in one task (rank and size
-# only: 16 bytes a row, 32 MB at the bound); larger ones take the
-# distributed pointer-doubling path.
-SEQUENTIAL_MAX_ITEMS = 2_000_000
-
-
-def _walk_one_task(ranked: DataFrame, size_col: str, limit: int) -> DataFrame:
-    """``(_rank, _batch)`` by the reference loop, in a single group of bounded size."""
-    import numpy as np
-    import pandas as pd
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_rank")
-        sizes = pdf[size_col].to_numpy(dtype=np.int64)
-        out = np.empty(len(sizes), dtype=np.int64)
-        batch, fill = 0, 0
-        for k, sz in enumerate(sizes.tolist()):
-            if k == 0:
-                fill = sz
-            elif fill + sz < limit:
-                fill += sz
-            else:
-                batch += 1
-                fill = sz
-            out[k] = batch
-        return pd.DataFrame({"_rank": pdf["_rank"].to_numpy(), "_batch": out})
-
-    one = ranked.select(F.lit(0).alias("_g"), "_rank", size_col)
-    return one.groupBy("_g").applyInPandas(walk, "_rank long, _batch long")
-
-
-def next_fit(manifest: DataFrame, order_cols: list[str], size_col: str, limit: int,
-             sequential_max_items: int = SEQUENTIAL_MAX_ITEMS) -> DataFrame:
+#: Possible first starts of a part are numbered part * this + place.
+_STRIDE = 1 << 32
+
+
+def _next_start(sizes: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes before each item of a part, and the start of the batch after the
+    one that would open there (the part's length if that is beyond it)."""
+    ends = np.cumsum(sizes)
+    before = ends - sizes
+    return before, np.maximum(np.searchsorted(ends, before + limit), np.arange(len(sizes)) + 1)
+
+
+def _exits(parted: DataFrame, limit: int, offsets: list[int]) -> DataFrame:
+    """``(node, part, low, target)``: a possible first start, the bytes (from the
+    manifest's start) before it, and the byte that opens the first batch after
+    those of its part."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = [f for f in frames if len(f)]
+        if not rows:
+            return
+        part = int(rows[0]["_part"].iloc[0])
+        sizes = np.concatenate([f["_size"].to_numpy() for f in rows])
+        before, following = _next_start(sizes, limit)
+        last, inside = np.arange(len(sizes)), following < len(sizes)
+        last[inside] = following[inside]
+        while True:  # each round doubles the batches followed
+            further = last[last]
+            if (further == last).all():
+                break
+            last = further
+        first = np.arange(np.searchsorted(before, limit))
+        yield pd.DataFrame({"node": part * _STRIDE + first, "part": part, "low": offsets[part] + before[first],
+                            "target": offsets[part] + before[last[first]] + limit})
+
+    return parted.select("_part", "_size").mapInPandas(run, "node long, part int, low long, target long")
+
+
+def _pointers(exits: DataFrame, offsets: list[int], full: list[int]) -> DataFrame:
+    """``(i, nxt)`` between possible first starts; without a later part, to the
+    end.  ``full``: the parts that have items."""
+    ends, full = np.array(offsets[1:]), np.array([*full, len(offsets) - 1])
+
+    def part_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            to = np.maximum(np.searchsorted(ends, f["target"].to_numpy()), f["part"].to_numpy() + 1)
+            f["_to"] = full[np.searchsorted(full, to)].astype("int32")
+            yield f[["node", "target", "_to"]]
+
+    def meet(asked: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
+        starts = starts.sort_values("node")
+        # The start is the last one with fewer than `target` bytes before it.
+        at = np.maximum(np.searchsorted(starts["low"].to_numpy(), asked["target"].to_numpy()) - 1, 0)
+        return pd.DataFrame({"i": asked["node"], "nxt": starts["node"].to_numpy()[at]})
+
+    asked = exits.mapInPandas(part_of, "node long, target long, _to int")
+    out = asked.where(F.col("_to") >= len(ends)).select(F.col("node").alias("i"), F.lit(len(ends) * _STRIDE).alias("nxt"))
+    met = asked.where(F.col("_to") < len(ends)).groupBy("_to").cogroup(exits.groupBy("part")).applyInPandas(
+        lambda a, b: meet(a, b) if len(a) else pd.DataFrame({"i": [], "nxt": []}), "i long, nxt long")
+    return out.unionByName(met)
+
+
+def _first_starts(nexts: DataFrame, root: int, end: int, parts: int) -> dict[int, int]:
+    """The real first start of each part that has one (one row per part): the
+    orbit of item 0, by ``log2(parts)`` doublings of the pointers."""
+    jump, found = nexts, nexts.sparkSession.range(root, root + 1).select(F.col("id").alias("i"))
+    for _ in range(max(1, math.ceil(math.log2(parts + 1)))):
+        jump = cut_lineage(jump)
+        hop = found.join(jump, "i").select(F.col("nxt").alias("i")).where(F.col("i") < end)
+        found = cut_lineage(found.unionByName(hop).distinct())
+        ahead = jump.where(F.col("nxt") < end)
+        jump = ahead.join(jump.select(F.col("i").alias("nxt"), F.col("nxt").alias("_n")), "nxt").select("i", F.col("_n").alias("nxt"))
+    return {r.i // _STRIDE: r.i % _STRIDE for r in found.collect()}
+
+
+def next_fit(manifest: DataFrame, order_cols: list[str], size_col: str, limit: int) -> DataFrame:
     """``manifest`` + ``rank`` + ``batch_id`` (from 0, no empty batches).
 
     ``manifest`` holds one row per item with its byte size; only keys and
     sizes are used, never content.  Items are taken in ``order_cols`` order.
-    A manifest of at most ``sequential_max_items`` items (checked with a
-    count) is walked in one task; beyond that the walk is distributed.
     """
     if limit <= 0:
         raise ValueError("limit must be positive")
-    n_parts = _parts(manifest)
-    base = manifest.select(*order_cols, F.col(size_col).cast("bigint").alias(size_col),
-                           *[c for c in manifest.columns if c not in order_cols and c != size_col])
-    ranked = cut_lineage(running_total(base, order_cols, size_col, "_P", n_parts=n_parts))
-    n, total = ranked.agg(F.count(F.lit(1)), F.coalesce(F.max("_P"), F.lit(0))).first()
-    if n == 0:
-        return ranked.select(*base.columns, F.col("_rank").alias("rank"), F.lit(0).cast("bigint").alias("batch_id"))
-    if n <= sequential_max_items:
-        walked = _walk_one_task(ranked, size_col, limit)
-        out = ranked.join(walked, "_rank")
-        return out.select(*base.columns, F.col("_rank").alias("rank"), F.col("_batch").alias("batch_id"))
-    # Two consecutive batches hold at least `limit` bytes together (the
-    # second one's first item did not fit), so there are at most
-    # 2 * total / limit + 1 batches.
-    max_batches = min(n, 2 * (total // limit) + 2)
-    starts = _orbit_of_zero(_next_pointers(ranked, size_col, limit, n, n_parts), n, max_batches)
-    flagged = ranked.join(starts.select(F.col("i").alias("_rank"), F.lit(1).alias("_start")), "_rank", "left")
-    flagged = flagged.select(*base.columns, "_rank", F.coalesce("_start", F.lit(0)).alias("_start"))
-    counted = running_total(flagged, ["_rank"], "_start", "_nstarts", rank_out="_rank2", n_parts=n_parts)
-    return counted.select(*base.columns, F.col("_rank").alias("rank"),
-                          (F.col("_nstarts") - 1).cast("bigint").alias("batch_id"))
+    columns = [*order_cols, size_col, *[c for c in manifest.columns if c not in order_cols and c != size_col]]
+    base = manifest.withColumn(size_col, F.col(size_col).cast("bigint")).select(*columns)
+    n = base.count()
+    sized = base.withColumn("_size", F.coalesce(F.col(size_col), F.lit(0)))
+    ordered = sized.repartitionByRange(parts_for(n), *order_cols).sortWithinPartitions(*order_cols)
+    parted = cut_lineage(ordered.withColumn("_part", F.spark_partition_id()))
+    held = {r["_part"]: r for r in parted.groupBy("_part").agg(F.count("*").alias("n"), F.sum("_size").alias("b")).collect()}
+    parts = 1 + max(held, default=0)
+    offsets, ranks = [0], [0]
+    for part in range(parts):
+        offsets.append(offsets[-1] + (held[part].b if part in held else 0))
+        ranks.append(ranks[-1] + (held[part].n if part in held else 0))
+    root = min(held, default=0)
+    first = {root: 0}
+    if len(held) > 1:
+        exits = cut_lineage(_exits(parted, limit, offsets))
+        first = _first_starts(_pointers(exits, offsets, sorted(held)), root * _STRIDE, parts * _STRIDE, parts)
+
+    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = [f for f in frames if len(f)]
+        if not rows:
+            return
+        part = int(rows[0]["_part"].iloc[0])
+        _, following = _next_start(np.concatenate([f["_size"].to_numpy() for f in rows]), limit)
+        opens, at = np.zeros(len(following), dtype=np.int64), first.get(part, len(following))
+        while at < len(following):
+            opens[at] = 1
+            at = int(following[at])
+        opened, done = np.cumsum(opens), 0
+        for f in rows:
+            f["_opened"], f["rank"] = opened[done : done + len(f)], ranks[part] + done + np.arange(len(f))
+            done += len(f)
+            yield f
+
+    # Only keys and sizes go through Python; other columns are joined back.
+    keyed = parted.select("_part", "_size", F.monotonically_increasing_id().alias("_row"))
+    walked = cut_lineage(keyed.mapInPandas(walk, "_part int, _size long, _row long, _opened long, rank long"))
+    batches = {r["_part"]: r.n for r in walked.groupBy("_part").agg(F.max("_opened").alias("n")).collect()}
+    earlier = np.cumsum([0, *(batches.get(p, 0) for p in range(parts))]).tolist()
+    before = F.element_at(F.lit(earlier), F.col("_part") + 1)
+    numbered = walked.select("_row", "rank", (before + F.col("_opened") - 1).cast("bigint").alias("batch_id"))
+    rows = parted.withColumn("_row", F.monotonically_increasing_id())
+    return rows.join(numbered, "_row").select(*columns, "rank", "batch_id")
 
 
 def next_fit_local(sizes: list[int], limit: int) -> list[int]:
     """The reference's loop on a list of sizes; a test oracle for small fixtures."""
     out, batch, fill, started = [], 0, 0, False
     for s in sizes:
+        s = s or 0
         if not started:
             fill, started = s, True
         elif fill + s < limit:

@@ -9,10 +9,8 @@ never compared.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.tokenize import tokens
 
@@ -110,52 +108,46 @@ def mismatch_rollup(diffs: DataFrame, group_cols: list[str] | None = None) -> Da
         "rate", F.round(F.when(F.col("compared") > 0, F.col("mismatched") / F.col("compared")), 6))
 
 
-# ---------------------------------------------------------------------------
-# The mismatch listing.  Keeping every mismatch in a fold would copy a
-# growing array at each step (quadratic); the walk is sequential, so this is
-# a small per-row helper on Arrow batches.
-# ---------------------------------------------------------------------------
-_EVENT = T.StructType([
-    T.StructField("seq", T.LongType()),
-    T.StructField("i", T.LongType()),
-    T.StructField("j", T.LongType()),
-    T.StructField("kind", T.StringType()),
-    T.StructField("cost", T.LongType()),
-    T.StructField("width", T.LongType()),
-])
-
-
-def walk_events(a, b) -> list[dict]:
-    """The walk of ``token_diff`` for one pair, listing every mismatch."""
-    n = min(len(a), len(b))
-    i = j = 0
-    out = []
-
-    def at(lst, k):
-        return lst[k] if 0 <= k < len(lst) else None
-
-    while i < n - 1 and j < n - 1:
-        if a[i] == b[j]:
-            i += 1
-            j += 1
-            continue
-        for kind, da, db, mi, mj, cost, width in LOOKAHEAD:
-            x, y = at(a, i + da), at(b, j + db)
-            if x is not None and x == y:
-                out.append({"seq": len(out), "i": i, "j": j, "kind": kind, "cost": cost, "width": width})
-                i += mi
-                j += mj
-                break
-        else:
-            out.append({"seq": len(out), "i": i, "j": j, "kind": "stop", "cost": 0, "width": STOP_CONTEXT})
-            break
-    return out
+#: Events that the fold of J3 keeps in its open list before it is put away: an
+#: event copies at most this many, however many mismatches a pair has.
+EVENTS_OPEN = 256
+_EVENT = "struct<i:bigint,j:bigint,kind:string,cost:bigint,width:bigint>"
+
+
+def walk_events(a: Column | str, b: Column | str) -> Column:
+    """The mismatches of the walk of ``token_diff``, in order, as an array of
+    ``STRUCT<i, j, kind, cost, width>``.  The same fold with the events in its
+    state, as an open list and a list of full ones."""
+    a = F.col(a) if isinstance(a, str) else a
+    b = F.col(b) if isinstance(b, str) else b
+    n = F.least(F.size(a), F.size(b))
+    none = F.array().cast(f"array<{_EVENT}>")
+    init = F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(False).alias("s"), none.alias("open"),
+                    F.array().cast(f"array<array<{_EVENT}>>").alias("full"))
+
+    def step(acc, _x):
+        i, j = acc["i"], acc["j"]
+        live = (~acc["s"]) & (i < n - 1) & (j < n - 1)
+        is_full = F.size(acc["open"]) >= EVENTS_OPEN
+
+        def state(di, dj, stop, event=None):
+            held, full = acc["open"], acc["full"]
+            if event is not None:
+                held = F.when(is_full, F.array(event)).otherwise(F.array_append(held, event))
+                full = F.when(is_full, F.array_append(full, acc["open"])).otherwise(full)
+            return F.struct((i + di).alias("i"), (j + dj).alias("j"), F.lit(stop).alias("s"), held.alias("open"), full.alias("full"))
 
+        def event(kind, cost, width):
+            return F.struct(i.cast("bigint").alias("i"), j.cast("bigint").alias("j"), F.lit(kind).alias("kind"),
+                            F.lit(cost).cast("bigint").alias("cost"), F.lit(width).cast("bigint").alias("width"))
 
-@F.pandas_udf(T.ArrayType(_EVENT))
-def _walk_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if (x is None or y is None) else walk_events(list(x), list(y))
-                      for x, y in zip(a, b)])
+        move = F.when(_eq(a, i, b, j), state(1, 1, False))
+        for kind, da, db, mi, mj, cost, width in LOOKAHEAD:
+            move = move.when(_eq(a, i + da, b, j + db), state(mi, mj, False, event(kind, cost, width)))
+        move = move.otherwise(state(0, 0, True, event("stop", 0, STOP_CONTEXT)))
+        return F.when(live, move).otherwise(state(0, 0, True))
+
+    return F.aggregate(a, init, step, lambda acc: F.flatten(F.array_append(acc["full"], acc["open"])))
 
 
 def diff_rows(pairs: DataFrame, key_cols: list[str]) -> DataFrame:
@@ -172,19 +164,41 @@ def diff_rows(pairs: DataFrame, key_cols: list[str]) -> DataFrame:
         stop = k + width - F.lit(2)
         return F.concat_ws(" ", F.slice(F.col(arr), (start + 1).cast("int"), (stop - start).cast("int")))
 
-    events = F.transform(_walk_udf("a", "b"), lambda e: F.struct(
-        e["seq"].alias("seq"), e["i"].alias("i"), e["j"].alias("j"), e["kind"].alias("kind"),
+    walked = pairs.select(*key_cols, "a", "b", walk_events("a", "b").alias("_ev"))
+    events = F.transform("_ev", lambda e, seq: F.struct(
+        seq.cast("bigint").alias("seq"), e["i"].alias("i"), e["j"].alias("j"), e["kind"].alias("kind"),
         e["cost"].alias("cost"), ctx("a", e["i"], e["width"]).alias("a_context"),
         ctx("b", e["j"], e["width"]).alias("b_context")))
-    ev = pairs.select(*key_cols, F.explode(events).alias("e"))
+    ev = walked.select(*key_cols, F.explode(events).alias("e"))
     return ev.select(*key_cols, "e.seq", "e.i", "e.j", "e.kind", "e.cost", "e.a_context", "e.b_context")
 
 
+def file_pairs(spark, path: str, base: str = "ptb", other: str = "ptb_lines") -> DataFrame:
+    """J1 on a corpus folder or file: ``(path, a, b)``, every file tokenised two ways."""
+    from ..sources.files import read_corpus
+    return pair_tokenisations(read_corpus(spark, path), ["path"], "text", base, other)
+
+
+def part_pairs(batched: DataFrame, parts: DataFrame, batch_col: str = "batch_id", order_cols: tuple[str, ...] = ("doc_id",),
+               text_col: str = "text", method: str = "ptb") -> DataFrame:
+    """J1 with S7: ``(batch, a, b)``, the tokens of a batch's documents in order
+    beside those read back from its part (``read_token_parts``).
+
+    The marks ``...`` and ``--`` of the part were spaced when it was read, so the
+    tokens made here are spaced alike.  Batches are size-bounded (W1), and so
+    is the one row that each becomes.
+    """
+    from ..functions.tokenize import normalise_marks, split_tokens, token_text
+    t = batched.select(batch_col, *order_cols, token_text(tokens(F.col(text_col), method)).alias("_x"))
+    g = t.groupBy(batch_col).agg(F.sort_array(F.collect_list(F.struct(*order_cols, "_x"))).alias("_d"))
+    whole = split_tokens(normalise_marks(F.concat_ws(" ", F.transform("_d", lambda d: d["_x"]))))
+    left = g.select(F.col(batch_col).cast("bigint").alias(batch_col), whole.alias("tokens"))
+    return pair_tables(left, parts.withColumn(batch_col, F.col(batch_col).cast("bigint")), [batch_col])
+
+
 def compare_files(spark, path: str, base: str = "ptb", other: str = "ptb_lines") -> DataFrame:
     """The comparison run end to end on a corpus folder or file: every file
     tokenised two ways (S1/S2 + F1), walked (J2), one row per file with
     ``(path, mismatched, compared, len_a, len_b)``; ``mismatch_rollup`` of
     the result gives the totals and the rate (A4)."""
-    from ..sources.files import read_corpus
-    pairs = pair_tokenisations(read_corpus(spark, path), ["path"], "text", base, other)
-    return diff_table(pairs, ["path"])
+    return diff_table(file_pairs(spark, path, base, other), ["path"])

@@ -15,15 +15,19 @@ from pyspark.sql.window import Window
 from ..session import cut_lineage
 
 
-def default_parts(df: DataFrame) -> int:
-    return max(2, df.sparkSession.sparkContext.defaultParallelism)
+#: Rows of a range part: the parts grow with the data, a part does not.
+ROWS_PER_PART = 200_000
+
+
+def parts_for(rows: int) -> int:
+    return 1 + rows // ROWS_PER_PART
 
 
 def running_total(df: DataFrame, order: list[str], value: str, out: str, rank_out: str = "_rank",
                   n_parts: int | None = None) -> DataFrame:
     """Add ``out`` = inclusive running sum of ``value`` and ``rank_out`` = 0-based
     position, both in ``order`` (which must be unique)."""
-    n_parts = n_parts or default_parts(df)
+    n_parts = n_parts or parts_for(df.count())
     # The part id is materialised once, so every use below sees the same parts.
     parted = cut_lineage(df.repartitionByRange(n_parts, *order).withColumn("_part", F.spark_partition_id()))
     w = Window.partitionBy("_part").orderBy(*order)
@@ -53,7 +57,7 @@ def offsets_within(df: DataFrame, group: list[str], order: list[str], value: str
     a table of one row per part (broadcast).  No join on the group key, so
     one huge group is spread over many tasks like any other rows.
     """
-    n_parts = n_parts or default_parts(df)
+    n_parts = n_parts or parts_for(df.count())
     gkey = F.struct(*group)
     parted = cut_lineage(df.repartitionByRange(n_parts, *group, *order).withColumn("_part", F.spark_partition_id()))
     w = Window.partitionBy("_part").orderBy(*group, *order)
@@ -84,19 +88,15 @@ def offsets_within(df: DataFrame, group: list[str], order: list[str], value: str
     return j.select(*df.columns, (F.col("_os") + F.col("_lb") - start).cast("bigint").alias(out))
 
 
-def with_group_aggregates(df: DataFrame, group: list[str], spread_col: str, aggs: list, bucket: int = 100_000
-                          ) -> DataFrame:
-    """Add per-group aggregates to every row without a hot join key.
+def with_group_aggregates(df: DataFrame, group: list[str], aggs: list) -> DataFrame:
+    """Add per-group aggregates to every row; NULL keys are a group.
 
-    The aggregates are computed per group (partial aggregation absorbs big
-    groups) and joined back on (group, ``floor(spread_col / bucket)``): the
-    bucket comes from the row itself, and the aggregate row is copied once
-    for every bucket between the group's smallest and largest value of
-    ``spread_col`` (an integer column, e.g. a turn or line number).  A group
-    with a third of all rows is then joined over many keys; the copies add
-    about ``rows / bucket`` rows in all.
+    The rows are materialised once (the aggregate and the join read them), and
+    so are the aggregates: both sides of the join are then plain scans, whose
+    partitions Spark can split where a group is large.
     """
-    b = F.floor(F.col(spread_col) / F.lit(bucket))
-    per_group = df.groupBy(*group).agg(*aggs, F.min(b).alias("_b0"), F.max(b).alias("_b1"))
-    per_group = per_group.select("*", F.explode(F.sequence("_b0", "_b1")).alias("_bucket")).drop("_b0", "_b1")
-    return df.withColumn("_bucket", b).join(per_group, [*group, "_bucket"]).drop("_bucket")
+    rows = cut_lineage(df)
+    per_group = rows.groupBy(*[F.col(g).alias(f"_g_{g}") for g in group]).agg(*aggs)
+    per_group = cut_lineage(per_group)
+    same = [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in group]
+    return rows.join(per_group, same).drop(*[f"_g_{g}" for g in group])

@@ -30,7 +30,9 @@ def timing_lines(spark: SparkSession, path: str) -> DataFrame:
     it has at least 5 fields and the first is ``time:``.
     """
     lines = read_lines(spark, path)
-    f = F.split(F.trim(F.col("line")), r"\s+")
+    # Fields between runs of white space, those at the line's ends included
+    # (a tab before, a carriage return after).
+    f = F.array_remove(F.split("line", r"\s+"), "")
     keep = lines.where((F.size(f) >= 5) & (F.get(f, 0) == F.lit("time:")))
     keep = keep.select("path", "block", "lid", "line", f.alias("_f"))
     numbered = line_ordinals(keep.select("path", "block", "lid", "line", "_f"))
@@ -54,7 +56,7 @@ def label_runs(timings: DataFrame, engines: list[str] = ENGINES, sizes_mb: list[
     reference does.  The matrix is two literal arrays indexed by position:
     no cross join.
     """
-    t = with_group_aggregates(timings, ["path"], "k", [F.count(F.lit(1)).alias("_n")])
+    t = with_group_aggregates(timings, ["path"], [F.count(F.lit(1)).alias("_n")])
     t = t.withColumn("_per", F.floor(F.col("_n") / F.lit(len(engines))))
     t = t.where((F.col("_per") > 0) & (F.col("k") < F.col("_per") * F.lit(len(engines))))
     e_idx = F.floor(F.col("k") / F.col("_per")).cast("int")

@@ -81,54 +81,67 @@ def corpus_tail(table: DataFrame, order_cols: list[str], k: int = PREVIEW_LAST)
     return last.orderBy(*order_cols)
 
 
-# A key list up to this size is sent as an IN filter, which Parquet pushdown
-# uses to skip row groups; longer lists are semi-joined as a broadcast.
-KEY_FILTER_MAX = 10_000
-
-
-def _edge_tokens(df: DataFrame, id_cols: list[str], text_col: str, k: int, method: str,
-                 last: bool) -> DataFrame:
-    """Token rows of the fewest documents at one end of the key order that
-    hold at least ``k`` tokens (or of all documents, if they hold fewer).
-
-    The candidate keys come from a top-n over the key columns alone (the
-    scan reads no text).  With one key column and at most ``KEY_FILTER_MAX``
-    keys they go back as an ``IN`` filter (pushed into the scan: row groups
-    without them are skipped); otherwise as a broadcast semi-join of at most
-    n rows.  Only those documents are tokenised; n grows 4x while they hold
-    fewer than ``k`` tokens (usually never: n starts at ``k``).
+def _edge_tokens(df: DataFrame, id_cols: list[str], text_col: str, k: int, method: str, last: bool) -> DataFrame:
+    """The first or last ``k`` tokens of every document as rows.
+
+    One scan of the whole corpus: each document gives at most ``k`` rows, and
+    the top-k above keeps ``k`` rows per task.
     """
-    order = [F.col(c).desc() if last else F.col(c).asc() for c in id_cols]
-    n, total = k, None
-    while True:
-        keys = df.select(*id_cols).orderBy(*order).limit(n)
-        if len(id_cols) == 1 and n <= KEY_FILTER_MAX:
-            values = [r[0] for r in keys.collect()]
-            docs = df.where(F.col(id_cols[0]).isin(values))
-        else:
-            docs = df.join(F.broadcast(keys), id_cols, "left_semi")
-        table = token_table(docs, id_cols, text_col, method)
-        if table.count() >= k:
-            return table
-        total = df.count() if total is None else total
-        if n >= total:
-            return table
-        n *= 4
+    t = df.select(*id_cols, tokens(F.col(text_col), method).alias("_t"))
+    part = last_tokens("_t", k) if last else first_tokens("_t", k)
+    skipped = F.greatest(F.size("_t") - F.lit(k), F.lit(0)) if last else F.lit(0)
+    rows = t.select(*id_cols, skipped.alias("_skipped"), F.posexplode_outer(part).alias("pos", "token"))
+    return rows.where(F.col("token").isNotNull()).select(
+        *id_cols, (F.col("_skipped") + F.col("pos")).cast("bigint").alias("pos"), "token")
 
 
 def corpus_preview_head(df: DataFrame, id_cols: list[str], text_col: str = "text", k: int = PREVIEW_FIRST,
                         method: str = "ptb") -> DataFrame:
-    """L1 over a corpus: its first ``k`` tokens in (key, pos) order, tokenising
-    only the first documents (see ``_edge_tokens``), not the whole corpus."""
+    """L1 over a corpus: its first ``k`` tokens in (key, pos) order."""
     return corpus_head(_edge_tokens(df, id_cols, text_col, k, method, last=False), id_cols + ["pos"], k)
 
 
 def corpus_preview_tail(df: DataFrame, id_cols: list[str], text_col: str = "text", k: int = PREVIEW_LAST,
                         method: str = "ptb") -> DataFrame:
-    """L2 over a corpus: its last ``k`` tokens, tokenising only the last documents."""
+    """L2 over a corpus: its last ``k`` tokens, in reading order."""
     return corpus_tail(_edge_tokens(df, id_cols, text_col, k, method, last=True), id_cols + ["pos"], k)
 
 
+def batch_previews(docs: DataFrame, batch_col: str, order_cols: list[str], text_col: str = "text",
+                   method: str = "ptb", first: int = PREVIEW_FIRST, last: int = PREVIEW_LAST) -> DataFrame:
+    """L1 + L2 per batch: ``n_tokens``, the first and last tokens as text and the
+    preview line of each batch, in document order.
+
+    The tokens that earlier and later documents of the batch hold are sums over
+    a window of one row per document; only documents at the edges keep tokens,
+    so a batch's group holds at most ``first + last`` of them.
+    """
+    t = docs.select(batch_col, *order_cols, tokens(F.col(text_col), method).alias("_t"))
+    small = t.select(batch_col, *order_cols, F.size("_t").alias("_n"), first_tokens("_t", first).alias("_f"),
+                     last_tokens("_t", last).alias("_l"))
+    w = Window.partitionBy(batch_col).orderBy(*order_cols)
+    before = F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    total = F.sum("_n").over(Window.partitionBy(batch_col))
+    placed = small.withColumn("_before", before).withColumn("_total", total)
+    after = F.col("_total") - F.col("_before") - F.col("_n")
+    head = F.when(F.col("_before") < first, F.slice("_f", F.lit(1), F.greatest(F.lit(first) - F.col("_before"), F.lit(0)).cast("int")))
+    room = F.greatest(F.lit(last) - after, F.lit(0)).cast("int")
+    tail = F.when(after < last, F.slice("_l", F.greatest(F.size("_l") - room + 1, F.lit(1)), room))
+    edge = F.struct(*order_cols, head.alias("_h"), tail.alias("_e"))
+    g = placed.groupBy(batch_col).agg(
+        F.first("_total").cast("bigint").alias("n_tokens"),
+        F.sort_array(F.collect_list(F.when(head.isNotNull() | tail.isNotNull(), edge))).alias("_edges"))
+    none = F.array().cast("array<string>")
+    whole = g.select(batch_col, "n_tokens",
+                     F.flatten(F.transform("_edges", lambda x: F.coalesce(x["_h"], none))).alias("_h"),
+                     F.flatten(F.transform("_edges", lambda x: F.coalesce(x["_e"], none))).alias("_e"))
+    line = F.concat(F.concat_ws(",", "_h"), F.when(F.size("_h") > 0, ",").otherwise(""), F.lit(PREVIEW_GAP),
+                    F.concat_ws(",", "_e"), F.when(F.size("_e") > 0, ",").otherwise(""),
+                    F.lit("("), F.col("n_tokens").cast("string"), F.lit(" tokens)"))
+    return whole.select(batch_col, "n_tokens", token_text("_h").alias("first_tokens"),
+                        token_text("_e").alias("last_tokens"), line.alias("preview"))
+
+
 def retain_k(df: DataFrame, id_cols: list[str], text_col: str = "text", k: int = RETAIN_K,
              method: str = "ptb") -> DataFrame:
     """L3: keep the first ``k`` tokens, count them all."""
@@ -149,10 +162,15 @@ def output_cap(docs: DataFrame, group_col: str, doc_cols: list[str], text_col: s
     window partition is bounded too.
     """
     t = docs.select(group_col, *doc_cols, tokens(F.col(text_col), method).alias("_t"))
-    w = Window.partitionBy(group_col).orderBy(*doc_cols).rowsBetween(Window.unboundedPreceding, -1)
-    t = t.withColumn("_off", F.coalesce(F.sum(F.size("_t")).over(w), F.lit(0)))
-    room = F.greatest(F.lit(cap) - F.col("_off"), F.lit(0))
-    kept = t.where(room > 0).select(group_col, *doc_cols, F.slice("_t", 1, room.cast("int")).alias("_k"))
+    kept = capped(t, group_col, doc_cols, "_t", cap).withColumnRenamed("_t", "_k")
     rows = kept.select(group_col, *doc_cols, F.posexplode_outer("_k").alias("pos", "token"))
     return rows.where(F.col("token").isNotNull()).select(
         group_col, *doc_cols, F.col("pos").cast("bigint").alias("pos"), "token")
+
+
+def capped(tokenised: DataFrame, group_col: str, doc_cols: list[str], tokens_col: str, cap: int) -> DataFrame:
+    """Token arrays cut to the first ``cap`` tokens of each group, in document order."""
+    w = Window.partitionBy(group_col).orderBy(*doc_cols).rowsBetween(Window.unboundedPreceding, -1)
+    t = tokenised.withColumn("_off", F.coalesce(F.sum(F.size(tokens_col)).over(w), F.lit(0)))
+    room = F.greatest(F.lit(cap) - F.col("_off"), F.lit(0))
+    return t.where(room > 0).withColumn(tokens_col, F.slice(tokens_col, 1, room.cast("int"))).drop("_off")

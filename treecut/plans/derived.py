@@ -36,6 +36,32 @@ def documents_as_files(spark: SparkSession, sf_dir: str) -> str:
     return out
 
 
+def timing_logs(spark: SparkSession, sf_dir: str) -> str:
+    """Folder ``.../lang=<lang>/part-*.txt``: a log per language with a timing line
+    for each source, in order of the source, amid lines that are none.
+
+    The seconds are a fixed function of the source's bytes and documents.  Some
+    timing lines start with a tab or end with a carriage return; the others that
+    start with ``time:`` have too few fields.
+    """
+    out = scratch_path(spark, f"timing_logs/{uuid.uuid4().hex}")
+    d = load(spark, sf_dir, "documents")
+    g = d.groupBy("lang", "source").agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n"), F.sum(F.length("text")).alias("c"))
+    secs = F.format_string("%d.%03d", F.col("n"), F.col("b") % 1000)
+    line = F.concat(F.lit("time: "), secs, F.lit(" secs to tokenize "), F.col("b").cast("string"), F.lit("b, "),
+                    F.floor(F.col("b") / 1024 / F.col("n")).cast("string"), F.lit("kb/s (tokens:"), F.col("c").cast("string"), F.lit(")."))
+    line = F.when(F.col("b") % 3 == 0, F.concat(F.lit("\t "), line)).when(F.col("b") % 3 == 1, F.concat(line, F.lit("\r"))).otherwise(line)
+    noise = [F.lit("files: "), F.lit("time: 9.0 secs to\r"), F.lit("time:"), F.lit(" xtime: 1 2 3 4"), F.lit("")]
+    lines = g.select("lang", "source", F.posexplode(F.array(*noise[:3], line, *noise[3:])).alias("seq", "line"))
+    ordered = lines.repartition("lang").sortWithinPartitions("lang", "source", "seq").select("lang", "line")
+    ordered.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("lang").text(out)
+    return out
+
+
+def language(path_col: str = "path"):
+    return F.regexp_extract(F.col(path_col), r"lang=([^/]*)", 1)
+
+
 def file_number(path_col: str = "path"):
     return F.regexp_extract(F.col(path_col), r"file=(\d+)", 1).cast("bigint")
 

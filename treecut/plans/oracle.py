@@ -9,7 +9,8 @@ from __future__ import annotations
 from ..functions.duck import cascade_ctes, rule_expr, token_list
 from ..operators.compare import LOOKAHEAD, STOP_CONTEXT
 from ..operators.tokens import PREVIEW_FIRST, PREVIEW_GAP, PREVIEW_LAST, RETAIN_K
-from .queries import BATCH_LIMIT, CAP, RULE_QUERY_IDS
+from ..operators.speedup import ENGINES, SIZES_MB
+from .queries import BATCH_LIMIT, CAP, RULE_QUERY_IDS, TURN_LIMIT
 from .tables import stress_text_sql
 
 ORACLE: dict[str, str] = {}
@@ -111,7 +112,30 @@ walk AS (
 ORACLE["batch_manifest"] = f"WITH RECURSIVE {_WALK}\nSELECT doc_id, bytes, rank, batch_id FROM walk"
 ORACLE["batch_manifest_distributed"] = ORACLE["batch_manifest"]
 
+ORACLE["batch_manifest_turns"] = f"""WITH RECURSIVE items AS (
+  SELECT conv_id, turn, CASE WHEN role = 'system' THEN NULL ELSE strlen(text)::BIGINT END AS bytes,
+         (row_number() OVER (ORDER BY conv_id, turn) - 1)::BIGINT AS rank FROM conversations),
+walk AS (
+  SELECT conv_id, turn, bytes, rank, coalesce(bytes, 0) AS fill, 0::BIGINT AS batch_id FROM items WHERE rank = 0
+  UNION ALL
+  SELECT i.conv_id, i.turn, i.bytes, i.rank,
+         CASE WHEN w.fill + coalesce(i.bytes, 0) < {TURN_LIMIT} THEN w.fill + coalesce(i.bytes, 0) ELSE coalesce(i.bytes, 0) END,
+         CASE WHEN w.fill + coalesce(i.bytes, 0) < {TURN_LIMIT} THEN w.batch_id ELSE w.batch_id + 1 END
+  FROM walk w JOIN items i ON i.rank = w.rank + 1)
+SELECT conv_id, turn, bytes, rank, batch_id FROM walk"""
+
 _ctes, _t = _tokenised("documents", ["doc_id"], "text")
+ORACLE["run_totals"] = f"""WITH {_ctes}
+SELECT count(*)::BIGINT AS files, sum(strlen(d.text))::BIGINT AS bytes, sum(len(t.tl))::BIGINT AS tokens
+FROM {_t} t JOIN documents d USING (doc_id)"""
+ORACLE["batch_previews"] = f"""WITH RECURSIVE {_WALK},
+{_ctes},
+whole AS (SELECT w.batch_id, flatten(list(t.tl ORDER BY doc_id)) AS tl FROM walk w JOIN {_t} t USING (doc_id) GROUP BY w.batch_id)
+SELECT batch_id, len(tl)::BIGINT AS n_tokens, array_to_string(tl[1:50], ' ') AS first_tokens,
+       array_to_string(tl[greatest(len(tl) - 9, 1):len(tl)], ' ') AS last_tokens,
+       array_to_string(tl[1:50], ',') || ',' || '{PREVIEW_GAP}' || array_to_string(tl[greatest(len(tl) - 9, 1):len(tl)], ',')
+       || ',(' || len(tl) || ' tokens)' AS preview
+FROM whole"""
 ORACLE["batch_totals"] = f"""WITH RECURSIVE {_WALK},
 {_ctes}
 SELECT w.batch_id, count(*)::BIGINT AS files, sum(w.bytes)::BIGINT AS bytes, sum(len(t.tl))::BIGINT AS tokens
@@ -270,3 +294,38 @@ pairs AS (SELECT t.conv_id, t.turn, t.role, t.tl AS a, {token_list('c.text')} AS
           FROM {_t} t JOIN conversations c USING (conv_id, turn)),
 w AS ({_walk('pairs', False)})
 SELECT role, {_ROLL} FROM w GROUP BY role"""
+
+
+ORACLE["file_diff_rows"] = ORACLE["file_compare"][:ORACLE["file_compare"].rindex("w AS (")] + f"""w AS ({_walk('pairs', True)}),
+ev AS (SELECT file, a, b, unnest(r.ev) AS e FROM w)
+SELECT file, e.seq AS seq, e.i AS i, e.j AS j, e.kind AS kind, e.cost AS cost,
+       array_to_string(a[greatest(e.i - 2, 0) + 1 : e.i + e.width - 2], ' ') AS a_context,
+       array_to_string(b[greatest(e.j - 2, 0) + 1 : e.j + e.width - 2], ' ') AS b_context
+FROM ev"""
+
+_ctes, _t = _tokenised("documents", ["doc_id"], "text")
+_spaced = "replace(replace({}, '...', ' ... '), '--', ' -- ')"
+ORACLE["compare_parts"] = f"""WITH RECURSIVE {_WALK},
+{_ctes},
+texts AS (SELECT w.batch_id, string_agg(array_to_string(t.tl, ' '), ' ' ORDER BY doc_id) AS x,
+                 string_agg(d.text, ' ' ORDER BY doc_id) AS y
+          FROM walk w JOIN {_t} t USING (doc_id) JOIN documents d USING (doc_id) GROUP BY w.batch_id),
+pairs AS (SELECT batch_id, {token_list(_spaced.format('x'))} AS a, {token_list(_spaced.format('y'))} AS b FROM texts),
+w AS ({_walk('pairs', False)})
+SELECT batch_id, r.c AS mismatched, r.i AS compared, len(a)::BIGINT AS len_a, len(b)::BIGINT AS len_b FROM w"""
+
+_LINES = """g AS (SELECT lang, source, sum(strlen(text))::BIGINT AS bytes, count(*) AS n, sum(length(text))::BIGINT AS tokens
+      FROM documents GROUP BY lang, source),
+lines AS (SELECT lang, (row_number() OVER (PARTITION BY lang ORDER BY source) - 1)::BIGINT AS k,
+                 round(n + (bytes % 1000) / 1000.0, 3)::DOUBLE AS secs, bytes, tokens FROM g)"""
+ORACLE["timing_lines"] = f"WITH {_LINES}\nSELECT lang, k, secs, bytes, tokens FROM lines"
+_RUNS = f"""{_LINES},
+sized AS (SELECT *, count(*) OVER (PARTITION BY lang) // {len(ENGINES)} AS per FROM lines),
+runs AS (SELECT lang, {ENGINES}[(k // per) + 1] AS engine, (k % per)::INTEGER AS size_idx, {SIZES_MB}[(k % per) + 1]::INTEGER AS size_mb, secs
+         FROM sized WHERE per > 0 AND k < per * {len(ENGINES)})"""
+ORACLE["run_matrix"] = f"WITH {_RUNS}\nSELECT lang, engine, size_idx, size_mb, secs FROM runs"
+ORACLE["speedup_report"] = f"""WITH {_RUNS}
+SELECT r.lang, r.engine, r.size_idx, r.size_mb, r.secs, b.secs AS baseline_secs,
+       round(CASE WHEN r.secs > 0 THEN b.secs / r.secs END, 6) AS speedup
+FROM runs r JOIN runs b ON r.lang = b.lang AND r.size_idx = b.size_idx AND b.engine = '{ENGINES[0]}'
+WHERE r.engine <> '{ENGINES[0]}'"""

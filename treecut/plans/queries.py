@@ -24,6 +24,7 @@ REGISTRY: dict[str, Query] = {}
 
 # Parameters of the registered queries (not of the operators).
 BATCH_LIMIT = 65_536        # bytes per batch for the W1 queries
+TURN_LIMIT = 4_096         # the same for conversation turns
 CAP = 5_000                 # tokens per output part for L4
 RULE_QUERY_IDS = [r[0] for r in RULES]
 
@@ -122,7 +123,7 @@ def q_token_text(spark, sf_dir):
     t = t.select("conv_id", "turn", "role", F.size("_t").cast("bigint").alias("n_tokens"),
                  token_text("_t").alias("text"))
     from ..operators.ordering import with_group_aggregates
-    return with_group_aggregates(t, ["conv_id"], "turn", [
+    return with_group_aggregates(t, ["conv_id"], [
         F.count(F.lit(1)).alias("conv_turns"), F.sum("n_tokens").cast("bigint").alias("conv_tokens")])
 
 
@@ -174,16 +175,40 @@ def q_batch_manifest(spark, sf_dir):
 
 @register("batch_manifest_distributed")
 def q_batch_manifest_distributed(spark, sf_dir):
-    """W1 on the distributed pointer-doubling path, whatever the input size."""
-    return batching.next_fit(_doc_manifest(spark, sf_dir), ["doc_id"], "bytes", BATCH_LIMIT,
-                             sequential_max_items=0)
+    """W1 by the same (only) path; kept under its earlier name."""
+    return batching.next_fit(_doc_manifest(spark, sf_dir), ["doc_id"], "bytes", BATCH_LIMIT)
+
+
+@register("batch_manifest_turns")
+def q_batch_manifest_turns(spark, sf_dir):
+    """W1 on the conversation turns: a key of two columns, NULL sizes."""
+    c = load(spark, sf_dir, "conversations")
+    size = F.when(F.col("role") == "system", F.lit(None)).otherwise(F.octet_length("text")).cast("bigint")
+    turns = c.select("conv_id", "turn", size.alias("bytes"))
+    return batching.next_fit(turns, ["conv_id", "turn"], "bytes", TURN_LIMIT)
+
+
+def _batched_documents(spark, sf_dir) -> DataFrame:
+    b = batching.next_fit(_doc_manifest(spark, sf_dir), ["doc_id"], "bytes", BATCH_LIMIT)
+    return load_text(spark, sf_dir, "documents").join(b.select("doc_id", "batch_id"), "doc_id")
 
 
 @register("batch_totals")
 def q_batch_totals(spark, sf_dir):
-    b = batching.next_fit(_doc_manifest(spark, sf_dir), ["doc_id"], "bytes", BATCH_LIMIT)
-    d = load_text(spark, sf_dir, "documents")
-    return stats.batch_totals(d.join(b.select("doc_id", "batch_id"), "doc_id"))
+    return stats.batch_totals(_batched_documents(spark, sf_dir))
+
+
+@register("batch_previews")
+def q_batch_previews(spark, sf_dir):
+    """L1 + L2 + F7 for every chunk of the run: what each part starts and ends with."""
+    return tok.batch_previews(_batched_documents(spark, sf_dir), "batch_id", ["doc_id"])
+
+
+@register("run_totals")
+def q_run_totals(spark, sf_dir):
+    """A3: the counts of a measured run (its wall time is not a result)."""
+    r = stats.run_report(load_text(spark, sf_dir, "documents"))
+    return spark.createDataFrame([(r.files, r.bytes, r.tokens)], "files long, bytes long, tokens long")
 
 
 # -- L1-L4 ------------------------------------------------------------------
@@ -211,9 +236,7 @@ def q_retain_k(spark, sf_dir):
 
 @register("output_cap")
 def q_output_cap(spark, sf_dir):
-    b = batching.next_fit(_doc_manifest(spark, sf_dir), ["doc_id"], "bytes", BATCH_LIMIT)
-    docs = load_text(spark, sf_dir, "documents").join(b.select("doc_id", "batch_id"), "doc_id")
-    return tok.output_cap(docs, "batch_id", ["doc_id"], "text", CAP)
+    return tok.output_cap(_batched_documents(spark, sf_dir), "batch_id", ["doc_id"], "text", CAP)
 
 
 # -- J1-J3, A4 --------------------------------------------------------------
@@ -312,11 +335,8 @@ def q_token_parts(spark, sf_dir):
     from ..sources.files import read_token_parts
     from ..sources.sinks import write_token_parts
     import uuid
-    b = batching.next_fit(_doc_manifest(spark, sf_dir), ["doc_id"], "bytes", BATCH_LIMIT)
-    rows = tok.token_table(load_text(spark, sf_dir, "documents"), ["doc_id"])
-    rows = rows.join(b.select("doc_id", "batch_id"), "doc_id")
     out = scratch_path(spark, f"token_parts/{uuid.uuid4().hex}")
-    write_token_parts(rows, out)
+    write_token_parts(_batched_documents(spark, sf_dir), out)
     back = read_token_parts(spark, out)
     return back.select(F.col("batch_id").cast("bigint").alias("batch_id"),
                        F.size("tokens").cast("bigint").alias("n_tokens"), token_text("tokens").alias("tokens"))
@@ -345,13 +365,13 @@ def q_stream_parts(spark, sf_dir):
     """ST1 + ST3: the files streamed in byte-bounded chunks, one part folder
     per chunk; all parts read back, token frequencies (nothing lost or doubled)."""
     from ..session import scratch_path
-    from ..streaming.stream import text_stream, tokenised_stream, write_parts
+    from ..streaming.stream import text_stream, write_parts
     from .derived import documents_as_files
     import uuid
     folder = documents_as_files(spark, sf_dir)
     run = uuid.uuid4().hex
     out = scratch_path(spark, f"stream_parts/{run}")
-    stream = tokenised_stream(text_stream(spark, f"{folder}/file=*", max_bytes_per_trigger=STREAM_CHUNK))
+    stream = text_stream(spark, f"{folder}/file=*", max_bytes_per_trigger=STREAM_CHUNK)
     write_parts(stream, out, scratch_path(spark, f"stream_ck/{run}")).awaitTermination()
     back = spark.read.option("lineSep", "\n").text(out).where(F.col("value") != "")
     return back.groupBy(F.col("value").alias("token")).agg(F.count(F.lit(1)).alias("n"))
@@ -383,3 +403,57 @@ def q_mismatch_by_role(spark, sf_dir):
     c = load_text(spark, sf_dir, "conversations", "role")
     pairs = compare.pair_tokenisations(c, ["conv_id", "turn", "role"], "text", "ptb", "whitespace")
     return compare.mismatch_rollup(compare.diff_table(pairs, ["conv_id", "turn", "role"]), ["role"])
+
+
+@register("file_diff_rows")
+def q_file_diff_rows(spark, sf_dir):
+    """J3 on files: every mismatch of the comparison run with its context."""
+    from .derived import documents_as_files, file_number
+    folder = documents_as_files(spark, sf_dir)
+    rows = compare.diff_rows(compare.file_pairs(spark, f"{folder}/file=*"), ["path"])
+    return rows.select(file_number().alias("file"), "seq", "i", "j", "kind", "cost", "a_context", "b_context")
+
+
+@register("compare_parts")
+def q_compare_parts(spark, sf_dir):
+    """S7 + J1/J2: the whitespace tokens of every batch, written as parts and read
+    back, against the Treebank tokens of the batch."""
+    from ..session import scratch_path
+    from ..sources.files import read_token_parts
+    from ..sources.sinks import write_token_parts
+    import uuid
+    docs = _batched_documents(spark, sf_dir)
+    out = scratch_path(spark, f"compare_parts/{uuid.uuid4().hex}")
+    write_token_parts(docs, out, method="whitespace")
+    pairs = compare.part_pairs(docs, read_token_parts(spark, out))
+    return compare.diff_table(pairs, ["batch_id"])
+
+
+# -- S8, F3, F9, W2, J4, J5: timing logs derived from the documents -------------
+
+def _timings(spark, sf_dir) -> DataFrame:
+    from ..operators.speedup import timing_lines
+    from .derived import timing_logs
+    return timing_lines(spark, f"{timing_logs(spark, sf_dir)}/lang=*")
+
+
+@register("timing_lines")
+def q_timing_lines(spark, sf_dir):
+    from .derived import language
+    return _timings(spark, sf_dir).select(language().alias("lang"), "k", "secs", "bytes", "tokens")
+
+
+@register("run_matrix")
+def q_run_matrix(spark, sf_dir):
+    from ..operators.speedup import label_runs
+    from .derived import language
+    return label_runs(_timings(spark, sf_dir)).select(language().alias("lang"), "engine", "size_idx", "size_mb", "secs")
+
+
+@register("speedup_report")
+def q_speedup_report(spark, sf_dir):
+    from ..operators.speedup import label_runs, speedup
+    from .derived import language
+    r = speedup(label_runs(_timings(spark, sf_dir)))
+    return r.select(language().alias("lang"), "engine", "size_idx", "size_mb", "secs", "baseline_secs",
+                    F.round("speedup", 6).alias("speedup"))

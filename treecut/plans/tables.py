@@ -31,14 +31,16 @@ def load_text(spark: SparkSession, sf_dir: str, name: str, *extra: str) -> DataF
 
 
 def stress_text(text: Column, key: Column) -> Column:
-    """``text || ' ' || snippet[key % k]``: the tables hold almost no quotes,
-    apostrophes, ellipses or ``--``, so every document gets one golden snippet."""
+    """A golden snippet of number ``key % k`` put behind the text or, in every
+    other run of ``k`` keys, in front of it: the tables hold almost no quotes,
+    apostrophes, ellipses or ``--``, and no text starts with a quote."""
     k = len(SNIPPETS)
     pick = F.element_at(F.array(*[F.lit(s) for s in SNIPPETS]), (F.pmod(key, F.lit(k)) + 1).cast("int"))
-    return F.concat(text, F.lit(" "), pick)
+    front = F.pmod(F.floor(key / F.lit(k)), F.lit(2)) == 1
+    return F.when(front, F.concat(pick, F.lit(" "), text)).otherwise(F.concat(text, F.lit(" "), pick))
 
 
 def stress_text_sql(text: str, key: str) -> str:
     k = len(SNIPPETS)
-    arr = "[" + ", ".join(sql_estr(s) for s in SNIPPETS) + "]"
-    return f"({text} || ' ' || {arr}[({key} % {k}) + 1])"
+    pick = "[" + ", ".join(sql_estr(s) for s in SNIPPETS) + f"][({key} % {k}) + 1]"
+    return f"(CASE WHEN ({key} // {k}) % 2 = 1 THEN {pick} || ' ' || {text} ELSE {text} || ' ' || {pick} END)"

@@ -66,21 +66,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}"
 
 
+#: Scans above this size are never spread: their splits are tasks enough.
+SPREAD_BELOW_BYTES = 256 * 1024 * 1024
+
+
 def spread(df: DataFrame, *keys: str, factor: int = 2) -> DataFrame:
-    """Give a CPU-heavy stage enough tasks.
+    """Give a CPU-heavy stage over a small scan enough tasks.
 
     A small input (one Parquet row group, say) can arrive as a single
-    non-empty split, and the tokeniser would then run on one core.  When the
-    scan has fewer partitions than ``factor`` x the default parallelism, hash
-    the rows on ``keys`` (round robin when none) over that many partitions.
-    A large input already has many splits and is left untouched, so at scale
-    this adds no shuffle.  ``treecut.spread.partitions`` (session conf)
-    overrides the target, e.g. to keep a small table on a big cluster from
-    being cut into thousands of tiny tasks; ``0`` never spreads.
+    non-empty split, and the tokeniser would then run on one core.  A scan of
+    less than ``SPREAD_BELOW_BYTES`` with fewer partitions than ``factor`` x the
+    default parallelism is hashed on ``keys`` (round robin when none) over that
+    many partitions.  Larger scans are left untouched on a cluster of any size:
+    no text is shuffled there.  ``treecut.spread.partitions`` (session conf)
+    overrides the target; ``0`` never spreads.
     """
     spark = df.sparkSession
     conf = spark.conf.get("treecut.spread.partitions", None)
     target = int(conf) if conf else max(1, spark.sparkContext.defaultParallelism * factor)
-    if df.rdd.getNumPartitions() >= target:
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > SPREAD_BELOW_BYTES or df.rdd.getNumPartitions() >= target:
         return df
     return df.repartition(target, *keys) if keys else df.repartition(target)

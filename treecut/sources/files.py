@@ -11,23 +11,31 @@ from ..functions.tokenize import WS_CLASS, normalise_marks, ptb_tokens, split_to
 from ..operators.ordering import offsets_within
 
 
+def _qualified(spark: SparkSession, path: str):
+    """``path`` with its file system's scheme and authority, and the file system."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.makeQualified(hadoop), fs
+
+
+_ROOT = r"^[a-zA-Z][\w+.-]*:(//[^/]*)?/+"
+
+
 def _top_level_only(df: DataFrame, root: str, path_col: str) -> DataFrame:
-    """Keep files directly inside ``root`` (the reference lists one level).
+    """Keep files directly inside the qualified ``root`` (the reference lists one
+    level).
 
     The filter is on the file path, so Spark prunes the other files before
     reading them.
     """
-    root = re.sub(r"^[a-zA-Z]+:/+", "/", root.rstrip("/"))
-    depth = F.size(F.split(F.regexp_replace(F.col(path_col), r"^[a-zA-Z]+:/+", "/"), "/"))
-    root_depth = len([p for p in root.split("/") if p]) + 2
-    return df.where(depth == F.lit(root_depth))
+    below = [p for p in re.sub(_ROOT, "/", root).split("/") if p]
+    depth = F.size(F.split(F.regexp_replace(F.col(path_col), _ROOT, "/"), "/"))
+    return df.where(depth == F.lit(len(below) + 2))
 
 
-def _is_file(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.isFile(hpath)
+def _corpus_files(spark: SparkSession, path: str, df: DataFrame) -> DataFrame:
+    root, fs = _qualified(spark, path)
+    return df if fs.isFile(root) else _top_level_only(df, root.toString(), "path")
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
@@ -40,18 +48,14 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """
     df = spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-    if _is_file(spark, path):
-        return df
-    return _top_level_only(df, path, "path")
+    return _corpus_files(spark, path, df)
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """S3: ``(path, length)`` of the corpus files; contents are never read."""
     df = spark.read.format("binaryFile").load(path).select(
         F.col("_metadata.file_path").alias("path"), F.col("length").cast("bigint").alias("length"))
-    if _is_file(spark, path):
-        return df
-    return _top_level_only(df, path, "path")
+    return _corpus_files(spark, path, df)
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:

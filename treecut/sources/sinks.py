@@ -5,19 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tokenize import tokens
+from ..operators.tokens import capped
 
-def write_token_parts(token_rows: DataFrame, out: str, batch_col: str = "batch_id",
-                      order_cols: tuple[str, ...] = ("doc_id", "pos")) -> None:
-    """Write ``token`` one per line into ``out/<batch_col>=<id>/``; old output is replaced.
 
-    All rows of a batch are hashed to one task and sorted there by
-    ``(batch, *order_cols)``, so every batch is one file in reading order.
-    Batches are size-bounded (W1), which bounds each task; the sort is
-    inside partitions only, never global.
+def write_token_parts(docs: DataFrame, out: str, batch_col: str = "batch_id", order_cols: tuple[str, ...] = ("doc_id",),
+                      text_col: str = "text", method: str = "ptb", cap: int | None = None) -> None:
+    """Write the tokens of ``docs`` one per line into ``out/<batch_col>=<id>/``; old
+    output is replaced.
+
+    The documents of a batch are hashed to one task and sorted there by
+    ``order_cols``, so every batch is one file in reading order; only then are
+    they tokenised, so texts are moved, never token rows, and a document is
+    written as one value of many lines.  Batches are size-bounded (W1), which
+    bounds each task.  ``cap`` keeps the first tokens of each part (L4).
     """
     cols = [batch_col, *order_cols]
-    ordered = token_rows.repartition(F.col(batch_col)).sortWithinPartitions(*cols)
+    ordered = docs.select(*cols, text_col).repartition(F.col(batch_col)).sortWithinPartitions(*cols)
+    t = ordered.select(*cols, tokens(F.col(text_col), method).alias("_t"))
+    if cap is not None:
+        t = capped(t, batch_col, list(order_cols), "_t", cap)
+    lines = t.where(F.size("_t") > 0).select(batch_col, F.concat_ws("\n", "_t").alias("value"))
     # Static overwrite: the whole folder is replaced even if the session is
     # set to dynamic partition overwrite (stale parts must not survive).
-    (ordered.select(batch_col, "token").write.mode("overwrite").option("partitionOverwriteMode", "static")
-     .partitionBy(batch_col).text(out))
+    (lines.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(batch_col).text(out))

@@ -44,22 +44,23 @@ def running_totals(tokenised: DataFrame) -> DataFrame:
                          F.sum(F.size("tokens")).cast("bigint").alias("tokens"))
 
 
-def write_parts(tokenised: DataFrame, out: str, checkpoint: str, trigger_available_now: bool = True) -> StreamingQuery:
+def write_parts(texts: DataFrame, out: str, checkpoint: str, trigger_available_now: bool = True) -> StreamingQuery:
     """ST3: one part folder per micro-batch, one token per line, in file order.
 
-    ``foreachBatch`` writes ``out/chunk=<batch id>``; a replayed batch
-    overwrites its own folder, so a restart does not duplicate tokens.  The
-    chunk is range-partitioned on (path, pos), so its part files, read in
-    name order, hold the tokens in order and no task holds a whole chunk.
+    ``texts`` is the text stream (``path``, ``text``).  ``foreachBatch`` writes
+    ``out/chunk=<batch id>``; a replayed batch overwrites its own folder, so a
+    restart does not duplicate tokens.  The chunk's texts are range-partitioned
+    and sorted on ``path`` and tokenised only then (finding the ranges reads the
+    texts, not their tokens), so its part files, read in name order, hold the
+    tokens in order and no task holds a whole chunk.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.select("path", F.posexplode_outer("tokens").alias("pos", "token")).where(
-            F.col("token").isNotNull())
         n = max(1, batch.rdd.getNumPartitions())
-        (rows.repartitionByRange(n, "path", "pos").sortWithinPartitions("path", "pos").select("token")
-             .write.mode("overwrite").text(f"{out.rstrip('/')}/chunk={batch_id}"))
+        ordered = batch.select("path", "text").repartitionByRange(n, "path").sortWithinPartitions("path")
+        t = ordered.select(ptb_tokens("text").alias("_t")).where(F.size("_t") > 0)
+        t.select(F.concat_ws("\n", "_t").alias("value")).write.mode("overwrite").text(f"{out.rstrip('/')}/chunk={batch_id}")
 
-    w = tokenised.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    w = texts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if trigger_available_now else w
     return w.start()
 
