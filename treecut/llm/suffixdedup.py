@@ -49,8 +49,10 @@ from .common import emit, growing, load, once_per_worker, scan, stored, utf8
 LENGTH = 200
 GRAM = 100
 #: Bytes of a block, and of a text that are hashed at a time.
-BLOCK_BYTES = 1 << 25
+BLOCK_BYTES = 1 << 22
 PART = 1 << 20
+#: Suffixes cut out at a time.
+ROWS = 1 << 13
 #: Anchors that one shard merges, and contexts of an anchor sent as such.
 SHARD_ANCHORS = 2_000_000
 HOT = 4096
@@ -213,16 +215,18 @@ def _suffixes(text: np.ndarray, end: np.ndarray, begin: np.ndarray, place: np.nd
     """Rows to sort: the hash, the bytes from ``place`` on with their number,
     the ``left`` bytes before it backwards with their number plus 1."""
     ahead, behind = np.arange(length), np.arange(1, left + 1)
-    rows = np.zeros((len(place), 8 + length + 1 + left + 1), dtype=np.uint8)
-    rows[:, :8] = key.astype(">u8").view(np.uint8).reshape(-1, 8)
-    at = place[:, None] + ahead
-    rows[:, 8 : 8 + length] = np.where(at < end[:, None], text[np.minimum(at, len(text) - 1)], 0)
-    rows[:, 8 + length] = np.minimum(end - place, length)
-    if left:
-        at = place[:, None] - behind
-        rows[:, 9 + length : -1] = np.where(at >= begin[:, None], text[np.maximum(at, 0)], 0)
-    rows[:, -1] = np.minimum(place - begin, left) + 1
-    return rows
+    out = np.zeros((len(place), 8 + length + 1 + left + 1), dtype=np.uint8)
+    out[:, :8] = key.astype(">u8").view(np.uint8).reshape(-1, 8)
+    out[:, 8 + length] = np.minimum(end - place, length)
+    out[:, -1] = np.minimum(place - begin, left) + 1
+    for lo in range(0, len(place), ROWS):
+        some = slice(lo, lo + ROWS)
+        at = place[some, None] + ahead
+        out[some, 8 : 8 + length] = np.where(at < end[some, None], text[np.minimum(at, len(text) - 1)], 0)
+        if left:
+            at = place[some, None] - behind
+            out[some, 9 + length : -1] = np.where(at >= begin[some, None], text[np.maximum(at, 0)], 0)
+    return out
 
 
 def _shared(rows: np.ndarray) -> np.ndarray:
@@ -263,8 +267,8 @@ def runs(both: DataFrame, shards: int, length: int, gram: int) -> DataFrame:
                 # Neighbouring anchors share stretches; each place counts once.
                 start = np.unique(start[(start >= lowest) & (start + length <= highest)])
                 power, _ = _powers(length)
-                for lo in range(0, len(start), 1 << 16):
-                    some = start[lo : lo + (1 << 16)]
+                for lo in range(0, len(start), ROWS):
+                    some = start[lo : lo + ROWS]
                     wide = _suffixes(text, some + length, some, some, np.zeros(len(some), np.uint64), length, left)
                     own = ((wide[:, 8 : 8 + length].astype(np.uint64) + np.uint64(1)) * power).sum(axis=1, dtype=np.uint64)
                     wide[:, :8] = _mixed(own).astype(">u8").view(np.uint8).reshape(-1, 8)
