@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from .tokenize import _NEVER, APOSTROPHE_RULES, FAST_PLAN, WS_RUN
+from .tokenize import FAST_PLAN, PLAIN_PLAN, SPECIAL, WS_RUN
 
 
 def spark_sql_str(s: str) -> str:
@@ -20,14 +20,14 @@ def spark_sql_str(s: str) -> str:
 
 def cascade_sql(x: str) -> str:
     """The fast plan as Spark SQL text over the expression ``x`` (a column or
-    parameter name), with the same apostrophe fast path as the Column form."""
-    has_quote = f"(contains({x}, '\\'') OR contains({x}, '\"'))"
-    for step in FAST_PLAN:
+    parameter name), with the same choice of plan per row as the Column form."""
+    return (f"CASE WHEN {x} RLIKE {spark_sql_str(SPECIAL)} THEN {_steps_sql(x, FAST_PLAN)} "
+            f"ELSE {_steps_sql(x, PLAIN_PLAN)} END")
+
+
+def _steps_sql(x: str, steps: list[tuple]) -> str:
+    for step in steps:
         kind = step[0]
-        if kind == "regex" and len(step) > 3 and step[3] in APOSTROPHE_RULES:
-            pat = f"CASE WHEN {has_quote} THEN {spark_sql_str(step[1])} ELSE {spark_sql_str(_NEVER)} END"
-            x = f"regexp_replace({x}, {pat}, {spark_sql_str(step[2])})"
-            continue
         if kind == "first_quote":
             x = f"(CASE WHEN startswith({x}, '\"') THEN concat('``', substring({x}, 2)) ELSE {x} END)"
         elif kind == "replace":

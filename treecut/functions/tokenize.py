@@ -10,7 +10,7 @@ Two plans compute the same function:
 * ``canonical`` - the rule table verbatim, one ``regexp_replace`` per rule;
 * ``fast`` (default) - rules whose regex only ever matches a fixed string are
   run as ``replace`` (a byte search on UTF8String that returns its input
-  untouched when there is no match, with no UTF-16 round trip), and T18-T21
+  untouched when there is no match, with no UTF-16 round trip), and T18-T22
   run as one alternation.  ``tests/test_rules_property.py`` checks that the two
   plans agree on random adversarial text.
 """
@@ -48,18 +48,17 @@ def _pad(x: Column) -> Column:
 def _fused(first: str, last: str) -> tuple[str, str]:
     """The rules from ``first`` to ``last``, each a (head)(tail) between word
     boundaries, as one alternation.  Only one can match at a place; Java skips
-    groups that did not take part."""
+    groups that did not take part.  The blank that T22 wants behind it is looked
+    at, not taken (blanks are where tokens are split, be there one or two)."""
     ids = [rid for rid, _, _ in RULES]
-    own = [pat for rid, pat, _ in RULES[ids.index(first) : ids.index(last) + 1]]
-    words = [p.removeprefix("(?i){L}").removesuffix("{R}") for p in own]
+    own = [pat.removeprefix("(?i){L}") for _, pat, _ in RULES[ids.index(first) : ids.index(last) + 1]]
+    words = [p.replace("{R}", JAVA.R) if p.endswith("{R}") else p.removesuffix(" ") + "(?= )" for p in own]
     starts = "".join(sorted({w[1] for w in words}))
-    pattern = f"(?i)(?=[{starts}]){JAVA.L}(?:{'|'.join(words)}){JAVA.R}"
     heads, tails = ("".join(f"${2 * i + k}" for i in range(len(words))) for k in (1, 2))
-    return pattern, f" {heads} {tails} "
+    return f"(?i)(?=[{starts}]){JAVA.L}(?:{'|'.join(words)})", f" {heads} {tails} "
 
 
-# Seven pairs; the look-ahead names their possible first letters.
-_FUSED_T18_T21, _FUSED_T18_T21_REP = _fused("T18", "T21")
+_FUSED_T18_T22, _FUSED_T18_T22_REP = _fused("T18", "T22")
 
 
 def _canonical_steps(x: Column, upto: str | None) -> Column:
@@ -92,7 +91,7 @@ def _fast_plan() -> list[tuple]:
       quote), so consuming it or not gives the same result;
     * T6 and T8 run as one class, before T7: none of ``;@#$%&?!`` is a
       closing mark or a blank, so they commute with the final-period rule;
-    * T18-T21 run as one alternation (only one pair can match at a place).
+    * T18-T22 run as one alternation (only one pair can match at a place).
     """
     def rx(rule_id):
         pat, rep = next((p, r) for rid, p, r in RULES if rid == rule_id)
@@ -114,8 +113,7 @@ def _fast_plan() -> list[tuple]:
     steps.append(_hinted("T14", "[^" + ws + "]''"))
     steps.append(_hinted("T15", "[^' ]'"))
     steps.append(_hinted("T16", "[^' ]['nN]"))                # T16 holds T17
-    steps.append(("regex", _FUSED_T18_T21, _FUSED_T18_T21_REP, "T18-T21"))
-    steps.append(_hinted("T22", "[wW]"))
+    steps.append(("regex", _FUSED_T18_T22, _FUSED_T18_T22_REP, "T18-T22"))
     steps += [rx("T23"), rx("T24")]
     return steps
 
@@ -123,32 +121,35 @@ def _fast_plan() -> list[tuple]:
 FAST_PLAN = _fast_plan()
 
 
-# A Java pattern that never matches: a rule switched off for a row.
-_NEVER = "(?!)"
+#: A text without any of these is plain: the rules that need a quote (T1, T3, T9,
+#: T13-T17, T19, T21, T23, T24) or a contraction (T18, T20, T22) cannot match, for
+#: no other rule makes one.
+SPECIAL = r"""(?i)['"]|(?=[cglw])(?:cannot|gimme|gonna|gotta|lemme|wanna)"""
+
+
+def _plain_plan() -> list[tuple]:
+    """The fast plan for a plain text.  The marks of T6 and T8 commute with the
+    final period (T7), so they are spaced with the brackets (T10) in one pass."""
+    fast = {step[3]: step for step in FAST_PLAN if len(step) > 3}
+    return [("replace", "``", " `` "), fast["T4"], ("replace", "...", " ... "), fast["T7"],
+            ("regex", r"[;@#$%&?!\]\[(){}<>]", " $0 ", "T6+T8+T10"), ("replace", "--", " -- "), ("pad",)]
 
-# Rules that can only match where the text holds an apostrophe: the input's
-# own, or the '' that T13 makes of a double quote.  No other rule creates one.
-APOSTROPHE_RULES = ("T9", "T14", "T15", "T16", "T23", "T24")
 
+PLAIN_PLAN = _plain_plan()
 
-def _switched(x: Column, step: tuple, on: Column) -> Column:
-    # The pattern becomes a column; Spark recompiles only when it changes
-    # from one row to the next, and the never-matching pattern fails at
-    # once at every position.
-    pat = F.when(on, F.lit(step[1])).otherwise(F.lit(_NEVER))
-    return F.regexp_replace(x, pat, F.lit(step[2]))
 
+# A Java pattern that never matches: a rule switched off for a row.
+_NEVER = "(?!)"
 
-def _apply(x: Column, steps: list[tuple], final_period: Column | None = None,
-           has_quote: Column | None = None) -> Column:
+
+def _apply(x: Column, steps: list[tuple], final_period: Column | None = None) -> Column:
     for step in steps:
         kind = step[0]
         rule_id = step[3] if len(step) > 3 else None
         if kind == "regex" and final_period is not None and rule_id == "T7":
-            x = _switched(x, step, final_period)
-            continue
-        if kind == "regex" and has_quote is not None and rule_id in APOSTROPHE_RULES:
-            x = _switched(x, step, has_quote)
+            # Per row on or off: the pattern becomes a column, and Spark
+            # recompiles it where neighbouring rows differ (one line of a file).
+            x = F.regexp_replace(x, F.when(final_period, F.lit(step[1])).otherwise(F.lit(_NEVER)), F.lit(step[2]))
             continue
         if kind == "first_quote":
             # A quote that opens the text.  Only this first step looks at its
@@ -166,10 +167,8 @@ def _apply(x: Column, steps: list[tuple], final_period: Column | None = None,
 
 
 def _fast_steps(x: Column, final_period: Column | None = None) -> Column:
-    # The fast path of the rule table: texts without ' or " skip the
-    # apostrophe rules (tested once on the input, a byte search).
-    has_quote = x.contains("'") | x.contains('"')
-    return _apply(x, FAST_PLAN, final_period, has_quote)
+    # Two whole expressions with constant patterns, chosen by a look at the input.
+    return F.when(x.rlike(SPECIAL), _apply(x, FAST_PLAN, final_period)).otherwise(_apply(x, PLAIN_PLAN, final_period))
 
 
 def ptb_text(col: Column | str, plan: str = "fast", upto: str | None = None,

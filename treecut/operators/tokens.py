@@ -46,16 +46,19 @@ def last_tokens(arr: Column | str, k: int = PREVIEW_LAST) -> Column:
     return F.slice(a, F.greatest(F.size(a) - F.lit(k - 1), F.lit(1)), k)
 
 
-def preview_line(arr: Column | str) -> Column:
-    """The reference's preview: ``t1,...,t50,<gap>t-10,...,t-1,(N tokens)``."""
-    a = F.col(arr) if isinstance(arr, str) else arr
-
+def _preview(first: Column, last: Column, n_tokens: Column) -> Column:
     def each_then_comma(part: Column) -> Column:
         # "t1,t2,...,tk," - every token followed by a comma (codegen'd, no lambda).
         return F.concat(F.concat_ws(",", part), F.when(F.size(part) > 0, F.lit(",")).otherwise(F.lit("")))
 
-    return F.concat(each_then_comma(first_tokens(a)), F.lit(PREVIEW_GAP), each_then_comma(last_tokens(a)),
-                    F.lit("("), F.size(a).cast("string"), F.lit(" tokens)"))
+    return F.concat(each_then_comma(first), F.lit(PREVIEW_GAP), each_then_comma(last),
+                    F.lit("("), n_tokens.cast("string"), F.lit(" tokens)"))
+
+
+def preview_line(arr: Column | str) -> Column:
+    """The reference's preview: ``t1,...,t50,<gap>t-10,...,t-1,(N tokens)``."""
+    a = F.col(arr) if isinstance(arr, str) else arr
+    return _preview(first_tokens(a), last_tokens(a), F.size(a))
 
 
 def previews(df: DataFrame, id_cols: list[str], text_col: str = "text", method: str = "ptb") -> DataFrame:
@@ -135,9 +138,7 @@ def batch_previews(docs: DataFrame, batch_col: str, order_cols: list[str], text_
     whole = g.select(batch_col, "n_tokens",
                      F.flatten(F.transform("_edges", lambda x: F.coalesce(x["_h"], none))).alias("_h"),
                      F.flatten(F.transform("_edges", lambda x: F.coalesce(x["_e"], none))).alias("_e"))
-    line = F.concat(F.concat_ws(",", "_h"), F.when(F.size("_h") > 0, ",").otherwise(""), F.lit(PREVIEW_GAP),
-                    F.concat_ws(",", "_e"), F.when(F.size("_e") > 0, ",").otherwise(""),
-                    F.lit("("), F.col("n_tokens").cast("string"), F.lit(" tokens)"))
+    line = _preview(F.col("_h"), F.col("_e"), F.col("n_tokens"))
     return whole.select(batch_col, "n_tokens", token_text("_h").alias("first_tokens"),
                         token_text("_e").alias("last_tokens"), line.alias("preview"))
 
