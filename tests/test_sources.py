@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from treecut.functions.rules import GOLDEN, python_cascade
-from treecut.sources.files import (file_token_table, large_file_lines, large_file_tokens, line_ordinals,
+from treecut.sources.files import (file_token_table, large_file_tokens, line_ordinals,
                                    manifest, read_corpus, read_lines, read_token_part)
 from treecut.sources.sinks import write_token_parts
 
@@ -51,7 +51,7 @@ def test_large_files_equal_whole_text(spark, tmp_dir):
     prev = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "200")  # many splits per file
     try:
-        table = file_token_table(large_file_lines(spark, tmp_dir, salt_bytes=50))
+        table = file_token_table(spark, tmp_dir)
         assert large_file_tokens(spark, tmp_dir).count() == table.count()
         got = {}
         for r in table.collect():
@@ -112,7 +112,7 @@ EDGE_FILES = ["", "\n", "\n\n", "   ", " \n \n", "a.\n", "it's\n", "it's", "end.
 def test_large_file_edge_cases(spark, tmp_dir):
     for k, text in enumerate(EDGE_FILES):
         _write(f"{tmp_dir}/e{k:02d}.txt", text)
-    table = file_token_table(large_file_lines(spark, tmp_dir, salt_bytes=3))   # many salts per file
+    table = file_token_table(spark, tmp_dir)
     got = {}
     for r in table.collect():
         got.setdefault(os.path.basename(r.path), {})[r.pos] = r.token

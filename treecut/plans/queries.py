@@ -321,10 +321,10 @@ def q_file_corpus(spark, sf_dir):
 @register("large_file_tokens")
 def q_large_file_tokens(spark, sf_dir):
     """Every file read by lines in parallel; token positions in the file."""
-    from ..sources.files import file_token_table, large_file_lines
+    from ..sources.files import file_token_table
     from .derived import documents_as_files, file_number
     folder = documents_as_files(spark, sf_dir)
-    table = file_token_table(large_file_lines(spark, f"{folder}/file=*"))
+    table = file_token_table(spark, f"{folder}/file=*")
     return table.select(file_number().alias("file"), "pos", "token")
 
 

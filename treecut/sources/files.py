@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.tokenize import WS_CLASS, normalise_marks, ptb_tokens, split_tokens
 from ..operators.ordering import offsets_within
+from ..session import cut_lineage, scratch_path
 
 
 def _qualified(spark: SparkSession, path: str):
@@ -75,52 +78,55 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-# A file's facts row is joined to its lines in slices of about this many
-# bytes (see ``large_file_lines``).
-SALT_BYTES = 64 * 1024 * 1024
+def _plain_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Every line tokenised as one inside a file, in the task that reads it:
+    ``(path, block, lid, n, tokens)``, written once to the shared scratch folder."""
+    inside = F.concat(F.lit("\n"), F.col("line"), F.lit("\n"))
+    t = read_lines(spark, path).select("path", "block", "lid", ptb_tokens(inside, final_period=F.lit(False)).alias("tokens"))
+    out = scratch_path(spark, f"large_file_lines/{uuid.uuid4().hex}")
+    t.select("path", "block", "lid", F.size("tokens").alias("n"), "tokens").write.parquet(out)
+    return spark.read.schema("path string, block long, lid long, n int, tokens array<string>").parquet(out)
 
 
-def large_file_lines(spark: SparkSession, path: str, salt_bytes: int = SALT_BYTES) -> DataFrame:
+def _edge_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The first, last and last non-blank line of every file, tokenised as what
+    they are: ``(path, block, fixes)``, at most three lines of a file in all."""
+    place = F.struct("block", "lid", "line")
+    blank = F.col("line").rlike("^" + WS_CLASS + "*$")
+    facts = read_lines(spark, path).groupBy("path").agg(
+        F.min(place).alias("_first"), F.max(place).alias("_last"), F.max(F.when(~blank, place)).alias("_final"),
+        (F.sum(F.octet_length("line") + 1) == F.first("file_size")).alias("_ends_nl"))
+    edges = F.array_distinct(F.array_compact(F.array("_first", "_last", "_final")))
+    e = facts.select("path", "_first", "_last", "_final", "_ends_nl", F.explode(edges).alias("_e"))
+
+    def same(name: str):
+        return F.coalesce((F.col("_e.block") == F.col(f"{name}.block")) & (F.col("_e.lid") == F.col(f"{name}.lid")), F.lit(False))
+
+    text = F.concat(F.when(same("_first"), F.lit("")).otherwise(F.lit("\n")), F.col("_e.line"),
+                    F.when(same("_last") & ~F.col("_ends_nl"), F.lit("")).otherwise(F.lit("\n")))
+    t = e.select("path", F.col("_e.block").alias("block"), F.col("_e.lid").alias("lid"), text.alias("_x"), same("_final").alias("_f"))
+    t = t.select("path", "block", "lid", ptb_tokens("_x", final_period=F.col("_f")).alias("tokens"))
+    return t.groupBy("path", "block").agg(F.collect_list(F.struct("lid", "tokens")).alias("fixes"))
+
+
+def _with_edges(plain: DataFrame, edges: DataFrame) -> DataFrame:
+    fix = F.get(F.filter("fixes", lambda x: x["lid"] == F.col("lid")), 0)
+    return plain.join(edges, ["path", "block"], "left").select("path", "block", "lid", F.coalesce(fix["tokens"], F.col("tokens")).alias("tokens"))
+
+
+def large_file_lines(spark: SparkSession, path: str) -> DataFrame:
     """Files too large for one cell, tokenised line by line in parallel.
 
     Each line is tokenised as ``'\\n' + line + '\\n'`` (no leading newline on
     a file's first line; no trailing one on its last line unless the file
     ends with a newline), so every rule sees the same neighbours as in the
     whole text; T7 (final period) is switched on only for the last non-blank
-    line.  The per-file facts (first, last and last non-blank line, whether
-    the file ends with a newline) are one aggregate row per file, joined
-    back on (path, salt): a file of ``s`` bytes is cut into
-    ``ceil(s / salt_bytes)`` salts (``file_size`` is on every line, so both
-    sides compute it without a join) and its facts row is copied once per
-    salt, so one huge file is joined by many tasks, not one; the copies add
-    about ``bytes / salt_bytes`` rows in all.  Returns
+    line.  All lines are tokenised as inner ones where they are read; the at
+    most three others of a file are found by an aggregate and put in by a join
+    on (path, block), whose groups are no larger than a split.  Returns
     ``(path, block, lid, tokens)``, one row per line.
     """
-    lines = read_lines(spark, path)
-    key = F.struct("block", "lid")
-    blank = F.col("line").rlike("^" + WS_CLASS + "*$")
-    facts = lines.groupBy("path").agg(
-        F.min(key).alias("_first"),
-        F.max(key).alias("_last"),
-        F.max(F.when(~blank, key)).alias("_last_nb"),
-        (F.sum(F.octet_length("line") + 1) == F.first("file_size")).alias("_ends_nl"),
-        F.first("file_size").alias("_size"),
-    )
-    def salts(size):
-        return F.greatest(F.lit(1), F.ceil(size / F.lit(salt_bytes))).cast("int")
-
-    facts = facts.select("*", F.explode(F.sequence(F.lit(0), salts(F.col("_size")) - 1)).alias("_salt"))
-    lines = lines.withColumn("_salt", F.pmod(F.col("lid"), salts(F.col("file_size"))).cast("int"))
-    j = lines.join(facts, ["path", "_salt"])
-    k = F.struct("block", "lid")
-    is_first, is_last = k == F.col("_first"), k == F.col("_last")
-    sandwich = F.concat(
-        F.when(is_first, F.lit("")).otherwise(F.lit("\n")),
-        F.col("line"),
-        F.when(is_last & ~F.col("_ends_nl"), F.lit("")).otherwise(F.lit("\n")),
-    )
-    final = F.coalesce(k == F.col("_last_nb"), F.lit(False))
-    return j.select("path", "block", "lid", ptb_tokens(sandwich, final_period=final).alias("tokens"))
+    return _with_edges(_plain_lines(spark, path), _edge_lines(spark, path))
 
 
 def large_file_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -132,18 +138,25 @@ def large_file_tokens(spark: SparkSession, path: str) -> DataFrame:
         "path", "block", "lid", F.col("pos").cast("bigint").alias("pos"), "token")
 
 
-def file_token_table(line_arrays: DataFrame) -> DataFrame:
-    """``(path, pos, token)`` with ``pos`` the token's place in its file.
+def file_token_table(spark: SparkSession, path: str) -> DataFrame:
+    """S4 as ``(path, pos, token)`` with ``pos`` the token's place in its file.
 
-    Takes ``large_file_lines`` rows.  A distributed running sum of the
-    tokens per line in (path, block, lid) order gives each line's offset in
-    its file; the lines (with their token arrays) ride through it and are
-    materialised once there, so the cascade runs once per line, and only
-    then are the arrays exploded.  No window holds a whole file.
+    The tokens before a line are those of its file's earlier splits (a running
+    sum over one small row per split, from the counts alone) and those of
+    earlier lines in its split (a window over one split).  The edge lines, the
+    offsets and the window share one hash partitioning on (path, block): token
+    arrays move once.
     """
-    per_line = line_arrays.select("path", "block", "lid", "tokens", F.size("tokens").alias("_n"))
-    offs = offsets_within(per_line, ["path"], ["block", "lid"], "_n", "_off")
-    rows = offs.select("path", "_off", F.posexplode_outer("tokens").alias("pos", "token"))
+    plain, edges = _plain_lines(spark, path), cut_lineage(_edge_lines(spark, path))
+    fixed = edges.select("path", "block", F.explode("fixes").alias("_x")).select("path", "block", F.col("_x.lid").alias("lid"), F.size("_x.tokens").alias("_m"))
+    counts = plain.select("path", "block", "lid", "n").join(fixed, ["path", "block", "lid"], "left")
+    per_block = counts.groupBy("path", "block").agg(F.sum(F.coalesce("_m", "n")).alias("_n"))
+    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = cut_lineage(per_block.select("path", "block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off")))
+    before = Window.partitionBy("path", "block").orderBy("lid").rowsBetween(Window.unboundedPreceding, -1)
+    lines = _with_edges(plain, edges).join(offsets, ["path", "block"])
+    placed = lines.select("path", (F.col("_off") + F.coalesce(F.sum(F.size("tokens")).over(before), F.lit(0))).alias("_off"), "tokens")
+    rows = placed.select("path", "_off", F.posexplode_outer("tokens").alias("pos", "token"))
     return rows.where(F.col("token").isNotNull()).select(
         "path", (F.col("_off") + F.col("pos")).cast("bigint").alias("pos"), "token")
 
