@@ -63,8 +63,10 @@ def ngrams(text: str | None) -> np.ndarray | None:
 def codewords(k: int) -> np.ndarray:
     """A +1/-1 codeword for each of ``k`` classes: all two-way splits for up to
     five classes, else the best of seeded random codes by smallest distance."""
+    if k < 2:
+        return np.zeros((k, 0), dtype=np.int8)
     if k <= 5:
-        bits = [[1 if (split >> i) & 1 else -1 for i in range(k)] for split in range(1, 1 << max(k - 1, 0))]
+        bits = [[1 if (split >> i) & 1 else -1 for i in range(k)] for split in range(1, 1 << (k - 1))]
         return np.array(bits, dtype=np.int8).reshape(-1, k).T
     n_bits, draw, best, best_gap = 10 * int(np.ceil(np.log2(k))), np.random.default_rng(k), None, -1
     for _ in range(200):

@@ -106,7 +106,14 @@ def pieces(docs: DataFrame, ranks_file: str, text: str = "text", key: str = "doc
 
 
 def plan(counts: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
-    """Places for ``counts[length]`` pieces of each length.
+    """Places for ``counts[length]`` pieces of each length: the fewest sequences
+    among fillings of a gap by up to three, two, one or no other lengths before
+    the best fit.  See ``filled``."""
+    return min((filled(counts, capacity, most) for most in (3, 2, 1, 0)), key=lambda found: found[1])[0]
+
+
+def filled(counts: np.ndarray, capacity: int, most: int) -> tuple[np.ndarray, int]:
+    """Places, and how many sequences they take.
 
     Returns rows (length, first, per, sequence, offset): the pieces of that
     length numbered from ``first`` go, ``per`` to a sequence, into the sequences
@@ -130,11 +137,11 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
     def fill(gap: int) -> tuple[int, ...] | None:
         if gap < 1:
             return () if gap == 0 else None
-        if left[gap]:
+        if most and left[gap]:
             return (gap,)
-        if gap > 1 and (two := pair(gap)):
+        if most > 1 and gap > 1 and (two := pair(gap)):
             return two
-        for a in np.flatnonzero(left[: max(gap - 1, 0)])[::-1]:
+        for a in np.flatnonzero(left[: max(gap - 1, 0)])[::-1] if most > 2 else ():
             left[a] -= 1
             two = pair(int(gap - a))
             left[a] += 1
@@ -186,7 +193,7 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
             put(length, per, used, at, capacity - room)
             keep(room - per * length, at, used)
             keep(room, at + used, bins - used)
-    return np.array(sorted(rows), dtype=np.int64).reshape(-1, 5)
+    return np.array(sorted(rows), dtype=np.int64).reshape(-1, 5), sequence
 
 
 def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
