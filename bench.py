@@ -22,8 +22,9 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from treecut.operators.stats import run_report  # noqa: E402
+from treecut.plans.derived import documents_as_files  # noqa: E402
 from treecut.plans.queries import REGISTRY  # noqa: E402
-from treecut.plans.tables import load_text  # noqa: E402
+from treecut.plans.tables import load, load_text  # noqa: E402
 from treecut.session import get_session  # noqa: E402
 
 HEADLINE = [
@@ -34,8 +35,9 @@ HEADLINE = [
     "previews",               # L1/L2 per document
     "token_diff",             # J2: ptb vs whitespace, greedy resync
     "token_diff_rows",        # J3: mismatch listing
-    "batch_manifest",         # W1: exact next-fit batching (bounded one-task walk)
-    "batch_manifest_distributed",  # W1 on the distributed pointer-doubling path
+    "batch_manifest",         # W1: exact next-fit batching
+    "batch_previews",         # L1/L2 per batch
+    "token_parts",            # S6 + S7: parts written per batch and read back
     "large_file_tokens",      # S4: files read by lines in parallel, positions in the file
 ]
 
@@ -67,6 +69,9 @@ def main() -> None:
     if os.path.isdir(warm):
         REGISTRY["ptb_tokens"](spark, warm).write.format("noop").mode("overwrite").save()
 
+    t0 = time.perf_counter()
+    documents_as_files(spark, sf_dir)
+    files_written = time.perf_counter() - t0
     runs = int(os.environ.get("BENCH_RUNS", "2"))
     times: dict[str, float] = {}
     for name in HEADLINE:
@@ -78,6 +83,8 @@ def main() -> None:
         times[name] = round(best, 3)
 
     rep = min((run_report(load_text(spark, sf_dir, "documents")) for _ in range(runs)), key=lambda r: r.seconds)
+    one_task = load(spark, sf_dir, "documents").select("doc_id", "text").coalesce(1)
+    one = min((run_report(one_task) for _ in range(runs)), key=lambda r: r.seconds)
     py = python_cascade_baseline(sf_dir) if os.environ.get("BENCH_PY_BASELINE", "1") != "0" else None
     total = round(sum(times.values()), 3)
     sf = os.path.basename(sf_dir).replace("sf", "")
@@ -93,6 +100,8 @@ def main() -> None:
             "bytes": rep.bytes, "tokens": rep.tokens, "files": rep.files,
             "sec": round(rep.seconds, 3), "kb_per_s": round(rep.kb_per_s, 1),
         },
+        "tokenise_documents_one_core": {"sec": round(one.seconds, 3), "kb_per_s": round(one.kb_per_s, 1)},
+        "files_written_before_large_file_tokens_sec": round(files_written, 3),
         **({"python_cascade_one_process": py,
             "speedup_vs_python_cascade": round(py["sec"] / rep.seconds, 2)} if py else {}),
     }))
