@@ -1,4 +1,4 @@
-"""Write PLANS.md: the physical operator tree of every registered query.
+"""Write PLANS.md: the physical operator tree of every query of plans/queries.py.
 
 Usage: python tools/show_plans.py [sf_dir]  (default /root/testdata/sf0.01)
 Only the operator tree (from ``explain("formatted")``) and the scan schemas
@@ -15,7 +15,7 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from __spark_entry__ import queries  # noqa: E402
+from treecut.plans.queries import REGISTRY  # noqa: E402
 from treecut.session import get_session  # noqa: E402
 
 
@@ -41,7 +41,7 @@ def main() -> None:
            "cascade. A large input arrives in many splits and has no such exchange. Broadcasts of",
            "whole tables appear only because the test tables are small (Spark's size check);",
            "`Scan ExistingRDD` is a checkpointed table.", ""]
-    for name, fn in queries().items():
+    for name, fn in REGISTRY.items():
         if name.startswith("ptb_rule_") and name != "ptb_rule_T1":
             continue
         out += [f"## {name}", "", "```", tree(fn(spark, sf_dir)), "```", ""]
