@@ -134,13 +134,13 @@ class Block:
         return at
 
 
-def _look_up(index: DataFrame, item_of: np.ndarray, queries: list[np.ndarray], n_terms: int, within: int | None) -> DataFrame:
+def _look_up(index: DataFrame, names: list[str | None], item_of: np.ndarray, queries: list[np.ndarray], n_terms: int, within: int | None) -> DataFrame:
     """Per document (``row``): hit spans as (first, end) word numbers, and the
-    numbers of the items found."""
+    names of the items found."""
     kind = dict(index.dtypes)["ids"][len("array<") : -1]
     id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
     span = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
-    schema = pa.schema([("row", pa.int64()), ("doc_id", id_type), ("n_words", pa.int64()), ("spans", span), ("items", pa.list_(pa.int64()))])
+    schema = pa.schema([("row", pa.int64()), ("doc_id", id_type), ("n_words", pa.int64()), ("spans", span), ("items", pa.list_(pa.string()))])
     lengths = np.array([len(q) for q in queries], dtype=np.int64)
     flat = np.concatenate(queries) if queries else np.zeros(0, dtype=np.int64)
     begin = np.cumsum(lengths) - lengths
@@ -159,11 +159,11 @@ def _look_up(index: DataFrame, item_of: np.ndarray, queries: list[np.ndarray], n
                         spans[d].append((p, p + (int(lengths[q]) if within is None else 1)))
                         items[d].add(int(item_of[q]))
                 for row, doc_id, n, s, i in zip(own, ids, n_words, spans, items):
-                    yield row, doc_id, n, [{"first": a, "end": b} for a, b in joined(s)], sorted(i)
+                    yield row, doc_id, n, [{"first": a, "end": b} for a, b in joined(s)], [names[x] for x in sorted(i)]
 
         yield from emit(rows(), schema)
 
-    return index.mapInArrow(find, f"row long, doc_id {kind}, n_words long, spans array<struct<first:long,end:long>>, items array<long>")
+    return index.mapInArrow(find, f"row long, doc_id {kind}, n_words long, spans array<struct<first:long,end:long>>, items array<string>")
 
 
 def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -207,9 +207,8 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, wit
                 queries.append(own[at : at + window] if within is None else own)
                 owner.append(item)
         index = stored(build_index(docs, terms, text, key), "postings")
-        hit = _look_up(index, np.array(owner, dtype=np.int64), queries, len(terms), within)
-        names = F.array(*(F.lit(x).cast("string") for x in ids)) if ids else F.array().cast("array<string>")
-        out.append(hit.withColumn("items", F.transform("items", lambda i: F.get(names, i.cast("int")))))
+        names = [None if x is None else str(x) for x in ids]
+        out.append(_look_up(index, names, np.array(owner, dtype=np.int64), queries, len(terms), within))
     if len(out) == 1:
         return out[0]
     whole = out[0]
