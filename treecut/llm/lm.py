@@ -42,7 +42,7 @@ from .eliasfano import EliasFano, mapped, pack
 from .langid import fold
 
 #: Tokens of a block.
-BLOCK_TOKENS = 1 << 22
+BLOCK_TOKENS = 1 << 20
 #: Words (of all blocks) that one shard merges.
 SHARD_WORDS = 8_000_000
 #: Words that n-grams are made of have at least this share of the training
@@ -243,7 +243,12 @@ class Trie:
         return np.where(counts > 0, np.log10(np.maximum(counts - self.discount, 1e-300) / max(self.tokens, 1)), self.unknown())
 
     def levels(self) -> Levels:
-        return once_per_worker(("trie", self.name), lambda: Levels(mapped(self.buffer, self.where)))
+        """This trie opened; a worker keeps the last one."""
+        kept = once_per_worker("trie", dict)
+        if self.name not in kept:
+            kept.clear()
+            kept[self.name] = Levels(mapped(self.buffer, self.where))
+        return kept[self.name]
 
 
 class Levels:
