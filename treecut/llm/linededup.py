@@ -1,15 +1,18 @@
-"""Operator 2, line deduplication by content-defined chunks of lines.
+"""Operator 2, line deduplication by a rolling hash of neighbouring lines.
 
-A rolling hash over the hashes of neighbouring lines ends a chunk wherever it
-falls into one residue class, so an inserted line moves at most the boundaries
-next to it.  A chunk of two or more lines that occurs elsewhere is removed
-everywhere but at its first occurrence (smallest key, then first line), after its
-bytes have been compared with those of that occurrence.  DataFrame functions only.
+A hash of the hashes of two neighbouring lines rolls over each document.  A pair
+of lines that occurs elsewhere is removed everywhere but at its first occurrence
+(smallest key, then first line), after its bytes have been compared with those of
+that occurrence.  The pairs of a repeated passage overlap, so each run of two or
+more repeated lines goes whole, whatever stands around it.  DataFrame functions
+only.
 
 Defined cases: null and empty texts stay as they are; a text may lose all its
-lines and is then empty; single-line chunks always stay; rows that repeat both
-key and text are one document and keep the same lines; a null key sorts first;
-other columns are carried along.
+lines and is then empty; a repeated line between lines that are not stays, and so
+does a pair that overlaps its own first occurrence (the third of three equal
+lines); blank lines count like others; rows that repeat both key and text are one
+document and keep the same lines; a null key sorts first; other columns are
+carried along.
 """
 
 from __future__ import annotations
@@ -19,11 +22,6 @@ from pyspark.sql import functions as F
 
 from .common import growing, load, stored
 
-#: Lines under the rolling hash, and how many lines a chunk has on average.
-WINDOW = 2
-DIVISOR = 3
-
-
 def _row(key: str, text: str) -> Column:
     return F.xxhash64(F.col(key), F.col(text)).alias("_row")
 
@@ -32,38 +30,37 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def _chunks(docs: DataFrame, text: str, key: str, window: int, divisor: int) -> DataFrame:
-    """A row for each chunk of two or more lines: where it is, its two hashes
-    and (pruned where unused) its lines."""
-    lines = docs.where(F.col(text).contains("\n")).select(F.col(key).alias("_key"), _row(key, text), _lines(F.col(text)).alias("_lines"))
-    hashed = lines.withColumn("_h", F.transform("_lines", lambda x: F.xxhash64(x)))
+def _pairs(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """A row for each two neighbouring lines: where they are and their two hashes."""
+    lines = docs.where(F.col(text).contains("\n")).select(F.col(key).alias("_key"), _row(key, text), F.transform(_lines(F.col(text)), lambda x: F.xxhash64(x)).alias("_h"))
     h = F.col("_h")
-    rolling = lambda i: F.xxhash64(*(F.get(h, i - 1 - k) for k in range(window)))
-    ends = F.filter(F.sequence(F.lit(1), F.size(h)), lambda i: (i == F.size(h)) | ((i >= window) & (F.pmod(rolling(i), F.lit(divisor)) == 0)))
-    spans = hashed.withColumn("_ends", ends)
-    last = F.col("_ends")
-    span = F.transform(last, lambda e, j: F.struct(F.when(j == 0, 1).otherwise(F.get(last, j - 1) + 1).alias("start"), e.alias("end")))
-    each = spans.select("_key", "_row", "_lines", "_h", F.explode(F.filter(span, lambda s: s["end"] > s["start"])).alias("_c"))
-    own = F.slice("_h", F.col("_c.start"), F.col("_c.end") - F.col("_c.start") + 1)
-    return each.select("_key", "_row", F.col("_c.start").alias("_start"), F.col("_c.end").alias("_end"), F.xxhash64(own).alias("_c1"), F.xxhash64(F.lit(1), own).alias("_c2"),
-                       F.slice("_lines", F.col("_c.start"), F.col("_c.end") - F.col("_c.start") + 1).alias("_body"))
+    own = lambda i: (F.get(h, i - 1), F.get(h, i))
+    pair = F.transform(F.sequence(F.lit(1), F.size(h) - 1), lambda i: F.struct(i.alias("_start"), F.xxhash64(*own(i)).alias("_c1"), F.xxhash64(F.lit(1), *own(i)).alias("_c2")))
+    return lines.select("_key", "_row", F.explode(pair).alias("_p")).select("_key", "_row", "_p.*")
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW, divisor: int = DIVISOR) -> DataFrame:
-    """``docs`` with repeated chunks cut from ``text``; ``_n_lines`` and
+def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``docs`` with repeated runs of lines cut from ``text``; ``_n_lines`` and
     ``_n_removed`` are added."""
-    chunks = _chunks(docs, text, key, window, divisor)
+    pairs = _pairs(docs, text, key)
     same, at = ["_c1", "_c2"], F.struct("_key", "_row", "_start")
-    # Counted on hashes alone; a frequent chunk is one row per task here.
-    repeated = stored(chunks.groupBy(*same).agg(F.min(at).alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n"), "repeated-chunks")
-    found = chunks.join(growing(repeated), same).withColumn("_is_first", at.eqNullSafe(F.col("_first"))).withColumn("_body", F.array_join("_body", "\n"))
-    found = stored(found.select("_row", "_start", "_end", *same, "_is_first", "_body"), "chunk-bytes")
-    kept = stored(found.where("_is_first").groupBy(*same).agg(F.min("_body").alias("_kept_body")), "kept-chunks")
+    # Counted on hashes alone; a frequent pair is one row per task here.
+    repeated = stored(pairs.groupBy(*same).agg(F.min(at).alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n"), "repeated-pairs")
+    overlaps = (F.col("_row") == F.col("_first._row")) & (F.col("_start") == F.col("_first._start") + 1)
+    marks = pairs.join(growing(repeated), same).where(~overlaps).withColumn("_is_first", at.eqNullSafe(F.col("_first")))
+    marks = marks.groupBy("_row").agg(F.collect_set(F.struct("_start", *same, "_is_first")).alias("_marks"))
+    # Lines travel with their document, and only repeated ones are sent again.
+    texts = docs.select(_row(key, text), F.col(text).alias("_text")).where(F.col("_text").contains("\n"))
+    marked = texts.join(growing(marks), "_row").select("_row", "_marks", _lines(F.col("_text")).alias("_lines"))
+    body = lambda m: F.concat_ws("\n", F.get(F.col("_lines"), m["_start"] - 1), F.get(F.col("_lines"), m["_start"]))
+    found = marked.select("_row", F.explode(F.transform("_marks", lambda m: m.withField("_body", body(m)))).alias("_m"))
+    found = stored(found.select("_row", "_m.*"), "pair-bytes")
+    kept = stored(found.where("_is_first").groupBy(*same).agg(F.min("_body").alias("_kept_body")), "kept-pairs")
     equal = found.where("not _is_first").join(growing(kept), same).where(F.col("_body") == F.col("_kept_body"))
-    cuts = equal.groupBy("_row").agg(F.collect_set(F.struct(F.col("_start").alias("s"), F.col("_end").alias("e"))).alias("_cuts"))
+    cuts = equal.groupBy("_row").agg(F.collect_set("_start").alias("_cuts"))
 
     whole = docs.withColumn("_row", _row(key, text)).join(growing(cuts), "_row", "left")
-    cut_lines = F.flatten(F.transform("_cuts", lambda c: F.sequence(c["s"], c["e"])))
+    cut_lines = F.array_union("_cuts", F.transform("_cuts", lambda s: s + 1))
     whole = whole.withColumn("_lines", F.when(F.col("_cuts").isNotNull(), _lines(F.col(text))))
     left = F.array_except(F.sequence(F.lit(1), F.size("_lines")), cut_lines)
     shorter = F.array_join(F.transform(left, lambda i: F.get(F.col("_lines"), i - 1)), "\n")
@@ -74,6 +71,6 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", window
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with its repeated line chunks removed."""
+    """Every document with its repeated runs of lines removed."""
     done = dedup_lines(load(spark, sf_dir, "documents"))
     return done.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), "text")
