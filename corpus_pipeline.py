@@ -25,7 +25,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without their repeated chunks of lines; a document of which nothing
+    """Texts without their repeated runs of lines; a document of which nothing
     visible is left goes."""
     done = linededup.dedup_lines(docs)
     done = done.where((F.col("_n_removed") == 0) | F.col("text").rlike(r"\S"))
