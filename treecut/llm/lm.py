@@ -5,16 +5,15 @@
 2. Word counts meet in shards of the hash space: a block sends a shard its words
    and training counts, and gets back the corpus counts of its words, so no
    vocabulary is ever whole in one place.
-3. Two- and three-word counts of frequent words meet in the same way; an n-gram
-   is kept from a fixed share of the training tokens on, so that at most
-   1 / share of them exist, whatever the corpus.
-4. These form a trie.  Per level: Elias-Fano pointers to each context's
-   successors, the successors' numbers (a third word as its number among the
-   successors of the second) made monotone and Elias-Fano coded, and 8-bit
-   quantised discounted probabilities and back-off weights.  Workers map it.
-5. Blocks are scored: the longest n-gram found, or the shorter one's probability
-   times the back-off weight; at last the absolutely discounted word count, whose
-   discounts are the probability of a word never seen in training.
+3. Pairs and triples meet in shards by the hash of their context (a word, a
+   pair): a block sends each shard its distinct n-grams with their training counts.
+   All n-grams seen ``LEAST`` times are kept, whatever the size of the corpus.
+4. A shard's part of the trie's level: the kept n-grams and their contexts,
+   Elias-Fano coded, with 8-bit quantised discounted probabilities and back-off
+   weights.  It is built and read in the shard's task, which answers the blocks.
+5. Blocks are scored from the answers: the longest n-gram found, or the shorter
+   one's probability times the back-off weight; at last the absolutely discounted
+   word count, whose discounts are the probability of a word never seen in training.
 
 For every context the probabilities of all words and of one unknown word sum to
 at most 1 (quantising rounds down).
@@ -26,9 +25,9 @@ tokens every score is 0; an empty table gives no rows; other columns are ignored
 
 from __future__ import annotations
 
-import uuid
+import pickle
+import tempfile
 from collections.abc import Iterator
-from dataclasses import dataclass
 from itertools import groupby
 
 import numpy as np
@@ -37,18 +36,24 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import emit, growing, load, once_per_worker, scan, stored, words_of
-from .eliasfano import EliasFano, mapped, pack
+from .common import emit, growing, load, scan, stored, words_of
+from .eliasfano import EliasFano
 from .langid import fold
 
 #: Tokens of a block.
 BLOCK_TOKENS = 1 << 20
 #: Words (of all blocks) that one shard merges.
 SHARD_WORDS = 8_000_000
-#: Words that n-grams are made of have at least this share of the training
-#: tokens, and n-grams that one: so there are at most 2**14 and 2**21 of them.
-WORD_SHARE = 2.0**-14
-NGRAM_SHARE = 2.0**-21
+#: N-grams (of all blocks) that one shard merges, and how many it holds unmerged.
+SHARD_GRAMS = 1_000_000
+HELD_GRAMS = 500_000
+#: Bytes of a shard's questions that wait in memory.
+HELD_BYTES = 16 << 20
+#: No share of the training tokens is asked of a word or n-gram, the model grows
+#: with the corpus (test_lm.py reads these).
+WORD_SHARE = NGRAM_SHARE = 0.0
+#: N-grams are kept from this count on.
+LEAST = 2
 #: Absolute discount of n-grams.
 DISCOUNT = 0.75
 #: The hash of the end token; no word has it.
@@ -117,10 +122,10 @@ def opened(tokens: bytes) -> np.ndarray:
     return np.frombuffer(tokens, np.uint8).reshape(4, -1).T.copy().view(np.uint32).reshape(-1).astype(np.int64)
 
 
-def word_counts(blocks: DataFrame, shards: int, least: float) -> DataFrame:
+def word_counts(blocks: DataFrame, shards: int) -> DataFrame:
     """Rows (``block``, ``shard``, ``counts`` of the block's words of that shard)
     and, with a null block, per shard: ``stats`` (words, words seen once and
-    twice in training) and ``words``, ``counts`` of at least ``least``."""
+    twice in training)."""
     edge = [(i << 64) // shards for i in range(1, shards)]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,248 +150,262 @@ def word_counts(blocks: DataFrame, shards: int, least: float) -> DataFrame:
                 np.add.at(total, place, np.concatenate([opened(c) for c in counts]))
                 answer = np.split(total[place], np.cumsum([len(w) for w in own])[:-1])
                 for b, c in zip(block, answer):
-                    yield b, shard, c.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes(), None, None
-                often = total >= least
-                yield None, shard, total[often].astype("<u8").tobytes(), every[often].tobytes(), [int((total > 0).sum()), int((total == 1).sum()), int((total == 2).sum())]
+                    yield b, shard, c.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes(), None
+                yield None, shard, None, [int((total > 0).sum()), int((total == 1).sum()), int((total == 2).sum())]
 
-        yield from emit(rows(), pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("counts", pa.binary()), ("words", pa.binary()), ("stats", pa.list_(pa.int64()))]), 16)
+        yield from emit(rows(), pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("counts", pa.binary()), ("stats", pa.list_(pa.int64()))]), 16)
 
     sent = blocks.select("block", "held", "lengths", "words", "tokens").mapInArrow(send, "shard int, block long, words binary, counts binary")
-    return sent.repartition("shard").sortWithinPartitions("shard", "block").mapInArrow(merge, "block long, shard int, counts binary, words binary, stats array<long>")
+    return sent.repartition("shard").sortWithinPartitions("shard", "block").mapInArrow(merge, "block long, shard int, counts binary, stats array<long>")
 
 
-def _frequent(words: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """Each word's number among ``frequent``, or -1."""
-    if not len(frequent):
-        return np.full(len(words), -1, dtype=np.int64)
-    at = np.minimum(np.searchsorted(frequent, words), len(frequent) - 1)
-    return np.where(frequent[at] == words, at, -1)
-
-
-def _grams(gram: np.ndarray, lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs and triples of frequent words that follow one another, as numbers,
-    for each token that ends one (-1 where there is none)."""
-    nth = np.arange(len(gram)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    one, two = np.roll(gram, 1), np.roll(gram, 2)
-    pair = np.where((nth > 0) & (gram >= 0) & (one >= 0), one * size + gram, -1)
-    triple = np.where((nth > 1) & (pair >= 0) & (two >= 0), two * size * size + pair, -1)
-    return pair, triple
+def quantised(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and code book of at most 256 values, each rounded down."""
+    book = np.unique(np.quantile(values, np.linspace(0, 1, 256), method="lower")) if len(values) else np.zeros(1)
+    return (np.searchsorted(book, values, side="right") - 1).astype(np.uint8), book
 
 
-def ngram_counts(blocks: DataFrame, frequent: np.ndarray, shards: int, least: float) -> DataFrame:
-    """``size``, ``grams`` and ``counts`` of the pairs and triples of frequent
-    words that occur at least ``least`` times in training."""
+def planes(numbers: np.ndarray) -> bytes:
+    """Numbers below 2^32, their bytes of equal weight together; ``opened`` reads them."""
+    return np.ascontiguousarray(numbers, dtype="<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _mix(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """63-bit hashes of ordered pairs of hashes."""
+    x = (first.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = ((x ^ (x >> np.uint64(29))) + second.astype(np.uint64)) * np.uint64(0x94D049BB133111EB)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((x ^ (x >> np.uint64(30))) >> np.uint64(1)).astype(np.int64)
+
+
+def _short(keys: np.ndarray) -> bytes:
+    """48 bits of each key: they travel beside its context."""
+    return np.ascontiguousarray(keys >> 15, dtype="<i8").view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes()
+
+
+def _long(context: np.ndarray, raw: bytes) -> np.ndarray:
+    """Keys among all contexts again."""
+    wide = np.zeros((len(context), 8), dtype=np.uint8)
+    wide[:, :6] = np.frombuffer(raw, np.uint8).reshape(6, -1).T
+    return _mix(context, wide.view("<u8").reshape(-1))
+
+
+class Grams:
+    """The distinct ``size``-grams of a block by context hash, without those of
+    which a shorter part is too rare (``known`` says of each token whether the
+    shorter n-gram that ends there is kept).  ``asks`` are the tokens after a
+    context, ``of`` the numbers of these contexts; ``ends`` the tokens that end an
+    n-gram, ``place`` its number, ``which`` the number of each n-gram's context."""
+
+    def __init__(self, words: np.ndarray, tokens: np.ndarray, lengths: np.ndarray, size: int, known: np.ndarray):
+        nth = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        self.asks = np.flatnonzero((nth >= size - 1) & np.roll(known, 1))
+        before = words[tokens[self.asks - 1]]
+        context = (before >> np.uint64(1)).astype(np.int64) if size == 2 else _mix(words[tokens[self.asks - 2]] >> np.uint64(1), before)
+        self.contexts, of = np.unique(context, return_inverse=True)
+        self.of = of.astype(np.int32)
+        inner = known[self.asks]
+        self.ends = self.asks[inner]
+        own, first, inverse = np.unique(_mix(context[inner], words[tokens[self.ends]]), return_index=True, return_inverse=True)
+        which = self.of[inner][first]
+        order = np.argsort(which, kind="stable")
+        turned = np.empty(len(order), dtype=np.int32)
+        turned[order] = np.arange(len(order))
+        self.place, self.first = turned[inverse], self.ends[first[order]]
+        self.keys, self.which = own[order], which[order]
+
+
+def pair_scores(words: np.ndarray, tokens: np.ndarray, lengths: np.ndarray, counts: np.ndarray, answers: list) -> tuple[Grams, np.ndarray]:
+    """The pairs of a block, and the score of the kept pair that ends at each
+    token, else NaN."""
+    own = Grams(words, tokens, lengths, 2, (counts >= LEAST)[tokens])
+    found = np.full(len(tokens), np.nan)
+    found[own.ends] = answered(answers, "codes", "book")[own.place]
+    return own, found
+
+
+def _summed(parts: list[tuple]) -> tuple:
+    """Contexts (sorted, distinct) and how often they occur."""
+    context, count = map(np.concatenate, zip(*parts))
+    own, inverse = np.unique(context, return_inverse=True)
+    total = np.zeros(len(own), dtype=np.int64)
+    np.add.at(total, inverse, count)
+    return own, total
+
+
+def _merged(parts: list[tuple]) -> tuple:
+    """Contexts, keys (sorted, distinct), counts and lower-order scores."""
+    context, key, count, lower = map(np.concatenate, zip(*parts))
+    own, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+    total = np.zeros(len(own), dtype=np.int64)
+    np.add.at(total, inverse, count)
+    return context[first], own, total, lower[first]
+
+
+class Level:
+    """One shard's n-grams of one size: Elias-Fano coded keys and contexts with
+    codes of their log10 probabilities and back-off weights."""
+
+    def __init__(self, every: np.ndarray, total: np.ndarray, context: np.ndarray, key: np.ndarray, count: np.ndarray, lower: np.ndarray):
+        kept = count >= LEAST
+        which, n = np.searchsorted(every, context[kept]), len(every)
+        self.codes, self.book = quantised(np.log10((count[kept] - DISCOUNT) / total[which]))
+        log_floor = lambda x: np.log10(np.maximum(x, 1e-12))
+        has = np.bincount(which, minlength=n) > 0
+        left, below = (1 - np.bincount(which, 10**x, minlength=n)[has] for x in (self.book[self.codes], lower[kept]))
+        self.back, self.back_book = quantised(log_floor(left) - log_floor(below))
+        self.keys, self.contexts = EliasFano.encode(key[kept]), EliasFano.encode(every[has])
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            for held, lengths, words, tokens in scan(batches, "held", "lengths", "words", "tokens"):
-                n, train = np.array(lengths), ~np.array(held, dtype=bool)
-                gram = _frequent(expanded(words), frequent)[opened(tokens)[np.repeat(train, n)]]
-                for size, found in zip((2, 3), _grams(gram, n[train], len(frequent))):
-                    own, counts = np.unique(found[found >= 0].astype(np.uint64), return_counts=True)
-                    shard = ((own * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(shards)
-                    order = np.argsort(shard, kind="stable")
-                    cut = np.searchsorted(shard[order], np.arange(shards + 1))
-                    for s in range(shards):
-                        at = order[cut[s] : cut[s + 1]]
-                        if len(at):
-                            yield size, s, squeezed(own[at]), counts[at].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-
-        yield from emit(rows(), pa.schema([("size", pa.int32()), ("shard", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary())]), 16)
+    @staticmethod
+    def _find(among: EliasFano, asked: np.ndarray, codes: np.ndarray) -> bytes:
+        """The codes of ``asked`` plus 1, 0 where it is not there."""
+        out = np.zeros(len(asked), dtype=np.int64)
+        if among.n:
+            at = among.successor(asked)
+            inside = np.flatnonzero(at < among.n)
+            hit = inside[among.get(at[inside]) == asked[inside]]
+            out[hit] = codes[at[hit]].astype(np.int64) + 1
+        return planes(out)
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            for (size, _), group in groupby(scan(batches, "size", "shard", "grams", "counts"), key=lambda r: r[:2]):
-                _, _, grams, counts = zip(*group)
-                own, place = np.unique(np.concatenate([expanded(g) for g in grams]), return_inverse=True)
-                total = np.zeros(len(own), dtype=np.int64)
-                np.add.at(total, place, np.concatenate([opened(c) for c in counts]))
-                often = total >= least
-                yield size, own[often].tobytes(), total[often].tobytes()
+    def answer(self, contexts: np.ndarray, keys: np.ndarray) -> tuple:
+        return self._find(self.keys, keys, self.codes), self.book.tobytes(), self._find(self.contexts, contexts, self.back), self.back_book.tobytes()
 
-        yield from emit(rows(), pa.schema([("size", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary())]), 16)
 
-    sent = blocks.select("held", "lengths", "words", "tokens").mapInArrow(send, "size int, shard int, grams binary, counts binary")
-    return sent.repartition("size", "shard").sortWithinPartitions("size", "shard").mapInArrow(merge, "size int, grams binary, counts binary")
+def answered(answers: list, codes: str, book: str) -> np.ndarray:
+    """Values that the shards sent a block, NaN where there is none."""
+    if not answers:
+        return np.zeros(0)
+    return np.concatenate([np.append(np.nan, np.frombuffer(a[book], np.float64))[opened(a[codes])] for a in answers])
 
 
-def quantised(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and code book of at most 256 values, each rounded down."""
-    book = np.unique(np.quantile(values, np.linspace(0, 1, 256), method="lower")) if len(values) else np.zeros(1)
-    return (np.searchsorted(book, values, side="right") - 1).astype(np.uint8), book
+class Words:
+    """log10 probabilities of words by their training counts."""
 
+    def __init__(self, tokens: int, words: int, discount: float):
+        self.tokens, self.words, self.discount = tokens, words, discount
 
-def _monotone(context: np.ndarray, number: np.ndarray) -> np.ndarray:
-    """``number`` (sorted within each sorted ``context``) made increasing: every
-    context starts right after the last value of the one before."""
-    last = np.append(context[1:] != context[:-1], True) if len(context) else np.zeros(0, dtype=bool)
-    base = np.cumsum(np.where(last, number + 1, 0))
-    return number + np.concatenate(([0], base[:-1])) if len(number) else number
+    def unknown(self) -> float:
+        return np.log10(self.discount * self.words / self.tokens) if self.tokens else 0.0
 
+    def scores(self, counts: np.ndarray) -> np.ndarray:
+        return np.where(counts > 0, np.log10(np.maximum(counts - self.discount, 1e-300) / max(self.tokens, 1)), self.unknown())
 
-@dataclass
-class Trie:
-    """The packed levels; ``levels`` opens them in a worker."""
 
-    name: str
-    tokens: int
-    words: int
-    discount: float
-    frequent: np.ndarray
-    buffer: bytes
-    where: list
+def counts_of(answers: list) -> np.ndarray:
+    return np.concatenate([np.frombuffer(a["counts"], np.uint8).reshape(8, -1).T.copy().view("<u8").reshape(-1) for a in answers]).astype(np.int64)
 
-    def unknown(self) -> float:
-        return np.log10(self.discount * self.words / self.tokens) if self.tokens else 0.0
 
-    def word_scores(self, counts: np.ndarray) -> np.ndarray:
-        return np.where(counts > 0, np.log10(np.maximum(counts - self.discount, 1e-300) / max(self.tokens, 1)), self.unknown())
+_GRAMS = ("contexts", "totals", "sizes", "keys", "counts", "lower", "lower_book")
+_ANSWER = ("codes", "book", "back", "back_book")
 
-    def levels(self) -> Levels:
-        """This trie opened; a worker keeps the last one."""
-        kept = once_per_worker("trie", dict)
-        if self.name not in kept:
-            kept.clear()
-            kept[self.name] = Levels(mapped(self.buffer, self.where))
-        return kept[self.name]
 
+def gram_scores(blocks: DataFrame, model: Words, shards: int, size: int) -> DataFrame:
+    """Rows (``block``, ``shard``, codes and code books of its n-grams and their
+    contexts there); ``blocks`` has the answers for the next shorter ones."""
+    shorter = ["answers1", "answers2"][: size - 1]
+    edge = np.array([(i << 63) // shards for i in range(1, shards)], dtype=np.int64)
 
-class Levels:
-    """The trie's mapped levels."""
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for block, held, lengths, words, raw, *answers in scan(batches, "block", "held", "lengths", "words", "tokens", *shorter):
+                words, tokens, n, known = expanded(words), opened(raw), np.array(lengths), counts_of(answers[0])
+                if size == 2:
+                    own, lower = Grams(words, tokens, n, 2, (known >= LEAST)[tokens]), model.scores(known)[tokens]
+                else:
+                    lower = pair_scores(words, tokens, n, known, answers[1])[1]
+                    own = Grams(words, tokens, n, 3, ~np.isnan(lower))
+                lower, train = lower[own.first], np.repeat(~np.array(held, dtype=bool), n)
+                counts = np.bincount(own.place[train[own.ends]], minlength=len(own.keys))
+                totals = np.bincount(own.of[train[own.asks]], minlength=len(own.contexts))
+                sizes = np.bincount(own.which, minlength=len(own.contexts))
+                cut = [0, *np.searchsorted(own.contexts, edge), len(own.contexts)]
+                start = np.concatenate(([0], np.cumsum(sizes)))
+                for shard, (a, b) in enumerate(zip(cut, cut[1:])):
+                    if a < b:
+                        at = slice(start[a], start[b])
+                        book, code = np.unique(lower[at], return_inverse=True)
+                        yield shard, block, squeezed(own.contexts[a:b]), planes(totals[a:b]), planes(sizes[a:b]), _short(own.keys[at]), planes(counts[at]), planes(code), book.tobytes()
 
-    def __init__(self, parts: list[np.ndarray]):
-        ef = lambda i: EliasFano.from_parts(*parts[4 * i : 4 * i + 4])
-        self.pointers2, self.successors2, self.pointers3, self.successors3 = map(ef, range(4))
-        self.p2, self.p2_book, self.p3, self.p3_book, self.back1, self.back1_book, self.back2, self.back2_book = parts[16:]
+        yield from emit(rows(), pa.schema([("shard", pa.int32()), ("block", pa.int64()), *((c, pa.binary()) for c in _GRAMS)]), 16)
 
-    @staticmethod
-    def _find(pointers: EliasFano, successors: EliasFano, context: np.ndarray, number: np.ndarray) -> np.ndarray:
-        """Place of ``number`` among the successors of ``context``, or -1."""
-        if not successors.n:
-            return np.full(len(context), -1, dtype=np.int64)
-        begin, end = pointers.get(context), pointers.get(context + 1)
-        base = np.where(begin > 0, successors.get(np.maximum(begin - 1, 0)) + 1, 0)
-        at = successors.successor(base + number)
-        within = at < end
-        hit = np.zeros(len(at), dtype=bool)
-        hit[within] = successors.get(at[within]) == (base + number)[within]
-        return np.where(hit, at, -1)
-
-    def pairs(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        return self._find(self.pointers2, self.successors2, first, second)
-
-    def triples(self, pair: np.ndarray, second: np.ndarray, next_pair: np.ndarray) -> np.ndarray:
-        """``pair`` is (u, v); ``next_pair`` (v, w) gives w as v's successor."""
-        return self._find(self.pointers3, self.successors3, pair, next_pair - self.pointers2.get(second))
-
-
-def build(frequent: np.ndarray, counts: np.ndarray, grams: dict[int, tuple[np.ndarray, np.ndarray]], tokens: int, words: int, discount: float) -> Trie:
-    """The trie of the kept n-grams; ``grams`` has sorted numbers and counts."""
-    size = len(frequent)
-    pair, n_pair = grams[2]
-    triple, n_triple = grams[3]
-    first, second = pair // max(size, 1), pair % max(size, 1)
-    p1 = np.maximum(counts - discount, 1e-300) / max(tokens, 1)
-    log_floor = lambda x: np.log10(np.maximum(x, 1e-12))
-
-    p2_code, p2_book = quantised(np.log10((n_pair - DISCOUNT) / counts[first]) if size else np.zeros(0))
-    p2 = 10 ** p2_book[p2_code]
-    left = 1 - np.bincount(first, p2, minlength=size)
-    back1_code, back1_book = quantised(log_floor(left) - log_floor(1 - np.bincount(first, p1[second] if size else None, minlength=size)))
-    starts2 = np.searchsorted(first, np.arange(size + 1))
-
-    context = np.searchsorted(pair, triple // max(size, 1))
-    next_pair = np.searchsorted(pair, triple % max(size * size, 1))
-    p3_code, p3_book = quantised(np.log10((n_triple - DISCOUNT) / n_pair[context]) if len(triple) else np.zeros(0))
-    left = 1 - np.bincount(context, 10 ** p3_book[p3_code], minlength=len(pair))
-    back2_code, back2_book = quantised(log_floor(left) - log_floor(1 - np.bincount(context, p2[next_pair], minlength=len(pair))))
-    number = next_pair - starts2[second[context]] if len(triple) else next_pair
-    levels = [starts2, _monotone(first, second), np.searchsorted(context, np.arange(len(pair) + 1)), _monotone(context, number)]
-    parts = [x for level in levels for x in EliasFano.encode(level).parts()]
-    buffer, where = pack([*parts, p2_code, p2_book, p3_code, p3_book, back1_code, back1_book, back2_code, back2_book])
-    return Trie(uuid.uuid4().hex, tokens, words, discount, frequent, buffer, where)
-
-
-def token_scores(trie: Trie, levels: Levels, words: np.ndarray, counts: np.ndarray, tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for shard, group in groupby(scan(batches, "shard", "block", *_GRAMS), key=lambda r: r[0]):
+                # A frequent context sends all blocks here: distinct n-grams are held, what was asked waits, beyond HELD_BYTES on disk.
+                with tempfile.SpooledTemporaryFile(HELD_BYTES) as asked:
+                    parts, seen, fresh, blocks = [], [], 0, 0
+                    for _, block, contexts, totals, sizes, keys, counts, lower, book in group:
+                        own = expanded(contexts, np.int64)
+                        of = np.repeat(own, opened(sizes))
+                        key = _long(of, keys)
+                        pickle.dump((block, contexts, key), asked)
+                        seen.append((own, opened(totals)))
+                        parts.append((of, key, opened(counts), np.frombuffer(book, np.float64)[opened(lower)]))
+                        fresh, blocks = fresh + len(own) + len(parts[-1][0]), blocks + 1
+                        if fresh > HELD_GRAMS:
+                            parts, seen, fresh = [_merged(parts)], [_summed(seen)], 0
+                    level = Level(*_summed(seen), *_merged(parts))
+                    parts, seen = [], []
+                    asked.seek(0)
+                    for _ in range(blocks):
+                        block, contexts, key = pickle.load(asked)
+                        yield block, shard, *level.answer(expanded(contexts, np.int64), key)
+
+        yield from emit(rows(), pa.schema([("block", pa.int64()), ("shard", pa.int32()), *((c, pa.binary()) for c in _ANSWER)]), 16)
+
+    sent = blocks.select("block", "held", "lengths", "words", "tokens", *shorter).mapInArrow(send, "shard int, block long, " + ", ".join(f"{c} binary" for c in _GRAMS))
+    return sent.repartition("shard").sortWithinPartitions("shard", "block").mapInArrow(merge, "block long, shard int, " + ", ".join(f"{c} binary" for c in _ANSWER))
+
+
+def token_scores(word: np.ndarray, words: np.ndarray, tokens: np.ndarray, lengths: np.ndarray, known: np.ndarray, pairs: list, triples: list) -> np.ndarray:
     """log10 probability of every token of a block."""
-    size = len(trie.frequent)
-    word = trie.word_scores(counts)
     score = word[tokens]
-    gram = _frequent(words, trie.frequent)[tokens]
-    nth = np.arange(len(gram)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    before = np.where(nth > 0, np.roll(gram, 1), -1)
-    pair, _ = _grams(gram, lengths, size)
-    place = np.full(len(gram), -1, dtype=np.int64)
-    ask = np.flatnonzero(pair >= 0)
-    if len(ask):
-        own, inverse = np.unique(pair[ask], return_inverse=True)
-        place[ask] = levels.pairs(own // size, own % size)[inverse]
-    back = before >= 0
-    score[back] += levels.back1_book[levels.back1[before[back]]]
-    hit = place >= 0
-    score[hit] = levels.p2_book[levels.p2[place[hit]]]
-    # The pair that ends at the token before is the context of a triple.
-    context = np.where(nth > 1, np.roll(place, 1), -1)
-    long_ = context >= 0
-    found = np.full(len(gram), -1, dtype=np.int64)
-    ask = np.flatnonzero(long_ & hit)
-    if len(ask):
-        rows = np.stack((context[ask], before[ask], place[ask]))
-        own, first, inverse = np.unique(rows[0] * (len(levels.p2) + 1) + rows[2], return_index=True, return_inverse=True)
-        found[ask] = levels.triples(*rows[:, first])[inverse]
-    score[long_] += levels.back2_book[levels.back2[context[long_]]]
-    hit = found >= 0
-    score[hit] = levels.p3_book[levels.p3[found[hit]]]
+    own, found = pair_scores(words, tokens, lengths, known, pairs)
+    score[own.asks] += np.nan_to_num(answered(pairs, "back", "back_book"))[own.of]
+    score = np.where(np.isnan(found), score, found)
+    own = Grams(words, tokens, lengths, 3, ~np.isnan(found))
+    score[own.asks] += np.nan_to_num(answered(triples, "back", "back_book"))[own.of]
+    found = answered(triples, "codes", "book")[own.place]
+    score[own.ends] = np.where(np.isnan(found), score[own.ends], found)
     return score
 
 
+def _with(blocks: DataFrame, answers: DataFrame, size: int, *columns: str) -> DataFrame:
+    mine = answers.where("block is not null").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("shard", *columns))).alias(f"answers{size}"))  # of one block's n-grams
+    return blocks.join(growing(mine), "block", "left")
+
+
 def score_texts(docs: DataFrame, held_out: Column, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Scores of all rows of ``docs`` by the model of those not ``held_out``."""
     spark = docs.sparkSession
     blocks = stored(tokenised(docs, held_out, text, key), "blocks")
-    sums = blocks.agg(F.sum("train_tokens"), F.sum("n_words")).head()
+    sums = blocks.agg(F.sum("train_tokens"), F.sum("n_words"), F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, n: a + n))).head()
     tokens, entries = sums[0] or 0, sums[1] or 0
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + entries // SHARD_WORDS)
-    answers = stored(word_counts(blocks, shards, max(1.0, tokens * WORD_SHARE)), "word-counts")
-    of_shards = answers.where("block is null")
-    stats = of_shards.agg(*(F.sum(F.get("stats", F.lit(i))) for i in range(3))).head()
+    answers = stored(word_counts(blocks, shards), "word-counts")
+    stats = answers.where("block is null").agg(*(F.sum(F.get("stats", F.lit(i))) for i in range(3))).head()
     n_words, once, twice = (x or 0 for x in stats)
     discount = min(0.95, max(0.1, once / (once + 2 * twice))) if once + twice else 0.5
-    often = of_shards.where(F.length("words") > 0).select("words", "counts").toArrow()  # at most 1 / WORD_SHARE words
-    frequent = np.frombuffer(b"".join(often["words"].to_pylist()), np.uint64)
-    order = np.argsort(frequent)
-    counts = np.frombuffer(b"".join(often["counts"].to_pylist()), "<u8")[order].astype(np.int64)
-    frequent = frequent[order]
-
-    kept = stored(ngram_counts(blocks, frequent, shards, max(2.0, tokens * NGRAM_SHARE)), "ngram-counts").where(F.length("grams") > 0).toArrow()  # at most 1 / NGRAM_SHARE of a size
-    grams = {}
-    for size in (2, 3):
-        mine = [i for i, n in enumerate(kept["size"].to_pylist()) if n == size]
-        own, n = (np.frombuffer(b"".join(kept[c][i].as_py() for i in mine), np.int64) for c in ("grams", "counts"))
-        order = np.argsort(own)
-        grams[size] = own[order], n[order]
-    trie = build(frequent, counts, grams, tokens, n_words, discount)
+    model = Words(tokens, n_words, discount)
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + (sums[2] or 0) // SHARD_GRAMS)
+    pairs = stored(gram_scores(_with(blocks, answers, 1, "counts"), model, shards, 2), "pairs")
+    triples = stored(gram_scores(_with(_with(blocks, answers, 1, "counts"), pairs, 2, *_ANSWER), model, shards, 3), "triples")
     kind = dict(blocks.dtypes)["ids"][len("array<") : -1]
     schema = pa.schema([("doc_id", _ARROW[kind]), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = trie.levels()
-
         def rows() -> Iterator[tuple]:
-            for ids, held, lengths, words, raw, answers in scan(batches, "ids", "held", "lengths", "words", "tokens", "answers"):
-                known = np.concatenate([np.frombuffer(a["counts"], np.uint8).reshape(8, -1).T.copy().view("<u8").reshape(-1) for a in answers]).astype(np.int64)
-                at, n = opened(raw), np.array(lengths)
+            for ids, held, lengths, words, raw, *answers in scan(batches, "ids", "held", "lengths", "words", "tokens", "answers1", "answers2", "answers3"):
+                known, at, n = counts_of(answers[0]), opened(raw), np.array(lengths)
                 first = np.cumsum(n) - n
-                base = np.log10((known + 1) / (trie.tokens + trie.words + 1))
-                score = np.add.reduceat(token_scores(trie, levels, expanded(words), known, at, n), first)
-                yield from zip(ids, held, lengths, np.add.reduceat((known > 0)[at].astype(np.int64), first).tolist(), [trie.tokens] * len(ids), np.add.reduceat(base[at], first).tolist(), score.tolist())
+                base = np.log10((known + 1) / (model.tokens + model.words + 1))
+                score = np.add.reduceat(token_scores(model.scores(known), expanded(words), at, n, known, answers[1], answers[2]), first)
+                yield from zip(ids, held, lengths, np.add.reduceat((known > 0)[at].astype(np.int64), first).tolist(), [model.tokens] * len(ids), np.add.reduceat(base[at], first).tolist(), score.tolist())
 
         yield from emit(rows(), schema)
 
-    answer = F.sort_array(F.collect_list(F.struct("shard", "counts"))).alias("answers")  # of one block's words
-    mine = answers.where("block is not null").groupBy("block").agg(answer)
-    both = blocks.select("block", "ids", "held", "lengths", "words", "tokens").join(growing(mine), "block")
-    return both.select("ids", "held", "lengths", "words", "tokens", "answers").mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    both = _with(_with(_with(blocks, answers, 1, "counts"), pairs, 2, *_ANSWER), triples, 3, *_ANSWER)
+    return both.select("ids", "held", "lengths", "words", "tokens", "answers1", "answers2", "answers3").mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
