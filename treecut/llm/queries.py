@@ -9,10 +9,11 @@ from .lm import op7_lm_scoring
 from .neardedup import op4_minhash_near_dedup
 from .packing import op6_best_fit_packing
 from .secrets import op3_secret_scan
+from .spelling import OP11_SQL, op11_spelling_variants
 from .suffixdedup import op10_suffix_dedup
 from .tokencount import op9_token_counts
 from .topk import OP1_SQL, op1_exact_topk
 
-REGISTRY = {f.__name__: f for f in (op1_exact_topk, op2_line_dedup, op3_secret_scan, op4_minhash_near_dedup, op5_language_id, op6_best_fit_packing, op7_lm_scoring, op8_decontamination, op9_token_counts, op10_suffix_dedup)}
+REGISTRY = {f.__name__: f for f in (op1_exact_topk, op2_line_dedup, op3_secret_scan, op4_minhash_near_dedup, op5_language_id, op6_best_fit_packing, op7_lm_scoring, op8_decontamination, op9_token_counts, op10_suffix_dedup, op11_spelling_variants)}
 
-ORACLE: dict[str, str] = {"op1_exact_topk": OP1_SQL}
+ORACLE: dict[str, str] = {"op1_exact_topk": OP1_SQL, "op11_spelling_variants": OP11_SQL}
