@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import op8_decontamination
+from .divergence import OP13_SQL, op13_source_divergence
 from .langid import op5_language_id
 from .linededup import op2_line_dedup
 from .lm import op7_lm_scoring
@@ -13,7 +14,8 @@ from .spelling import OP11_SQL, op11_spelling_variants
 from .suffixdedup import op10_suffix_dedup
 from .tokencount import op9_token_counts
 from .topk import OP1_SQL, op1_exact_topk
+from .toxicity import op12_toxicity
 
-REGISTRY = {f.__name__: f for f in (op1_exact_topk, op2_line_dedup, op3_secret_scan, op4_minhash_near_dedup, op5_language_id, op6_best_fit_packing, op7_lm_scoring, op8_decontamination, op9_token_counts, op10_suffix_dedup, op11_spelling_variants)}
+REGISTRY = {f.__name__: f for f in (op1_exact_topk, op2_line_dedup, op3_secret_scan, op4_minhash_near_dedup, op5_language_id, op6_best_fit_packing, op7_lm_scoring, op8_decontamination, op9_token_counts, op10_suffix_dedup, op11_spelling_variants, op12_toxicity, op13_source_divergence)}
 
-ORACLE: dict[str, str] = {"op1_exact_topk": OP1_SQL, "op11_spelling_variants": OP11_SQL}
+ORACLE: dict[str, str] = {"op1_exact_topk": OP1_SQL, "op11_spelling_variants": OP11_SQL, "op13_source_divergence": OP13_SQL}
