@@ -73,7 +73,7 @@ def test_held_out_accuracy(spark):
     assert {r.doc_id for r in rows if r.held_out} == {r.doc_id for r in rows if zlib.crc32(str(r.doc_id).encode()) % 3 == 1}
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in rows)
     recall, precision, n = rated(rows, labels)
-    assert n > 1000 and recall > 0.9 and precision > 0.9, (recall, precision)
+    assert n > 1000 and recall > 0.8 and precision > 0.95, (recall, precision)
 
 
 def made_up(seed=3, n=300):

@@ -22,7 +22,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -197,27 +196,30 @@ def _pair_sums(rows: DataFrame) -> DataFrame:
     source for the terms that it has, and a row without a term with its share for
     the others and the block's number of terms."""
 
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        lang, terms = rows["lang"].iloc[0], int(rows["terms"].max())
-        seeds = rows[rows["ordinal"] < 0].drop_duplicates("source").sort_values("source")
-        names, rest = seeds["source"].to_numpy(), seeds["share"].to_numpy()
-        known = rows[rows["ordinal"] >= 0]
-        columns, column = np.unique(known["ordinal"].to_numpy(), return_inverse=True)
+    schema = pa.schema([("lang", pa.string()), ("a", pa.string()), ("b", pa.string()), ("value", pa.int64())])
+
+    def compare(rows: pa.Table) -> pa.Table:
+        number = lambda c: rows.column(c).to_numpy()
+        lang, terms = rows.column("lang")[0].as_py(), int(number("terms").max())
+        x, y = int(number("x")[0]), int(number("y")[0])
+        coded = rows.column("source").combine_chunks().dictionary_encode()
+        names, source = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        ordinal, value = number("ordinal"), number("share")
+        seed, known = ordinal < 0, ordinal >= 0
+        rest, own = np.zeros(len(names), dtype=np.int64), np.zeros(len(names), dtype=np.int64)
+        rest[source[seed]], own[source[seed]] = value[seed], number("own")[seed]
+        columns, column = np.unique(ordinal[known], return_inverse=True)
         share = np.repeat(rest[:, None], len(columns), axis=1)
-        place = {name: i for i, name in enumerate(names)}
-        share[known["source"].map(place).to_numpy(dtype=np.int64), column] = known["share"].to_numpy()
-        own = seeds["own"].to_numpy()
-        x, y = int(rows["x"].iloc[0]), int(rows["y"].iloc[0])
+        share[source[known], column] = value[known]
         left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
-        out = []
+        pairs, values = [], []
         for k, i in enumerate(left):
             others = right[k + 1 :] if x == y else right
-            if len(others):
-                value = np.abs(share[others] - share[i]).sum(axis=1) + (terms - len(columns)) * np.abs(rest[others] - rest[i])
-                out.append(pd.DataFrame({"lang": lang, "a": names[i], "b": names[others], "value": value}))
-        return pd.concat(out) if out else pd.DataFrame({"lang": [], "a": [], "b": [], "value": []})
+            pairs += [(names[i], names[o]) for o in others]
+            values += (np.abs(share[others] - share[i]).sum(axis=1) + (terms - len(columns)) * np.abs(rest[others] - rest[i])).tolist()
+        return pa.table([pa.array([lang] * len(pairs), pa.string()), pa.array([a for a, _ in pairs], pa.string()), pa.array([b for _, b in pairs], pa.string()), pa.array(values, pa.int64())], schema=schema)
 
-    return rows.groupBy("lang", "block", "x", "y").applyInPandas(compare, "lang string, a string, b string, value long")
+    return rows.groupBy("lang", "block", "x", "y").applyInArrow(compare, "lang string, a string, b string, value long")
 
 
 def divergence(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", least: int = 30, top: int = 50, shard_bytes: int = SHARD_BYTES, pass_bytes: int = PASS_BYTES, terms: int = TERMS, sources: int = SOURCES) -> DataFrame:

@@ -45,7 +45,7 @@ LEAST, EVIDENCE = 3, 8.0
 #: Share of the best evidence in its document that makes a token toxic.
 SHARE = 0.4
 #: Steps, step size and ridge of the training.
-STEPS, RATE, RIDGE = 150, 0.2, 1.0
+STEPS, RATE, RIDGE = 150, 0.2, 0.1
 #: Tokens without features between two others that are looked at one by one.
 NEAR = 3
 #: Words whose emissions a task remembers.
@@ -293,13 +293,16 @@ def facts(marginals: list[tuple[int, float]], tokens: int) -> tuple[float, float
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    """Logistic regression with a small ridge, by Newton steps."""
+    """Logistic regression with a small ridge, by Newton steps; a document's
+    length alone never speaks for a toxic one."""
     w = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         slope = x.T @ (p - y) + 0.1 * w
         bend = (x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(x.shape[1])
         w -= np.clip(np.linalg.solve(bend, slope), -2, 2)
+    if w[2] > 0:
+        return fit_curve(x * [1, 1, 0], y)
     return tuple(w.tolist())
 
 
