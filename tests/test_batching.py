@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from treecut.operators import ordering
+from treecut.operators import batching, ordering
 from treecut.operators.batching import next_fit, next_fit_local
 
 
@@ -43,3 +43,16 @@ def test_reference_semantics():
     # fill + size < limit joins; reaching the limit opens a new batch.
     assert next_fit_local([4, 5, 1, 9, 10, 3], 10) == [0, 0, 1, 2, 3, 4]
     assert next_fit_local([20, 1, 1], 10) == [0, 1, 1]
+
+
+@pytest.mark.parametrize("sizes,limit", [([3] * 4000, 2000), ([0] * 4000, 10), ([1, 2, 3, 0] * 1000, 10**6), ([1] * 4000, 1900), ([0] * 3000 + [5] * 1000, 7)])
+def test_tables_are_rows_per_part(spark, monkeypatch, sizes, limit):
+    """Batches beyond a part: what the doublings join is a few rows per part, not
+    a row per item, and the batches are those of the loop."""
+    monkeypatch.setattr(ordering, "ROWS_PER_PART", 500)
+    seen, composed = [], batching._composed
+    monkeypatch.setattr(batching, "_composed", lambda tables, end: seen.append(tables.count()) or composed(tables, end))
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(sizes)], "k long, bytes long")
+    got = [r.batch_id for r in next_fit(df, ["k"], "bytes", limit).orderBy("k").collect()]
+    assert got == next_fit_local(sizes, limit)
+    assert seen and max(seen) <= 0.01 * len(sizes)

@@ -2,12 +2,15 @@
 
 import os
 import random
+import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from treecut.functions.rules import GOLDEN, python_cascade
-from treecut.sources.files import (file_token_table, large_file_tokens, line_ordinals,
-                                   manifest, read_corpus, read_lines, read_token_part)
+from treecut.sources.files import (file_token_runs, file_token_table, large_file_tokens, line_ordinals, manifest,
+                                   read_corpus, read_lines, read_pieces, read_token_part, read_token_parts,
+                                   token_part_runs)
 from treecut.sources.sinks import write_token_parts
 
 
@@ -135,3 +138,69 @@ def test_paths_in_every_form(spark, tmp_dir, monkeypatch):
         assert read_corpus(spark, path).count() == 2, path
         assert manifest(spark, path).count() == 2, path
         assert read_corpus(spark, f"{path.rstrip('/')}/a.txt").count() == 1, path
+
+
+def _by_file(table):
+    got = {}
+    for r in table.collect():
+        got.setdefault(os.path.basename(r.path), {})[r.pos] = r.token
+    return {name: [toks[i] for i in range(len(toks))] for name, toks in got.items()}
+
+
+def _long_texts():
+    rng = random.Random(11)
+    bits = ["word", "it's", "cannot", "wanna", "'tis", "end.", '"', "'", "''", "--", "...", "a,b", "3,4", "(x)", "", "", "\t", "x\ny.", "\r", "``", "...\"", "é", "日本", "can\nnot", "'s", "Gimme"]
+    texts = {f"l{k:02d}.txt": " ".join(rng.choice(bits) for _ in range(rng.choice([1, 5, 60, 900]))) for k in range(24)}
+    texts["one.txt"] = " ".join(f"w{i}, said \"it's\"." for i in range(2000))
+    return texts | {f"g{k:02d}.txt": text + " " + text for k, (_g, text, _e) in enumerate(GOLDEN) if text}
+
+
+@pytest.mark.parametrize("piece", [1, 1 << 16])
+def test_files_cut_at_blanks(spark, tmp_dir, piece):
+    """Lines of any length: many pieces, the tokens of the whole text."""
+    texts = _long_texts()
+    for name, text in texts.items():
+        _write(f"{tmp_dir}/{name}", text)
+    prev = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        pieces = read_pieces(spark, tmp_dir, piece).where(F.col("path").endswith("one.txt"))
+        assert pieces.count() >= 8
+        got = _by_file(file_token_table(spark, tmp_dir, "blanks", piece))
+        plain = {r.path: r.tokens for r in file_token_runs(spark, tmp_dir, "blanks", piece, "whitespace").groupBy("path").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("off", "tokens"))), lambda x: x["tokens"])).alias("tokens")).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", prev)
+    for name, text in texts.items():
+        assert got.get(name, []) == python_cascade(text), name
+    assert {os.path.basename(k): v for k, v in plain.items()} == {name: [t for t in re.split("[ \\t\\n\\x0b\\f\\r]+", text) if t] for name, text in texts.items() if text}
+
+
+def test_pieces_are_the_text(spark, tmp_dir):
+    texts = {"a.txt": "  two  blanks ", "b.txt": " ", "c.txt": "x" * 50, "d.txt": " ".join("abc" for _ in range(100)) + "\n"}
+    for name, text in texts.items():
+        _write(f"{tmp_dir}/{name}", text)
+    rows = read_pieces(spark, tmp_dir, 10).collect()
+    for name, text in texts.items():
+        own = sorted((r.block, r.lid, r.line) for r in rows if r.path.endswith(name))
+        assert " ".join(x[2] for x in own) == (text[:-1] if text.endswith(" ") else text), name
+    assert sum(r.path.endswith("d.txt") for r in rows) > 20
+
+
+def test_edge_files_cut_at_blanks(spark, tmp_dir):
+    for k, text in enumerate(EDGE_FILES):
+        _write(f"{tmp_dir}/e{k:02d}.txt", text)
+    got = _by_file(file_token_table(spark, tmp_dir, "blanks", 1))
+    for k, text in enumerate(EDGE_FILES):
+        assert got.get(f"e{k:02d}.txt", []) == python_cascade(text), repr(text)
+
+
+def test_part_runs_are_the_part(spark, tmp_dir):
+    docs = [(k % 2, k, f"{text} a...b -- c") for k, (_g, text, _e) in enumerate(GOLDEN)]
+    out = f"{tmp_dir}/parts"
+    write_token_parts(spark.createDataFrame(docs, "batch_id int, doc_id int, text string"), out)
+    for piece in (1, 1 << 16):
+        runs = token_part_runs(spark, out, piece=piece).collect()
+        for r in read_token_parts(spark, out).collect():
+            own = sorted((x.off, x.tokens) for x in runs if x.batch_id == r.batch_id)
+            assert [t for _, tokens in own for t in tokens] == r.tokens
+            assert [off for off, _ in own] == [sum(len(t) for _, t in own[:i]) for i in range(len(own))]

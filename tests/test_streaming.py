@@ -2,9 +2,10 @@
 
 import glob
 import os
+import shutil
 
 from treecut.functions.rules import GOLDEN, python_cascade
-from treecut.streaming.stream import text_stream, tokenised_stream, totals_to_table, write_parts
+from treecut.streaming.stream import chunk_manifest, part_tokens, text_stream, tokenised_stream, totals_to_table, write_parts
 
 
 def _files(tmp_dir):
@@ -66,3 +67,38 @@ def test_restart_processes_only_new_files(spark, tmp_dir):
             written += [t for t in f.read().split("\n") if t]
     exp = [t for x in list(texts.values()) + [extra] for t in python_cascade(x)]
     assert sorted(written) == sorted(exp)
+
+
+def _in_order(spark, out):
+    got = {}
+    for r in part_tokens(spark, out).collect():
+        own = got.setdefault(os.path.basename(r.path), {})
+        assert r.pos not in own
+        own[r.pos] = r.token
+    return {name: [own[i] for i in range(len(own))] for name, own in got.items()}
+
+
+def test_manifest_order_limit_and_restart(spark, tmp_dir):
+    src, texts = _files(tmp_dir)
+    texts["blank.txt"], texts["large.txt"] = " \n", "it's large, \"quoted\" and more. " * 40
+    for name in ("blank.txt", "large.txt"):
+        with open(f"{src}/{name}", "w", encoding="utf-8") as f:
+            f.write(texts[name])
+    out, ck, limit = f"{tmp_dir}/out", f"{tmp_dir}/ck", 300
+    write_parts(text_stream(spark, src, max_bytes_per_trigger=limit), out, ck).awaitTermination()
+    listed = chunk_manifest(spark, out).collect()
+    assert sorted((os.path.basename(r.path), r.bytes, r.tokens) for r in listed) == sorted((n, len(t.encode()), len(python_cascade(t))) for n, t in texts.items())
+    for chunk in {r.chunk for r in listed}:
+        own = [r for r in listed if r.chunk == chunk]
+        assert sum(r.bytes for r in own) <= limit or len(own) == 1
+    assert _in_order(spark, out) == {n: python_cascade(t) for n, t in texts.items() if t.strip()}
+    # A chunk that was not committed is written again, in its own place.
+    texts["zz.txt"] = "Later text, cannot wait."
+    with open(f"{src}/zz.txt", "w", encoding="utf-8") as f:
+        f.write(texts["zz.txt"])
+    write_parts(text_stream(spark, src, max_bytes_per_trigger=limit), out, ck).awaitTermination()
+    last = max(r.chunk for r in chunk_manifest(spark, out).collect())
+    again = f"{tmp_dir}/again"
+    shutil.copytree(ck, again, ignore=lambda folder, names: [n for n in names if folder.endswith("commits") and n in (str(last), f".{last}.crc")])
+    write_parts(text_stream(spark, src, max_bytes_per_trigger=limit), out, again).awaitTermination()
+    assert _in_order(spark, out) == {n: python_cascade(t) for n, t in texts.items() if t.strip()}

@@ -78,3 +78,13 @@ def test_corpus_previews_tokenise_only_the_edges(spark):
     assert head == allrows[:7] and tail == allrows[-5:]
     tiny = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert [r.token for r in tok.corpus_preview_head(tiny, ["doc_id"], k=50).collect()] == ["a", "b"]
+
+
+def test_corpus_previews_tokenise_behind_the_top_k(spark):
+    df = spark.createDataFrame([(i, f"w{i} x{i}.") for i in range(40)], "doc_id long, text string")
+    for preview in (tok.corpus_preview_head(df, ["doc_id"]), tok.corpus_preview_tail(df, ["doc_id"])):
+        plan = preview._jdf.queryExecution().executedPlan().toString()
+        lines = plan.split("\n")
+        top = [k for k, line in enumerate(lines) if "TakeOrderedAndProject" in line]
+        # Nearer the scan than the lower top-k nothing is tokenised; its own projection is.
+        assert len(top) >= 2 and not any("regexp_replace" in line or "_t#" in line for line in lines[max(top) + 1 :]), plan

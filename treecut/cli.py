@@ -30,7 +30,7 @@ from .functions.tokenize import TOKENISERS
 from .operators import batching, compare, stats
 from .operators import tokens as tok
 from .session import cut_lineage, get_session
-from .sources.files import manifest, read_corpus, read_token_parts
+from .sources.files import manifest, read_corpus
 from .sources.sinks import write_token_parts
 
 
@@ -72,19 +72,20 @@ def _tokenize(args) -> int:
 def _compare(args) -> int:
     spark = get_session()
     if args.parts:
-        docs, batches = _batched(spark, args.path, args.limit)
-        pairs = compare.part_pairs(docs, read_token_parts(spark, args.parts), order_cols=("path",), method=args.base)
-        key, other = "batch_id", args.parts
+        docs, _ = _batched(spark, args.path, args.limit)
+        chunks = compare.compare_with_parts(docs, args.parts, order_cols=("path",), method=args.base)
+        diffs, rows, key, other = chunks.diff(), chunks.rows, "batch_id", args.parts
     else:
-        pairs, key, other = compare.file_pairs(spark, args.path, args.base, args.other), "path", args.other
-    per_key = cut_lineage(compare.diff_table(pairs, [key]))
+        pairs = compare.file_pairs(spark, args.path, args.base, args.other)
+        diffs, rows, key, other = compare.diff_table(pairs, ["path"]), lambda: compare.diff_rows(pairs, ["path"]), "path", args.other
+    per_key = cut_lineage(diffs)
     if per_key.isEmpty():
         print(f"nothing to compare in {args.path}", file=sys.stderr)
         return 1
     for r in per_key.orderBy(key).toLocalIterator():
         print(f"{r[key]}: {r.mismatched} of {r.compared} tokens differ")
     if args.rows:
-        for r in compare.diff_rows(pairs, [key]).orderBy(key, "seq").limit(args.rows).toLocalIterator():
+        for r in rows().orderBy(key, "seq").limit(args.rows).toLocalIterator():
             print(f"{r[key]} #{r.seq} {r.kind} at {r.i}/{r.j}: [{r.a_context}] [{r.b_context}]")
     total = compare.mismatch_rollup(per_key).first()
     print(f"{args.base} against {other}: {total.mismatched or 0} of {total.compared or 0} tokens differ")

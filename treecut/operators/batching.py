@@ -12,8 +12,10 @@ fill resets at every batch, a running sum does not give the batches.
    opened in the part.  That one's bytes plus the limit name where the next
    batch starts: a place in a later part.
 3. These places meet the items of the part they fall into, which makes a
-   pointer from each possible first start to one of a later part.  The real
-   first starts are the orbit of item 0 (pointer doubling over parts).
+   table per part, a row of packed numbers: runs of possible first starts that
+   lead to the same start of a later part.  The real first starts are the orbit
+   of item 0; tables are followed twice, four, eight times by joins of a few
+   rows per part (pointer doubling over parts).
 4. Every part walks from its real first start and numbers its batches.
 
 The driver holds one row per part; no step sees more than one part at once.
@@ -49,10 +51,19 @@ def _next_start(sizes: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     return before, np.maximum(np.searchsorted(ends, before + limit), np.arange(len(sizes)) + 1)
 
 
+def _runs(nodes: np.ndarray, *ends: np.ndarray) -> list[np.ndarray]:
+    """Neighbouring starts with the same end become one: the first start of each
+    run, and the ends."""
+    new = np.ones(len(nodes), dtype=bool)
+    new[1:] = np.logical_or.reduce([e[1:] != e[:-1] for e in ends])
+    return [x[new] for x in (nodes, *ends)]
+
+
 def _exits(parted: DataFrame, limit: int, offsets: list[int]) -> DataFrame:
-    """``(node, part, low, target)``: a possible first start, the bytes (from the
-    manifest's start) before it, and the byte that opens the first batch after
-    those of its part."""
+    """A row per part, ``(part, node, low, exit, target)`` as packed numbers:
+    its possible first starts and the bytes (from the manifest's start) before
+    each; and, for runs of starts, the byte that opens the first batch after
+    those of the part."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = [f for f in frames if len(f)]
         if not rows:
@@ -68,46 +79,106 @@ def _exits(parted: DataFrame, limit: int, offsets: list[int]) -> DataFrame:
                 break
             last = further
         first = np.arange(np.searchsorted(before, limit))
-        yield pd.DataFrame({"node": part * _STRIDE + first, "part": part, "low": offsets[part] + before[first],
-                            "target": offsets[part] + before[last[first]] + limit})
+        exits, target = _runs(part * _STRIDE + first, offsets[part] + before[last[first]] + limit)
+        # Of items with the same bytes before them only the last is not empty and
+        # can reach the limit; the part's first item follows a batch that did.
+        low = offsets[part] + before[first]
+        filled = np.append(low[1:] != low[:-1], True)
+        filled[0] = True
+        node, low = part * _STRIDE + first[filled], low[filled]
+        yield pd.DataFrame({"part": [part], "node": [node.tobytes()], "low": [low.tobytes()], "exit": [exits.tobytes()], "target": [target.tobytes()]})
+
+    return parted.select("_part", "_size").mapInPandas(run, "part int, node binary, low binary, exit binary, target binary")
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, dtype=np.int64)
+
 
-    return parted.select("_part", "_size").mapInPandas(run, "node long, part int, low long, target long")
+_TABLE = "part int, node binary, nxt binary"
 
 
 def _pointers(exits: DataFrame, offsets: list[int], full: list[int]) -> DataFrame:
-    """``(i, nxt)`` between possible first starts; without a later part, to the
-    end.  ``full``: the parts that have items."""
+    """``(part, node, nxt)``, a row per part: runs of possible first starts and
+    the possible first start of a later part that each leads to (beyond the
+    last part: the end).  ``full``: the parts that have items."""
     ends, full = np.array(offsets[1:]), np.array([*full, len(offsets) - 1])
 
-    def part_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parts_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            to = np.maximum(np.searchsorted(ends, f["target"].to_numpy()), f["part"].to_numpy() + 1)
-            f["_to"] = full[np.searchsorted(full, to)].astype("int32")
-            yield f[["node", "target", "_to"]]
+            for part, node, target in zip(f["part"], f["exit"], f["target"]):
+                node, target = _unpacked(node), _unpacked(target)
+                to = full[np.searchsorted(full, np.maximum(np.searchsorted(ends, target), part + 1))]
+                for q in np.unique(to).tolist():
+                    own = to == q
+                    yield pd.DataFrame({"part": [part], "to": [q], "node": [node[own].tobytes()], "target": [target[own].tobytes()]})
+
+    def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for part, q, node, target, starts, low in zip(f["part"], f["to"], f["node"], f["target"], f["starts"], f["low"]):
+                node, target = _unpacked(node), _unpacked(target)
+                if q == len(ends):
+                    nxt = np.full(len(node), len(ends) * _STRIDE)
+                else:  # The start is the last one with fewer than `target` bytes before it.
+                    nxt = _unpacked(starts)[np.maximum(np.searchsorted(_unpacked(low), target) - 1, 0)]
+                yield pd.DataFrame({"part": [part], "node": [node.tobytes()], "nxt": [nxt.tobytes()]})
+
+    asked = exits.select("part", "exit", "target").mapInPandas(parts_of, "part int, to int, node binary, target binary")
+    starts = exits.select(F.col("part").alias("to"), F.col("node").alias("starts"), "low")
+    met = asked.join(starts, "to", "left").mapInPandas(meet, _TABLE)
+    return met.groupBy("part").applyInPandas(_whole, _TABLE)
+
+
+def _whole(rows: pd.DataFrame) -> pd.DataFrame:
+    """The pieces of a part's table as one, its runs joined again."""
+    node, nxt = (np.concatenate([_unpacked(x) for x in rows[c]]) for c in ("node", "nxt"))
+    order = np.argsort(node, kind="stable")
+    node, nxt = _runs(node[order], nxt[order])
+    return pd.DataFrame({"part": [int(rows["part"].iloc[0])], "node": [node.tobytes()], "nxt": [nxt.tobytes()]})
+
+
+def _led(node: np.ndarray, table: tuple[bytes, bytes]) -> np.ndarray:
+    """Where starts lead by a table of runs."""
+    runs, nxt = map(_unpacked, table)
+    return nxt[np.searchsorted(runs, node, side="right") - 1]
+
+
+def _composed(tables: DataFrame, end: int) -> DataFrame:
+    """The tables followed twice: a part's table meets those of the parts that it
+    leads to (joined rows are pairs of parts, not items)."""
+    def parts_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for part, node, nxt in zip(f["part"], f["node"], f["nxt"]):
+                node, nxt = _unpacked(node), _unpacked(nxt)
+                for q in np.unique(nxt // _STRIDE).tolist():
+                    own = nxt // _STRIDE == q
+                    yield pd.DataFrame({"part": [part], "to": [q], "node": [node[own].tobytes()], "via": [nxt[own].tobytes()]})
 
-    def meet(asked: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
-        starts = starts.sort_values("node")
-        # The start is the last one with fewer than `target` bytes before it.
-        at = np.maximum(np.searchsorted(starts["low"].to_numpy(), asked["target"].to_numpy()) - 1, 0)
-        return pd.DataFrame({"i": asked["node"], "nxt": starts["node"].to_numpy()[at]})
+    def follow(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for part, node, via, runs, nxt in zip(f["part"], f["node"], f["via"], f["runs"], f["nxt"]):
+                led = via if runs is None else _led(_unpacked(via), (runs, nxt)).tobytes()
+                yield pd.DataFrame({"part": [part], "node": [node], "nxt": [led]})
 
-    asked = exits.mapInPandas(part_of, "node long, target long, _to int")
-    out = asked.where(F.col("_to") >= len(ends)).select(F.col("node").alias("i"), F.lit(len(ends) * _STRIDE).alias("nxt"))
-    met = asked.where(F.col("_to") < len(ends)).groupBy("_to").cogroup(exits.groupBy("part")).applyInPandas(
-        lambda a, b: meet(a, b) if len(a) else pd.DataFrame({"i": [], "nxt": []}), "i long, nxt long")
-    return out.unionByName(met)
+    asked = tables.mapInPandas(parts_of, "part int, to int, node binary, via binary")
+    other = tables.select(F.col("part").alias("to"), F.col("node").alias("runs"), "nxt")
+    return asked.join(other, "to", "left").mapInPandas(follow, _TABLE).groupBy("part").applyInPandas(_whole, _TABLE)
 
 
-def _first_starts(nexts: DataFrame, root: int, end: int, parts: int) -> dict[int, int]:
+def _first_starts(tables: DataFrame, root: int, end: int, parts: int) -> dict[int, int]:
     """The real first start of each part that has one (one row per part): the
-    orbit of item 0, by ``log2(parts)`` doublings of the pointers."""
-    jump, found = nexts, nexts.sparkSession.range(root, root + 1).select(F.col("id").alias("i"))
+    orbit of item 0, by ``log2(parts)`` doublings of the tables."""
+    def hop(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"i": [int(_led(np.array([i]), (runs, nxt))[0]) for i, runs, nxt in zip(f["i"], f["node"], f["nxt"])]}, dtype="int64")
+
+    found = tables.sparkSession.range(root, root + 1).select(F.col("id").alias("i"))
     for _ in range(max(1, math.ceil(math.log2(parts + 1)))):
-        jump = cut_lineage(jump)
-        hop = found.join(jump, "i").select(F.col("nxt").alias("i")).where(F.col("i") < end)
-        found = cut_lineage(found.unionByName(hop).distinct())
-        ahead = jump.where(F.col("nxt") < end)
-        jump = ahead.join(jump.select(F.col("i").alias("nxt"), F.col("nxt").alias("_n")), "nxt").select("i", F.col("_n").alias("nxt"))
+        tables = cut_lineage(tables)
+        ahead = found.withColumn("part", F.floor(F.col("i") / _STRIDE).cast("int")).join(tables, "part").select("i", "node", "nxt")
+        ahead = ahead.mapInPandas(hop, "i long").where(F.col("i") < end)
+        found = cut_lineage(found.unionByName(ahead).distinct())
+        tables = _composed(tables, end)
     return {r.i // _STRIDE: r.i % _STRIDE for r in found.collect()}
 
 

@@ -9,8 +9,11 @@ never compared.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.tokenize import tokens
 
@@ -179,21 +182,46 @@ def file_pairs(spark, path: str, base: str = "ptb", other: str = "ptb_lines") ->
     return pair_tokenisations(read_corpus(spark, path), ["path"], "text", base, other)
 
 
-def part_pairs(batched: DataFrame, parts: DataFrame, batch_col: str = "batch_id", order_cols: tuple[str, ...] = ("doc_id",),
-               text_col: str = "text", method: str = "ptb") -> DataFrame:
-    """J1 with S7: ``(batch, a, b)``, the tokens of a batch's documents in order
-    beside those read back from its part (``read_token_parts``).
+def batch_token_runs(batched: DataFrame, batch_col: str = "batch_id", order_cols: tuple[str, ...] = ("doc_id",),
+                     text_col: str = "text", method: str = "ptb") -> DataFrame:
+    """``(batch, off, tokens)``: the tokens of a batch's documents in order, each
+    document's with the place of its first token in the batch.
 
-    The marks ``...`` and ``--`` of the part were spaced when it was read, so the
-    tokens made here are spaced alike.  Batches are size-bounded (W1), and so
-    is the one row that each becomes.
+    The marks ``...`` and ``--`` are spaced, as in parts that are read back.  The
+    places are sums over a row of numbers per document; a batch's texts or
+    tokens never meet in a row.
     """
     from ..functions.tokenize import normalise_marks, split_tokens, token_text
-    t = batched.select(batch_col, *order_cols, token_text(tokens(F.col(text_col), method)).alias("_x"))
-    g = t.groupBy(batch_col).agg(F.sort_array(F.collect_list(F.struct(*order_cols, "_x"))).alias("_d"))
-    whole = split_tokens(normalise_marks(F.concat_ws(" ", F.transform("_d", lambda d: d["_x"]))))
-    left = g.select(F.col(batch_col).cast("bigint").alias(batch_col), whole.alias("tokens"))
-    return pair_tables(left, parts.withColumn(batch_col, F.col(batch_col).cast("bigint")), [batch_col])
+    from ..session import scratch_path
+    spaced = split_tokens(normalise_marks(token_text(tokens(F.col(text_col), method))))
+    t = batched.select(F.col(batch_col).cast("bigint").alias(batch_col), *order_cols, F.coalesce(spaced, F.array().cast("array<string>")).alias("tokens"))
+    t = t.select(batch_col, *order_cols, F.monotonically_increasing_id().alias("_row"), F.size("tokens").alias("_n"), "tokens")
+    out = scratch_path(batched.sparkSession, f"batch_tokens/{uuid.uuid4().hex}")
+    t.write.parquet(out)
+    written = batched.sparkSession.read.schema(t.schema).parquet(out)
+    earlier = Window.partitionBy(batch_col).orderBy(*order_cols, "_row").rowsBetween(Window.unboundedPreceding, -1)
+    places = written.select("_row", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).cast("bigint").alias("off"))
+    return written.join(places, "_row").select(batch_col, "off", "tokens")
+
+
+def compare_with_parts(batched: DataFrame, folder: str, batch_col: str = "batch_id", order_cols: tuple[str, ...] = ("doc_id",),
+                       text_col: str = "text", method: str = "ptb", size: int | None = None):
+    """J1 with S7: the tokens of every batch against those of its part in
+    ``folder``, in chunks (``chunked.Chunked``), so parts may have any size."""
+    from ..sources.files import token_part_runs
+    from .chunked import CHUNK, Chunked
+    left = batch_token_runs(batched, batch_col, order_cols, text_col, method)
+    return Chunked(left, token_part_runs(batched.sparkSession, folder, batch_col), [batch_col], size or CHUNK)
+
+
+def compare_large_files(spark, path: str, base: str = "ptb", other: str = "ptb_lines", cut: str = "lines",
+                        size: int | None = None, piece: int | None = None):
+    """``compare_files`` for files larger than a cell: both tokenisations of every
+    file as runs (S4), compared in chunks (``chunked.Chunked``)."""
+    from ..sources.files import PIECE, file_token_runs
+    from .chunked import CHUNK, Chunked
+    runs = [file_token_runs(spark, path, cut, piece or PIECE, method) for method in (base, other)]
+    return Chunked(*runs, ["path"], size or CHUNK)
 
 
 def compare_files(spark, path: str, base: str = "ptb", other: str = "ptb_lines") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.tokenize import token_text, tokens
+from ..functions.tokenize import WS_CLASS, token_text, tokens
 
 PREVIEW_FIRST = 50
 PREVIEW_LAST = 10
@@ -85,12 +85,16 @@ def corpus_tail(table: DataFrame, order_cols: list[str], k: int = PREVIEW_LAST)
 
 
 def _edge_tokens(df: DataFrame, id_cols: list[str], text_col: str, k: int, method: str, last: bool) -> DataFrame:
-    """The first or last ``k`` tokens of every document as rows.
+    """Token rows of the first or last ``k`` documents that have tokens.
 
-    One scan of the whole corpus: each document gives at most ``k`` rows, and
-    the top-k above keeps ``k`` rows per task.
+    Every text with a character that is not white space has a token, so the first
+    (last) ``k`` tokens of a corpus lie in its first (last) ``k`` such documents:
+    a top-k on the keys (TakeOrderedAndProject) finds them, and only those ``k``
+    texts are tokenised.
     """
-    t = df.select(*id_cols, tokens(F.col(text_col), method).alias("_t"))
+    filled = df.select(*id_cols, F.col(text_col).alias("_x")).where(F.col("_x").rlike(f"[^{WS_CLASS[1:-1]}]"))
+    docs = filled.orderBy(*[F.col(c).desc() if last else F.col(c).asc() for c in id_cols]).limit(k)
+    t = docs.select(*id_cols, tokens(F.col("_x"), method).alias("_t"))
     part = last_tokens("_t", k) if last else first_tokens("_t", k)
     skipped = F.greatest(F.size("_t") - F.lit(k), F.lit(0)) if last else F.lit(0)
     rows = t.select(*id_cols, skipped.alias("_skipped"), F.posexplode_outer(part).alias("pos", "token"))

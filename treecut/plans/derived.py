@@ -18,6 +18,7 @@ from ..session import scratch_path
 from .tables import load
 
 DOCS_PER_FILE = 16
+DOCS_PER_LONG_LINE = 64
 _WRITTEN: dict[tuple[str, str], str] = {}
 
 
@@ -36,6 +37,18 @@ def documents_as_files(spark: SparkSession, sf_dir: str) -> str:
     return out
 
 
+def documents_as_long_lines(spark: SparkSession, sf_dir: str) -> str:
+    """Folder ``.../file=<k>/part-*.txt``: the texts of 64 documents with blanks for
+    newlines, each followed by a blank, in ``doc_id`` order: a file is one line."""
+    out = scratch_path(spark, f"documents_as_long_lines/{uuid.uuid4().hex}")
+    d = load(spark, sf_dir, "documents").select(
+        F.floor(F.col("doc_id") / F.lit(DOCS_PER_LONG_LINE)).cast("bigint").alias("file"), "doc_id",
+        F.replace("text", F.lit("\n"), F.lit(" ")).alias("text"))
+    (d.repartition(F.col("file")).sortWithinPartitions("file", "doc_id").select("file", "text")
+      .write.mode("overwrite").option("partitionOverwriteMode", "static").option("lineSep", " ").partitionBy("file").text(out))
+    return out
+
+
 def timing_logs(spark: SparkSession, sf_dir: str) -> str:
     """Folder ``.../lang=<lang>/part-*.txt``: a log per language with a timing line
     for each source, in order of the source, amid lines that are none.
@@ -69,3 +82,7 @@ def file_number(path_col: str = "path"):
 FILE_TEXT_SQL = f"""files AS (
   SELECT (doc_id // {DOCS_PER_FILE})::BIGINT AS file, string_agg(text || chr(10), '' ORDER BY doc_id) AS text
   FROM documents GROUP BY 1)"""
+
+LONG_LINE_SQL = f"""files AS (
+  SELECT (doc_id // {DOCS_PER_LONG_LINE})::BIGINT AS file, string_agg(replace(text, chr(10), ' ') || ' ', '' ORDER BY doc_id) AS text
+  FROM documents GROUP BY 1)"""

@@ -243,7 +243,7 @@ ORACLE["mismatch_rollup_by_lang"] = (
 
 
 # -- Files derived from the tables ---------------------------------------------
-from .derived import FILE_TEXT_SQL  # noqa: E402
+from .derived import FILE_TEXT_SQL, LONG_LINE_SQL  # noqa: E402
 
 _ctes, _t = _tokenised("files", ["file"], "text")
 ORACLE["file_corpus"] = f"""WITH {FILE_TEXT_SQL},
@@ -314,6 +314,17 @@ pairs AS (SELECT batch_id, {token_list(_spaced.format('x'))} AS a, {token_list(_
 w AS ({_walk('pairs', False)})
 SELECT batch_id, r.c AS mismatched, r.i AS compared, len(a)::BIGINT AS len_a, len(b)::BIGINT AS len_b FROM w"""
 
+# The same answers from chunks, pieces and chunk manifests.
+ORACLE["token_diff_chunks"] = ORACLE["token_diff"]
+ORACLE["token_diff_rows_chunks"] = ORACLE["token_diff_rows"]
+ORACLE["large_file_compare"] = ORACLE["file_compare"]
+ORACLE["large_file_diff_rows"] = ORACLE["file_diff_rows"]
+ORACLE["stream_part_tokens"] = ORACLE["large_file_tokens"]
+ORACLE["stream_manifest"] = ORACLE["file_corpus"].replace(
+    "strlen(f.text)::BIGINT AS text_bytes, len(t.tl)::BIGINT AS n_tokens", "len(t.tl)::BIGINT AS n_tokens, true AS within_limit")
+_ctes, _rows = _token_rows("files", ["file"], "text")
+ORACLE["long_line_tokens"] = f"WITH {LONG_LINE_SQL},\n{_ctes}\nSELECT file, pos, token FROM {_rows}"
+
 _LINES = """g AS (SELECT lang, source, sum(strlen(text))::BIGINT AS bytes, count(*) AS n, sum(length(text))::BIGINT AS tokens
       FROM documents GROUP BY lang, source),
 lines AS (SELECT lang, (row_number() OVER (PARTITION BY lang ORDER BY source) - 1)::BIGINT AS k,

@@ -17,6 +17,7 @@ from ..functions.sqlfuncs import register_sql_functions
 from ..functions.tokenize import normalise_marks, ptb_tokens, ptb_line_tokens, token_text, whitespace_tokens
 from ..operators import batching, compare, stats
 from ..operators import tokens as tok
+from ..operators.chunked import Chunked, runs_of
 from .tables import load, load_text, stress_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -377,6 +378,39 @@ def q_stream_parts(spark, sf_dir):
     return back.groupBy(F.col("value").alias("token")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _streamed_parts(spark, sf_dir) -> str:
+    from ..session import scratch_path
+    from ..streaming.stream import text_stream, write_parts
+    from .derived import documents_as_files
+    import uuid
+    folder, run = documents_as_files(spark, sf_dir), uuid.uuid4().hex
+    out = scratch_path(spark, f"stream_parts/{run}")
+    stream = text_stream(spark, f"{folder}/file=*", max_bytes_per_trigger=STREAM_CHUNK)
+    write_parts(stream, out, scratch_path(spark, f"stream_ck/{run}")).awaitTermination()
+    return out
+
+
+@register("stream_part_tokens")
+def q_stream_part_tokens(spark, sf_dir):
+    """ST3: the parts of all chunks read back in order, each token with its file and
+    its place there as the chunk manifests say: order is compared, not counts."""
+    from ..streaming.stream import part_tokens
+    from .derived import file_number
+    return part_tokens(spark, _streamed_parts(spark, sf_dir)).select(file_number().alias("file"), "pos", "token")
+
+
+@register("stream_manifest")
+def q_stream_manifest(spark, sf_dir):
+    """ST3: the files that the chunk manifests list, and whether the chunk of each
+    keeps the byte limit (a file over the limit is a chunk of its own)."""
+    from ..streaming.stream import chunk_manifest
+    from .derived import file_number
+    files = chunk_manifest(spark, _streamed_parts(spark, sf_dir))
+    chunks = files.groupBy("chunk").agg(F.sum("bytes").alias("_b"), F.count("*").alias("_n"))
+    kept = (F.col("_b") <= STREAM_CHUNK) | (F.col("_n") == 1)
+    return files.join(chunks, "chunk").select(file_number().alias("file"), "bytes", F.col("tokens").alias("n_tokens"), kept.alias("within_limit"))
+
+
 @register("file_lines")
 def q_file_lines(spark, sf_dir):
     """Every line of every file with its 0-based number in the file
@@ -417,16 +451,66 @@ def q_file_diff_rows(spark, sf_dir):
 @register("compare_parts")
 def q_compare_parts(spark, sf_dir):
     """S7 + J1/J2: the whitespace tokens of every batch, written as parts and read
-    back, against the Treebank tokens of the batch."""
+    back, against the Treebank tokens of the batch, chunk by chunk."""
     from ..session import scratch_path
-    from ..sources.files import read_token_parts
     from ..sources.sinks import write_token_parts
     import uuid
     docs = _batched_documents(spark, sf_dir)
     out = scratch_path(spark, f"compare_parts/{uuid.uuid4().hex}")
     write_token_parts(docs, out, method="whitespace")
-    pairs = compare.part_pairs(docs, read_token_parts(spark, out))
-    return compare.diff_table(pairs, ["batch_id"])
+    return compare.compare_with_parts(docs, out).diff()
+
+
+# -- S4, J1-J3 for texts of any size -------------------------------------------
+
+LONG_PIECE = 1_000          # characters of a piece of a long line
+SMALL_CHUNK = 50            # tokens of a chunk, so that documents have many
+
+
+@register("long_line_tokens")
+def q_long_line_tokens(spark, sf_dir):
+    """S4 on files that are one line each: cut at blanks, put in order again."""
+    from ..sources.files import file_token_table
+    from .derived import documents_as_long_lines, file_number
+    folder = documents_as_long_lines(spark, sf_dir)
+    table = file_token_table(spark, f"{folder}/file=*", "blanks", LONG_PIECE)
+    return table.select(file_number().alias("file"), "pos", "token")
+
+
+def _chunked_ptb_vs_ws(spark, sf_dir) -> Chunked:
+    pairs = _ptb_vs_ws(spark, sf_dir)
+    return Chunked(runs_of(pairs, ["doc_id"], F.col("a")), runs_of(pairs, ["doc_id"], F.col("b")), ["doc_id"], SMALL_CHUNK)
+
+
+@register("token_diff_chunks")
+def q_token_diff_chunks(spark, sf_dir):
+    """J2 with every document in chunks of 50 tokens, walked apart and linked."""
+    return _chunked_ptb_vs_ws(spark, sf_dir).diff()
+
+
+@register("token_diff_rows_chunks")
+def q_token_diff_rows_chunks(spark, sf_dir):
+    """J3 from the linked chunks: numbers by prefix sums, contexts across chunks."""
+    return _chunked_ptb_vs_ws(spark, sf_dir).rows()
+
+
+@register("large_file_compare")
+def q_large_file_compare(spark, sf_dir):
+    """S4 + J1 + J2: both tokenisations of every file made line by line and compared
+    in chunks; no file and no list is ever a row."""
+    from .derived import documents_as_files, file_number
+    folder = documents_as_files(spark, sf_dir)
+    d = compare.compare_large_files(spark, f"{folder}/file=*", "ptb", "ptb_lines", size=SMALL_CHUNK).diff()
+    return d.select(file_number().alias("file"), "mismatched", "compared", "len_a", "len_b")
+
+
+@register("large_file_diff_rows")
+def q_large_file_diff_rows(spark, sf_dir):
+    """S4 + J1 + J3: the mismatches of the files, from chunks."""
+    from .derived import documents_as_files, file_number
+    folder = documents_as_files(spark, sf_dir)
+    rows = compare.compare_large_files(spark, f"{folder}/file=*", "ptb", "ptb_lines", size=SMALL_CHUNK).rows()
+    return rows.select(file_number().alias("file"), "seq", "i", "j", "kind", "cost", "a_context", "b_context")
 
 
 # -- S8, F3, F9, W2, J4, J5: timing logs derived from the documents -------------

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.tokenize import WS_CLASS, normalise_marks, ptb_tokens, split_tokens
+from ..functions.tokenize import WS_CLASS, normalise_marks, ptb_tokens, split_tokens, tokens
 from ..operators.ordering import offsets_within
 from ..session import cut_lineage, scratch_path
 
@@ -61,6 +65,17 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return _corpus_files(spark, path, df)
 
 
+def _records(spark: SparkSession, path: str, sep: str) -> DataFrame:
+    """What stands between two ``sep`` in text files: ``(path, block, lid, line, file_size)``."""
+    return spark.read.option("lineSep", sep).text(path).select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("lid"),
+        F.col("value").alias("line"),
+        F.col("_metadata.file_size").alias("file_size"),
+    )
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of text files with a file-order key, cut at ``\\n`` only.
 
@@ -69,41 +84,103 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     orders the lines of a file even when the file is cut into many splits
     read in parallel.  ``\\r`` stays in the line.
     """
-    return spark.read.option("lineSep", "\n").text(path).select(
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("lid"),
-        F.col("value").alias("line"),
-        F.col("_metadata.file_size").alias("file_size"),
-    )
+    return _records(spark, path, "\n")
+
 
+#: Characters of a piece of a file that is cut at blanks, at least.
+PIECE = 1 << 16
 
-def _plain_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Every line tokenised as one inside a file, in the task that reads it:
-    ``(path, block, lid, n, tokens)``, written once to the shared scratch folder."""
-    inside = F.concat(F.lit("\n"), F.col("line"), F.lit("\n"))
-    t = read_lines(spark, path).select("path", "block", "lid", ptb_tokens(inside, final_period=F.lit(False)).alias("tokens"))
-    out = scratch_path(spark, f"large_file_lines/{uuid.uuid4().hex}")
+
+def read_pieces(spark: SparkSession, path: str, least: int = PIECE, sep: str = " ") -> DataFrame:
+    """Files cut at blanks (or another ``sep``), whatever lines they have: like
+    ``read_lines``, with pieces of at least ``least`` characters as lines.
+
+    Spark's reader finds the blanks of every split; neighbouring words of a
+    split are put together again where they are read, so a line of any length
+    is many pieces read in parallel and nothing is shuffled.  Only a stretch
+    without any blank has to fit into a cell.
+    """
+    def glue(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[str] = []
+        where: tuple | None = None
+        size = 0
+
+        def piece() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([{**dict(zip(("path", "block", "file_size", "lid"), where)), "line": sep.join(held)}], schema=schema)
+
+        schema = pa.schema([("path", pa.string()), ("block", pa.int64()), ("lid", pa.int64()), ("line", pa.string()), ("file_size", pa.int64())])
+        for batch in batches:
+            # The words of a split stand together: look only where path or block changes.
+            paths = batch.column("path").dictionary_encode().indices.to_numpy()
+            blocks = batch.column("block").to_numpy()
+            change = np.flatnonzero((np.diff(paths) != 0) | (np.diff(blocks) != 0)) + 1
+            for at, to in zip([0, *change.tolist()], [*change.tolist(), batch.num_rows]):
+                if at == to:
+                    continue
+                own = (batch.column("path")[at].as_py(), int(blocks[at]), batch.column("file_size")[at].as_py())
+                if where is not None and where[:3] != own:
+                    yield piece()
+                    held, where, size = [], None, 0
+                words, lids = batch.column("line").slice(at, to - at), batch.column("lid").slice(at, to - at)
+                ends = np.cumsum(pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+                done, before = 0, 0
+                while done < len(words):
+                    if where is None:
+                        where = (*own, lids[done].as_py())
+                    # Up to the word that fills the piece.
+                    upto = min(len(words), int(np.searchsorted(ends, before + least - size)) + 1)
+                    held += words.slice(done, upto - done).to_pylist()
+                    size += int(ends[upto - 1]) - before
+                    done, before = upto, int(ends[upto - 1])
+                    if size >= least:
+                        yield piece()
+                        held, where, size = [], None, 0
+        if where is not None:
+            yield piece()
+
+    return _records(spark, path, sep).mapInArrow(glue, "path string, block long, lid long, line string, file_size long")
+
+
+#: How a large file is cut: a reader and the character that stands at every cut.
+CUTS = {"lines": (read_lines, "\n"), "blanks": (read_pieces, " ")}
+
+
+def _cut(spark: SparkSession, path: str, cut: str, piece: int) -> tuple[DataFrame, str]:
+    reader, sep = CUTS[cut]
+    return (reader(spark, path, piece) if cut == "blanks" else reader(spark, path)), sep
+
+
+def _tokenised(lines: DataFrame, tokens: Column) -> DataFrame:
+    """The tokens of every piece, made in the task that reads it: ``(path, block,
+    lid, n, tokens)``, written once to the shared scratch folder."""
+    out = scratch_path(lines.sparkSession, f"large_file_lines/{uuid.uuid4().hex}")
+    t = lines.select("path", "block", "lid", tokens.alias("tokens"))
     t.select("path", "block", "lid", F.size("tokens").alias("n"), "tokens").write.parquet(out)
-    return spark.read.schema("path string, block long, lid long, n int, tokens array<string>").parquet(out)
+    return lines.sparkSession.read.schema("path string, block long, lid long, n int, tokens array<string>").parquet(out)
 
 
-def _edge_lines(spark: SparkSession, path: str) -> DataFrame:
+def _plain_lines(lines: DataFrame, sep: str) -> DataFrame:
+    """Every line tokenised as one inside a file."""
+    inside = F.concat(F.lit(sep), F.col("line"), F.lit(sep))
+    return _tokenised(lines, ptb_tokens(inside, final_period=F.lit(False)))
+
+
+def _edge_lines(lines: DataFrame, sep: str) -> DataFrame:
     """The first, last and last non-blank line of every file, tokenised as what
     they are: ``(path, block, fixes)``, at most three lines of a file in all."""
     place = F.struct("block", "lid", "line")
     blank = F.col("line").rlike("^" + WS_CLASS + "*$")
-    facts = read_lines(spark, path).groupBy("path").agg(
+    facts = lines.groupBy("path").agg(
         F.min(place).alias("_first"), F.max(place).alias("_last"), F.max(F.when(~blank, place)).alias("_final"),
-        (F.sum(F.octet_length("line") + 1) == F.first("file_size")).alias("_ends_nl"))
+        (F.sum(F.octet_length("line") + 1) == F.first("file_size")).alias("_ends"))
     edges = F.array_distinct(F.array_compact(F.array("_first", "_last", "_final")))
-    e = facts.select("path", "_first", "_last", "_final", "_ends_nl", F.explode(edges).alias("_e"))
+    e = facts.select("path", "_first", "_last", "_final", "_ends", F.explode(edges).alias("_e"))
 
     def same(name: str):
         return F.coalesce((F.col("_e.block") == F.col(f"{name}.block")) & (F.col("_e.lid") == F.col(f"{name}.lid")), F.lit(False))
 
-    text = F.concat(F.when(same("_first"), F.lit("")).otherwise(F.lit("\n")), F.col("_e.line"),
-                    F.when(same("_last") & ~F.col("_ends_nl"), F.lit("")).otherwise(F.lit("\n")))
+    text = F.concat(F.when(same("_first"), F.lit("")).otherwise(F.lit(sep)), F.col("_e.line"),
+                    F.when(same("_last") & ~F.col("_ends"), F.lit("")).otherwise(F.lit(sep)))
     t = e.select("path", F.col("_e.block").alias("block"), F.col("_e.lid").alias("lid"), text.alias("_x"), same("_final").alias("_f"))
     t = t.select("path", "block", "lid", ptb_tokens("_x", final_period=F.col("_f")).alias("tokens"))
     return t.groupBy("path", "block").agg(F.collect_list(F.struct("lid", "tokens")).alias("fixes"))
@@ -114,51 +191,77 @@ def _with_edges(plain: DataFrame, edges: DataFrame) -> DataFrame:
     return plain.join(edges, ["path", "block"], "left").select("path", "block", "lid", F.coalesce(fix["tokens"], F.col("tokens")).alias("tokens"))
 
 
-def large_file_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Files too large for one cell, tokenised line by line in parallel.
-
-    Each line is tokenised as ``'\\n' + line + '\\n'`` (no leading newline on
-    a file's first line; no trailing one on its last line unless the file
-    ends with a newline), so every rule sees the same neighbours as in the
-    whole text; T7 (final period) is switched on only for the last non-blank
-    line.  All lines are tokenised as inner ones where they are read; the at
-    most three others of a file are found by an aggregate and put in by a join
-    on (path, block), whose groups are no larger than a split.  Returns
-    ``(path, block, lid, tokens)``, one row per line.
+def large_file_lines(spark: SparkSession, path: str, cut: str = "lines", piece: int = PIECE) -> DataFrame:
+    """Files too large for one cell, tokenised piece by piece in parallel.
+
+    ``cut="lines"``: each line is tokenised as ``'\\n' + line + '\\n'``; with
+    ``cut="blanks"`` each piece of ``read_pieces`` as ``' ' + piece + ' '``, so
+    lines may be of any length.  There is nothing in front of a file's first
+    piece, nor behind its last one unless the file ends with that character:
+    every rule sees the same neighbours as in the whole text (no rule that
+    changes tokens looks across a blank or a newline at what stands behind it);
+    T7 (final period) is switched on only for the last non-blank piece.  All
+    pieces are tokenised as inner ones where they are read; the at most three
+    others of a file are found by an aggregate and put in by a join on
+    (path, block), whose groups are no larger than a split.  Returns
+    ``(path, block, lid, tokens)``, one row per piece.
     """
-    return _with_edges(_plain_lines(spark, path), _edge_lines(spark, path))
+    lines, sep = _cut(spark, path, cut, piece)
+    return _with_edges(_plain_lines(lines, sep), _edge_lines(lines, sep))
 
 
-def large_file_tokens(spark: SparkSession, path: str) -> DataFrame:
+def large_file_tokens(spark: SparkSession, path: str, cut: str = "lines", piece: int = PIECE) -> DataFrame:
     """S4 as token rows ``(path, block, lid, pos, token)``; ``pos`` is the
-    place in the line (``file_token_table`` gives the place in the file)."""
-    rows = large_file_lines(spark, path).select(
+    place in the piece (``file_token_table`` gives the place in the file)."""
+    rows = large_file_lines(spark, path, cut, piece).select(
         "path", "block", "lid", F.posexplode_outer("tokens").alias("pos", "token"))
     return rows.where(F.col("token").isNotNull()).select(
         "path", "block", "lid", F.col("pos").cast("bigint").alias("pos"), "token")
 
 
-def file_token_table(spark: SparkSession, path: str) -> DataFrame:
-    """S4 as ``(path, pos, token)`` with ``pos`` the token's place in its file.
+def _runs(plain: DataFrame, edges: DataFrame | None, group: Column, name: str) -> DataFrame:
+    """``(name, off, tokens)``: pieces with the place of their first token in their
+    group (a file, or the files of a part in the order of their names).
 
-    The tokens before a line are those of its file's earlier splits (a running
+    The tokens before a piece are those of its group's earlier splits (a running
     sum over one small row per split, from the counts alone) and those of
-    earlier lines in its split (a window over one split).  The edge lines, the
+    earlier pieces in its split (a window over one split).  The edge pieces, the
     offsets and the window share one hash partitioning on (path, block): token
     arrays move once.
     """
-    plain, edges = _plain_lines(spark, path), cut_lineage(_edge_lines(spark, path))
-    fixed = edges.select("path", "block", F.explode("fixes").alias("_x")).select("path", "block", F.col("_x.lid").alias("lid"), F.size("_x.tokens").alias("_m"))
-    counts = plain.select("path", "block", "lid", "n").join(fixed, ["path", "block", "lid"], "left")
-    per_block = counts.groupBy("path", "block").agg(F.sum(F.coalesce("_m", "n")).alias("_n"))
-    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = cut_lineage(per_block.select("path", "block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off")))
+    counts = plain.select("path", "block", "lid", "n")
+    if edges is not None:
+        fixed = edges.select("path", "block", F.explode("fixes").alias("_x")).select("path", "block", F.col("_x.lid").alias("lid"), F.size("_x.tokens").alias("_m"))
+        counts = counts.join(fixed, ["path", "block", "lid"], "left").select("path", "block", F.coalesce("_m", "n").alias("n"))
+    per_block = counts.groupBy("path", "block").agg(F.sum("n").alias("_n")).withColumn("_g", group)
+    earlier = Window.partitionBy("_g").orderBy("path", "block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = cut_lineage(per_block.select("path", "block", "_g", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off")))
     before = Window.partitionBy("path", "block").orderBy("lid").rowsBetween(Window.unboundedPreceding, -1)
-    lines = _with_edges(plain, edges).join(offsets, ["path", "block"])
-    placed = lines.select("path", (F.col("_off") + F.coalesce(F.sum(F.size("tokens")).over(before), F.lit(0))).alias("_off"), "tokens")
-    rows = placed.select("path", "_off", F.posexplode_outer("tokens").alias("pos", "token"))
+    lines = (plain if edges is None else _with_edges(plain, edges)).join(offsets, ["path", "block"])
+    off = F.col("_off") + F.coalesce(F.sum(F.size("tokens")).over(before), F.lit(0))
+    return lines.select(F.col("_g").alias(name), off.cast("bigint").alias("off"), "tokens")
+
+
+def file_token_runs(spark: SparkSession, path: str, cut: str = "lines", piece: int = PIECE, method: str = "ptb") -> DataFrame:
+    """S4 as ``(path, off, tokens)``: the tokens of a piece and the place of the
+    first one in its file."""
+    read, sep = _cut(spark, path, cut, piece)
+    if method == "ptb":
+        plain, edges = _plain_lines(read, sep), cut_lineage(_edge_lines(read, sep))
+    elif method == "whitespace" or (method == "ptb_lines" and cut == "lines"):
+        # Every cut is white space, and every line is tokenised on its own.
+        plain, edges = _tokenised(read, tokens("line", "ptb" if method == "ptb_lines" else method)), None
+    else:
+        raise ValueError(f"{method!r} cannot be made of files cut at {cut}")
+    return _runs(plain, edges, F.col("path"), "path")
+
+
+def file_token_table(spark: SparkSession, path: str, cut: str = "lines", piece: int = PIECE) -> DataFrame:
+    """S4 as ``(path, pos, token)`` with ``pos`` the token's place in its file."""
+    placed = file_token_runs(spark, path, cut, piece)
+    rows = placed.select("path", "off", F.posexplode_outer("tokens").alias("pos", "token"))
     return rows.where(F.col("token").isNotNull()).select(
-        "path", (F.col("_off") + F.col("pos")).cast("bigint").alias("pos"), "token")
+        "path", (F.col("off") + F.col("pos")).cast("bigint").alias("pos"), "token")
 
 
 def read_token_part(spark: SparkSession, path: str) -> DataFrame:
@@ -178,6 +281,14 @@ def read_token_parts(spark: SparkSession, folder: str, part_col: str = "batch_id
     return df.select(part_col, "path", split_tokens(normalise_marks(F.col("text"))).alias("tokens"))
 
 
+def token_part_runs(spark: SparkSession, folder: str, part_col: str = "batch_id", piece: int = PIECE) -> DataFrame:
+    """S7 for parts of any size: ``(part, off, tokens)``, a part's tokens in pieces
+    of lines with the place of the first token in the part."""
+    lines = read_pieces(spark, folder, piece, "\n")
+    part = F.regexp_extract("path", f"/{part_col}=([^/]+)/", 1).cast("bigint")
+    return _runs(_tokenised(lines, split_tokens(normalise_marks(F.col("line")))), None, part, part_col)
+
+
 def line_ordinals(lines: DataFrame) -> DataFrame:
     """0-based line number within its file, in (block, lid) order.
 

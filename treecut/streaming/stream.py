@@ -10,12 +10,15 @@ aggregate whose state is a single row.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.window import Window
 
 from ..functions.tokenize import byte_length, ptb_tokens
+from ..sources.files import line_ordinals, read_lines
 
 TEXT_SCHEMA = T.StructType([T.StructField("value", T.StringType())])
 
@@ -50,21 +53,63 @@ def write_parts(texts: DataFrame, out: str, checkpoint: str, trigger_available_n
     ``texts`` is the text stream (``path``, ``text``).  ``foreachBatch`` writes
     ``out/chunk=<batch id>``; a replayed batch overwrites its own folder, so a
     restart does not duplicate tokens.  The chunk's texts are range-partitioned
-    and sorted on ``path`` and tokenised only then (finding the ranges reads the
-    texts, not their tokens), so its part files, read in name order, hold the
-    tokens in order and no task holds a whole chunk.
+    (into as many ranges as the micro-batch has splits) and sorted on ``path`` and
+    tokenised only then (finding the ranges reads the texts, not their tokens), so
+    its part files, read in name order, hold the tokens in order and no task
+    holds a whole chunk.
+
+    ``out/_manifest/chunk=<batch id>`` lists the chunk's files: ``(part, path,
+    bytes, tokens)``, the part file (by its number) in which a file's tokens lie,
+    in the order of the paths.  It is written after the parts: a chunk without one
+    is not complete.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         n = max(1, batch.rdd.getNumPartitions())
         ordered = batch.select("path", "text").repartitionByRange(n, "path").sortWithinPartitions("path")
-        t = ordered.select(ptb_tokens("text").alias("_t")).where(F.size("_t") > 0)
-        t.select(F.concat_ws("\n", "_t").alias("value")).write.mode("overwrite").text(f"{out.rstrip('/')}/chunk={batch_id}")
+        # Held for the second write; what a lost executor held is made again.
+        t = ordered.select("path", byte_length("text").cast("bigint").alias("bytes"), ptb_tokens("text").alias("_t")).persist(StorageLevel.DISK_ONLY)
+        try:
+            parts = t.where(F.size("_t") > 0).select(F.concat_ws("\n", "_t").alias("value"))
+            parts.write.mode("overwrite").text(f"{out.rstrip('/')}/chunk={batch_id}")
+            listed = t.select(F.spark_partition_id().alias("part"), "path", "bytes", F.size("_t").cast("bigint").alias("tokens"))
+            listed.write.mode("overwrite").parquet(f"{out.rstrip('/')}/{MANIFEST}/chunk={batch_id}")
+        finally:
+            t.unpersist()
 
     w = texts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if trigger_available_now else w
     return w.start()
 
 
+#: Folder of the manifests beside the chunks; readers of the parts skip it.
+MANIFEST = "_manifest"
+
+
+def chunk_manifest(spark: SparkSession, out: str) -> DataFrame:
+    """``(chunk, part, path, bytes, tokens)``: the files of every chunk written so far."""
+    schema = "part int, path string, bytes long, tokens long, chunk long"
+    return spark.read.schema(schema).parquet(f"{out.rstrip('/')}/{MANIFEST}").select("chunk", "part", "path", "bytes", "tokens")
+
+
+def part_tokens(spark: SparkSession, out: str) -> DataFrame:
+    """The parts read back in order: ``(chunk, path, pos, token)``, every token with
+    the file that the manifest says it came from and its place in that file.
+
+    Tokens are numbered by line in their part file, and the manifest's running sums
+    name the file in which a number falls (both per part, which a chunk's byte
+    limit bounds)."""
+    lines = line_ordinals(read_lines(spark, out))
+    place = [F.regexp_extract("path", r"/chunk=(\d+)/part-(\d+)", k).cast("bigint") for k in (1, 2)]
+    said = lines.where(F.col("line") != "").select(place[0].alias("chunk"), place[1].alias("part"), F.col("line_no").alias("at"), F.lit(1).alias("_kind"), F.lit(None).cast("string").alias("file"), F.col("line").alias("token"))
+    before = Window.partitionBy("chunk", "part").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+    starts = chunk_manifest(spark, out).where("tokens > 0").withColumn("at", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
+    starts = starts.select("chunk", F.col("part").cast("bigint").alias("part"), "at", F.lit(0).alias("_kind"), F.col("path").alias("file"), F.lit(None).cast("string").alias("token"))
+    upto = Window.partitionBy("chunk", "part").orderBy("at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    first = F.when(F.col("_kind") == 0, F.struct("file", "at"))
+    found = starts.unionByName(said).withColumn("_from", F.last(first, ignorenulls=True).over(upto)).where("_kind = 1")
+    return found.select("chunk", F.col("_from.file").alias("path"), (F.col("at") - F.col("_from.at")).cast("bigint").alias("pos"), "token")
+
+
 def totals_to_table(tokenised: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
     """ST2 sink: the running totals in an in-memory table, updated per batch."""
     return (running_totals(tokenised).writeStream.outputMode("complete").format("memory")
