@@ -1,75 +1,18 @@
-"""Line deduplication against a plain reading of its rule."""
+"""Line deduplication: empty tables and the plan (the rule: test_linededup_runs.py)."""
 
-import struct
-from collections import defaultdict
+import os
+import sys
 
-import xxhash
-from treecut.llm import linededup as L
+sys.path.insert(0, os.path.dirname(__file__))
 
-
-def h(x, seed=42):
-    return xxhash.xxh64(x, seed=seed).intdigest()
-
-
-def chunks(lines):
-    own = [h(x.encode()) for x in lines]
-    start = 0
-    for i in range(len(lines)):
-        if i + 1 < len(lines):
-            if i + 1 < L.WINDOW:
-                continue
-            seed = 42
-            for k in range(L.WINDOW):
-                seed = h(struct.pack("<Q", own[i - k]), seed)
-            if (seed - (1 << 64) * (seed >> 63)) % L.DIVISOR:
-                continue
-        if i > start:
-            yield start, i + 1
-        start = i + 1
-
-
-def brute(docs):
-    first, where = {}, defaultdict(list)
-    for doc_id, text in sorted(set(docs), key=lambda r: (r[0] is not None, r[0] or 0)):
-        lines = (text or "").split("\n")
-        for a, b in chunks(lines) if "\n" in (text or "") else ():
-            body = "\n".join(lines[a:b])
-            if first.setdefault(body, (doc_id, text, a)) != (doc_id, text, a):
-                where[doc_id, text].append((a, b))
-    out = []
-    for doc_id, text in docs:
-        cut = {i for a, b in where[doc_id, text] for i in range(a, b)}
-        lines = (text or "").split("\n")
-        kept = text if not cut else "\n".join(x for i, x in enumerate(lines) if i not in cut)
-        out.append((doc_id, len(lines) if text else 0, len(cut), kept))
-    return out
-
-
-def run(spark, docs):
-    d = spark.createDataFrame([(i, t, 5, "x") for i, t in docs], "doc_id long, text string, _n int, lang string")
-    return [(r.doc_id, r._n_lines, r._n_removed, r.text) for r in L.dedup_lines(d).collect()]
-
-
-def test_edge_cases(spark):
-    passage = "\n".join(f"line {i} of a passage" for i in range(12))
-    docs = [(1, passage), (2, "before\n" + passage + "\nafter"), (3, None), (4, ""), (5, "one line"), (6, "one line"), (7, passage), (7, passage), (None, passage),
-            (8, "\n\n\n\n"), (9, "\n\n\n\n"), (10, "x\n" * 3000), (11, passage + "\n" + passage), (12, "é\nü\n" + passage.upper())]
-    got = run(spark, docs)
-    assert sorted(got, key=str) == sorted(brute(docs), key=str)
-    assert any(r[2] for r in got)
+from test_linededup_runs import run  # noqa: E402
+from treecut.llm import linededup as L  # noqa: E402
 
 
 def test_empty_table(spark):
     assert run(spark, []) == []
 
 
-def test_query_equals_brute_force(spark):
-    sf = "/root/testdata/sf0.001"
-    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
-    got = [tuple(r) for r in L.op2_line_dedup(spark, sf).collect()]
-    assert sorted(got) == sorted(brute(docs))
-
-
 def test_no_python_in_the_plan(spark):
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     plan = L.dedup_lines(d)._jdf.queryExecution().toString()

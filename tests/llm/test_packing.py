@@ -13,9 +13,7 @@ from treecut.llm import packing as P
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def ids(tokenizer, text):
@@ -46,7 +44,7 @@ def test_encoder_equals_the_tokenizer(tokenizer):
     encode = P.Encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     rng = random.Random(1)
     bits = ["word", "Word", "don't", "I'LL", " ", "  ", "\n", "\n\n", "\t", "\r\n", "12", "3.14", "é", "日本", "🙂", "...", "--", "<|endoftext|>", " ", " ", "\x1c", "\x85", "\0", "ß&&&", "_", "'"]
-    texts = ["", " ", "\n", "a\n b", "a \nb", "one two\nthree", *("".join(rng.choice(bits) for _ in range(rng.randrange(1, 25))) for _ in range(1500))]
+    texts = ["", " ", "\n", "a\n b", "a \nb", "one two\nthree", "a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n", "<|endoftext| >", *("".join(rng.choice(bits) for _ in range(rng.randrange(1, 25))) for _ in range(1500))]
     for text in texts:
         assert encode(text) == ids(tokenizer, text)[:-1].tobytes(), repr(text)
 
@@ -88,7 +86,7 @@ def test_exact_complements_first():
 
 
 def test_rows(spark, tokenizer):
-    docs = [(1, None), (2, ""), (3, "a few words"), (3, "a few words"), (None, "no id"), (5, "long " * 6000), (6, "x" * 20000), (7, " ".join(f"w{i}" for i in range(2047))), (8, "tail  \n\n  x")]
+    docs = [(1, None), (2, ""), (4, "a <|endoftext|> b"), (3, "a few words"), (3, "a few words"), (None, "no id"), (5, "long " * 6000), (6, "x" * 20000), (7, " ".join(f"w{i}" for i in range(2047))), (8, "tail  \n\n  x")]
     for n in range(60):
         docs.append((100 + n, "some words here " * (n * 9 % 170)))
     d = spark.createDataFrame([(i, t, 1, 2) for i, t in docs], "doc_id long, text string, length int, part int").repartition(5)
@@ -103,3 +101,15 @@ def test_query(spark, tokenizer):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     rows = [tuple(r) for r in P.op6_best_fit_packing(spark, sf).collect()]
     assert check(rows, docs, tokenizer) <= 1 + sum(r[3] for r in rows) / 2048 * 1.02
+
+
+@pytest.mark.parametrize("kind", ["smallint", "int", "bigint", "string", "date"])
+def test_key_types_and_clashing_columns(spark, tokenizer, kind):
+    names = ["_text", "part", "nth", "_nth", "length", "before", "sequence_id", "piece"]
+    d = spark.createDataFrame([(1, "one two"), (2, "three " * 3000), (None, None)], "n int, text string")
+    key = "date_add(date'2020-01-01', n)" if kind == "date" else f"cast(n as {kind})"
+    d = d.selectExpr(f"{key} as doc_id", "text", *(f"'x' as `{n}`" for n in names))
+    docs = [(r.doc_id, r.text) for r in d.collect()]
+    packed = P.pack(d)
+    assert dict(packed.dtypes)["doc_id"] == kind
+    check([tuple(r) for r in packed.collect()], docs, tokenizer)

@@ -10,7 +10,7 @@ sys.path.insert(0, os.path.dirname(__file__))
 
 import corpus_pipeline as C  # noqa: E402
 import test_decontaminate  # noqa: E402
-import test_linededup  # noqa: E402
+import test_linededup_runs  # noqa: E402
 import test_neardedup  # noqa: E402
 from treecut.llm import langid  # noqa: E402
 
@@ -48,7 +48,7 @@ def test_stages(spark, written):
             assert sorted(r.doc_id for r in kept) == sorted(i for i, _ in rows(after))
             assert not {900, 904} & {i for i, _ in rows(after)}
         elif name == "line_dedup":
-            want = [(i, t) for i, _, cut, t in test_linededup.brute(before) if not cut or t.strip()]
+            want = [(i, t) for i, _, cut, t in test_linededup_runs.brute(before) if not cut or t.strip()]
             assert sorted(rows(after)) == sorted(want)
             assert after.where(F.length("text") != F.col("n_chars")).count() == 0
         elif name == "near_dedup":

@@ -15,6 +15,7 @@ no rows; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -25,11 +26,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import emit, load, once_per_worker, scan, stored
+from .common import emit, growing, load, once_per_worker, scan, stored
 
 CAPACITY = 2048
 END = b"\0\0\0\0"
+#: Fixed value: the token that the public vocabulary adds to its ranks.
+ADDED = {"<|endoftext|>": 50256}
 #: Words whose ids a worker keeps; further words are encoded each time.
 CACHED_WORDS = 300_000
 
@@ -39,15 +43,18 @@ class Encoder:
 
     A blank before a visible character, and a line feed between visible
     characters, always end a pre-token of this vocabulary's pattern, so words
-    are encoded once and their ids joined; other texts are encoded whole.
+    are encoded once and their ids joined; other texts are encoded whole.  Added
+    tokens are cut out first, wherever they stand.
     """
 
-    def __init__(self, ranks_file: str):
+    def __init__(self, ranks_file: str, added: dict[str, int] = ADDED):
         import tiktoken
 
         with open(ranks_file, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.bpe = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.added = {text: np.array([number], dtype="<u4").tobytes() for text, number in added.items()}
+        self.at_added = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.known: dict[str, bytes] = {}
         self.feed = self._ids("\n")
 
@@ -61,6 +68,11 @@ class Encoder:
         return ids
 
     def __call__(self, text: str) -> bytes:
+        if self.at_added and self.at_added.search(text):
+            return b"".join(self.added.get(part) or self._plain(part) for part in self.at_added.split(text))
+        return self._plain(text)
+
+    def _plain(self, text: str) -> bytes:
         if not text:
             return b""
         known, word, out = self.known, self._word, []
@@ -82,7 +94,7 @@ def pieces(docs: DataFrame, ranks_file: str, text: str = "text", key: str = "doc
     """Pieces with length, CRC, and their number among the pieces of that length
     made by the same task (``part``, ``nth``)."""
     source = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("_text"))
-    kind = dict(source.dtypes)["doc_id"]
+    kind, id_type = dict(source.dtypes)["doc_id"], to_arrow_type(source.schema["doc_id"].dataType)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, seen = once_per_worker(("encoder", ranks_file), lambda: Encoder(ranks_file)), TaskContext.get().partitionId(), [0] * (capacity + 1)
@@ -101,7 +113,6 @@ def pieces(docs: DataFrame, ranks_file: str, text: str = "text", key: str = "doc
         schema = pa.schema([("doc_id", id_type), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int32()), ("nth", pa.int64())])
         yield from emit(rows(), schema)
 
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
     return source.mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, part int, nth long")
 
 
@@ -206,7 +217,7 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     places = plan(counts, capacity)
     # How many pieces of a length earlier tasks made: one row per task and length.
     before = per_task.selectExpr("part", "length", "sum(n) over (partition by length order by part rows between unbounded preceding and current row) - n as before")
-    numbered = cut.join(before, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("_nth"))
+    numbered = cut.join(growing(before), ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("_nth"))
     kind = dict(cut.dtypes)["doc_id"]
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
