@@ -151,24 +151,28 @@ def _recounted(plain: DataFrame, look: Lookup) -> DataFrame:
     transducers a block of distinct terms at a time."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], Counter] = {}
+        held: dict[str, dict[str, Counter]] = {}
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for (lang, source), own in held.items():
-                prefix = _key(lang, b"")
-                ordinal = look([prefix + term for term in own])
-                known = ordinal >= 0
-                n = np.fromiter(own.values(), dtype=np.int64, count=len(own))[known]
-                if len(n):
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n)), pa.array([source] * len(n)), pa.array(ordinal[known]), pa.array(n)], names=["lang", "source", "ordinal", "n"])
-
+            for lang, sources in held.items():
+                # A term of several sources goes through the transducer once.
+                terms, prefix = list(set().union(*sources.values())), _key(lang, b"")
+                ordinal = look([prefix + term for term in terms])
+                known = {terms[i]: int(ordinal[i]) for i in np.flatnonzero(ordinal >= 0)}
+                for source, own in sources.items():
+                    kept = [(known[term], n) for term, n in own.items() if term in known]
+                    if kept:
+                        at, n = zip(*kept)
+                        yield pa.RecordBatch.from_arrays([pa.array([lang]).take(zeros(len(n))), pa.array([source]).take(zeros(len(n))), pa.array(at, pa.int64()), pa.array(n, pa.int64())], names=["lang", "source", "ordinal", "n"])
+
+        zeros = lambda n: pa.array(np.zeros(n, dtype=np.int32))
         for lang, source, text in scan(batches, "lang", "source", "text"):
-            own = held.setdefault((lang, source), Counter())
+            own = held.setdefault(lang, {}).setdefault(source, Counter())
             size -= len(own)
             own.update(_terms(text))
             size += len(own)
-            if size > HELD:
+            if size > 2 * HELD:
                 yield from flush()
                 held, size = {}, 0
         yield from flush()
@@ -241,13 +245,14 @@ def divergence(docs: DataFrame, text: str = "text", lang: str = "lang", source:
     totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     groups = plain.select("lang", "source").distinct().join(growing(totals), ["lang", "source"], "left").join(growing(sizes), "lang", "left")
     groups = stored(groups.select("lang", "source", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("v", F.lit(0)).alias("v")), "groups")
+    whole = groups.groupBy("lang").agg(F.sum("total").alias("of_lang"))
+    groups = stored(groups.join(growing(whole), "lang"), "groups")
     shared = counts.join(growing(groups), ["lang", "source"])
-    shared = stored(shared.select("lang", "source", "ordinal", "n", _share(F.col("n"), F.col("total"), F.col("v")).alias("share")), "shares")
+    shared = stored(shared.select("lang", "source", "ordinal", "n", "of_lang", "v", _share(F.col("n"), F.col("total"), F.col("v")).alias("share")), "shares")
 
     # Terms that a source has more often than its language.
-    whole = groups.groupBy("lang").agg(F.sum("total").alias("total"), F.first("v").alias("v"))
-    of_lang = shared.groupBy("lang", "ordinal").agg(F.sum("n").alias("n")).join(growing(whole), "lang")
-    of_lang = of_lang.select("ordinal", _share(F.col("n"), F.col("total"), F.col("v")).alias("q"))
+    of_lang = shared.groupBy("ordinal").agg(F.sum("n").alias("n"), F.first("of_lang").alias("of_lang"), F.first("v").alias("v"))
+    of_lang = of_lang.select("ordinal", _share(F.col("n"), F.col("of_lang"), F.col("v")).alias("q"))
     above = shared.join(growing(of_lang), "ordinal").where("share > q").select("lang", "source", "ordinal", (F.col("share") - F.col("q")).alias("value"))
     by_value = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "ordinal")
     best = above.withColumn("rank", F.row_number().over(by_value)).where(F.col("rank") <= top)
