@@ -32,8 +32,9 @@ from .transducer import Builder, loads
 
 #: Letters A-Z in lower case and everything beyond ASCII, as UTF-8.
 TERM = re.compile(rb"[a-z\x80-\xff]+")
-#: Distinct terms that a task holds before it hands its counts on.
-HELD = 200_000
+#: Distinct terms that a task holds before it hands its counts on; terms of a block
+#: of texts; ordinals and counts that a task remembers.
+HELD, REMEMBERED = 200_000, 500_000
 #: Bytes of the keys of one transducer, and of the transducers of one pass over the texts.
 SHARD_BYTES, PASS_BYTES = 1 << 20, 64 << 20
 #: Terms and sources that are compared in one group.
@@ -147,34 +148,44 @@ def _numbered(kept: DataFrame, look: Lookup) -> DataFrame:
 
 
 def _recounted(plain: DataFrame, look: Lookup) -> DataFrame:
-    """``(lang, source, ordinal, n)`` as the tasks count them: texts go through the
-    transducers a block of distinct terms at a time."""
+    """``(lang, source, ordinal, n)`` as the tasks count them, a block of texts at a time."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, dict[str, Counter]] = {}
-        size = 0
+        known: dict[str, dict[bytes, int]] = {}
+        held: dict[tuple[str, str], Counter] = {}
+
+        def through(block: list[tuple[str, str, list[bytes]]]) -> None:
+            """A block of texts through the transducers: terms that were not met
+            lately are walked, all are counted."""
+            if sum(map(len, known.values())) > REMEMBERED:
+                known.clear()
+            for lang in {lang for lang, _, _ in block}:
+                own = known.setdefault(lang, {})
+                new = list(set().union(*(terms for l, _, terms in block if l == lang)).difference(own))
+                prefix = _key(lang, b"")
+                own.update(zip(new, look([prefix + term for term in new]).tolist()))
+            for lang, source, terms in block:
+                held.setdefault((lang, source), Counter()).update(map(known[lang].__getitem__, terms))
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for lang, sources in held.items():
-                # A term of several sources goes through the transducer once.
-                terms, prefix = list(set().union(*sources.values())), _key(lang, b"")
-                ordinal = look([prefix + term for term in terms])
-                known = {terms[i]: int(ordinal[i]) for i in np.flatnonzero(ordinal >= 0)}
-                for source, own in sources.items():
-                    kept = [(known[term], n) for term, n in own.items() if term in known]
-                    if kept:
-                        at, n = zip(*kept)
-                        yield pa.RecordBatch.from_arrays([pa.array([lang]).take(zeros(len(n))), pa.array([source]).take(zeros(len(n))), pa.array(at, pa.int64()), pa.array(n, pa.int64())], names=["lang", "source", "ordinal", "n"])
-
-        zeros = lambda n: pa.array(np.zeros(n, dtype=np.int32))
+            for (lang, source), own in held.items():
+                own.pop(-1, None)  # terms that are not kept
+                if own:
+                    same = pa.array(np.zeros(len(own), dtype=np.int32))
+                    yield pa.RecordBatch.from_arrays([pa.array([lang]).take(same), pa.array([source]).take(same), pa.array(list(own.keys()), pa.int64()), pa.array(list(own.values()), pa.int64())], names=["lang", "source", "ordinal", "n"])
+            held.clear()
+
+        block, size = [], 0
         for lang, source, text in scan(batches, "lang", "source", "text"):
-            own = held.setdefault(lang, {}).setdefault(source, Counter())
-            size -= len(own)
-            own.update(_terms(text))
-            size += len(own)
-            if size > 2 * HELD:
-                yield from flush()
-                held, size = {}, 0
+            terms = _terms(text)
+            block.append((lang, source, terms))
+            size += len(terms)
+            if size > HELD:
+                through(block)
+                block, size = [], 0
+                if sum(map(len, held.values())) > REMEMBERED:
+                    yield from flush()
+        through(block)
         yield from flush()
 
     return plain.mapInArrow(count, "lang string, source string, ordinal long, n long")
