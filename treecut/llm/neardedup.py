@@ -12,7 +12,8 @@
    that may reach the threshold are confirmed on their full sets, and a chunk
    returns a spanning forest of its links, not its pairs.
 4. Where a bucket of several chunks is not yet one component, every two of its
-   chunks are compared as well, so no pair of a bucket is left out.
+   chunks are compared as well, so no pair of a bucket is left out.  Buckets come
+   in two rounds; those that are one component after the first need no second.
 5. Components come from label propagation with pointer jumping.
 
 Defined cases: a text without words has an empty set and links with nothing; a
@@ -43,6 +44,10 @@ EMPTY = np.uint16(0xFFFF)
 #: Registers of a band. A pair at the least similarity of 0.8 agrees on a band
 #: with probability 0.8 ** 6, and on none of the 42 bands with 3e-6.
 BAND = 6
+#: Buckets are compared in two rounds, in the order of their numbers: first about
+#: six of a class's 42; by then most groups are one component, and only buckets
+#: that are not go on.
+ROUNDS = (-(1 << 63), -(1 << 63) + (1 << 64) // 7, 1 << 63)
 #: Classes of a chunk of a bucket.
 CHUNK = 512
 #: An estimate this many standard deviations below the threshold is given up.
@@ -241,6 +246,14 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members, with their component so far, of buckets that are not one component."""
+    told = members.join(growing(labels.withColumnRenamed("node", "member")), "member", "left").withColumn("label", F.coalesce("label", "member"))
+    told = stored(told, "labelled")
+    open_ = told.groupBy("bucket").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo <> _hi").select("bucket")
+    return told.join(growing(stored(open_, "open")), "bucket")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, percent: int = 80) -> DataFrame:
     """Per row of ``docs``: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``
     and ``row`` (the hash of key and text by which a row can be found again)."""
@@ -255,20 +268,23 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     own = members.groupBy("member").agg(F.sort_array(F.collect_list("bucket")).alias("own"))  # a bucket per band at most
     texts = docs.select(F.xxhash64(key, text).alias("member"), F.col(text).alias("_text"))
     texts = stored(texts.join(growing(own), "member").dropDuplicates(["member"]), "texts")
-    first = members.select("member", "bucket", F.col("chunk").alias("one"), F.col("chunk").alias("two"), F.lit(False).alias("second"), F.col("member").alias("label"))
-    links = stored(compare(first.join(growing(texts), "member"), size, percent), "links")
-    labels = components(links)
-
-    # Buckets of several chunks that are not one component yet.
-    large = members.where("n > 1").join(growing(labels.withColumnRenamed("node", "member")), "member", "left").withColumn("label", F.coalesce("label", "member"))
-    large = stored(large, "large")
-    open_ = large.groupBy("bucket").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo <> _hi").select("bucket")
-    other = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("_other")
-    pairs = large.join(growing(stored(open_, "open")), "bucket").select("member", "bucket", "chunk", "label", other).where("_other <> chunk")
-    pairs = pairs.select("member", "bucket", "label", F.least("chunk", "_other").alias("one"), F.greatest("chunk", "_other").alias("two"), (F.col("chunk") > F.col("_other")).alias("second"))
-    more = stored(compare(pairs.join(growing(texts), "member"), size, percent), "links")
-    if not more.isEmpty():
-        labels = components(links.union(more))
+    links: DataFrame | None = None
+    labels = docs.sparkSession.createDataFrame([], "node long, label long")
+    for low, high in zip(ROUNDS, ROUNDS[1:]):
+        here = members.where(F.col("bucket").between(low, high - 1))
+        found = _open_members(here, labels).select("member", "bucket", F.col("chunk").alias("one"), F.col("chunk").alias("two"), F.lit(False).alias("second"), "label")
+        new = stored(compare(found.join(growing(texts), "member"), size, percent), "links")
+        links = new if links is None else links.union(new)
+        labels = components(links)
+        # Buckets of several chunks that are not one component yet.
+        large = _open_members(here.where("n > 1"), labels)
+        other = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("_other")
+        pairs = large.select("member", "bucket", "chunk", "label", other).where("_other <> chunk")
+        pairs = pairs.select("member", "bucket", "label", F.least("chunk", "_other").alias("one"), F.greatest("chunk", "_other").alias("two"), (F.col("chunk") > F.col("_other")).alias("second"))
+        more = stored(compare(pairs.join(growing(texts), "member"), size, percent), "links")
+        if not more.isEmpty():
+            links = links.union(more)
+            labels = components(links)
 
     known = classes.select("cls", "member").join(growing(labels.withColumnRenamed("node", "member")), "member", "left")
     known = stored(known.select("cls", F.coalesce("label", "member").alias("_label")), "class-labels")
