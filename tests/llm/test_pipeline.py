@@ -25,11 +25,14 @@ def written(spark, tmp_path_factory):
     item = bench.where("item_id = 1").first().text
     planted = [(900, "12345 ..."), (901, first.text), (902, first.text + " one more word"), (903, "some words first " + item), (904, None), (905, first.text), (905, first.text)]
     extra = spark.createDataFrame([(i, t, None if i == 900 else "en", "p", len(t or "")) for i, t in planted], docs.schema)
-    docs.unionByName(extra).withColumn("kept", F.lit("a column of this name")).write.parquet(f"{out}/documents.parquet")
+    docs.unionByName(extra).withColumns({n: F.lit("a column of this name") for n in CLASHING}).write.parquet(f"{out}/documents.parquet")
     bench.write.parquet(f"{out}/benchmark.parquet")
     return out
 
 
+CLASHING = ["kept", "_row", "row", "_cuts", "_lines", "_text", "_more", "label", "c0", "_n_removed"]
+
+
 def rows(df):
     return [(r.doc_id, r.text) for r in df.collect()]
 
@@ -59,6 +62,7 @@ def test_stages(spark, written):
             assert sorted(rows(after)) == sorted(x for x in before if x[0] not in bad) and 903 in bad
         if name != "best_fit_packing":
             assert after.dtypes == docs.dtypes
+            assert after.where(" or ".join(f"{n} <> 'a column of this name'" for n in CLASHING)).isEmpty()
             seen.append(after.count())
             docs = after
         else:

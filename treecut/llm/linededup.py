@@ -42,6 +42,13 @@ def _pairs(docs: DataFrame, text: str, key: str) -> DataFrame:
 def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``docs`` with repeated runs of lines cut from ``text``; ``_n_lines`` and
     ``_n_removed`` are added."""
+    # Under other names: documents may have columns called like those made here.
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    text, key = (plain.columns[docs.columns.index(name)] for name in (text, key))
+    return _deduped(plain, text, key).toDF(*docs.columns, "_n_lines", "_n_removed")
+
+
+def _deduped(docs: DataFrame, text: str, key: str) -> DataFrame:
     pairs = _pairs(docs, text, key)
     same, at = ["_c1", "_c2"], F.struct("_key", "_row", "_start")
     # Counted on hashes alone; a frequent pair is one row per task here.
