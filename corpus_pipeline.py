@@ -14,39 +14,50 @@ from treecut.llm.common import load, stored
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _plain(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """``docs`` under other names (documents may have columns called like those of
+    the operators), and what ``doc_id`` and ``text`` are called there."""
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    return plain, *(plain.columns[docs.columns.index(name)] for name in ("doc_id", "text"))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is certain: those without a letter and those
     with two languages about as likely go."""
     model = langid.learn(docs.where(langid.fold(F.col("doc_id"), 3) != 1))
-    # Under other names: documents may have columns called like the answers.
-    plain = docs.toDF(*(f"_c{i}" for i in range(len(docs.columns))))
-    found = langid.identify(plain, model, plain.columns[docs.columns.index("text")], tuple(plain.columns))
+    plain, _, text = _plain(docs)
+    found = langid.identify(plain, model, text, tuple(plain.columns))
     return found.where((F.col("lang_pred") != langid.UND) & ~F.col("ambiguous")).select(*plain.columns).toDF(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their repeated runs of lines; a document of which nothing
     visible is left goes."""
-    done = linededup.dedup_lines(docs)
-    done = done.where((F.col("_n_removed") == 0) | F.col("text").rlike(r"\S"))
+    plain, key, text = _plain(docs)
+    done = linededup.dedup_lines(plain, text, key)
+    done = done.where((F.col("_n_removed") == 0) | F.col(text).rlike(r"\S"))
     if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.when(F.col("_n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return done.select(*docs.columns)
+        n_chars = plain.columns[docs.columns.index("n_chars")]
+        done = done.withColumn(n_chars, F.when(F.col("_n_removed") > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col(n_chars)))
+    return done.select(*plain.columns).toDF(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, 80 %)."""
-    kept = neardedup.near_duplicates(docs).where("kept").select(F.col("row").alias("_row"))
-    own = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    return own.join(kept.distinct(), "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
+    """One document of each group of near-duplicates (five-word shingles, 80 %).
+    Rows that repeat key and text, told by two hashes, are one document."""
+    plain, key, text = _plain(docs)
+    kept = neardedup.near_duplicates(plain, text, key).where("kept").select(F.col("row").alias("_row"))
+    own = plain.withColumns({"_row": F.xxhash64(key, text), "_more": F.xxhash64(F.lit(1), key, text)})
+    return own.join(kept.distinct(), "_row", "left_semi").dropDuplicates(["_row", "_more"]).select(*plain.columns).toDF(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by benchmark passages."""
-    own = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    found = decontaminate.contamination(decontaminate.occurrences(own, load(spark, sf_dir, "benchmark"), key="_row"))
+    plain, key, text = _plain(docs)
+    own = plain.withColumn("_row", F.xxhash64(key, text))
+    found = decontaminate.contamination(decontaminate.occurrences(own, load(spark, sf_dir, "benchmark"), text=text, key="_row"))
     bad = stored(found.where("contaminated").select(F.col("doc_id").alias("_row")).distinct(), "contaminated")
-    return own.join(bad, "_row", "left_anti").select(*docs.columns)
+    return own.join(bad, "_row", "left_anti").select(*plain.columns).toDF(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
