@@ -35,6 +35,19 @@ def test_fast_equals_canonical_and_python(spark):
     assert not bad, bad[:5]
 
 
+#: Without quotes and contractions: the plain plan's two passes.
+PLAIN_PIECES = [p for p in PIECES if not set("'\"") & set(p) and p.lower() not in ("can", "not", "cannot", "gonna", "wanna")] + ["}", ">", "]", "!", ";", "..", " ."]
+
+
+def test_plain_plan_equals_canonical(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(PLAIN_PIECES) for _ in range(rng.randint(1, 10))) for _ in range(8000)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, text string")
+    rows = df.select("k", ptb_tokens("text").alias("f"), ptb_token_count("text").alias("n")).collect()
+    bad = [(texts[r.k], r.f) for r in rows if not (r.f == python_cascade(texts[r.k]) and r.n == len(r.f))]
+    assert not bad, bad[:5]
+
+
 def test_duckdb_equals_python():
     texts = random_texts(3000, seed=11)
     con = duckdb.connect()
