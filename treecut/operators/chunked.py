@@ -13,7 +13,7 @@ more than a few chunks.
    walks are one walk, whatever the guess was.  The other chunks are walked again
    from the state in which the chunk before leaves, until all of a document's
    chunks up to the end of its walk are linked.  Each round settles at least one
-   more chunk of every open document; lists of the same text need a round or two.
+   more chunk of every open document; lists of the same text need a few rounds.
 
 The answer never depends on the guesses.  Costs and event numbers are sums over
 the chunks of a document, a row of numbers each.
@@ -21,6 +21,7 @@ the chunks of a document, a row of numbers each.
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import Column, DataFrame
@@ -37,8 +38,8 @@ CHUNK = 4096
 BEFORE, BEHIND = 2, 16
 #: Steps of the left index whose states a chunk notes: the longest move and one.
 NOTED = 8
-#: Places around the looked-up one that a guess tries, and tokens that it compares.
-AROUND, AGREE = 128, 8
+#: Tokens that a guess compares at every place it tries.
+AGREE = 8
 #: Left out when letters are counted: marks that tokenisers change or add.
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -178,7 +179,9 @@ class Chunked:
             equal = [F.coalesce(F.get("a", (F.col("i") - F.col("a_at") + k).cast("int")) == F.get("b", (place - F.col("b_at") + k).cast("int")), F.lit(False)).cast("int") for k in range(AGREE)]
             return F.struct(sum(equal[1:], equal[0]).alias("n"), (-F.abs(d)).alias("near"), d.alias("d"))
 
-        best = F.array_max(F.transform(F.sequence(F.lit(-AROUND), F.lit(AROUND)), agreeing))["d"]
+        # Tokens of uneven length put the looked-up place off by about a root of the chunk's.
+        around = 8 + 2 * math.isqrt(self.size)
+        best = F.array_max(F.transform(F.sequence(F.lit(-around), F.lit(around)), agreeing))["d"]
         return seen.withColumn("j", F.when(F.col("c") == 0, F.col("j")).otherwise(F.greatest(F.col("j") + best, F.lit(0))).cast("bigint"))
 
     def _walked(self, seen: DataFrame) -> DataFrame:
