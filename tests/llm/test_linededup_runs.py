@@ -56,3 +56,26 @@ def test_query_equals_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert sorted(tuple(r) for r in L.op2_line_dedup(spark, sf).collect()) == sorted(brute(docs))
+
+
+@pytest.mark.parametrize("divisor", [1, 2, 10**9])
+def test_chunks_change_no_result(spark, monkeypatch, divisor):
+    monkeypatch.setattr(L, "DIVISOR", divisor)
+    rng, docs = random.Random(7), []
+    passages = [[f"p{k} {i}" for i in range(rng.randrange(2, 25))] for k in range(6)]
+    for i in range(40):
+        lines = [x for _ in range(rng.randrange(1, 5)) for x in (own(rng, rng.randrange(0, 3)) + rng.choice(passages)[rng.randrange(0, 3) :])]
+        docs.append((i, "\n".join(lines)))
+    assert sorted(run(spark, docs)) == sorted(brute(docs))
+
+
+def test_chunks_settle_most_of_a_repeated_passage(spark):
+    rng = random.Random(8)
+    passage = own(rng, 200)
+    docs = [(i, "\n".join(own(rng, i) + passage + own(rng, 2))) for i in range(1, 9)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    lines = L._hashed(d, "text", "doc_id")
+    settled = L._repeats(d, "text", "doc_id", L._chunks(lines), "chunks").collect()
+    assert len(settled) == 7  # all but the first document, however they are shifted
+    assert all(sum(c._len for c in r._cuts) > 150 and all(c._len > 1 for c in r._cuts) for r in settled)
+    assert L._pairs(lines, L._repeats(d, "text", "doc_id", L._chunks(lines), "chunks")).count() < 0.6 * 8 * 205
