@@ -93,3 +93,20 @@ def test_estimate_is_close_and_corrected():
         real = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
         found = N.estimate(N.registers(a), n, np.array([N.registers(b)]), np.array([n]))[0]
         assert abs(found - real) < 5 * np.sqrt(0.25 / min(n, 256))
+
+
+@pytest.mark.parametrize("links", [[], [(5, 5)], [(i, i + 1) for i in range(200)], [(i + 1, i) for i in range(0, 200, 2)], [(0, i) for i in range(1, 300)],
+                                   [(i * 37 % 211, (i * 53 + 7) % 211) for i in range(150)], [(-(1 << 62), 1 << 62), (1 << 62, 3), (9, 8), (8, 9), (9, 8)]])
+def test_components(spark, links):
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        if a != b:
+            root[max(find(a), find(b))] = min(find(a), find(b))
+    got = {r.node: r.label for r in N.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in root}

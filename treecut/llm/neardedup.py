@@ -14,7 +14,8 @@
 4. Where a bucket of several chunks is not yet one component, every two of its
    chunks are compared as well, so no pair of a bucket is left out.  Buckets come
    in two rounds; those that are one component after the first need no second.
-5. Components come from label propagation with pointer jumping.
+5. Components come from hooking to the smallest neighbour, pointer doubling and
+   contraction.
 
 Defined cases: a text without words has an empty set and links with nothing; a
 text of one word has the shingle that is that word; rows may repeat (equal sets
@@ -231,19 +232,30 @@ def compare(groups: DataFrame, size: int, percent: int) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """``node`` and ``label`` (the smallest node of its component) of every node
-    that ``links`` (a, b) name.  Each round takes the smallest label among the
-    neighbours and then the label's own label, until nothing changes."""
-    edges = stored(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct(), "edges")
-    labels = stored(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "labels")
-    while True:
-        near = edges.join(growing(labels.withColumnRenamed("node", "b")), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("_near"))
-        lower = stored(labels.join(growing(near), "node").select("node", F.least("label", "_near").alias("label"), F.col("label").alias("_old")), "labels")
-        jump = lower.select(F.col("node").alias("label"), F.col("label").alias("_next"))
-        labels = stored(lower.join(growing(jump), "label").select("node", F.col("_next").alias("label"), "_old"), "labels")
-        moved = labels.where("label <> _old").limit(1).count()
-        labels = labels.drop("_old")
-        if not moved:
-            return labels
+    that ``links`` (a, b) name.  Each node hooks to its smallest neighbour, hooks
+    are followed to their ends by doubling, and the links between the ends are the
+    next round's: a link that is settled is never joined again."""
+    edges = stored(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    whole: DataFrame | None = None
+    while whole is None or not edges.isEmpty():
+        both = edges.union(edges.select("b", "a"))
+        hook = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")), "hooks")
+        while True:
+            ahead = hook.select(F.col("node").alias("label"), F.col("label").alias("_next"))
+            hook = stored(hook.join(growing(ahead), "label").select("node", F.col("_next").alias("label"), (F.col("label") != F.col("_next")).alias("_moved")), "hooks")
+            moved = not hook.where("_moved").isEmpty()
+            hook = hook.drop("_moved")
+            if not moved:
+                break
+        if whole is None:
+            whole = hook
+        else:
+            further = hook.select(F.col("node").alias("label"), F.col("label").alias("_next"))
+            whole = stored(whole.join(growing(further), "label", "left").select("node", F.coalesce("_next", "label").alias("label")), "labels")
+        ends = [hook.select(F.col("node").alias(side), F.col("label").alias(f"_{side}")) for side in "ab"]
+        met = edges.join(growing(ends[0]), "a").join(growing(ends[1]), "b").where("_a <> _b")
+        edges = stored(met.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct(), "edges")
+    return whole
 
 
 def _open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
