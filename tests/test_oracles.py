@@ -16,7 +16,9 @@ from check_oracle import TABLES, digest  # noqa: E402
 from __spark_entry__ import oracle_sql, queries  # noqa: E402
 
 NAMES = ["ptb_stress", "ptb_rule_T15", "token_table", "corpus_rollup", "batch_manifest", "previews",
-         "token_diff", "token_diff_rows", "mismatch_rollup", "sql_token_rows", "token_text", "output_cap"]
+         "token_diff", "token_diff_rows", "mismatch_rollup", "sql_token_rows", "token_text", "output_cap",
+         "long_line_tokens", "token_diff_rows_chunks", "large_file_compare", "stream_part_tokens", "stream_manifest",
+         "compare_parts", "preview_first", "preview_last"]
 
 
 @pytest.fixture(scope="module")
