@@ -219,6 +219,9 @@ def _pair_sums(rows: DataFrame) -> DataFrame:
         x, y = int(number("x")[0]), int(number("y")[0])
         coded = rows.column("source").combine_chunks().dictionary_encode()
         names, source = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        # Rows come in any order: by name, so that every block of terms has a pair the same way round.
+        by_name = sorted(range(len(names)), key=names.__getitem__)
+        names, source = [names[i] for i in by_name], np.argsort(by_name)[source]
         ordinal, value = number("ordinal"), number("share")
         seed, known = ordinal < 0, ordinal >= 0
         rest, own = np.zeros(len(names), dtype=np.int64), np.zeros(len(names), dtype=np.int64)
