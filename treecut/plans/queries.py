@@ -358,7 +358,8 @@ def q_stream_totals(spark, sf_dir):
     return spark.table(name)
 
 
-STREAM_CHUNK = 1_000_000    # bytes per micro-batch for the stream query
+STREAM_CHUNK = 1_000_000    # bytes per chunk for the stream queries
+STREAM_AHEAD = 256          # chunks' bytes that a micro-batch takes
 
 
 @register("stream_parts")
@@ -372,8 +373,8 @@ def q_stream_parts(spark, sf_dir):
     folder = documents_as_files(spark, sf_dir)
     run = uuid.uuid4().hex
     out = scratch_path(spark, f"stream_parts/{run}")
-    stream = text_stream(spark, f"{folder}/file=*", max_bytes_per_trigger=STREAM_CHUNK)
-    write_parts(stream, out, scratch_path(spark, f"stream_ck/{run}")).awaitTermination()
+    stream = text_stream(spark, f"{folder}/file=*", max_bytes_per_trigger=STREAM_CHUNK * STREAM_AHEAD)
+    write_parts(stream, out, scratch_path(spark, f"stream_ck/{run}"), chunk_bytes=STREAM_CHUNK).awaitTermination()
     back = spark.read.option("lineSep", "\n").text(out).where(F.col("value") != "")
     return back.groupBy(F.col("value").alias("token")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -385,8 +386,8 @@ def _streamed_parts(spark, sf_dir) -> str:
     import uuid
     folder, run = documents_as_files(spark, sf_dir), uuid.uuid4().hex
     out = scratch_path(spark, f"stream_parts/{run}")
-    stream = text_stream(spark, f"{folder}/file=*", max_bytes_per_trigger=STREAM_CHUNK)
-    write_parts(stream, out, scratch_path(spark, f"stream_ck/{run}")).awaitTermination()
+    stream = text_stream(spark, f"{folder}/file=*", max_bytes_per_trigger=STREAM_CHUNK * STREAM_AHEAD)
+    write_parts(stream, out, scratch_path(spark, f"stream_ck/{run}"), chunk_bytes=STREAM_CHUNK).awaitTermination()
     return out
 
 

@@ -3,7 +3,9 @@
 The reference walks its input in chunks of at most N bytes, tokenises each
 chunk, writes one part per chunk and keeps running totals.  Here that is a
 Structured Streaming query over a folder: ``maxBytesPerTrigger`` bounds the
-bytes of each micro-batch (whole files, one text per file), the tokeniser is
+bytes of each micro-batch (whole files, one text per file), which is one chunk or
+is cut into many (starting a micro-batch costs more than a small chunk's work),
+the tokeniser is
 the same stateless expression, and the running totals are a streaming
 aggregate whose state is a single row.
 """
@@ -18,6 +20,8 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.window import Window
 
 from ..functions.tokenize import byte_length, ptb_tokens
+from ..operators.batching import next_fit
+from ..session import cut_lineage
 from ..sources.files import line_ordinals, read_lines
 
 TEXT_SCHEMA = T.StructType([T.StructField("value", T.StringType())])
@@ -47,32 +51,45 @@ def running_totals(tokenised: DataFrame) -> DataFrame:
                          F.sum(F.size("tokens")).cast("bigint").alias("tokens"))
 
 
-def write_parts(texts: DataFrame, out: str, checkpoint: str, trigger_available_now: bool = True) -> StreamingQuery:
-    """ST3: one part folder per micro-batch, one token per line, in file order.
+def write_parts(texts: DataFrame, out: str, checkpoint: str, trigger_available_now: bool = True, chunk_bytes: int | None = None) -> StreamingQuery:
+    """ST3: one part folder per chunk, one token per line, in file order.
 
     ``texts`` is the text stream (``path``, ``text``).  ``foreachBatch`` writes
-    ``out/chunk=<batch id>``; a replayed batch overwrites its own folder, so a
-    restart does not duplicate tokens.  The chunk's texts are range-partitioned
-    (into as many ranges as the micro-batch has splits) and sorted on ``path`` and
-    tokenised only then (finding the ranges reads the texts, not their tokens), so
-    its part files, read in name order, hold the tokens in order and no task
-    holds a whole chunk.
-
-    ``out/_manifest/chunk=<batch id>`` lists the chunk's files: ``(part, path,
-    bytes, tokens)``, the part file (by its number) in which a file's tokens lie,
-    in the order of the paths.  It is written after the parts: a chunk without one
-    is not complete.
+    ``out/chunk=<number>``.  Without ``chunk_bytes`` a micro-batch is a chunk and
+    its id the number.  With it the files of a micro-batch, in the order of their
+    paths, are packed into chunks of at most that many bytes (W1; a larger file is
+    a chunk of its own), numbered from the batch id times ``CHUNK_IDS``: the cost
+    of a micro-batch is paid once for many small chunks.  Either way a replayed
+    batch has the same chunks and overwrites its own folders, so a restart does
+    not duplicate tokens.  The texts are range-partitioned (into as many ranges as
+    the micro-batch has splits) and sorted on chunk and ``path`` and tokenised only
+    then (finding the ranges reads the texts, not their tokens), so a chunk's part
+    files, read in name order, hold the tokens in order and no task holds a whole
+    chunk.
+
+    ``out/_manifest/batch=<batch id>`` lists the chunks' files: ``(chunk, part,
+    path, bytes, tokens)``, the part file (by its number) in which a file's tokens
+    lie.  It is written after the parts: a chunk that it does not list is not
+    complete.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         n = max(1, batch.rdd.getNumPartitions())
-        ordered = batch.select("path", "text").repartitionByRange(n, "path").sortWithinPartitions("path")
+        chunked = batch.select("path", "text", F.lit(batch_id).cast("bigint").alias("chunk"))
+        if chunk_bytes:
+            # Sizes and paths are read once; the packing works on them alone.
+            sizes = cut_lineage(batch.select("path", byte_length("text").cast("bigint").alias("bytes")))
+            packed = next_fit(sizes, ["path"], "bytes", chunk_bytes + 1)
+            packed = packed.select("path", (F.lit(batch_id * CHUNK_IDS) + F.col("batch_id")).cast("bigint").alias("chunk"))
+            chunked = batch.select("path", "text").join(cut_lineage(packed), "path")
+        ordered = chunked.repartitionByRange(n, "chunk", "path").sortWithinPartitions("chunk", "path")
         # Held for the second write; what a lost executor held is made again.
-        t = ordered.select("path", byte_length("text").cast("bigint").alias("bytes"), ptb_tokens("text").alias("_t")).persist(StorageLevel.DISK_ONLY)
+        t = ordered.select("chunk", "path", byte_length("text").cast("bigint").alias("bytes"), ptb_tokens("text").alias("_t")).persist(StorageLevel.DISK_ONLY)
         try:
-            parts = t.where(F.size("_t") > 0).select(F.concat_ws("\n", "_t").alias("value"))
-            parts.write.mode("overwrite").text(f"{out.rstrip('/')}/chunk={batch_id}")
-            listed = t.select(F.spark_partition_id().alias("part"), "path", "bytes", F.size("_t").cast("bigint").alias("tokens"))
-            listed.write.mode("overwrite").parquet(f"{out.rstrip('/')}/{MANIFEST}/chunk={batch_id}")
+            parts = t.where(F.size("_t") > 0).sortWithinPartitions("chunk", "path").select("chunk", F.concat_ws("\n", "_t").alias("value"))
+            parts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chunk").text(out.rstrip("/"))
+            listed = t.select("chunk", F.spark_partition_id().alias("part"), "path", "bytes", F.size("_t").cast("bigint").alias("tokens"))
+            # A row per file: a few files hold them.
+            listed.repartition(1 + n // 32, "path").write.mode("overwrite").parquet(f"{out.rstrip('/')}/{MANIFEST}/batch={batch_id}")
         finally:
             t.unpersist()
 
@@ -81,13 +98,15 @@ def write_parts(texts: DataFrame, out: str, checkpoint: str, trigger_available_n
     return w.start()
 
 
+#: Numbers for the chunks of one micro-batch.
+CHUNK_IDS = 1 << 32
 #: Folder of the manifests beside the chunks; readers of the parts skip it.
 MANIFEST = "_manifest"
 
 
 def chunk_manifest(spark: SparkSession, out: str) -> DataFrame:
     """``(chunk, part, path, bytes, tokens)``: the files of every chunk written so far."""
-    schema = "part int, path string, bytes long, tokens long, chunk long"
+    schema = "chunk long, part int, path string, bytes long, tokens long"
     return spark.read.schema(schema).parquet(f"{out.rstrip('/')}/{MANIFEST}").select("chunk", "part", "path", "bytes", "tokens")
 
 
