@@ -345,14 +345,15 @@ def q_token_parts(spark, sf_dir):
 
 @register("stream_totals")
 def q_stream_totals(spark, sf_dir):
-    """ST1 + ST2: the files as a stream in byte-bounded chunks; running totals."""
+    """ST1 + ST2: the files as a stream in byte-bounded micro-batches of many chunks;
+    running totals, brought up to date once a micro-batch."""
     from ..session import scratch_path
     from ..streaming.stream import text_stream, tokenised_stream, totals_to_table
     from .derived import documents_as_files
     import uuid
     folder = documents_as_files(spark, sf_dir)
     name = "treecut_stream_totals_" + uuid.uuid4().hex[:8]
-    stream = tokenised_stream(text_stream(spark, f"{folder}/file=*", max_bytes_per_trigger=STREAM_CHUNK))
+    stream = tokenised_stream(text_stream(spark, f"{folder}/file=*", max_bytes_per_trigger=STREAM_CHUNK * STREAM_AHEAD))
     q = totals_to_table(stream, name, scratch_path(spark, f"stream_ck/{name}"))
     q.awaitTermination()
     return spark.table(name)
