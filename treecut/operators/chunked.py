@@ -13,7 +13,9 @@ more than a few chunks.
    walks are one walk, whatever the guess was.  The other chunks are walked again
    from the state in which the chunk before leaves, until all of a document's
    chunks up to the end of its walk are linked.  Each round settles at least one
-   more chunk of every open document; lists of the same text need a few rounds.
+   more chunk of every open document, and walks on over four times as many chunks
+   as the round before (``SPAN`` tokens at most), so lists whose guesses all fail
+   need a round per ``SPAN`` tokens; settled documents leave the rounds.
 
 The answer never depends on the guesses.  Costs and event numbers are sums over
 the chunks of a document, a row of numbers each.
@@ -21,6 +23,7 @@ the chunks of a document, a row of numbers each.
 
 from __future__ import annotations
 
+import functools
 import math
 import uuid
 
@@ -38,6 +41,8 @@ CHUNK = 4096
 BEFORE, BEHIND = 2, 16
 #: Steps of the left index whose states a chunk notes: the longest move and one.
 NOTED = 8
+#: Tokens that a walk from a known state goes over in one row, at least a chunk.
+SPAN = CHUNK
 #: Tokens that a guess compares at every place it tries.
 AGREE = 8
 #: Left out when letters are counted: marks that tokenisers change or add.
@@ -74,11 +79,12 @@ def windows(runs: DataFrame, keys: list[str], size: int, before: int, behind: in
 
 def _walk(size: int, events: bool) -> Column:
     """The walk over one window on either side (``a`` from ``a_at``, ``b`` from
-    ``b_at``), entered at ``i``, ``j`` and left at the first state with ``i`` in a
-    later chunk or at the walk's end: ``(i, j, cost, ended, noted, events)``."""
+    ``b_at``), entered at ``i``, ``j`` and left at the first state with ``i`` in
+    chunk ``until`` or later, or at the walk's end: ``(i, j, cost, ended, noted,
+    events)``.  The first states in every chunk are noted."""
     a, b = F.col("a"), F.col("b")
     last = F.least("len_a", "len_b") - 1
-    leaves, notes = (F.col("c") + 1) * size, F.col("c") * size + NOTED
+    leaves = F.col("until") * size
     state = "struct<i:bigint,j:bigint,cost:bigint>"
     event = "struct<i:bigint,j:bigint,kind:string,cost:bigint,a_context:string,b_context:string>"
     init = F.struct(F.col("i"), F.col("j"), F.lit(0).cast("bigint").alias("cost"), F.lit(False).alias("stopped"),
@@ -94,7 +100,7 @@ def _walk(size: int, events: bool) -> Column:
     def step(acc, _x):
         i, j, cost = acc["i"], acc["j"], acc["cost"]
         live = ~acc["stopped"] & (i < last) & (j < last) & (i < leaves)
-        noted = F.when(i < notes, F.array_append(acc["noted"], F.struct(i.alias("i"), j.alias("j"), cost.alias("cost")))).otherwise(acc["noted"])
+        noted = F.when(F.pmod(i, F.lit(size)) < NOTED, F.array_append(acc["noted"], F.struct(i.alias("i"), j.alias("j"), cost.alias("cost")))).otherwise(acc["noted"])
 
         def to(di, dj, more, stopped=False, kind=None, width=0):
             held, full = acc["open"], acc["full"]
@@ -164,14 +170,34 @@ class Chunked:
         return found.select(*self.keys, "c", (F.col("c") * self.size).alias("i"), j.cast("bigint").alias("j"))
 
     def _with_tokens(self, entries: DataFrame) -> DataFrame:
-        """Entries (``keys, c, i, j``) with the windows that a walk from there sees."""
+        """Entries (``keys, c, i, j``) with the windows that a walk over the chunk sees."""
         a = self.a.select(*self.keys, "c", F.col("at").alias("a_at"), F.col("tokens").alias("a"))
         b = self.b.select(*self.keys, F.col("c").alias("_q"), F.col("at").alias("b_at"), F.col("tokens").alias("b"))
-        e = entries.withColumn("_q", F.floor(F.col("j") / self.size))
+        e = entries.withColumns({"_q": F.floor(F.col("j") / self.size), "until": F.col("c") + 1})
         # An entry behind the right list's end has no tokens there.
         joined = e.join(self.lengths, self.keys).join(a, self._same("c")).join(b, self._same("_q"), "left")
         return joined.withColumns({"b": F.coalesce("b", F.array().cast("array<string>")), "b_at": F.coalesce("b_at", F.lit(0).cast("bigint"))})
 
+    def _spanned(self, entries: DataFrame) -> DataFrame:
+        """Entries (``keys, c, until, i, j``) with the tokens that a walk over the
+        chunks before ``until`` sees: neighbouring windows put together, each its
+        own tokens, the last one also those behind."""
+        def together(side: DataFrame, first: Column, n: Column, at: str, tokens: str) -> DataFrame:
+            parts = entries.select(*self.keys, F.col("c").alias("_c"), first.cast("bigint").alias("_first"), F.explode(F.sequence(first, first + n - 1)).alias("c"))
+            parts = parts.join(side, self._same("c"))
+            tail = F.slice("tokens", (F.col("c") * self.size - F.col("at") + 1).cast("int"), F.size("tokens"))
+            found = parts.groupBy(*self.keys, "_c", "_first").agg(F.sort_array(F.collect_list(F.struct("c", tail.alias("t")))).alias("_p"))
+            last = F.size("_p") - 1
+            whole = F.flatten(F.transform("_p", lambda p, k: F.when(k < last, F.slice(p["t"], 1, self.size)).otherwise(p["t"])))
+            return found.select(*self.keys, F.col("_c").alias("c"), (F.col("_first") * self.size).alias(at), whole.alias(tokens))
+
+        chunks = F.col("until") - F.col("c")
+        a = together(self.a, F.col("c"), chunks, "a_at", "a")
+        # Three tokens on the right for two on the left, as in a window.
+        b = together(self.b, F.floor(F.col("j") / self.size), F.ceil(chunks * 3 / 2), "b_at", "b")
+        joined = entries.join(self.lengths, self.keys).join(a, self._same("c")).join(b, self._same("c"), "left")
+        return joined.withColumns({"b": F.coalesce("b", F.array().cast("array<string>")), "b_at": F.coalesce("b_at", F.lit(0).cast("bigint"))})
+
     def _nudged(self, seen: DataFrame) -> DataFrame:
         """Guesses moved to the nearby place where most of the next tokens agree."""
         def agreeing(d: Column) -> Column:
@@ -185,8 +211,21 @@ class Chunked:
         return seen.withColumn("j", F.when(F.col("c") == 0, F.col("j")).otherwise(F.greatest(F.col("j") + best, F.lit(0))).cast("bigint"))
 
     def _walked(self, seen: DataFrame) -> DataFrame:
-        done = seen.select(*self.keys, "c", _walk(self.size, False).alias("_w"))
-        return done.select(*self.keys, "c", *(F.col(f"_w.{x}").alias(x) for x in ("i", "j", "cost", "ended", "noted")))
+        """A row per chunk that the walks go over: the state in which each is left,
+        what it costs up to there, and the states noted in it."""
+        done = seen.select(*self.keys, "c", "until", _walk(self.size, False).alias("_w"))
+
+        def chunk(q: Column) -> Column:
+            inside = lambda k: F.filter("_w.noted", lambda s: F.floor(s["i"] / self.size) == k)
+            following = F.get(inside(q + 1), 0)
+            left = lambda x: F.coalesce(following[x], F.col(f"_w.{x}")).alias(x)
+            ended = following.isNull() & F.col("_w.ended")
+            return F.struct(q.cast("bigint").alias("c"), left("i"), left("j"), left("cost"), ended.alias("ended"), inside(q).alias("noted"))
+
+        rows = done.select(*self.keys, F.col("c").alias("_c"), F.explode(F.transform(F.sequence(F.col("c"), F.col("until") - 1), chunk)).alias("_x"))
+        # Chunks behind the end of a walk are none of its own.
+        rows = rows.where((F.col("_x.c") == F.col("_c")) | (F.size("_x.noted") > 0))
+        return rows.select(*self.keys, "_x.*")
 
     def _link(self) -> DataFrame:
         """Every chunk up to the end of its list's walk with its true entry (``i``,
@@ -195,6 +234,7 @@ class Chunked:
         # A guess that moved may stand in another window: its tokens are joined anew.
         guesses = _written(self._nudged(self._with_tokens(self._guesses())).select(*self.keys, "c", "i", "j"), "guesses")
         walked = _written(self._walked(self._with_tokens(guesses)), "walked")
+        settled, span = [], 1
         while True:
             self.rounds += 1
             entry = F.lag(F.struct("i", "j", "ended")).over(order)
@@ -204,17 +244,25 @@ class Chunked:
             seen = seen.withColumn("_passed", F.when(F.col("_entry.ended"), None).otherwise(passed["cost"]))
             at_once = (F.col("c") == 0) & (F.size("noted") == 0)
             seen = seen.withColumn("_linked", F.when(at_once, True).otherwise(F.col("_passed").isNotNull()))
-            numbers = _written(seen.select(*self.keys, "c", "_entry", "_linked", (F.col("cost") - F.coalesce("_passed", F.lit(0))).alias("cost"), "ended", F.col("i").alias("to"), F.col("j").alias("to_j")), "links")
-            first = numbers.groupBy(*self.keys).agg(F.min(F.when(~F.col("_linked"), F.col("c"))).alias("_bad"), F.min(F.when(F.col("_linked") & F.col("ended"), F.col("c"))).alias("_end"))
-            first = _written(first, "firsts")
+            numbers = _written(seen.select(*self.keys, "c", "_entry", "_linked", (F.col("cost") - F.coalesce("_passed", F.lit(0))).alias("cost"), "ended", F.col("i").alias("to")), "links")
+            first = numbers.groupBy(*self.keys).agg(F.min(F.when(~F.col("_linked"), F.col("c"))).alias("_bad"), F.min(F.when(F.col("_linked") & F.col("ended"), F.col("c"))).alias("_end"), F.max("c").alias("_last"))
             is_open = F.col("_bad").isNotNull() & (F.col("_end").isNull() | (F.col("_bad") < F.col("_end")))
-            if first.where(is_open).isEmpty():
-                kept = numbers.join(first, self.keys).where(F.col("c") <= F.col("_end"))
-                return kept.select(*self.keys, "c", F.col("_entry.i").alias("i"), F.col("_entry.j").alias("j"), "cost", F.col("c").eqNullSafe(F.col("_end")).alias("ended"), "to")
-            again = numbers.join(first.where(is_open).select(*self.keys), self.keys).where(~F.col("_linked") & ~F.col("_entry.ended"))
-            again = again.select(*self.keys, "c", F.col("_entry.i").alias("i"), F.col("_entry.j").alias("j"))
-            redone = _written(self._walked(self._with_tokens(again)), "redone")
-            walked = _written(walked.join(redone.select(*self.keys, "c"), self._same("c"), "left_anti").unionByName(redone), "walked")
+            first = _written(first.withColumn("_open", is_open), "firsts")
+            kept = numbers.join(first.where(~F.col("_open")), self.keys).where(F.col("c") <= F.col("_end"))
+            settled.append(kept.select(*self.keys, "c", F.col("_entry.i").alias("i"), F.col("_entry.j").alias("j"), "cost", F.col("c").eqNullSafe(F.col("_end")).alias("ended"), "to"))
+            still = first.where("_open")
+            if still.isEmpty():
+                return _written(functools.reduce(DataFrame.unionByName, settled), "linked")
+            # One walk for each run of ``span`` chunks, from the first that is not linked.
+            bad = numbers.join(still.select(*self.keys, "_bad", "_last"), self.keys).where(~F.col("_linked") & ~F.col("_entry.ended"))
+            run = F.floor((F.col("c") - F.col("_bad")) / span)
+            stop = F.least(F.col("_bad") + (run + 1) * span, F.col("_last") + 1).cast("bigint")
+            again = bad.groupBy(*self.keys, stop.alias("until")).agg(F.min(F.struct("c", "_entry.i", "_entry.j")).alias("_x")).select(*self.keys, "_x.c", "until", "_x.i", "_x.j")
+            again = _written(again, "again")
+            redone = _written(self._walked(self._spanned(again) if span > 1 else self._with_tokens(again.drop("until"))), "redone")
+            walked = walked.join(still.select(*self.keys), self.keys, "left_semi").join(redone.select(*self.keys, "c"), self._same("c"), "left_anti")
+            walked = _written(walked.unionByName(redone), "walked")
+            span = max(span, min(4 * span, SPAN // self.size))
 
     def diff(self) -> DataFrame:
         """``(keys, mismatched, compared, len_a, len_b)``, as ``diff_table`` gives."""
