@@ -200,14 +200,18 @@ class Chunked:
 
     def _nudged(self, seen: DataFrame) -> DataFrame:
         """Guesses moved to the nearby place where most of the next tokens agree."""
+        def equal(d: Column, k: int) -> Column:
+            return F.coalesce(F.get("a", (F.col("i") - F.col("a_at") + k).cast("int")) == F.get("b", (F.col("j") + d - F.col("b_at") + k).cast("int")), F.lit(False))
+
         def agreeing(d: Column) -> Column:
-            place = F.col("j") + d
-            equal = [F.coalesce(F.get("a", (F.col("i") - F.col("a_at") + k).cast("int")) == F.get("b", (place - F.col("b_at") + k).cast("int")), F.lit(False)).cast("int") for k in range(AGREE)]
-            return F.struct(sum(equal[1:], equal[0]).alias("n"), (-F.abs(d)).alias("near"), d.alias("d"))
+            same = [equal(d, k).cast("int") for k in range(AGREE)]
+            return F.struct(sum(same[1:], same[0]).alias("n"), (-F.abs(d)).alias("near"), d.alias("d"))
 
         # Tokens of uneven length put the looked-up place off by about a root of the chunk's.
         around = 8 + 2 * math.isqrt(self.size)
-        best = F.array_max(F.transform(F.sequence(F.lit(-around), F.lit(around)), agreeing))["d"]
+        # Only places where the first or the middle token agrees are looked at more closely.
+        near = F.filter(F.sequence(F.lit(-around), F.lit(around)), lambda d: equal(d, 0) | equal(d, AGREE // 2))
+        best = F.coalesce(F.array_max(F.transform(near, agreeing))["d"], F.lit(0))
         return seen.withColumn("j", F.when(F.col("c") == 0, F.col("j")).otherwise(F.greatest(F.col("j") + best, F.lit(0))).cast("bigint"))
 
     def _walked(self, seen: DataFrame) -> DataFrame:
