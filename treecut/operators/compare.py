@@ -82,16 +82,30 @@ def pair_tokenisations(df: DataFrame, key_cols: list[str], text_col: str = "text
                      tokens(F.col(text_col), other).alias("b"))
 
 
+def packed(name: str) -> Column:
+    """A token list as one text, a token a line; the list itself if a token is
+    null or holds a newline (the tokenisers make none of these)."""
+    plain = ~F.exists(name, lambda t: t.isNull() | F.contains(t, F.lit("\n")))
+    return F.struct(F.size(name).alias("n"), F.when(plain, F.concat_ws("\n", name)).alias("joined"), F.when(plain, None).otherwise(F.col(name)).alias("list"))
+
+
+def unpacked(name: str) -> Column:
+    """The token list that ``packed`` made ``name`` of."""
+    p = F.col(name)
+    return F.when(p["n"] == 0, F.array().cast("array<string>")).when(p["joined"].isNotNull(), F.split(p["joined"], "\n", -1)).otherwise(p["list"])
+
+
 def pair_tables(left: DataFrame, right: DataFrame, key_cols: list[str],
                 left_col: str = "tokens", right_col: str = "tokens") -> DataFrame:
     """Inner equi-join of two tokenisations on the file/document key.
 
     The key names one document on each side (a path, a document id), so the
-    join is one-to-one and emits no pairs within a key.
+    join is one-to-one and emits no pairs within a key.  The lists are shuffled
+    as one text each, not as arrays with a place and padding per token.
     """
-    lt = left.select(*key_cols, F.col(left_col).alias("a"))
-    rt = right.select(*key_cols, F.col(right_col).alias("b"))
-    return lt.join(rt, on=key_cols, how="inner")
+    lt = left.select(*key_cols, F.col(left_col).alias("a")).select(*key_cols, packed("a").alias("a"))
+    rt = right.select(*key_cols, F.col(right_col).alias("b")).select(*key_cols, packed("b").alias("b"))
+    return lt.join(rt, on=key_cols, how="inner").select(*key_cols, unpacked("a").alias("a"), unpacked("b").alias("b"))
 
 
 def diff_table(pairs: DataFrame, key_cols: list[str]) -> DataFrame:
