@@ -49,8 +49,9 @@ def register_sql_functions(spark: SparkSession) -> None:
     """Create (or replace) the temporary SQL functions in this session."""
     spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION ptb_tokens(s STRING)
         RETURNS ARRAY<STRING> RETURN {tokens_sql('s')}""")
+    # No filter behind the generator: Spark then generates from the rows of the table
+    # itself; else it joins the table with the tokens of its distinct texts.
     spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION ptb_token_rows(s STRING)
         RETURNS TABLE(pos BIGINT, token STRING)
         RETURN SELECT CAST(pos AS BIGINT) AS pos, token
-               FROM (SELECT posexplode_outer({tokens_sql('s')}) AS (pos, token))
-               WHERE token IS NOT NULL""")
+               FROM (SELECT posexplode({tokens_sql('s')}) AS (pos, token))""")
