@@ -27,6 +27,7 @@ REGISTRY: dict[str, Query] = {}
 BATCH_LIMIT = 65_536        # bytes per batch for the W1 queries
 TURN_LIMIT = 4_096         # the same for conversation turns
 CAP = 5_000                 # tokens per output part for L4
+DIFF_BYTES = 4 << 20        # scanned bytes of a task that tokenises twice and compares
 RULE_QUERY_IDS = [r[0] for r in RULES]
 
 
@@ -42,8 +43,8 @@ def _tokens_summary(df: DataFrame, keys: list[str], tokens_col) -> DataFrame:
     return t.select(*keys, F.size("_t").cast("bigint").alias("n_tokens"), token_text("_t").alias("tokens"))
 
 
-def _stressed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = load_text(spark, sf_dir, "documents")
+def _stressed(spark: SparkSession, sf_dir: str, most: int | None = None) -> DataFrame:
+    d = load_text(spark, sf_dir, "documents", most=most)
     return d.select("doc_id", stress_text(F.col("text"), F.col("doc_id")).alias("text"))
 
 
@@ -254,7 +255,7 @@ def q_token_diff(spark, sf_dir):
 
 @register("token_diff_lines")
 def q_token_diff_lines(spark, sf_dir):
-    pairs = compare.pair_tokenisations(_stressed(spark, sf_dir), ["doc_id"], "text", "ptb", "ptb_lines")
+    pairs = compare.pair_tokenisations(_stressed(spark, sf_dir, DIFF_BYTES), ["doc_id"], "text", "ptb", "ptb_lines")
     return compare.diff_table(pairs, ["doc_id"])
 
 

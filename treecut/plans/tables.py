@@ -23,11 +23,11 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def load_text(spark: SparkSession, sf_dir: str, name: str, *extra: str) -> DataFrame:
-    """Key and text columns of a text table, spread over enough tasks."""
+def load_text(spark: SparkSession, sf_dir: str, name: str, *extra: str, most: int | None = None) -> DataFrame:
+    """Key and text columns of a text table, spread over enough tasks (``most``: bytes of one)."""
     keys, text = TEXT_TABLES[name]
     df = load(spark, sf_dir, name).select(*keys, *extra, F.col(text).alias("text"))
-    return spread(df, *keys)
+    return spread(df, *keys, most=most)
 
 
 def stress_text(text: Column, key: Column) -> Column:

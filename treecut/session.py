@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 
@@ -70,7 +71,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 SPREAD_BELOW_BYTES = 256 * 1024 * 1024
 
 
-def spread(df: DataFrame, *keys: str, factor: int = 2) -> DataFrame:
+def spread(df: DataFrame, *keys: str, factor: int = 2, most: int | None = None) -> DataFrame:
     """Give a CPU-heavy stage over a small scan enough tasks.
 
     A small input (one Parquet row group, say) can arrive as a single
@@ -78,13 +79,19 @@ def spread(df: DataFrame, *keys: str, factor: int = 2) -> DataFrame:
     less than ``SPREAD_BELOW_BYTES`` with fewer partitions than ``factor`` x the
     default parallelism is hashed on ``keys`` (round robin when none) over that
     many partitions.  Larger scans are left untouched on a cluster of any size:
-    no text is shuffled there.  ``treecut.spread.partitions`` (session conf)
+    no text is shuffled there.  ``most`` asks for a partition per that many bytes
+    (as Spark estimates them) at every size, for work that takes far longer than
+    reading and would make a task of every row group.  ``treecut.spread.partitions`` (session conf)
     overrides the target; ``0`` never spreads.
     """
     spark = df.sparkSession
     conf = spark.conf.get("treecut.spread.partitions", None)
     target = int(conf) if conf else max(1, spark.sparkContext.defaultParallelism * factor)
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size > SPREAD_BELOW_BYTES or df.rdd.getNumPartitions() >= target:
+    if size > SPREAD_BELOW_BYTES:
+        target = 0
+    if most and not conf:
+        target = max(target, math.ceil(size / most))
+    if df.rdd.getNumPartitions() >= target:
         return df
     return df.repartition(target, *keys) if keys else df.repartition(target)
