@@ -110,3 +110,26 @@ def test_components(spark, links):
             root[max(find(a), find(b))] = min(find(a), find(b))
     got = {r.node: r.label for r in N.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {x: find(x) for x in root}
+
+
+def test_a_large_group_is_not_sent_chunk_by_chunk(spark, monkeypatch):
+    """Of a bucket that is one component but for a few, only these few go to all chunks."""
+    monkeypatch.setattr(N, "CHUNK", 16)
+    rng, sent, compare = random.Random(5), [], N.compare
+
+    def counted(groups, *args):
+        sent.append(groups.count())
+        return compare(groups, *args)
+
+    monkeypatch.setattr(N, "compare", counted)
+    base = [f"w{rng.randrange(500)}" for _ in range(60)]
+    texts = []
+    for edits in [1] * 240 + [9] * 12:
+        copy = list(base)
+        for at in rng.sample(range(60), edits):
+            copy[at] = f"e{rng.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    docs = list(enumerate(texts))
+    assert sorted(run(spark, docs, size=2)) == sorted(brute(docs))
+    # Twice in each of the 42 bands at most; 25,879 rows when every two chunks met.
+    assert sum(sent) < 2 * 42 * len(docs), sent

@@ -11,9 +11,11 @@
    registers, less the collisions to be expected of registers this short; pairs
    that may reach the threshold are confirmed on their full sets, and a chunk
    returns a spanning forest of its links, not its pairs.
-4. Where a bucket of several chunks is not yet one component, every two of its
-   chunks are compared as well, so no pair of a bucket is left out.  Buckets come
-   in two rounds; those that are one component after the first need no second.
+4. Where a bucket of several chunks is not yet one component, the classes outside
+   its largest component are compared with each other and with those inside, chunk
+   by chunk: no pair of a bucket is left out but those known to be one component.
+   Buckets come in two rounds; those that are one component after the first need
+   no second.
 5. Components come from hooking to the smallest neighbour, pointer doubling and
    contraction.
 
@@ -33,7 +35,7 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import emit, growing, load, once_per_worker, scan, stored, words_of
@@ -259,11 +261,53 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """The members, with their component so far, of buckets that are not one component."""
+    """The members, with their component so far, of buckets that are not one
+    component; ``inside`` are those of the bucket's largest component, of which the
+    bucket has ``n_in``."""
     told = members.join(growing(labels.withColumnRenamed("node", "member")), "member", "left").withColumn("label", F.coalesce("label", "member"))
     told = stored(told, "labelled")
-    open_ = told.groupBy("bucket").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo <> _hi").select("bucket")
-    return told.join(growing(stored(open_, "open")), "bucket")
+    parts = told.groupBy("bucket", "label").agg(F.count("*").alias("_n"))
+    open_ = parts.groupBy("bucket").agg(F.count("*").alias("_parts"), F.max(F.struct("_n", "label")).alias("_main")).where("_parts > 1")
+    open_ = stored(open_.select("bucket", F.col("_main.label").alias("_main"), F.col("_main._n").alias("n_in")), "open")
+    return told.join(growing(open_), "bucket").select("bucket", "member", "n", "label", "n_in", (F.col("label") == F.col("_main")).alias("inside"))
+
+
+def _dealt(members: DataFrame, *groups: Column) -> DataFrame:
+    """Members in the groups of chunks (``one``, ``two``) that each is sent to."""
+    dealt = members.select("member", "bucket", "label", F.explode(F.array_distinct(F.flatten(F.array(*groups)))).alias("_g"))
+    return dealt.select("member", "bucket", "label", "_g.one", "_g.two", "_g.second")
+
+
+def _group(one: Column, two: Column, second: Column) -> Column:
+    return F.struct(one.cast("int").alias("one"), two.cast("int").alias("two"), second.alias("second"))
+
+
+def _chunks(n: Column) -> Column:
+    return F.ceil(n / CHUNK).cast("int")
+
+
+def _chunk(n: Column) -> Column:
+    return F.pmod(F.xxhash64("member", "bucket"), _chunks(n)).cast("int")
+
+
+def _diagonal(members: DataFrame) -> DataFrame:
+    """Each chunk of a bucket by itself."""
+    own = _chunk(F.col("n"))
+    return _dealt(members, F.array(_group(own, own, F.lit(False))))
+
+
+def _against_largest(members: DataFrame) -> DataFrame:
+    """All pairs of a bucket that are not both of its largest component: chunks of
+    the others meet each other and those of the largest one, which do not meet."""
+    n_out = F.col("n") - F.col("n_in")
+    outer, inner, zero = _chunks(n_out), _chunks(F.col("n_in")), F.lit(0)
+    none = F.array().cast("array<struct<one:int,two:int,second:boolean>>")
+    own = _chunk(n_out)
+    others = F.transform(F.sequence(zero, outer - 1), lambda o: _group(F.least(own, o), F.greatest(own, o), own > o))
+    largest = F.transform(F.sequence(outer, outer + inner - 1), lambda i: _group(own, i, F.lit(False)))
+    mine = outer + _chunk(F.col("n_in"))
+    met = F.transform(F.sequence(zero, outer - 1), lambda o: _group(o, mine, F.lit(True)))
+    return _dealt(members, F.when(F.col("inside"), none).otherwise(F.concat(others, largest)), F.when(F.col("inside"), met).otherwise(none))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, percent: int = 80) -> DataFrame:
@@ -275,8 +319,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     mark = F.xxhash64("member")
     filled = band.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(mark.cast("decimal(20,0)")).alias("_sum"), F.bit_xor(mark).alias("_xor")).where("n > 1")
     buckets = stored(filled.groupBy("n", "_sum", "_xor").agg(F.min("bucket").alias("bucket")).select("bucket", "n"), "buckets")
-    n_chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-    members = stored(band.join(growing(buckets), "bucket").select("bucket", "member", n_chunks.alias("n"), F.pmod(F.xxhash64("member", "bucket"), n_chunks).cast("int").alias("chunk")), "members")
+    members = stored(band.join(growing(buckets), "bucket").select("bucket", "member", "n"), "members")
     own = members.groupBy("member").agg(F.sort_array(F.collect_list("bucket")).alias("own"))  # a bucket per band at most
     texts = docs.select(F.xxhash64(key, text).alias("member"), F.col(text).alias("_text"))
     texts = stored(texts.join(growing(own), "member").dropDuplicates(["member"]), "texts")
@@ -284,16 +327,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     labels = docs.sparkSession.createDataFrame([], "node long, label long")
     for low, high in zip(ROUNDS, ROUNDS[1:]):
         here = members.where(F.col("bucket").between(low, high - 1))
-        found = _open_members(here, labels).select("member", "bucket", F.col("chunk").alias("one"), F.col("chunk").alias("two"), F.lit(False).alias("second"), "label")
-        new = stored(compare(found.join(growing(texts), "member"), size, percent), "links")
+        found = stored(_open_members(here, labels), "found")
+        n_out = F.col("n") - F.col("n_in")
+        whole, few = F.col("n") <= CHUNK, n_out <= CHUNK
+        first = _diagonal(found.where(whole | ~few)).unionByName(_against_largest(found.where(~whole & few)))
+        new = stored(compare(first.join(growing(texts), "member"), size, percent), "links")
         links = new if links is None else links.union(new)
         labels = components(links)
-        # Buckets of several chunks that are not one component yet.
-        large = _open_members(here.where("n > 1"), labels)
-        other = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("_other")
-        pairs = large.select("member", "bucket", "chunk", "label", other).where("_other <> chunk")
-        pairs = pairs.select("member", "bucket", "label", F.least("chunk", "_other").alias("one"), F.greatest("chunk", "_other").alias("two"), (F.col("chunk") > F.col("_other")).alias("second"))
-        more = stored(compare(pairs.join(growing(texts), "member"), size, percent), "links")
+        # Buckets of which not all pairs were compared and that are not one component yet.
+        rest = found.where(~whole & ~few).select("bucket", "member", "n")
+        more = stored(compare(_against_largest(_open_members(rest, labels)).join(growing(texts), "member"), size, percent), "links")
         if not more.isEmpty():
             links = links.union(more)
             labels = components(links)
