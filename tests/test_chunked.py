@@ -118,3 +118,23 @@ def test_rounds_do_not_grow_with_the_list(spark, monkeypatch):
     assert sorted(chunks.diff().collect()) == sorted(want)
     got, want = (sorted(x.select("k", "seq", "i", "j", "kind", "cost", "a_context", "b_context").collect()) for x in (chunks.rows(), diff_rows(df, ["k"])))
     assert got == want
+
+
+def _nodes(plan):
+    children = plan.children()
+    return [plan, *(x for i in range(children.size()) for x in _nodes(children.apply(i)))]
+
+
+def test_no_token_array_is_shuffled(spark):
+    """Lists meet as one text each, and sums of ``n`` need no tokens."""
+    df = _frame(spark, _pairs(3, 6))
+    runs = [df.select("k", F.lit(0).cast("bigint").alias("off"), F.size(x).alias("n"), F.col(x).alias("tokens")) for x in "ab"]
+    c = Chunked(*runs, ["k"], 40)
+    seen = c._with_tokens(c.linked.select("k", "c", "i", "j"))
+    grouped = windows(runs[0], ["k"], 40, 2, 16)
+    for plan in (x._jdf.queryExecution().optimizedPlan() for x in (seen, grouped)):
+        joins = [x for x in _nodes(plan) if x.nodeName() in ("Join", "Aggregate")]
+        assert joins
+        for child in (y for x in joins for y in (x.children().apply(i) for i in range(x.children().size()))):
+            assert not [f for f in child.schema().fields() if f.dataType().simpleString().startswith("array<string>")]
+    assert sorted(map(tuple, c.diff().collect())) == sorted(map(tuple, diff_table(df, ["k"]).collect()))

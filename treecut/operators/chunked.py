@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import scratch_path
-from .compare import LOOKAHEAD, STOP_CONTEXT
+from .compare import LOOKAHEAD, STOP_CONTEXT, packed, unpacked
 
 #: Tokens of a chunk.
 CHUNK = 4096
@@ -56,12 +56,17 @@ def _written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(out)
 
 
+def _count(runs: DataFrame) -> Column:
+    """The tokens of a run: ``n`` where the runs tell it, so that sums need no tokens."""
+    return F.col("n") if "n" in runs.columns else F.size("tokens")
+
+
 def windows(runs: DataFrame, keys: list[str], size: int, before: int, behind: int) -> DataFrame:
     """``(keys, c, at, tokens)``: the tokens ``c * size - before`` to ``(c + 1) * size
     + behind`` of every list, with the place of the first, for every ``c`` that has
     tokens of its own.  ``runs``: ``(keys, off, tokens)``, any pieces of the lists
-    with the place of their first token."""
-    off, n = F.col("off"), F.size("tokens")
+    with the place of their first token.  Pieces are shuffled as one text each."""
+    off, n = F.col("off"), _count(runs)
     first = F.greatest(F.floor((off - behind) / size), F.lit(0))
     last = F.floor((off + n - 1 + before) / size)
 
@@ -71,9 +76,9 @@ def windows(runs: DataFrame, keys: list[str], size: int, before: int, behind: in
         return F.struct(c.cast("bigint").alias("c"), start.cast("bigint").alias("at"), F.slice("tokens", (start - off + 1).cast("int"), F.greatest(stop - start, F.lit(0)).cast("int")).alias("part"))
 
     pieces = runs.where(n > 0).select(*keys, F.explode(F.transform(F.sequence(first, last), piece)).alias("_p"))
-    pieces = pieces.select(*keys, "_p.c", F.struct("_p.at", "_p.part").alias("_p")).where(F.size("_p.part") > 0)
+    pieces = pieces.where(F.size("_p.part") > 0).select(*keys, "_p.c", F.struct("_p.at", packed("_p.part").alias("part")).alias("_p"))
     whole = pieces.groupBy(*keys, "c").agg(F.sort_array(F.collect_list("_p")).alias("_p"))
-    whole = whole.select(*keys, "c", F.get("_p", 0)["at"].alias("at"), F.flatten(F.transform("_p", lambda p: p["part"])).alias("tokens"))
+    whole = whole.select(*keys, "c", F.get("_p", 0)["at"].alias("at"), F.flatten(F.transform("_p", lambda p: unpacked(p["part"]))).alias("tokens"))
     return whole.where(F.col("at") + F.size("tokens") > F.col("c") * size)
 
 
@@ -131,8 +136,9 @@ def _walk(size: int, events: bool) -> Column:
 
 class Chunked:
     """Two token lists per key as chunks.  ``left`` and ``right``: ``(keys, off,
-    tokens)``, any runs of the lists' tokens with the place of their first; a list
-    without tokens has a run without any.  Keys on both sides are compared (J1)."""
+    tokens)``, any runs of the lists' tokens with the place of their first, and
+    maybe ``n``, their number; a list without tokens has a run without any.  Keys on
+    both sides are compared (J1)."""
 
     def __init__(self, left: DataFrame, right: DataFrame, keys: list[str], size: int = CHUNK) -> None:
         if size < 2 * BEHIND:
@@ -141,7 +147,7 @@ class Chunked:
         # A walk moves three tokens on the right for two on the left at most.
         self.a = _written(windows(left, keys, size, BEFORE, BEHIND), "left")
         self.b = _written(windows(right, keys, size, BEFORE, size + size // 2 + 2 * BEHIND), "right")
-        lengths = [runs.groupBy(*keys).agg(F.sum(F.size("tokens")).cast("bigint").alias(f"len_{side}")) for runs, side in ((left, "a"), (right, "b"))]
+        lengths = [runs.groupBy(*keys).agg(F.sum(_count(runs)).cast("bigint").alias(f"len_{side}")) for runs, side in ((left, "a"), (right, "b"))]
         self.lengths = _written(lengths[0].join(lengths[1], keys), "lengths")
         self.rounds = 0
         self.linked = self._link()
@@ -171,12 +177,12 @@ class Chunked:
 
     def _with_tokens(self, entries: DataFrame) -> DataFrame:
         """Entries (``keys, c, i, j``) with the windows that a walk over the chunk sees."""
-        a = self.a.select(*self.keys, "c", F.col("at").alias("a_at"), F.col("tokens").alias("a"))
-        b = self.b.select(*self.keys, F.col("c").alias("_q"), F.col("at").alias("b_at"), F.col("tokens").alias("b"))
+        a = self.a.select(*self.keys, "c", F.col("at").alias("a_at"), packed("tokens").alias("a"))
+        b = self.b.select(*self.keys, F.col("c").alias("_q"), F.col("at").alias("b_at"), packed("tokens").alias("b"))
         e = entries.withColumns({"_q": F.floor(F.col("j") / self.size), "until": F.col("c") + 1})
         # An entry behind the right list's end has no tokens there.
         joined = e.join(self.lengths, self.keys).join(a, self._same("c")).join(b, self._same("_q"), "left")
-        return joined.withColumns({"b": F.coalesce("b", F.array().cast("array<string>")), "b_at": F.coalesce("b_at", F.lit(0).cast("bigint"))})
+        return joined.withColumns({"a": unpacked("a"), "b": F.coalesce(unpacked("b"), F.array().cast("array<string>")), "b_at": F.coalesce("b_at", F.lit(0).cast("bigint"))})
 
     def _spanned(self, entries: DataFrame) -> DataFrame:
         """Entries (``keys, c, until, i, j``) with the tokens that a walk over the
@@ -184,11 +190,11 @@ class Chunked:
         own tokens, the last one also those behind."""
         def together(side: DataFrame, first: Column, n: Column, at: str, tokens: str) -> DataFrame:
             parts = entries.select(*self.keys, F.col("c").alias("_c"), first.cast("bigint").alias("_first"), F.explode(F.sequence(first, first + n - 1)).alias("c"))
-            parts = parts.join(side, self._same("c"))
             tail = F.slice("tokens", (F.col("c") * self.size - F.col("at") + 1).cast("int"), F.size("tokens"))
-            found = parts.groupBy(*self.keys, "_c", "_first").agg(F.sort_array(F.collect_list(F.struct("c", tail.alias("t")))).alias("_p"))
+            parts = parts.join(side.select(*self.keys, "c", tail.alias("t")).select(*self.keys, "c", packed("t").alias("t")), self._same("c"))
+            found = parts.groupBy(*self.keys, "_c", "_first").agg(F.sort_array(F.collect_list(F.struct("c", "t"))).alias("_p"))
             last = F.size("_p") - 1
-            whole = F.flatten(F.transform("_p", lambda p, k: F.when(k < last, F.slice(p["t"], 1, self.size)).otherwise(p["t"])))
+            whole = F.flatten(F.transform("_p", lambda p, k: F.when(k < last, F.slice(unpacked(p["t"]), 1, self.size)).otherwise(unpacked(p["t"]))))
             return found.select(*self.keys, F.col("_c").alias("c"), (F.col("_first") * self.size).alias(at), whole.alias(tokens))
 
         chunks = F.col("until") - F.col("c")
@@ -217,8 +223,9 @@ class Chunked:
     def _walked(self, seen: DataFrame) -> DataFrame:
         """A row per chunk that the walks go over: the state in which each is left,
         what it costs up to there, and the states noted in it."""
-        done = seen.select(*self.keys, "c", "until", _walk(self.size, False).alias("_w"))
+        return self._left(seen.select(*self.keys, "c", "until", _walk(self.size, False).alias("_w")))
 
+    def _left(self, done: DataFrame) -> DataFrame:
         def chunk(q: Column) -> Column:
             inside = lambda k: F.filter("_w.noted", lambda s: F.floor(s["i"] / self.size) == k)
             following = F.get(inside(q + 1), 0)
@@ -235,9 +242,11 @@ class Chunked:
         """Every chunk up to the end of its list's walk with its true entry (``i``,
         ``j``) and what the walk costs there, the last one with ``ended``."""
         order = Window.partitionBy(*self.keys).orderBy("c")
-        # A guess that moved may stand in another window: its tokens are joined anew.
-        guesses = _written(self._nudged(self._with_tokens(self._guesses())).select(*self.keys, "c", "i", "j"), "guesses")
-        walked = _written(self._walked(self._with_tokens(guesses)), "walked")
+        # Walked where the guess is nudged; only one that moved into another window has its tokens joined anew.
+        seen = self._nudged(self._with_tokens(self._guesses())).withColumn("_here", F.floor(F.col("j") / self.size) == F.col("_q"))
+        guesses = _written(seen.select(*self.keys, "c", "until", "i", "j", "_here", F.when(F.col("_here"), _walk(self.size, False)).alias("_w")), "guesses")
+        moved = _written(guesses.where("not _here").select(*self.keys, "c", "i", "j"), "moved")
+        walked = _written(self._left(guesses.where("_here")).unionByName(self._walked(self._with_tokens(moved))), "walked")
         settled, span = [], 1
         while True:
             self.rounds += 1

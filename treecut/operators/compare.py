@@ -82,16 +82,16 @@ def pair_tokenisations(df: DataFrame, key_cols: list[str], text_col: str = "text
                      tokens(F.col(text_col), other).alias("b"))
 
 
-def packed(name: str) -> Column:
+def packed(name: Column | str) -> Column:
     """A token list as one text, a token a line; the list itself if a token is
     null or holds a newline (the tokenisers make none of these)."""
     plain = ~F.exists(name, lambda t: t.isNull() | F.contains(t, F.lit("\n")))
     return F.struct(F.size(name).alias("n"), F.when(plain, F.concat_ws("\n", name)).alias("joined"), F.when(plain, None).otherwise(F.col(name)).alias("list"))
 
 
-def unpacked(name: str) -> Column:
+def unpacked(name: Column | str) -> Column:
     """The token list that ``packed`` made ``name`` of."""
-    p = F.col(name)
+    p = F.col(name) if isinstance(name, str) else name
     return F.when(p["n"] == 0, F.array().cast("array<string>")).when(p["joined"].isNotNull(), F.split(p["joined"], "\n", -1)).otherwise(p["list"])
 
 
@@ -198,8 +198,8 @@ def file_pairs(spark, path: str, base: str = "ptb", other: str = "ptb_lines") ->
 
 def batch_token_runs(batched: DataFrame, batch_col: str = "batch_id", order_cols: tuple[str, ...] = ("doc_id",),
                      text_col: str = "text", method: str = "ptb") -> DataFrame:
-    """``(batch, off, tokens)``: the tokens of a batch's documents in order, each
-    document's with the place of its first token in the batch.
+    """``(batch, off, n, tokens)``: the tokens of a batch's documents in order, each
+    document's with the place of its first token in the batch and their number.
 
     The marks ``...`` and ``--`` are spaced, as in parts that are read back.  The
     places are sums over a row of numbers per document; a batch's texts or
@@ -215,7 +215,8 @@ def batch_token_runs(batched: DataFrame, batch_col: str = "batch_id", order_cols
     written = batched.sparkSession.read.schema(t.schema).parquet(out)
     earlier = Window.partitionBy(batch_col).orderBy(*order_cols, "_row").rowsBetween(Window.unboundedPreceding, -1)
     places = written.select("_row", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).cast("bigint").alias("off"))
-    return written.join(places, "_row").select(batch_col, "off", "tokens")
+    lists = written.select(batch_col, "_row", F.col("_n").alias("n"), packed("tokens").alias("tokens"))
+    return lists.join(places, "_row").select(batch_col, "off", "n", unpacked("tokens").alias("tokens"))
 
 
 def compare_with_parts(batched: DataFrame, folder: str, batch_col: str = "batch_id", order_cols: tuple[str, ...] = ("doc_id",),

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.tokenize import WS_CLASS, normalise_marks, ptb_tokens, split_tokens, tokens
+from ..operators.compare import packed, unpacked
 from ..operators.ordering import offsets_within
 from ..session import cut_lineage, scratch_path
 
@@ -186,9 +187,16 @@ def _edge_lines(lines: DataFrame, sep: str) -> DataFrame:
     return t.groupBy("path", "block").agg(F.collect_list(F.struct("lid", "tokens")).alias("fixes"))
 
 
-def _with_edges(plain: DataFrame, edges: DataFrame) -> DataFrame:
+def _with_edges(plain: DataFrame, edges: DataFrame | None) -> DataFrame:
+    """Every piece with its number of tokens and these as one text (``packed``), the
+    edge pieces as what they are."""
+    lines = plain.select("path", "block", "lid", "n", packed("tokens").alias("tokens"))
+    if edges is None:
+        return lines
     fix = F.get(F.filter("fixes", lambda x: x["lid"] == F.col("lid")), 0)
-    return plain.join(edges, ["path", "block"], "left").select("path", "block", "lid", F.coalesce(fix["tokens"], F.col("tokens")).alias("tokens"))
+    fixed = lines.join(edges, ["path", "block"], "left").withColumn("_fix", fix["tokens"])
+    either = lambda there, plain: F.when(F.col("_fix").isNotNull(), there).otherwise(F.col(plain)).alias(plain)
+    return fixed.select("path", "block", "lid", either(F.size("_fix"), "n"), either(packed("_fix"), "tokens"))
 
 
 def large_file_lines(spark: SparkSession, path: str, cut: str = "lines", piece: int = PIECE) -> DataFrame:
@@ -207,7 +215,8 @@ def large_file_lines(spark: SparkSession, path: str, cut: str = "lines", piece:
     ``(path, block, lid, tokens)``, one row per piece.
     """
     lines, sep = _cut(spark, path, cut, piece)
-    return _with_edges(_plain_lines(lines, sep), _edge_lines(lines, sep))
+    whole = _with_edges(_plain_lines(lines, sep), _edge_lines(lines, sep))
+    return whole.select("path", "block", "lid", unpacked("tokens").alias("tokens"))
 
 
 def large_file_tokens(spark: SparkSession, path: str, cut: str = "lines", piece: int = PIECE) -> DataFrame:
@@ -220,14 +229,15 @@ def large_file_tokens(spark: SparkSession, path: str, cut: str = "lines", piece:
 
 
 def _runs(plain: DataFrame, edges: DataFrame | None, group: Column, name: str) -> DataFrame:
-    """``(name, off, tokens)``: pieces with the place of their first token in their
-    group (a file, or the files of a part in the order of their names).
+    """``(name, off, n, tokens)``: pieces with the place of their first token in their
+    group (a file, or the files of a part in the order of their names) and the
+    number of their tokens.
 
     The tokens before a piece are those of its group's earlier splits (a running
     sum over one small row per split, from the counts alone) and those of
     earlier pieces in its split (a window over one split).  The edge pieces, the
-    offsets and the window share one hash partitioning on (path, block): token
-    arrays move once.
+    offsets and the window share one hash partitioning on (path, block): tokens
+    move once, as one text a piece, and not at all where only ``n`` is asked for.
     """
     counts = plain.select("path", "block", "lid", "n")
     if edges is not None:
@@ -237,14 +247,15 @@ def _runs(plain: DataFrame, edges: DataFrame | None, group: Column, name: str) -
     earlier = Window.partitionBy("_g").orderBy("path", "block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = cut_lineage(per_block.select("path", "block", "_g", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off")))
     before = Window.partitionBy("path", "block").orderBy("lid").rowsBetween(Window.unboundedPreceding, -1)
-    lines = (plain if edges is None else _with_edges(plain, edges)).join(offsets, ["path", "block"])
-    off = F.col("_off") + F.coalesce(F.sum(F.size("tokens")).over(before), F.lit(0))
-    return lines.select(F.col("_g").alias(name), off.cast("bigint").alias("off"), "tokens")
+    lines = _with_edges(plain, edges).join(offsets, ["path", "block"])
+    off = F.col("_off") + F.coalesce(F.sum("n").over(before), F.lit(0))
+    placed = lines.select(F.col("_g").alias(name), off.cast("bigint").alias("off"), "n", "tokens")
+    return placed.select(name, "off", "n", unpacked("tokens").alias("tokens"))
 
 
 def file_token_runs(spark: SparkSession, path: str, cut: str = "lines", piece: int = PIECE, method: str = "ptb") -> DataFrame:
-    """S4 as ``(path, off, tokens)``: the tokens of a piece and the place of the
-    first one in its file."""
+    """S4 as ``(path, off, n, tokens)``: the tokens of a piece, their number and the
+    place of the first one in its file."""
     read, sep = _cut(spark, path, cut, piece)
     if method == "ptb":
         plain, edges = _plain_lines(read, sep), cut_lineage(_edge_lines(read, sep))
@@ -282,7 +293,7 @@ def read_token_parts(spark: SparkSession, folder: str, part_col: str = "batch_id
 
 
 def token_part_runs(spark: SparkSession, folder: str, part_col: str = "batch_id", piece: int = PIECE) -> DataFrame:
-    """S7 for parts of any size: ``(part, off, tokens)``, a part's tokens in pieces
+    """S7 for parts of any size: ``(part, off, n, tokens)``, a part's tokens in pieces
     of lines with the place of the first token in the part."""
     lines = read_pieces(spark, folder, piece, "\n")
     part = F.regexp_extract("path", f"/{part_col}=([^/]+)/", 1).cast("bigint")
