@@ -125,46 +125,62 @@ def mismatch_rollup(diffs: DataFrame, group_cols: list[str] | None = None) -> Da
         "rate", F.round(F.when(F.col("compared") > 0, F.col("mismatched") / F.col("compared")), 6))
 
 
-#: Events that the fold of J3 keeps in its open list before it is put away: an
-#: event copies at most this many, however many mismatches a pair has.
-EVENTS_OPEN = 256
-_EVENT = "struct<i:bigint,j:bigint,kind:string,cost:bigint,width:bigint>"
+#: Turns of the walk of J3 that one inner fold takes.
+WALK_BLOCK = 256
+#: Bits of a place in an event that the fold holds as one number.
+_PLACE = 30
 
 
 def walk_events(a: Column | str, b: Column | str) -> Column:
     """The mismatches of the walk of ``token_diff``, in order, as an array of
-    ``STRUCT<i, j, kind, cost, width>``.  The same fold with the events in its
-    state, as an open list and a list of full ones."""
+    ``STRUCT<i, j, kind, cost, width>``.
+
+    A fold copies its whole state at every turn.  So the walk is a fold over
+    blocks of ``WALK_BLOCK`` turns, each a fold of its own that holds the
+    mismatches of the block alone, one number each; those of earlier blocks are
+    copied once a block.  A walk that has ended takes no more turns.
+    """
     a = F.col(a) if isinstance(a, str) else a
     b = F.col(b) if isinstance(b, str) else b
     n = F.least(F.size(a), F.size(b))
-    none = F.array().cast(f"array<{_EVENT}>")
-    init = F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(False).alias("s"), none.alias("open"),
-                    F.array().cast(f"array<array<{_EVENT}>>").alias("full"))
+    cases = [*((kind, cost, width) for kind, _da, _db, _mi, _mj, cost, width in LOOKAHEAD), ("stop", 0, STOP_CONTEXT)]
 
-    def step(acc, _x):
+    def state(i, j, stopped, **lists):
+        return F.struct(i.alias("i"), j.alias("j"), stopped.alias("s"), *(x.alias(name) for name, x in lists.items()))
+
+    def live(acc):
+        return (~acc["s"]) & (acc["i"] < n - 1) & (acc["j"] < n - 1)
+
+    def turn(acc, _x):
         i, j = acc["i"], acc["j"]
-        live = (~acc["s"]) & (i < n - 1) & (j < n - 1)
-        is_full = F.size(acc["open"]) >= EVENTS_OPEN
-
-        def state(di, dj, stop, event=None):
-            held, full = acc["open"], acc["full"]
-            if event is not None:
-                held = F.when(is_full, F.array(event)).otherwise(F.array_append(held, event))
-                full = F.when(is_full, F.array_append(full, acc["open"])).otherwise(full)
-            return F.struct((i + di).alias("i"), (j + dj).alias("j"), F.lit(stop).alias("s"), held.alias("open"), full.alias("full"))
-
-        def event(kind, cost, width):
-            return F.struct(i.cast("bigint").alias("i"), j.cast("bigint").alias("j"), F.lit(kind).alias("kind"),
-                            F.lit(cost).cast("bigint").alias("cost"), F.lit(width).cast("bigint").alias("width"))
-
-        move = F.when(_eq(a, i, b, j), state(1, 1, False))
-        for kind, da, db, mi, mj, cost, width in LOOKAHEAD:
-            move = move.when(_eq(a, i + da, b, j + db), state(mi, mj, False, event(kind, cost, width)))
-        move = move.otherwise(state(0, 0, True, event("stop", 0, STOP_CONTEXT)))
-        return F.when(live, move).otherwise(state(0, 0, True))
-
-    return F.aggregate(a, init, step, lambda acc: F.flatten(F.array_append(acc["full"], acc["open"])))
+
+        def to(di, dj, case=None):
+            held = acc["open"]
+            if case is not None:
+                event = (i.cast("bigint") * F.lit(1 << _PLACE) + j) * 8 + case
+                held = F.array_append(held, event)
+            return state(i + di, j + dj, F.lit(case == len(LOOKAHEAD)), open=held)
+
+        move = F.when(_eq(a, i, b, j), to(1, 1))
+        for case, (_kind, da, db, mi, mj, _cost, _width) in enumerate(LOOKAHEAD):
+            move = move.when(_eq(a, i + da, b, j + db), to(mi, mj, case))
+        return F.when(live(acc), move.otherwise(to(0, 0, len(LOOKAHEAD)))).otherwise(acc)
+
+    def block(acc, k):
+        start = state(acc["i"], acc["j"], acc["s"], open=F.array().cast("array<bigint>"))
+        walked = F.aggregate(F.slice(a, k * WALK_BLOCK + 1, F.lit(WALK_BLOCK)), start, turn,
+                             lambda r: state(r["i"], r["j"], r["s"], full=F.array_append(acc["full"], r["open"])))
+        return F.when(live(acc), walked).otherwise(acc)
+
+    def event(x):
+        case = (F.pmod(x, F.lit(8)) + 1).cast("int")
+        kind, cost, width = (F.element_at(F.array(*map(F.lit, c)), case) for c in zip(*cases))
+        return F.struct(F.shiftright(x, _PLACE + 3).alias("i"), F.pmod(F.shiftright(x, 3), F.lit(1 << _PLACE)).alias("j"),
+                        kind.alias("kind"), cost.cast("bigint").alias("cost"), width.cast("bigint").alias("width"))
+
+    init = state(F.lit(0), F.lit(0), F.lit(False), full=F.array().cast("array<array<bigint>>"))
+    blocks = F.sequence(F.lit(0), F.floor(F.size(a) / WALK_BLOCK).cast("int"))
+    return F.transform(F.aggregate(blocks, init, block, lambda acc: F.flatten(acc["full"])), event)
 
 
 def diff_rows(pairs: DataFrame, key_cols: list[str]) -> DataFrame:
