@@ -101,43 +101,62 @@ def read_pieces(spark: SparkSession, path: str, least: int = PIECE, sep: str = "
     is many pieces read in parallel and nothing is shuffled.  Only a stretch
     without any blank has to fit into a cell.
     """
+    schema = pa.schema([("path", pa.string()), ("block", pa.int64()), ("lid", pa.int64()), ("line", pa.string()), ("file_size", pa.int64())])
+
+    def joined(words: pa.Array, offsets: list[int]) -> pa.Array:
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), words), sep)
+
     def glue(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[str] = []
+        # The words behind the last full piece: where they start, and their texts.
         where: tuple | None = None
+        held: list[str] = []
         size = 0
-
-        def piece() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pylist([{**dict(zip(("path", "block", "file_size", "lid"), where)), "line": sep.join(held)}], schema=schema)
-
-        schema = pa.schema([("path", pa.string()), ("block", pa.int64()), ("lid", pa.int64()), ("line", pa.string()), ("file_size", pa.int64())])
         for batch in batches:
             # The words of a split stand together: look only where path or block changes.
             paths = batch.column("path").dictionary_encode().indices.to_numpy()
             blocks = batch.column("block").to_numpy()
             change = np.flatnonzero((np.diff(paths) != 0) | (np.diff(blocks) != 0)) + 1
+            made: list[pa.RecordBatch] = []
+
+            def put(key: tuple, lids: pa.Array, lines: pa.Array) -> None:
+                n = len(lines)
+                made.append(pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(key[0], pa.string()), n), pa.repeat(pa.scalar(key[1], pa.int64()), n), lids, lines, pa.repeat(pa.scalar(key[2], pa.int64()), n)], schema=schema))
+
             for at, to in zip([0, *change.tolist()], [*change.tolist(), batch.num_rows]):
                 if at == to:
                     continue
                 own = (batch.column("path")[at].as_py(), int(blocks[at]), batch.column("file_size")[at].as_py())
                 if where is not None and where[:3] != own:
-                    yield piece()
-                    held, where, size = [], None, 0
+                    put(where, pa.array([where[3]], pa.int64()), pa.array([sep.join(held)], pa.string()))
+                    where, held, size = None, [], 0
                 words, lids = batch.column("line").slice(at, to - at), batch.column("lid").slice(at, to - at)
                 ends = np.cumsum(pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
-                done, before = 0, 0
-                while done < len(words):
+                # Each cut is behind the word that fills the piece.
+                cuts, before = [], -size
+                while (fills := int(np.searchsorted(ends, before + least))) < len(words):
+                    cuts.append(fills + 1)
+                    before = int(ends[fills])
+                if cuts:
+                    first = 0
+                    if held:
+                        text = sep.join([*held, joined(words, [0, cuts[0]])[0].as_py()])
+                        put(own, pa.array([where[3]], pa.int64()), pa.array([text], pa.string()))
+                        first = cuts.pop(0)
+                    if cuts:
+                        starts = [first, *cuts]
+                        put(own, lids.take(pa.array(starts[:-1], pa.int64())), joined(words, starts))
+                        first = cuts[-1]
+                    where, held, size = None, [], 0
+                    words, lids = words.slice(first), lids.slice(first)
+                if len(words):
                     if where is None:
-                        where = (*own, lids[done].as_py())
-                    # Up to the word that fills the piece.
-                    upto = min(len(words), int(np.searchsorted(ends, before + least - size)) + 1)
-                    held += words.slice(done, upto - done).to_pylist()
-                    size += int(ends[upto - 1]) - before
-                    done, before = upto, int(ends[upto - 1])
-                    if size >= least:
-                        yield piece()
-                        held, where, size = [], None, 0
+                        where = (*own, lids[0].as_py())
+                    held.append(joined(words, [0, len(words)])[0].as_py())
+                    size = int(ends[-1]) - before
+            if made:
+                yield pa.Table.from_batches(made).combine_chunks().to_batches()[0]
         if where is not None:
-            yield piece()
+            yield pa.RecordBatch.from_pylist([{**dict(zip(("path", "block", "file_size", "lid"), where)), "line": sep.join(held)}], schema=schema)
 
     return _records(spark, path, sep).mapInArrow(glue, "path string, block long, lid long, line string, file_size long")
 
@@ -151,19 +170,21 @@ def _cut(spark: SparkSession, path: str, cut: str, piece: int) -> tuple[DataFram
     return (reader(spark, path, piece) if cut == "blanks" else reader(spark, path)), sep
 
 
-def _tokenised(lines: DataFrame, tokens: Column) -> DataFrame:
+def _tokenised(lines: DataFrame, tokens: Column, *kept: str) -> DataFrame:
     """The tokens of every piece, made in the task that reads it: ``(path, block,
-    lid, n, tokens)``, written once to the shared scratch folder."""
+    lid, n, tokens)`` and the columns ``kept``, written once to the shared scratch
+    folder."""
     out = scratch_path(lines.sparkSession, f"large_file_lines/{uuid.uuid4().hex}")
-    t = lines.select("path", "block", "lid", tokens.alias("tokens"))
-    t.select("path", "block", "lid", F.size("tokens").alias("n"), "tokens").write.parquet(out)
-    return lines.sparkSession.read.schema("path string, block long, lid long, n int, tokens array<string>").parquet(out)
+    t = lines.select("path", "block", "lid", tokens.alias("tokens"), *kept)
+    t = t.select("path", "block", "lid", F.size("tokens").alias("n"), "tokens", *kept)
+    t.write.parquet(out)
+    return lines.sparkSession.read.schema(t.schema).parquet(out)
 
 
-def _plain_lines(lines: DataFrame, sep: str) -> DataFrame:
+def _plain_lines(lines: DataFrame, sep: str, *kept: str) -> DataFrame:
     """Every line tokenised as one inside a file."""
     inside = F.concat(F.lit(sep), F.col("line"), F.lit(sep))
-    return _tokenised(lines, ptb_tokens(inside, final_period=F.lit(False)))
+    return _tokenised(lines, ptb_tokens(inside, final_period=F.lit(False)), *kept)
 
 
 def _edge_lines(lines: DataFrame, sep: str) -> DataFrame:
@@ -199,6 +220,16 @@ def _with_edges(plain: DataFrame, edges: DataFrame | None) -> DataFrame:
     return fixed.select("path", "block", "lid", either(F.size("_fix"), "n"), either(packed("_fix"), "tokens"))
 
 
+def _plain_and_edges(spark: SparkSession, path: str, cut: str, piece: int) -> tuple[DataFrame, DataFrame]:
+    """``_plain_lines`` and ``_edge_lines`` of files; what is dear to cut is cut
+    once, the pieces are written beside their tokens."""
+    lines, sep = _cut(spark, path, cut, piece)
+    if cut == "blanks":
+        plain = _plain_lines(lines, sep, "line", "file_size")
+        return plain, _edge_lines(plain, sep)
+    return _plain_lines(lines, sep), _edge_lines(lines, sep)
+
+
 def large_file_lines(spark: SparkSession, path: str, cut: str = "lines", piece: int = PIECE) -> DataFrame:
     """Files too large for one cell, tokenised piece by piece in parallel.
 
@@ -214,8 +245,7 @@ def large_file_lines(spark: SparkSession, path: str, cut: str = "lines", piece:
     (path, block), whose groups are no larger than a split.  Returns
     ``(path, block, lid, tokens)``, one row per piece.
     """
-    lines, sep = _cut(spark, path, cut, piece)
-    whole = _with_edges(_plain_lines(lines, sep), _edge_lines(lines, sep))
+    whole = _with_edges(*_plain_and_edges(spark, path, cut, piece))
     return whole.select("path", "block", "lid", unpacked("tokens").alias("tokens"))
 
 
@@ -256,12 +286,12 @@ def _runs(plain: DataFrame, edges: DataFrame | None, group: Column, name: str) -
 def file_token_runs(spark: SparkSession, path: str, cut: str = "lines", piece: int = PIECE, method: str = "ptb") -> DataFrame:
     """S4 as ``(path, off, n, tokens)``: the tokens of a piece, their number and the
     place of the first one in its file."""
-    read, sep = _cut(spark, path, cut, piece)
     if method == "ptb":
-        plain, edges = _plain_lines(read, sep), cut_lineage(_edge_lines(read, sep))
+        plain, edges = _plain_and_edges(spark, path, cut, piece)
+        edges = cut_lineage(edges)
     elif method == "whitespace" or (method == "ptb_lines" and cut == "lines"):
         # Every cut is white space, and every line is tokenised on its own.
-        plain, edges = _tokenised(read, tokens("line", "ptb" if method == "ptb_lines" else method)), None
+        plain, edges = _tokenised(_cut(spark, path, cut, piece)[0], tokens("line", "ptb" if method == "ptb_lines" else method)), None
     else:
         raise ValueError(f"{method!r} cannot be made of files cut at {cut}")
     return _runs(plain, edges, F.col("path"), "path")
