@@ -1,16 +1,19 @@
 """Operator 7, language-model scoring with an Elias-Fano n-gram trie.
 
 1. Spark stores the documents as blocks of tokens: each block has its own
-   vocabulary of 64-bit word hashes and its tokens as numbers in it.
+   vocabulary of 64-bit word hashes and its tokens as numbers in it.  The blocks
+   lie in buckets, so that they stay where they are when answers come to them.
 2. Word counts meet in shards of the hash space: a block sends a shard its words
-   and training counts, and gets back the corpus counts of its words, so no
-   vocabulary is ever whole in one place.
-3. Pairs and triples meet in shards by the hash of their context (a word, a
-   pair): a block sends each shard its distinct n-grams with their training counts.
-   All n-grams seen ``LEAST`` times are kept, whatever the size of the corpus.
+   and training counts, and gets back the corpus counts of its words and their
+   numbers in the corpus, so no vocabulary is ever whole in one place.
+3. Pairs and triples meet in shards by their context (a word's number, the hash
+   of a pair): a block sends each shard its distinct n-grams with their training
+   counts, a word as its number.  All n-grams seen ``LEAST`` times are kept,
+   whatever the size of the corpus.
 4. A shard's part of the trie's level: the kept n-grams and their contexts,
    Elias-Fano coded, with 8-bit quantised discounted probabilities and back-off
-   weights.  It is built and read in the shard's task, which answers the blocks.
+   weights.  It is built and read in the shard's task, which answers the blocks
+   with codes; a shard's code books are sent once, not to every block.
 5. Blocks are scored from the answers: the longest n-gram found, or the shorter
    one's probability times the back-off weight; at last the absolutely discounted
    word count, whose discounts are the probability of a word never seen in training.
@@ -27,7 +30,9 @@ from __future__ import annotations
 
 import pickle
 import tempfile
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import groupby
 
 import numpy as np
@@ -36,7 +41,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import emit, growing, load, scan, stored, words_of
+from ..session import scratch_path
+from .common import emit, growing, input_tasks, load, scan, stored, words_of
 from .eliasfano import EliasFano
 from .langid import fold
 
@@ -70,16 +76,43 @@ class _Numbers(dict):
         return number
 
 
+def planes(numbers: np.ndarray) -> bytes:
+    """Numbers, their bytes of equal weight together and compressed: the many zero
+    bytes and small numbers then cost next to nothing."""
+    raw = np.ascontiguousarray(numbers, dtype="<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    return len(numbers).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def opened(raw: bytes) -> np.ndarray:
+    n = int.from_bytes(raw[:8], "little")
+    plain = pa.decompress(raw[8:], 8 * n, codec="zstd", asbytes=True)
+    return np.frombuffer(plain, np.uint8).reshape(8, n).T.copy().view("<i8").reshape(-1)
+
+
 def squeezed(keys: np.ndarray) -> bytes:
-    """Sorted numbers as steps, the bytes of equal weight together: the many
-    zero bytes then cost a compressing shuffle next to nothing."""
-    return np.diff(keys, prepend=keys.dtype.type(0)).view(np.uint8).reshape(len(keys), -1).T.tobytes()
+    """Sorted numbers as steps."""
+    return planes(np.diff(keys, prepend=keys.dtype.type(0)))
 
 
 def expanded(raw: bytes, kind: type = np.uint64) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    steps = np.frombuffer(raw, np.uint8).reshape(width, -1).T.copy().view(kind).reshape(-1)
-    return np.cumsum(steps, dtype=kind)
+    return np.cumsum(opened(raw).view(kind), dtype=kind)
+
+
+def distinct(code: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct number (in ascending order, all below ``most``) stands
+    first, and of each number which of these it is."""
+    n = len(code)
+    bits = n.bit_length()
+    if most.bit_length() + bits < 64:  # place and number in one word sort much faster
+        both = np.sort((code << bits) | np.arange(n))
+        at, ordered = both & ((1 << bits) - 1), both >> bits
+    else:
+        at = np.argsort(code, kind="stable")
+        ordered = code[at]
+    new = np.diff(ordered, prepend=-1) != 0
+    which = np.empty(n, dtype=np.int32)
+    which[at] = np.cumsum(new) - 1
+    return at[new], which
 
 
 def tokenised(docs: DataFrame, held_out: Column, text: str, key: str) -> DataFrame:
@@ -93,9 +126,9 @@ def tokenised(docs: DataFrame, held_out: Column, text: str, key: str) -> DataFra
         def block(number: int, ids: list, held: list, lengths: list, known: _Numbers, tokens: list) -> tuple:
             own = np.fromiter((max(xxhash.xxh64_intdigest(w), END + 1) if w is not None else END for w in known), dtype=np.uint64, count=len(known))
             words, place = np.unique(own, return_inverse=True)
-            at = place.astype(np.uint32)[np.concatenate(tokens)]
+            at = place[np.concatenate(tokens)]
             train = sum(n for n, h in zip(lengths, held) if not h)
-            return number, ids, held, lengths, train, len(words), squeezed(words), at.view(np.uint8).reshape(-1, 4).T.tobytes()
+            return number, ids, held, lengths, train, len(words), squeezed(words), planes(at)
 
         def blocks() -> Iterator[tuple]:
             done, ids, held, lengths, known, tokens, total, part = 0, [], [], [], _Numbers(), [], 0, 0
@@ -118,25 +151,21 @@ def tokenised(docs: DataFrame, held_out: Column, text: str, key: str) -> DataFra
     return source.mapInArrow(run, f"block long, ids array<{kind}>, held array<boolean>, lengths array<long>, train_tokens long, n_words long, words binary, tokens binary")
 
 
-def opened(tokens: bytes) -> np.ndarray:
-    return np.frombuffer(tokens, np.uint8).reshape(4, -1).T.copy().view(np.uint32).reshape(-1).astype(np.int64)
-
-
 def word_counts(blocks: DataFrame, shards: int) -> DataFrame:
-    """Rows (``block``, ``shard``, ``counts`` of the block's words of that shard)
-    and, with a null block, per shard: ``stats`` (words, words seen once and
-    twice in training)."""
+    """Rows (``block``, ``shard``, ``places`` of the block's words among those of that
+    shard, their ``counts``) and, with a null block, per shard: ``stats`` (words
+    seen, seen once and twice in training, all words)."""
     edge = [(i << 64) // shards for i in range(1, shards)]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for block, held, lengths, words, tokens in scan(batches, "block", "held", "lengths", "words", "tokens"):
                 own, train = expanded(words), ~np.repeat(np.array(held, dtype=bool), lengths)
-                counts = np.bincount(opened(tokens)[train], minlength=len(own)).astype(np.uint32)
+                counts = np.bincount(opened(tokens)[train], minlength=len(own))
                 cut = [0, *np.searchsorted(own, np.array(edge, dtype=np.uint64)), len(own)]
                 for shard, (a, b) in enumerate(zip(cut, cut[1:])):
                     if a < b:
-                        yield shard, block, squeezed(own[a:b]), counts[a:b].view(np.uint8).reshape(-1, 4).T.tobytes()
+                        yield shard, block, squeezed(own[a:b]), planes(counts[a:b])
 
         yield from emit(rows(), pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("words", pa.binary()), ("counts", pa.binary())]), 16)
 
@@ -148,15 +177,14 @@ def word_counts(blocks: DataFrame, shards: int) -> DataFrame:
                 every, place = np.unique(np.concatenate(own), return_inverse=True)
                 total = np.zeros(len(every), dtype=np.int64)
                 np.add.at(total, place, np.concatenate([opened(c) for c in counts]))
-                answer = np.split(total[place], np.cumsum([len(w) for w in own])[:-1])
-                for b, c in zip(block, answer):
-                    yield b, shard, c.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes(), None
-                yield None, shard, None, [int((total > 0).sum()), int((total == 1).sum()), int((total == 2).sum())]
+                for b, at in zip(block, np.split(place, np.cumsum([len(w) for w in own])[:-1])):
+                    yield b, shard, squeezed(at), planes(total[at]), None
+                yield None, shard, None, None, [int((total > 0).sum()), int((total == 1).sum()), int((total == 2).sum()), len(every)]
 
-        yield from emit(rows(), pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("counts", pa.binary()), ("stats", pa.list_(pa.int64()))]), 16)
+        yield from emit(rows(), pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("places", pa.binary()), ("counts", pa.binary()), ("stats", pa.list_(pa.int64()))]), 16)
 
     sent = blocks.select("block", "held", "lengths", "words", "tokens").mapInArrow(send, "shard int, block long, words binary, counts binary")
-    return sent.repartition("shard").sortWithinPartitions("shard", "block").mapInArrow(merge, "block long, shard int, counts binary, stats array<long>")
+    return sent.repartition("shard").sortWithinPartitions("shard", "block").mapInArrow(merge, "block long, shard int, places binary, counts binary, stats array<long>")
 
 
 def quantised(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -165,11 +193,6 @@ def quantised(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.searchsorted(book, values, side="right") - 1).astype(np.uint8), book
 
 
-def planes(numbers: np.ndarray) -> bytes:
-    """Numbers below 2^32, their bytes of equal weight together; ``opened`` reads them."""
-    return np.ascontiguousarray(numbers, dtype="<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-
-
 def _mix(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     """63-bit hashes of ordered pairs of hashes."""
     x = (first.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
@@ -178,68 +201,87 @@ def _mix(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return ((x ^ (x >> np.uint64(30))) >> np.uint64(1)).astype(np.int64)
 
 
-def _short(keys: np.ndarray) -> bytes:
-    """48 bits of each key: they travel beside its context."""
-    return np.ascontiguousarray(keys >> 15, dtype="<i8").view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes()
+class Grams:
+    """The distinct ``size``-grams of a block by context, without those of which a
+    shorter part is too rare (``known`` says of each token whether the shorter
+    n-gram that ends there is kept).  A context is a word's number, or the hash of
+    one of the pairs ``shorter``.  ``asks`` are the tokens after a context, ``of``
+    the numbers of these contexts; ``ends`` the tokens that end an n-gram,
+    ``place`` its number, ``which`` the number of each n-gram's context, ``last``
+    its last word in the block's vocabulary ``ids``."""
+
+    def __init__(self, ids: np.ndarray, tokens: np.ndarray, lengths: np.ndarray, known: np.ndarray, shorter: "Grams | None" = None):
+        nth = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        self.asks = np.flatnonzero((nth >= (1 if shorter is None else 2)) & np.roll(known, 1))
+        if shorter is None:
+            before, names = tokens, ids
+        else:
+            before = np.zeros(len(tokens), dtype=np.int64)
+            before[shorter.ends] = shorter.place
+            names = _mix(shorter.contexts[shorter.which], ids[shorter.last])
+        before = before[self.asks - 1]
+        used = np.flatnonzero(np.bincount(before, minlength=len(names)))
+        used = used[np.argsort(names[used])]
+        number = np.zeros(len(names), dtype=np.int32)
+        number[used] = np.arange(len(used))
+        self.contexts, self.of = names[used], number[before]
+        inner = known[self.asks]
+        self.ends = self.asks[inner]
+        first, self.place = distinct(self.of[inner] * np.int64(len(ids)) + tokens[self.ends], len(used) * len(ids))
+        self.first, self.which = self.ends[first], self.of[inner][first]
+        self.last = tokens[self.first]
 
 
-def _long(context: np.ndarray, raw: bytes) -> np.ndarray:
-    """Keys among all contexts again."""
-    wide = np.zeros((len(context), 8), dtype=np.uint8)
-    wide[:, :6] = np.frombuffer(raw, np.uint8).reshape(6, -1).T
-    return _mix(context, wide.view("<u8").reshape(-1))
+def valued(answers: list, codes: str, base: np.ndarray) -> np.ndarray:
+    """Places of the values that the shards' codes name, in the code books one
+    after another; 0 where there is none."""
+    if not answers:
+        return np.zeros(0, dtype=np.int64)
+    own = [opened(a[codes]) for a in answers]
+    return np.concatenate([np.where(c > 0, base[a["shard"]] + c, 0) for a, c in zip(answers, own)])
 
 
-class Grams:
-    """The distinct ``size``-grams of a block by context hash, without those of
-    which a shorter part is too rare (``known`` says of each token whether the
-    shorter n-gram that ends there is kept).  ``asks`` are the tokens after a
-    context, ``of`` the numbers of these contexts; ``ends`` the tokens that end an
-    n-gram, ``place`` its number, ``which`` the number of each n-gram's context."""
+class Books:
+    """The code books of all shards, one after another, behind a NaN for what is
+    not there (no more than 256 values a shard)."""
 
-    def __init__(self, words: np.ndarray, tokens: np.ndarray, lengths: np.ndarray, size: int, known: np.ndarray):
-        nth = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        self.asks = np.flatnonzero((nth >= size - 1) & np.roll(known, 1))
-        before = words[tokens[self.asks - 1]]
-        context = (before >> np.uint64(1)).astype(np.int64) if size == 2 else _mix(words[tokens[self.asks - 2]] >> np.uint64(1), before)
-        self.contexts, of = np.unique(context, return_inverse=True)
-        self.of = of.astype(np.int32)
-        inner = known[self.asks]
-        self.ends = self.asks[inner]
-        own, first, inverse = np.unique(_mix(context[inner], words[tokens[self.ends]]), return_index=True, return_inverse=True)
-        which = self.of[inner][first]
-        order = np.argsort(which, kind="stable")
-        turned = np.empty(len(order), dtype=np.int32)
-        turned[order] = np.arange(len(order))
-        self.place, self.first = turned[inverse], self.ends[first[order]]
-        self.keys, self.which = own[order], which[order]
-
-
-def pair_scores(words: np.ndarray, tokens: np.ndarray, lengths: np.ndarray, counts: np.ndarray, answers: list) -> tuple[Grams, np.ndarray]:
-    """The pairs of a block, and the score of the kept pair that ends at each
-    token, else NaN."""
-    own = Grams(words, tokens, lengths, 2, (counts >= LEAST)[tokens])
-    found = np.full(len(tokens), np.nan)
-    found[own.ends] = answered(answers, "codes", "book")[own.place]
+    def __init__(self, books: dict[int, bytes], shards: int):
+        own = [np.frombuffer(books.get(i, b""), np.float64) for i in range(shards)]
+        size = np.array([len(b) for b in own], dtype=np.int64)
+        self.base, self.values = np.cumsum(size) - size, np.concatenate([[np.nan], *own])
+
+
+def pair_scores(ids: np.ndarray, tokens: np.ndarray, lengths: np.ndarray, counts: np.ndarray, answers: list, books: Books) -> tuple[Grams, np.ndarray]:
+    """The pairs of a block, and where the score of the kept pair that ends at each
+    token is in the books, else 0."""
+    own = Grams(ids, tokens, lengths, (counts >= LEAST)[tokens])
+    found = np.zeros(len(tokens), dtype=np.int64)
+    found[own.ends] = valued(answers, "codes", books.base)[own.place]
     return own, found
 
 
+def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that sorts ``keys``, and where each distinct one begins in it."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    return order, np.flatnonzero(new)
+
+
 def _summed(parts: list[tuple]) -> tuple:
     """Contexts (sorted, distinct) and how often they occur."""
     context, count = map(np.concatenate, zip(*parts))
-    own, inverse = np.unique(context, return_inverse=True)
-    total = np.zeros(len(own), dtype=np.int64)
-    np.add.at(total, inverse, count)
-    return own, total
+    order, starts = _groups(context)
+    return context[order[starts]], np.add.reduceat(count[order], starts)
 
 
 def _merged(parts: list[tuple]) -> tuple:
     """Contexts, keys (sorted, distinct), counts and lower-order scores."""
     context, key, count, lower = map(np.concatenate, zip(*parts))
-    own, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-    total = np.zeros(len(own), dtype=np.int64)
-    np.add.at(total, inverse, count)
-    return context[first], own, total, lower[first]
+    order, starts = _groups(key)
+    first = order[starts]
+    return context[first], key[first], np.add.reduceat(count[order], starts), lower[first]
 
 
 class Level:
@@ -268,14 +310,7 @@ class Level:
         return planes(out)
 
     def answer(self, contexts: np.ndarray, keys: np.ndarray) -> tuple:
-        return self._find(self.keys, keys, self.codes), self.book.tobytes(), self._find(self.contexts, contexts, self.back), self.back_book.tobytes()
-
-
-def answered(answers: list, codes: str, book: str) -> np.ndarray:
-    """Values that the shards sent a block, NaN where there is none."""
-    if not answers:
-        return np.zeros(0)
-    return np.concatenate([np.append(np.nan, np.frombuffer(a[book], np.float64))[opened(a[codes])] for a in answers])
+        return self._find(self.keys, keys, self.codes), self._find(self.contexts, contexts, self.back)
 
 
 class Words:
@@ -291,121 +326,174 @@ class Words:
         return np.where(counts > 0, np.log10(np.maximum(counts - self.discount, 1e-300) / max(self.tokens, 1)), self.unknown())
 
 
-def counts_of(answers: list) -> np.ndarray:
-    return np.concatenate([np.frombuffer(a["counts"], np.uint8).reshape(8, -1).T.copy().view("<u8").reshape(-1) for a in answers]).astype(np.int64)
+def vocabulary(answers: list, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of a block's words in the corpus (ascending), and their counts."""
+    ids = [starts[a["shard"]] + expanded(a["places"], np.int64) for a in answers]
+    return np.concatenate(ids), np.concatenate([opened(a["counts"]) for a in answers])
 
 
-_GRAMS = ("contexts", "totals", "sizes", "keys", "counts", "lower", "lower_book")
-_ANSWER = ("codes", "book", "back", "back_book")
+_GRAMS = ("contexts", "totals", "sizes", "last", "counts", "lower")
+_ANSWER = ("codes", "back")
+_BOOKS = ("book", "back_book")
 
 
-def gram_scores(blocks: DataFrame, model: Words, shards: int, size: int) -> DataFrame:
-    """Rows (``block``, ``shard``, codes and code books of its n-grams and their
-    contexts there); ``blocks`` has the answers for the next shorter ones."""
-    shorter = ["answers1", "answers2"][: size - 1]
-    edge = np.array([(i << 63) // shards for i in range(1, shards)], dtype=np.int64)
+def gram_scores(blocks: DataFrame, model: Words, starts: np.ndarray, shards: int, books: Books | None = None) -> DataFrame:
+    """Rows (``block``, ``shard``, codes of its n-grams and their contexts there) and,
+    with a null block, a shard's code books.  ``blocks`` has the answers for the
+    next shorter ones: triples are scored with the ``books`` of the pairs."""
+    shorter = ["answers1"] if books is None else ["answers1", "answers2"]
+    top = int(starts[-1]) if books is None else 1 << 63
+    edge = np.array([i * top // shards for i in range(1, shards)], dtype=np.int64)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
-            for block, held, lengths, words, raw, *answers in scan(batches, "block", "held", "lengths", "words", "tokens", *shorter):
-                words, tokens, n, known = expanded(words), opened(raw), np.array(lengths), counts_of(answers[0])
-                if size == 2:
-                    own, lower = Grams(words, tokens, n, 2, (known >= LEAST)[tokens]), model.scores(known)[tokens]
+            for block, held, lengths, raw, *answers in scan(batches, "block", "held", "lengths", "tokens", *shorter):
+                tokens, n, (ids, known) = opened(raw), np.array(lengths), vocabulary(answers[0], starts)
+                if books is None:
+                    own, lower = Grams(ids, tokens, n, (known >= LEAST)[tokens]), known[tokens]
                 else:
-                    lower = pair_scores(words, tokens, n, known, answers[1])[1]
-                    own = Grams(words, tokens, n, 3, ~np.isnan(lower))
+                    pairs, lower = pair_scores(ids, tokens, n, known, answers[1], books)
+                    own = Grams(ids, tokens, n, lower > 0, pairs)
                 lower, train = lower[own.first], np.repeat(~np.array(held, dtype=bool), n)
-                counts = np.bincount(own.place[train[own.ends]], minlength=len(own.keys))
+                counts = np.bincount(own.place[train[own.ends]], minlength=len(own.which))
                 totals = np.bincount(own.of[train[own.asks]], minlength=len(own.contexts))
                 sizes = np.bincount(own.which, minlength=len(own.contexts))
                 cut = [0, *np.searchsorted(own.contexts, edge), len(own.contexts)]
-                start = np.concatenate(([0], np.cumsum(sizes)))
+                start, last = np.concatenate(([0], np.cumsum(sizes))), ids[own.last]
                 for shard, (a, b) in enumerate(zip(cut, cut[1:])):
                     if a < b:
                         at = slice(start[a], start[b])
-                        book, code = np.unique(lower[at], return_inverse=True)
-                        yield shard, block, squeezed(own.contexts[a:b]), planes(totals[a:b]), planes(sizes[a:b]), _short(own.keys[at]), planes(counts[at]), planes(code), book.tobytes()
+                        yield shard, block, squeezed(own.contexts[a:b]), *map(planes, (totals[a:b], sizes[a:b], last[at], counts[at], lower[at]))
 
         yield from emit(rows(), pa.schema([("shard", pa.int32()), ("block", pa.int64()), *((c, pa.binary()) for c in _GRAMS)]), 16)
 
+    def keyed(contexts: bytes, sizes: bytes, last: bytes) -> tuple:
+        own = expanded(contexts, np.int64)
+        of = np.repeat(own, opened(sizes))
+        return own, of, _mix(of, opened(last))
+
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for shard, group in groupby(scan(batches, "shard", "block", *_GRAMS), key=lambda r: r[0]):
                 # A frequent context sends all blocks here: distinct n-grams are held, what was asked waits, beyond HELD_BYTES on disk.
                 with tempfile.SpooledTemporaryFile(HELD_BYTES) as asked:
                     parts, seen, fresh, blocks = [], [], 0, 0
-                    for _, block, contexts, totals, sizes, keys, counts, lower, book in group:
-                        own = expanded(contexts, np.int64)
-                        of = np.repeat(own, opened(sizes))
-                        key = _long(of, keys)
-                        pickle.dump((block, contexts, key), asked)
+                    for _, block, contexts, totals, sizes, last, counts, lower in group:
+                        own, of, key = keyed(contexts, sizes, last)
+                        pickle.dump((block, contexts, sizes, last), asked)
                         seen.append((own, opened(totals)))
-                        parts.append((of, key, opened(counts), np.frombuffer(book, np.float64)[opened(lower)]))
-                        fresh, blocks = fresh + len(own) + len(parts[-1][0]), blocks + 1
+                        below = opened(lower)
+                        parts.append((of, key, opened(counts), model.scores(below) if books is None else books.values[below]))
+                        fresh, blocks = fresh + len(own) + len(key), blocks + 1
                         if fresh > HELD_GRAMS:
                             parts, seen, fresh = [_merged(parts)], [_summed(seen)], 0
                     level = Level(*_summed(seen), *_merged(parts))
                     parts, seen = [], []
                     asked.seek(0)
                     for _ in range(blocks):
-                        block, contexts, key = pickle.load(asked)
-                        yield block, shard, *level.answer(expanded(contexts, np.int64), key)
+                        block, *asks = pickle.load(asked)
+                        own, _, key = keyed(*asks)
+                        yield block, shard, *level.answer(own, key), None, None
+                    yield None, shard, None, None, level.book.tobytes(), level.back_book.tobytes()
+
+        yield from emit(rows(), pa.schema([("block", pa.int64()), ("shard", pa.int32()), *((c, pa.binary()) for c in _ANSWER + _BOOKS)]), 16)
 
-        yield from emit(rows(), pa.schema([("block", pa.int64()), ("shard", pa.int32()), *((c, pa.binary()) for c in _ANSWER)]), 16)
+    sent = blocks.select("block", "held", "lengths", "tokens", *shorter).mapInArrow(send, "shard int, block long, " + ", ".join(f"{c} binary" for c in _GRAMS))
+    return sent.repartition("shard").sortWithinPartitions("shard", "block").mapInArrow(merge, "block long, shard int, " + ", ".join(f"{c} binary" for c in _ANSWER + _BOOKS))
 
-    sent = blocks.select("block", "held", "lengths", "words", "tokens", *shorter).mapInArrow(send, "shard int, block long, " + ", ".join(f"{c} binary" for c in _GRAMS))
-    return sent.repartition("shard").sortWithinPartitions("shard", "block").mapInArrow(merge, "block long, shard int, " + ", ".join(f"{c} binary" for c in _ANSWER))
 
+def books_of(answers: DataFrame, shards: int) -> tuple[Books, Books]:
+    """The shards' code books of scores and of back-off weights."""
+    rows = answers.where("block is null").select("shard", *_BOOKS).collect()
+    return tuple(Books({r.shard: bytes(r[c]) for r in rows}, shards) for c in _BOOKS)
 
-def token_scores(word: np.ndarray, words: np.ndarray, tokens: np.ndarray, lengths: np.ndarray, known: np.ndarray, pairs: list, triples: list) -> np.ndarray:
+
+def token_scores(word: np.ndarray, ids: np.ndarray, tokens: np.ndarray, lengths: np.ndarray, known: np.ndarray, pairs: list, triples: list, books: list) -> np.ndarray:
     """log10 probability of every token of a block."""
     score = word[tokens]
-    own, found = pair_scores(words, tokens, lengths, known, pairs)
-    score[own.asks] += np.nan_to_num(answered(pairs, "back", "back_book"))[own.of]
-    score = np.where(np.isnan(found), score, found)
-    own = Grams(words, tokens, lengths, 3, ~np.isnan(found))
-    score[own.asks] += np.nan_to_num(answered(triples, "back", "back_book"))[own.of]
-    found = answered(triples, "codes", "book")[own.place]
-    score[own.ends] = np.where(np.isnan(found), score[own.ends], found)
+    (book2, back2), (book3, back3) = books
+    own, at = pair_scores(ids, tokens, lengths, known, pairs, book2)
+    score[own.asks] += np.nan_to_num(back2.values[valued(pairs, "back", back2.base)])[own.of]
+    score = np.where(at > 0, book2.values[at], score)
+    own = Grams(ids, tokens, lengths, at > 0, own)
+    score[own.asks] += np.nan_to_num(back3.values[valued(triples, "back", back3.base)])[own.of]
+    at = valued(triples, "codes", book3.base)[own.place]
+    score[own.ends] = np.where(at > 0, book3.values[at], score[own.ends])
     return score
 
 
-def _with(blocks: DataFrame, answers: DataFrame, size: int, *columns: str) -> DataFrame:
-    mine = answers.where("block is not null").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("shard", *columns))).alias(f"answers{size}"))  # of one block's n-grams
+def in_buckets(df: DataFrame, name: str, key: str, n: int) -> DataFrame:
+    """``stored``, in ``n`` buckets by ``key``: joins with what is partitioned like
+    them leave ``df`` where it is."""
+    spark, own = df.sparkSession, f"llm_{name}_{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").option("path", scratch_path(spark, own)).bucketBy(n, key).saveAsTable(own)
+    table = spark.table(own)
+    spark.sql(f"DROP TABLE {own}")  # only its name; the files stay, like those of other stored tables
+    return table
+
+
+@contextmanager
+def shuffles_let_go(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a query that has ended go at once, not only when the
+    driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def _with(blocks: DataFrame, answers: DataFrame, buckets: int, size: int, *columns: str) -> DataFrame:
+    own = answers.where("block is not null").repartition(buckets, "block")
+    mine = own.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("shard", *columns))).alias(f"answers{size}"))  # of one block's n-grams
     return blocks.join(growing(mine), "block", "left")
 
 
 def score_texts(docs: DataFrame, held_out: Column, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Scores of all rows of ``docs`` by the model of those not ``held_out``."""
-    spark = docs.sparkSession
-    blocks = stored(tokenised(docs, held_out, text, key), "blocks")
+    with shuffles_let_go(docs.sparkSession):
+        return _score_texts(docs, held_out, text, key)
+
+
+def _score_texts(docs: DataFrame, held_out: Column, text: str, key: str) -> DataFrame:
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(least, input_tasks(docs))
+    blocks = in_buckets(tokenised(docs, held_out, text, key), "blocks", "block", buckets)
     sums = blocks.agg(F.sum("train_tokens"), F.sum("n_words"), F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, n: a + n))).head()
     tokens, entries = sums[0] or 0, sums[1] or 0
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + entries // SHARD_WORDS)
+    shards = max(least, 1 + entries // SHARD_WORDS)
     answers = stored(word_counts(blocks, shards), "word-counts")
-    stats = answers.where("block is null").agg(*(F.sum(F.get("stats", F.lit(i))) for i in range(3))).head()
-    n_words, once, twice = (x or 0 for x in stats)
+    stats = answers.where("block is null").select("shard", "stats").collect()
+    n_words, once, twice = (sum(r.stats[i] for r in stats) for i in range(3))
+    size = dict.fromkeys(range(shards), 0) | {r.shard: r.stats[3] for r in stats}
+    starts = np.cumsum([0, *(size[i] for i in range(shards))])
     discount = min(0.95, max(0.1, once / (once + 2 * twice))) if once + twice else 0.5
     model = Words(tokens, n_words, discount)
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + (sums[2] or 0) // SHARD_GRAMS)
-    pairs = stored(gram_scores(_with(blocks, answers, 1, "counts"), model, shards, 2), "pairs")
-    triples = stored(gram_scores(_with(_with(blocks, answers, 1, "counts"), pairs, 2, *_ANSWER), model, shards, 3), "triples")
+    shards = max(least, 1 + (sums[2] or 0) // SHARD_GRAMS)
+    counted = _with(blocks, answers, buckets, 1, "places", "counts")
+    pairs = stored(gram_scores(counted, model, starts, shards), "pairs")
+    books2 = books_of(pairs, shards)
+    paired = _with(counted, pairs, buckets, 2, *_ANSWER)
+    triples = stored(gram_scores(paired, model, starts, shards, books2[0]), "triples")
+    books = [books2, books_of(triples, shards)]
     kind = dict(blocks.dtypes)["ids"][len("array<") : -1]
     schema = pa.schema([("doc_id", _ARROW[kind]), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
-            for ids, held, lengths, words, raw, *answers in scan(batches, "ids", "held", "lengths", "words", "tokens", "answers1", "answers2", "answers3"):
-                known, at, n = counts_of(answers[0]), opened(raw), np.array(lengths)
+            for ids, held, lengths, raw, *answers in scan(batches, "ids", "held", "lengths", "tokens", "answers1", "answers2", "answers3"):
+                (words, known), at, n = vocabulary(answers[0], starts), opened(raw), np.array(lengths)
                 first = np.cumsum(n) - n
                 base = np.log10((known + 1) / (model.tokens + model.words + 1))
-                score = np.add.reduceat(token_scores(model.scores(known), expanded(words), at, n, known, answers[1], answers[2]), first)
+                score = np.add.reduceat(token_scores(model.scores(known), words, at, n, known, answers[1] or [], answers[2] or [], books), first)
                 yield from zip(ids, held, lengths, np.add.reduceat((known > 0)[at].astype(np.int64), first).tolist(), [model.tokens] * len(ids), np.add.reduceat(base[at], first).tolist(), score.tolist())
 
         yield from emit(rows(), schema)
 
-    both = _with(_with(_with(blocks, answers, 1, "counts"), pairs, 2, *_ANSWER), triples, 3, *_ANSWER)
-    return both.select("ids", "held", "lengths", "words", "tokens", "answers1", "answers2", "answers3").mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    both = _with(paired, triples, buckets, 3, *_ANSWER)
+    return both.select("ids", "held", "lengths", "tokens", "answers1", "answers2", "answers3").mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
