@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,24 @@ def _top_level_only(df: DataFrame, root: str, path_col: str) -> DataFrame:
     return df.where(depth == F.lit(len(below) + 2))
 
 
+#: Tasks that list folders, for each that the cluster runs at once.
+LISTING_FACTOR = 4
+
+
+@contextmanager
+def few_listing_tasks(spark: SparkSession) -> Iterator[None]:
+    """Inside, folders are listed by a few tasks for each core, many folders to a
+    task.  Spark starts a task for every folder, up to 10,000, and such a task
+    takes far longer to start than its folder to list."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(min(int(before or 10_000), LISTING_FACTOR * spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def _corpus_files(spark: SparkSession, path: str, df: DataFrame) -> DataFrame:
     root, fs = _qualified(spark, path)
     return df if fs.isFile(root) else _top_level_only(df, root.toString(), "path")
@@ -54,21 +73,25 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     ``_`` are skipped (the reference's C++ driver skips dot files too), and
     an empty file gives no row.
     """
-    df = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    with few_listing_tasks(spark):
+        df = spark.read.text(path, wholetext=True).select(
+            F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     return _corpus_files(spark, path, df)
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """S3: ``(path, length)`` of the corpus files; contents are never read."""
-    df = spark.read.format("binaryFile").load(path).select(
-        F.col("_metadata.file_path").alias("path"), F.col("length").cast("bigint").alias("length"))
+    with few_listing_tasks(spark):
+        df = spark.read.format("binaryFile").load(path).select(
+            F.col("_metadata.file_path").alias("path"), F.col("length").cast("bigint").alias("length"))
     return _corpus_files(spark, path, df)
 
 
 def _records(spark: SparkSession, path: str, sep: str) -> DataFrame:
     """What stands between two ``sep`` in text files: ``(path, block, lid, line, file_size)``."""
-    return spark.read.option("lineSep", sep).text(path).select(
+    with few_listing_tasks(spark):
+        df = spark.read.option("lineSep", sep).text(path)
+    return df.select(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("lid"),
@@ -173,10 +196,11 @@ def _cut(spark: SparkSession, path: str, cut: str, piece: int) -> tuple[DataFram
 def _tokenised(lines: DataFrame, tokens: Column, *kept: str) -> DataFrame:
     """The tokens of every piece, made in the task that reads it: ``(path, block,
     lid, n, tokens)`` and the columns ``kept``, written once to the shared scratch
-    folder."""
+    folder.  The tokens are written as one text (``packed``) and stay so until they
+    are put out: an array costs far more to write, to read and to pack later."""
     out = scratch_path(lines.sparkSession, f"large_file_lines/{uuid.uuid4().hex}")
     t = lines.select("path", "block", "lid", tokens.alias("tokens"), *kept)
-    t = t.select("path", "block", "lid", F.size("tokens").alias("n"), "tokens", *kept)
+    t = t.select("path", "block", "lid", F.size("tokens").alias("n"), packed("tokens").alias("tokens"), *kept)
     t.write.parquet(out)
     return lines.sparkSession.read.schema(t.schema).parquet(out)
 
@@ -209,9 +233,9 @@ def _edge_lines(lines: DataFrame, sep: str) -> DataFrame:
 
 
 def _with_edges(plain: DataFrame, edges: DataFrame | None) -> DataFrame:
-    """Every piece with its number of tokens and these as one text (``packed``), the
-    edge pieces as what they are."""
-    lines = plain.select("path", "block", "lid", "n", packed("tokens").alias("tokens"))
+    """Every piece with its number of tokens and these as one text, the edge pieces as
+    what they are."""
+    lines = plain.select("path", "block", "lid", "n", "tokens")
     if edges is None:
         return lines
     fix = F.get(F.filter("fixes", lambda x: x["lid"] == F.col("lid")), 0)
@@ -317,7 +341,9 @@ def read_token_part(spark: SparkSession, path: str) -> DataFrame:
 
 def read_token_parts(spark: SparkSession, folder: str, part_col: str = "batch_id") -> DataFrame:
     """S7 for a whole sink folder: ``(part, path, tokens)`` per part file."""
-    df = spark.read.text(folder, wholetext=True).select(
+    with few_listing_tasks(spark):
+        df = spark.read.text(folder, wholetext=True)
+    df = df.select(
         F.col(part_col), F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     return df.select(part_col, "path", split_tokens(normalise_marks(F.col("text"))).alias("tokens"))
 
