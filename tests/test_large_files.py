@@ -3,6 +3,7 @@
 import os
 
 from pyspark.sql import functions as F
+from treecut.plans import derived
 from treecut.sources import files as S
 
 
@@ -36,3 +37,20 @@ def test_tokens_are_written_as_one_text(spark, tmp_dir):
     assert dict(plain.dtypes)["tokens"].startswith("struct<n:int,joined:string")
     got = S.file_token_table(spark, path).where(F.col("path").contains("file=2/")).orderBy("pos").collect()
     assert [(r.pos, r.token) for r in got] == list(enumerate(["It", "'s", "line", "2.", "The", "end", "."]))
+
+
+def test_many_tasks_write_the_files(spark, monkeypatch):
+    sc = spark.sparkContext
+    monkeypatch.setattr(derived, "_WRITTEN", {})
+    sc.setJobGroup("writing", "files are written")
+    try:
+        folder = derived.documents_as_files(spark, "/root/testdata/sf0.001")
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    tracker = sc.statusTracker()
+    jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup("writing")]
+    assert derived.WRITING_FACTOR * sc.defaultParallelism in [tracker.getStageInfo(s).numTasks for j in jobs for s in j.stageIds]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = {r.file: "".join(x.text + "\n" for x in sorted(r.docs)) for r in docs.groupBy(F.floor(F.col("doc_id") / 16).alias("file")).agg(F.collect_list(F.struct("doc_id", "text")).alias("docs")).collect()}
+    got = S.read_corpus(spark, f"{folder}/file=*").withColumn("file", derived.file_number()).collect()
+    assert {r.file: r.text for r in got} == want and len(got) == len(want)

@@ -19,6 +19,9 @@ from .tables import load
 
 DOCS_PER_FILE = 16
 DOCS_PER_LONG_LINE = 64
+#: Tasks that write files, for each that the cluster runs at once, at least: the
+#: work goes by the number of files, which Spark does not see in their bytes.
+WRITING_FACTOR = 4
 _WRITTEN: dict[tuple[str, str], str] = {}
 
 
@@ -30,8 +33,9 @@ def documents_as_files(spark: SparkSession, sf_dir: str) -> str:
     out = scratch_path(spark, f"documents_as_files/{uuid.uuid4().hex}")
     d = load(spark, sf_dir, "documents").select(
         F.floor(F.col("doc_id") / F.lit(DOCS_PER_FILE)).cast("bigint").alias("file"), "doc_id", "text")
+    tasks = max(WRITING_FACTOR * spark.sparkContext.defaultParallelism, d.rdd.getNumPartitions())
     # All rows of a file go to one task, sorted by doc_id there: one part per file.
-    (d.repartition(F.col("file")).sortWithinPartitions("file", "doc_id").select("file", "text")
+    (d.repartition(tasks, F.col("file")).sortWithinPartitions("file", "doc_id").select("file", "text")
       .write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("file").text(out))
     _WRITTEN[key] = out
     return out
