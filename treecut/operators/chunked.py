@@ -2,20 +2,24 @@
 
 ``token_diff`` folds over two whole lists in one row.  Here both lists are rows of
 tokens: one document may have any number of them, and no row or task ever holds
-more than a few chunks.
-
-1. Every chunk of the left list guesses where the walk enters it: letters and
-   digits are counted on both sides, the place with as many before it is looked up
-   on the right, and the nearby place where most of the next tokens agree is taken.
-2. All chunks are walked at once from their guesses.  A chunk notes the states
-   that it passes at its start and the state in which it leaves.
+more than a few spans of ``SPAN`` tokens.
+
+1. Both lists are cut into spans of whole chunks; a list that lies in its first span
+   on both sides needs no more exchange.  Of a longer one every span of the left list
+   guesses where the walk enters it: letters and digits are counted on both sides,
+   and the place with as many before it is looked up on the right.
+2. In a span every chunk guesses its entry in the same way, and takes the nearby place
+   where most of the next tokens agree.  All chunks are walked at once from their
+   guesses (``walks``).  A chunk notes the states that it passes at its start and
+   the state in which it leaves.
 3. Where the state in which the chunk before leaves is one of those passed, the
    walks are one walk, whatever the guess was.  The other chunks are walked again
-   from the state in which the chunk before leaves, until all of a document's
-   chunks up to the end of its walk are linked.  Each round settles at least one
-   more chunk of every open document, and walks on over four times as many chunks
-   as the round before (``SPAN`` tokens at most), so lists whose guesses all fail
-   need a round per ``SPAN`` tokens; settled documents leave the rounds.
+   from the state in which the chunk before leaves, until all of a span's chunks up
+   to the end of its walk are linked.  Each round settles at least one more chunk,
+   and walks on over four times as many chunks as the round before.
+4. The spans of a list are linked in the same way: a span whose first chunk did not
+   pass the state in which the span before leaves is walked again from that state.
+   Lists whose guesses all fail need a round per span; settled lists leave the rounds.
 
 The answer never depends on the guesses.  Costs and event numbers are sums over
 the chunks of a document, a row of numbers each.
@@ -24,29 +28,30 @@ the chunks of a document, a row of numbers each.
 from __future__ import annotations
 
 import functools
-import math
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..session import scratch_path
-from .compare import LOOKAHEAD, STOP_CONTEXT, packed, unpacked
+from . import walks
+from .compare import packed, unpacked
+from .walks import MARKS
 
 #: Tokens of a chunk.
 CHUNK = 4096
 #: Tokens that a chunk shows of its neighbours: the widest context before, and
 #: the furthest look-ahead or context behind.
 BEFORE, BEHIND = 2, 16
-#: Steps of the left index whose states a chunk notes: the longest move and one.
-NOTED = 8
-#: Tokens that a walk from a known state goes over in one row, at least a chunk.
-SPAN = CHUNK
-#: Tokens that a guess compares at every place it tries.
-AGREE = 8
-#: Left out when letters are counted: marks that tokenisers change or add.
-MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Tokens of a span, the row in which chunks are walked; at least a chunk.
+SPAN = 4 * CHUNK
+
+_PARTS = "array<struct<at:bigint,p:struct<n:int,joined:string,list:array<string>>>>"
+_LINKED = "_s bigint, chunks array<struct<c:bigint,i:bigint,j:bigint,cost:bigint,ended:boolean,to:bigint>>, noted array<struct<i:bigint,j:bigint,cost:bigint>>, i bigint, j bigint, ended boolean, rounds bigint"
+_EVENTS = "_s bigint, seq bigint, i bigint, j bigint, kind string, cost bigint, a_context string, b_context string"
 
 
 def _written(df: DataFrame, name: str) -> DataFrame:
@@ -66,72 +71,36 @@ def windows(runs: DataFrame, keys: list[str], size: int, before: int, behind: in
     + behind`` of every list, with the place of the first, for every ``c`` that has
     tokens of its own.  ``runs``: ``(keys, off, tokens)``, any pieces of the lists
     with the place of their first token.  Pieces are shuffled as one text each."""
-    off, n = F.col("off"), _count(runs)
-    first = F.greatest(F.floor((off - behind) / size), F.lit(0))
-    last = F.floor((off + n - 1 + before) / size)
-
-    def piece(c: Column) -> Column:
-        start = F.greatest(off, c * size - before)
-        stop = F.least(off + n, (c + 1) * size + behind)
-        return F.struct(c.cast("bigint").alias("c"), start.cast("bigint").alias("at"), F.slice("tokens", (start - off + 1).cast("int"), F.greatest(stop - start, F.lit(0)).cast("int")).alias("part"))
-
-    pieces = runs.where(n > 0).select(*keys, F.explode(F.transform(F.sequence(first, last), piece)).alias("_p"))
-    pieces = pieces.where(F.size("_p.part") > 0).select(*keys, "_p.c", F.struct("_p.at", packed("_p.part").alias("part")).alias("_p"))
-    whole = pieces.groupBy(*keys, "c").agg(F.sort_array(F.collect_list("_p")).alias("_p"))
-    whole = whole.select(*keys, "c", F.get("_p", 0)["at"].alias("at"), F.flatten(F.transform("_p", lambda p: unpacked(p["part"]))).alias("tokens"))
-    return whole.where(F.col("at") + F.size("tokens") > F.col("c") * size)
-
-
-def _walk(size: int, events: bool) -> Column:
-    """The walk over one window on either side (``a`` from ``a_at``, ``b`` from
-    ``b_at``), entered at ``i``, ``j`` and left at the first state with ``i`` in
-    chunk ``until`` or later, or at the walk's end: ``(i, j, cost, ended, noted,
-    events)``.  The first states in every chunk are noted."""
-    a, b = F.col("a"), F.col("b")
-    last = F.least("len_a", "len_b") - 1
-    leaves = F.col("until") * size
-    state = "struct<i:bigint,j:bigint,cost:bigint>"
-    event = "struct<i:bigint,j:bigint,kind:string,cost:bigint,a_context:string,b_context:string>"
-    init = F.struct(F.col("i"), F.col("j"), F.lit(0).cast("bigint").alias("cost"), F.lit(False).alias("stopped"),
-                    F.array().cast(f"array<{state}>").alias("noted"), F.array().cast(f"array<{event}>").alias("open"), F.array().cast(f"array<array<{event}>>").alias("full"))
-
-    def token(side: Column, at: str, place: Column) -> Column:
-        return F.get(side, (place - F.col(at)).cast("int"))
-
-    def context(side: Column, at: str, place: Column, width: int) -> Column:
-        start = F.greatest(place - 2, F.lit(0))
-        return F.concat_ws(" ", F.slice(side, (start - F.col(at) + 1).cast("int"), (place + width - 2 - start).cast("int")))
-
-    def step(acc, _x):
-        i, j, cost = acc["i"], acc["j"], acc["cost"]
-        live = ~acc["stopped"] & (i < last) & (j < last) & (i < leaves)
-        noted = F.when(F.pmod(i, F.lit(size)) < NOTED, F.array_append(acc["noted"], F.struct(i.alias("i"), j.alias("j"), cost.alias("cost")))).otherwise(acc["noted"])
-
-        def to(di, dj, more, stopped=False, kind=None, width=0):
-            held, full = acc["open"], acc["full"]
-            if events and kind:
-                new = F.struct(i.alias("i"), j.alias("j"), F.lit(kind).alias("kind"), F.lit(more).cast("bigint").alias("cost"), context(a, "a_at", i, width).alias("a_context"), context(b, "b_at", j, width).alias("b_context"))
-                # Full lists are put away, so that an event copies a short one only.
-                is_full = F.size(held) >= 256
-                full = F.when(is_full, F.array_append(full, held)).otherwise(full)
-                held = F.when(is_full, F.array(new)).otherwise(F.array_append(held, new))
-            return F.struct((i + di).alias("i"), (j + dj).alias("j"), (cost + more).alias("cost"), F.lit(stopped).alias("stopped"), noted.alias("noted"), held.alias("open"), full.alias("full"))
-
-        def same(da, db):
-            return F.coalesce(token(a, "a_at", i + da) == token(b, "b_at", j + db), F.lit(False))
-
-        move = F.when(same(0, 0), to(1, 1, 0))
-        for kind, da, db, mi, mj, more, width in LOOKAHEAD:
-            move = move.when(same(da, db), to(mi, mj, more, False, kind, width))
-        move = move.otherwise(to(0, 0, 0, True, "stop", STOP_CONTEXT))
-        return F.when(live, move).otherwise(acc)
-
-    def out(acc):
-        ended = acc["stopped"] | (acc["i"] >= last) | (acc["j"] >= last)
-        return F.struct(acc["i"].alias("i"), acc["j"].alias("j"), acc["cost"].alias("cost"), ended.alias("ended"), acc["noted"].alias("noted"), F.flatten(F.array_append(acc["full"], acc["open"])).alias("events"))
-
-    # A live step moves i by one at least, so the window has steps enough.
-    return F.aggregate(a, init, step, out)
+    pieces = _pieces(runs, keys, size, before, behind).where(F.size("part") > 0)
+    whole = pieces.select(*keys, "_s", F.struct("at", packed("part").alias("p")).alias("_p")).groupBy(*keys, "_s").agg(F.sort_array(F.collect_list("_p")).alias("_p"))
+    at, tokens = _together(F.col("_p"))
+    return whole.select(*keys, F.col("_s").alias("c"), at.alias("at"), unpacked(tokens).alias("tokens")).where(F.col("at") + F.size("tokens") > F.col("c") * size)
+
+
+def _pieces(runs: DataFrame, keys: list[str], size: int, before: int, behind: int) -> DataFrame:
+    """``(keys, _s, at, own, part)``: what the window ``_s`` takes of a run, and how many of
+    these tokens are its own.  A run without tokens is a piece of the first window."""
+    n, s = _count(runs), F.col("_s")
+    some = F.coalesce(F.col("_n") > 0, F.lit(False))
+    first = F.when(some, F.greatest(F.floor((F.col("off") - behind) / size), F.lit(0))).otherwise(F.lit(0))
+    last = F.when(some, F.floor((F.col("off") + F.col("_n") - 1 + before) / size)).otherwise(F.lit(0))
+    cut = runs.select(*keys, "off", n.alias("_n"), "tokens").select(*keys, "off", "_n", "tokens", F.explode(F.sequence(first, last)).alias("_s"))
+    off, end = F.col("off"), F.col("off") + F.col("_n")
+    start, stop = F.greatest(off, s * size - before), F.least(end, (s + 1) * size + behind)
+    own = F.greatest(F.least(end, (s + 1) * size) - F.greatest(off, s * size), F.lit(0))
+    part = F.when((start == off) & (stop == end), F.col("tokens")).otherwise(F.slice("tokens", (start - off + 1).cast("int"), F.greatest(stop - start, F.lit(0)).cast("int")))
+    part = F.when(some, part).otherwise(F.array().cast("array<string>"))
+    return cut.select(*keys, s.cast("bigint").alias("_s"), F.greatest(start, F.lit(0)).cast("bigint").alias("at"), F.when(F.col("_n").isNotNull(), own).cast("bigint").alias("own"), part.alias("part"))
+
+
+def _together(parts: Column) -> tuple[Column, Column]:
+    """Sorted pieces (``at``, packed ``p``) that follow each other as one: the place of
+    the first token and all tokens, packed."""
+    n = F.aggregate(parts, F.lit(0), lambda sum, x: sum + x["p"]["n"])
+    plain = F.struct(n.alias("n"), F.concat_ws("\n", F.transform(parts, lambda x: x["p"]["joined"])).alias("joined"), F.lit(None).cast("array<string>").alias("list"))
+    other = F.struct(n.alias("n"), F.lit(None).cast("string").alias("joined"), F.flatten(F.transform(parts, lambda x: unpacked(x["p"]))).alias("list"))
+    whole = F.when(F.size(parts) == 1, F.get(parts, 0)["p"]).when(F.forall(parts, lambda x: x["p"]["joined"].isNotNull()), plain).otherwise(other)
+    return F.get(parts, 0)["at"], F.when(F.size(parts) > 0, whole)
 
 
 class Chunked:
@@ -144,138 +113,170 @@ class Chunked:
         if size < 2 * BEHIND:
             raise ValueError(f"chunks have {2 * BEHIND} tokens at least")
         self.keys, self.size = keys, size
-        # A walk moves three tokens on the right for two on the left at most.
-        self.a = _written(windows(left, keys, size, BEFORE, BEHIND), "left")
-        self.b = _written(windows(right, keys, size, BEFORE, size + size // 2 + 2 * BEHIND), "right")
-        lengths = [runs.groupBy(*keys).agg(F.sum(_count(runs)).cast("bigint").alias(f"len_{side}")) for runs, side in ((left, "a"), (right, "b"))]
-        self.lengths = _written(lengths[0].join(lengths[1], keys), "lengths")
+        #: Chunks of a span, and its tokens.
+        self.per = max(SPAN // size, 1)
+        self.span = self.per * size
+        self.spans = _written(self._spans(left, right), "spans")
+        known = functools.reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in keys])
+        lengths = self.spans.where(known).groupBy(*keys).agg(F.max("has_a").alias("_a"), F.max("has_b").alias("_b"), F.sum("a_own").cast("bigint").alias("len_a"), F.sum("b_own").cast("bigint").alias("len_b"))
+        self.lengths = _written(lengths.where("_a and _b").drop("_a", "_b"), "lengths")
+        own = lambda side: F.coalesce(F.col(f"{side}_own"), F.lit(0))
+        self._short = (own("a") < self.span) & (own("b") < self.span)
+        # Lists that lie in their first span on both sides, told from that span alone.
+        direct = self.spans.where(known & (F.col("_s") == 0) & F.col("has_a") & F.col("has_b") & self._short)
+        self._direct = direct.select(*keys, "_s", own("a").alias("len_a"), own("b").alias("len_b"), "a_at", "a", "b_at", "b", F.lit(None).cast("array<struct<c:bigint,i:bigint,j:bigint>>").alias("_e"))
         self.rounds = 0
         self.linked = self._link()
 
     def _same(self, *extra: str) -> list[str]:
         return [*self.keys, *extra]
 
+    def _spans(self, left: DataFrame, right: DataFrame) -> DataFrame:
+        """A row per key and span that has tokens: the left list's window, what the right
+        list has in the span, how many tokens of either are the span's own, and the
+        letters and digits in these for lists that are longer than a span."""
+        sides = []
+        for side, runs, before, behind in ((0, left, BEFORE, BEHIND), (1, right, 0, 0)):
+            pieces = _pieces(runs, self.keys, self.span, before, behind)
+            sides.append(pieces.select(*self.keys, "_s", F.lit(side).alias("_side"), "own", F.struct("at", packed("part").alias("p")).alias("_p")))
+        on = [F.col("_side") == side for side in (0, 1)]
+        aggs = [F.max(x).alias(f"has_{side}") for x, side in zip(on, "ab")] + [F.sum(F.when(x, F.col("own"))).alias(f"{side}_own") for x, side in zip(on, "ab")]
+        aggs += [F.sort_array(F.collect_list(F.when(x & (F.col("_p.p.n") > 0), F.col("_p")))).cast(_PARTS).alias(f"_{side}") for x, side in zip(on, "ab")]
+        whole = sides[0].unionByName(sides[1]).groupBy(*self.keys, "_s").agg(*aggs)
+        parts = [x.alias(name) for side in "ab" for x, name in zip(_together(F.col(f"_{side}")), (f"{side}_at", side))]
+        spans = whole.select(*self.keys, "_s", "has_a", "has_b", "a_own", "b_own", *parts)
+        long = (F.col("_s") > 0) | (F.col("a_own") >= self.span) | (F.col("b_own") >= self.span)
+        letters = lambda side: F.length(F.translate(F.concat_ws("", self._own_tokens(side)), MARKS, "")).cast("bigint")
+        spans = spans.withColumns({f"{side}_ink": F.when(long & (F.col(f"{side}_own") > 0), letters(side)) for side in "ab"})
+        return spans.where((F.col("_s") == 0) | (F.col("a_own") > 0) | (F.col("b_own") > 0))
+
+    def _own_tokens(self, side: str) -> Column:
+        skipped = F.col("_s") * self.span - F.col(f"{side}_at")
+        return F.slice(unpacked(side), (skipped + 1).cast("int"), self.span)
+
+    def _chunks(self, side: str, before: int, behind: int) -> DataFrame:
+        """``(keys, c, at, tokens)``: the windows of the chunks, cut from those of the spans."""
+        spans = self.spans.where(F.col(f"{side}_own") > 0).select(*self.keys, "_s", F.col(f"{side}_at").alias("_at"), F.col(f"{side}_own").alias("_own"), unpacked(side).alias("_t"))
+        first = F.col("_s") * self.per
+        cut = spans.withColumn("c", F.explode(F.sequence(first, first + F.floor((F.col("_own") - 1) / self.size))))
+        at = F.greatest(F.col("c") * self.size - before, F.col("_at"))
+        stop = (F.col("c") + 1) * self.size + behind
+        return cut.select(*self.keys, "c", at.alias("at"), F.slice("_t", (at - F.col("_at") + 1).cast("int"), (stop - at).cast("int")).alias("tokens"))
+
+    @property
+    def a(self) -> DataFrame:
+        return self._chunks("a", BEFORE, BEHIND)
+
+    @property
+    def b(self) -> DataFrame:
+        return self._chunks("b", 0, 0)
+
     def _own(self, side: DataFrame) -> DataFrame:
         """The tokens that belong to a chunk, without its neighbours'."""
         skipped = F.col("c") * self.size - F.col("at")
         return side.select(*self.keys, "c", F.slice("tokens", (skipped + 1).cast("int"), self.size).alias("own"))
 
     def _guesses(self) -> DataFrame:
-        """``(keys, c, i, j)``: where every chunk of the left lists looks for its
-        entry; a row of numbers per chunk."""
-        ink = lambda: F.length(F.translate(F.concat_ws("", "own"), MARKS, ""))
-        sides = [self._own(side).select(*self.keys, F.lit(k).alias("_side"), "c", ink().cast("bigint").alias("_ink"), F.size("own").alias("_n")) for k, side in enumerate((self.b, self.a))]
-        numbers = _written(sides[0].unionByName(sides[1]).join(self.lengths.select(*self.keys), self.keys, "left_semi"), "ink")
-        earlier = Window.partitionBy(*self.keys, "_side").orderBy("c").rowsBetween(Window.unboundedPreceding, -1)
+        """``(keys, c, i, j)``: where the spans of lists longer than one look for their
+        entry, said of their first chunk; a row of numbers per span."""
+        longer = self.lengths.where((F.col("len_a") >= self.span) | (F.col("len_b") >= self.span)).select(*self.keys)
+        sides = [self.spans.where(F.col(f"{side}_own") > 0).select(*self.keys, F.lit(k).alias("_side"), "_s", F.coalesce(f"{side}_ink", F.lit(0)).alias("_ink"), F.col(f"{side}_own").alias("_n")) for k, side in enumerate("ba")]
+        numbers = _written(sides[0].unionByName(sides[1]).join(longer, self.keys, "left_semi"), "ink")
+        earlier = Window.partitionBy(*self.keys, "_side").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
         placed = numbers.withColumn("_before", F.coalesce(F.sum("_ink").over(earlier), F.lit(0)))
-        here = F.when(F.col("_side") == 0, F.struct("c", "_before", "_ink", "_n"))
-        upto = Window.partitionBy(*self.keys).orderBy("_before", "_side", "c").rowsBetween(Window.unboundedPreceding, 0)
+        here = F.when(F.col("_side") == 0, F.struct("_s", "_before", "_ink", "_n"))
+        upto = Window.partitionBy(*self.keys).orderBy("_before", "_side", "_s").rowsBetween(Window.unboundedPreceding, 0)
         found = placed.withColumn("_at", F.last(here, ignorenulls=True).over(upto)).where("_side = 1")
         inside = F.least((F.col("_before") - F.col("_at._before")) / F.greatest("_at._ink", F.lit(1)), F.lit(1.0)) * F.col("_at._n")
-        j = F.when(F.col("c") == 0, F.lit(0)).otherwise(F.coalesce(F.col("_at.c") * self.size + F.floor(inside), F.lit(0)))
-        return found.select(*self.keys, "c", (F.col("c") * self.size).alias("i"), j.cast("bigint").alias("j"))
+        j = F.when(F.col("_s") == 0, F.lit(0)).otherwise(F.coalesce(F.col("_at._s") * self.span + F.floor(inside), F.lit(0)))
+        return found.select(*self.keys, (F.col("_s") * self.per).alias("c"), (F.col("_s") * self.span).alias("i"), j.cast("bigint").alias("j"))
 
     def _with_tokens(self, entries: DataFrame) -> DataFrame:
-        """Entries (``keys, c, i, j``) with the windows that a walk over the chunk sees."""
-        a = self.a.select(*self.keys, "c", F.col("at").alias("a_at"), packed("tokens").alias("a"))
-        b = self.b.select(*self.keys, F.col("c").alias("_q"), F.col("at").alias("b_at"), packed("tokens").alias("b"))
-        e = entries.withColumns({"_q": F.floor(F.col("j") / self.size), "until": F.col("c") + 1})
+        """The spans in which ``entries`` (``keys, c, i, j``) lie, with these as ``_e`` and
+        the tokens that walks over the span from there see."""
+        e = entries.groupBy(*self.keys, F.floor(F.col("c") / self.per).alias("_s")).agg(F.sort_array(F.collect_list(F.struct("c", "i", "j"))).alias("_e"), F.min("j").alias("_low"), F.max("j").alias("_high"))
+        e = e.join(self.lengths.select(*self.keys, F.coalesce("len_a", F.lit(0)).alias("len_a"), F.coalesce("len_b", F.lit(0)).alias("len_b")), self.keys)
+        # A walk moves three tokens on the right for two on the left at most.
+        room = walks.around(self.size) + 4 * BEHIND
+        ahead = F.greatest(F.get("_e", 0)["j"] + self.span + self.span // 2, F.col("_high") + self.size + self.size // 2) + room
+        first = F.floor(F.greatest(F.col("_low") - room, F.lit(0)) / self.span)
+        last = F.floor(F.least(ahead, F.col("len_b") - 1) / self.span)
+        right = e.where(first <= last).select(*self.keys, "_s", F.explode(F.sequence(first, last)).alias("_q"))
+        blocks = self.spans.where("b_own > 0").select(*self.keys, F.col("_s").alias("_q"), F.struct(F.col("b_at").alias("at"), F.col("b").alias("p")).alias("_p"))
+        b = right.join(blocks, self._same("_q")).groupBy(*self.keys, "_s").agg(F.sort_array(F.collect_list("_p")).cast(_PARTS).alias("_b"))
+        b = b.select(*self.keys, "_s", *(x.alias(name) for x, name in zip(_together(F.col("_b")), ("b_at", "b"))))
+        a = self.spans.where("a_own > 0").select(*self.keys, "_s", "a_at", "a")
         # An entry behind the right list's end has no tokens there.
-        joined = e.join(self.lengths, self.keys).join(a, self._same("c")).join(b, self._same("_q"), "left")
-        return joined.withColumns({"a": unpacked("a"), "b": F.coalesce(unpacked("b"), F.array().cast("array<string>")), "b_at": F.coalesce("b_at", F.lit(0).cast("bigint"))})
-
-    def _spanned(self, entries: DataFrame) -> DataFrame:
-        """Entries (``keys, c, until, i, j``) with the tokens that a walk over the
-        chunks before ``until`` sees: neighbouring windows put together, each its
-        own tokens, the last one also those behind."""
-        def together(side: DataFrame, first: Column, n: Column, at: str, tokens: str) -> DataFrame:
-            parts = entries.select(*self.keys, F.col("c").alias("_c"), first.cast("bigint").alias("_first"), F.explode(F.sequence(first, first + n - 1)).alias("c"))
-            tail = F.slice("tokens", (F.col("c") * self.size - F.col("at") + 1).cast("int"), F.size("tokens"))
-            parts = parts.join(side.select(*self.keys, "c", tail.alias("t")).select(*self.keys, "c", packed("t").alias("t")), self._same("c"))
-            found = parts.groupBy(*self.keys, "_c", "_first").agg(F.sort_array(F.collect_list(F.struct("c", "t"))).alias("_p"))
-            last = F.size("_p") - 1
-            whole = F.flatten(F.transform("_p", lambda p, k: F.when(k < last, F.slice(unpacked(p["t"]), 1, self.size)).otherwise(unpacked(p["t"]))))
-            return found.select(*self.keys, F.col("_c").alias("c"), (F.col("_first") * self.size).alias(at), whole.alias(tokens))
-
-        chunks = F.col("until") - F.col("c")
-        a = together(self.a, F.col("c"), chunks, "a_at", "a")
-        # Three tokens on the right for two on the left, as in a window.
-        b = together(self.b, F.floor(F.col("j") / self.size), F.ceil(chunks * 3 / 2), "b_at", "b")
-        joined = entries.join(self.lengths, self.keys).join(a, self._same("c")).join(b, self._same("c"), "left")
-        return joined.withColumns({"b": F.coalesce("b", F.array().cast("array<string>")), "b_at": F.coalesce("b_at", F.lit(0).cast("bigint"))})
+        seen = e.join(a, self._same("_s")).join(b, self._same("_s"), "left")
+        return seen.select(*self.keys, "_s", "len_a", "len_b", "a_at", "a", "b_at", "b", "_e")
+
+    def _in_tasks(self, seen: DataFrame, work: Callable, fields: str, flag: bool) -> DataFrame:
+        """``work`` (of ``walks``) on the spans ``seen``, in the tasks that read them."""
+        schema = T.StructType([*(seen.schema[k] for k in self.keys), *T.StructType.fromDDL(fields).fields])
+        run = functools.partial(work, self.keys, self.size, self.span, flag, schema.names)
+        return seen.mapInArrow(run, schema)
 
     def _nudged(self, seen: DataFrame) -> DataFrame:
-        """Guesses moved to the nearby place where most of the next tokens agree."""
-        def equal(d: Column, k: int) -> Column:
-            return F.coalesce(F.get("a", (F.col("i") - F.col("a_at") + k).cast("int")) == F.get("b", (F.col("j") + d - F.col("b_at") + k).cast("int")), F.lit(False))
-
-        def agreeing(d: Column) -> Column:
-            same = [equal(d, k).cast("int") for k in range(AGREE)]
-            return F.struct(sum(same[1:], same[0]).alias("n"), (-F.abs(d)).alias("near"), d.alias("d"))
-
-        # Tokens of uneven length put the looked-up place off by about a root of the chunk's.
-        around = 8 + 2 * math.isqrt(self.size)
-        # Only places where the first or the middle token agrees are looked at more closely.
-        near = F.filter(F.sequence(F.lit(-around), F.lit(around)), lambda d: equal(d, 0) | equal(d, AGREE // 2))
-        best = F.coalesce(F.array_max(F.transform(near, agreeing))["d"], F.lit(0))
-        return seen.withColumn("j", F.when(F.col("c") == 0, F.col("j")).otherwise(F.greatest(F.col("j") + best, F.lit(0))).cast("bigint"))
-
-    def _walked(self, seen: DataFrame) -> DataFrame:
-        """A row per chunk that the walks go over: the state in which each is left,
-        what it costs up to there, and the states noted in it."""
-        return self._left(seen.select(*self.keys, "c", "until", _walk(self.size, False).alias("_w")))
-
-    def _left(self, done: DataFrame) -> DataFrame:
-        def chunk(q: Column) -> Column:
-            inside = lambda k: F.filter("_w.noted", lambda s: F.floor(s["i"] / self.size) == k)
-            following = F.get(inside(q + 1), 0)
-            left = lambda x: F.coalesce(following[x], F.col(f"_w.{x}")).alias(x)
-            ended = following.isNull() & F.col("_w.ended")
-            return F.struct(q.cast("bigint").alias("c"), left("i"), left("j"), left("cost"), ended.alias("ended"), inside(q).alias("noted"))
-
-        rows = done.select(*self.keys, F.col("c").alias("_c"), F.explode(F.transform(F.sequence(F.col("c"), F.col("until") - 1), chunk)).alias("_x"))
-        # Chunks behind the end of a walk are none of its own.
-        rows = rows.where((F.col("_x.c") == F.col("_c")) | (F.size("_x.noted") > 0))
-        return rows.select(*self.keys, "_x.*")
+        """Guesses are moved to the nearby place where most of the next tokens agree: says
+        how far the chunks of ``seen`` look for it."""
+        return seen.withColumn("_around", F.lit(walks.around(self.size)))
+
+    def _walked(self, seen: DataFrame, exact: bool = False) -> DataFrame:
+        """The linked chunks of every span, the states noted in its first one and the
+        state in which it is left.  ``exact``: the first entries are known."""
+        return self._in_tasks(self._nudged(seen), walks.linked, _LINKED, exact)
 
     def _link(self) -> DataFrame:
         """Every chunk up to the end of its list's walk with its true entry (``i``,
         ``j``) and what the walk costs there, the last one with ``ended``."""
-        order = Window.partitionBy(*self.keys).orderBy("c")
-        # Walked where the guess is nudged; only one that moved into another window has its tokens joined anew.
-        seen = self._nudged(self._with_tokens(self._guesses())).withColumn("_here", F.floor(F.col("j") / self.size) == F.col("_q"))
-        guesses = _written(seen.select(*self.keys, "c", "until", "i", "j", "_here", F.when(F.col("_here"), _walk(self.size, False)).alias("_w")), "guesses")
-        moved = _written(guesses.where("not _here").select(*self.keys, "c", "i", "j"), "moved")
-        walked = _written(self._left(guesses.where("_here")).unionByName(self._walked(self._with_tokens(moved))), "walked")
-        settled, span = [], 1
+        guesses = _written(self._guesses(), "guesses")
+        # Short lists are walked as they lie, unless there are guesses for them, too.
+        if not guesses.join(self.lengths.where(F.greatest("len_a", "len_b") < self.span), self.keys, "left_semi").isEmpty():
+            self._direct = self._direct.join(guesses.select(*self.keys).distinct(), self.keys, "left_anti")
+        direct = _written(self._walked(self._direct), "walked")
+        self.rounds = direct.agg(F.max("rounds")).first()[0] or 0
+        settled = [self._chunk_rows(direct)]
+        self._longer = None
+        if not guesses.isEmpty():
+            settled.append(self._linked_spans(_written(self._walked(self._with_tokens(guesses)), "walked")))
+            self._longer = settled[-1]
+        return functools.reduce(DataFrame.unionByName, settled)
+
+    def _chunk_rows(self, spans: DataFrame) -> DataFrame:
+        return spans.select(*self.keys, F.explode("chunks").alias("_x")).select(*self.keys, "_x.c", "_x.i", "_x.j", "_x.cost", "_x.ended", "_x.to")
+
+    def _linked_spans(self, walked: DataFrame) -> DataFrame:
+        """The spans of longer lists linked: the rows of their chunks."""
+        order = Window.partitionBy(*self.keys).orderBy("_s")
+        settled, rounds = [], 0
+        self.rounds = max(self.rounds, walked.agg(F.max("rounds")).first()[0] or 0)
         while True:
-            self.rounds += 1
+            rounds += 1
             entry = F.lag(F.struct("i", "j", "ended")).over(order)
-            seen = walked.withColumn("_entry", F.when(F.col("c") == 0, F.struct(F.lit(0).cast("bigint").alias("i"), F.lit(0).cast("bigint").alias("j"), F.lit(False).alias("ended"))).otherwise(entry))
+            seen = walked.withColumn("_entry", F.when(F.col("_s") > 0, entry))
             passed = F.get(F.filter("noted", lambda s: (s["i"] == F.col("_entry.i")) & (s["j"] == F.col("_entry.j"))), 0)
             # A walk that ends where it is entered notes nothing and costs nothing.
-            seen = seen.withColumn("_passed", F.when(F.col("_entry.ended"), None).otherwise(passed["cost"]))
-            at_once = (F.col("c") == 0) & (F.size("noted") == 0)
-            seen = seen.withColumn("_linked", F.when(at_once, True).otherwise(F.col("_passed").isNotNull()))
-            numbers = _written(seen.select(*self.keys, "c", "_entry", "_linked", (F.col("cost") - F.coalesce("_passed", F.lit(0))).alias("cost"), "ended", F.col("i").alias("to")), "links")
-            first = numbers.groupBy(*self.keys).agg(F.min(F.when(~F.col("_linked"), F.col("c"))).alias("_bad"), F.min(F.when(F.col("_linked") & F.col("ended"), F.col("c"))).alias("_end"), F.max("c").alias("_last"))
+            seen = seen.withColumn("_passed", F.when(F.col("_s") == 0, F.lit(0)).when(~F.col("_entry.ended"), passed["cost"]))
+            numbers = _written(seen.select(*self.keys, "_s", "_entry", "_passed", F.col("_passed").isNotNull().alias("_linked"), "ended", "chunks"), "links")
+            first = numbers.groupBy(*self.keys).agg(F.min(F.when(~F.col("_linked"), F.col("_s"))).alias("_bad"), F.min(F.when(F.col("_linked") & F.col("ended"), F.col("_s"))).alias("_end"))
             is_open = F.col("_bad").isNotNull() & (F.col("_end").isNull() | (F.col("_bad") < F.col("_end")))
             first = _written(first.withColumn("_open", is_open), "firsts")
-            kept = numbers.join(first.where(~F.col("_open")), self.keys).where(F.col("c") <= F.col("_end"))
-            settled.append(kept.select(*self.keys, "c", F.col("_entry.i").alias("i"), F.col("_entry.j").alias("j"), "cost", F.col("c").eqNullSafe(F.col("_end")).alias("ended"), "to"))
+            kept = numbers.join(first.where(~F.col("_open")), self.keys).where(F.col("_s") <= F.col("_end"))
+            # The first chunk of a span is entered where the span before is left.
+            rows = kept.select(*self.keys, "_s", "_entry", "_passed", F.explode("chunks").alias("_x"))
+            here = (F.col("_x.c") == F.col("_s") * self.per) & (F.col("_s") > 0)
+            either = lambda name: F.when(here, F.col(f"_entry.{name}")).otherwise(F.col(f"_x.{name}")).alias(name)
+            cost = F.col("_x.cost") - F.when(here, F.col("_passed")).otherwise(F.lit(0))
+            settled.append(rows.select(*self.keys, "_x.c", either("i"), either("j"), cost.alias("cost"), "_x.ended", "_x.to"))
             still = first.where("_open")
             if still.isEmpty():
-                return _written(functools.reduce(DataFrame.unionByName, settled), "linked")
-            # One walk for each run of ``span`` chunks, from the first that is not linked.
-            bad = numbers.join(still.select(*self.keys, "_bad", "_last"), self.keys).where(~F.col("_linked") & ~F.col("_entry.ended"))
-            run = F.floor((F.col("c") - F.col("_bad")) / span)
-            stop = F.least(F.col("_bad") + (run + 1) * span, F.col("_last") + 1).cast("bigint")
-            again = bad.groupBy(*self.keys, stop.alias("until")).agg(F.min(F.struct("c", "_entry.i", "_entry.j")).alias("_x")).select(*self.keys, "_x.c", "until", "_x.i", "_x.j")
-            again = _written(again, "again")
-            redone = _written(self._walked(self._spanned(again) if span > 1 else self._with_tokens(again.drop("until"))), "redone")
-            walked = walked.join(still.select(*self.keys), self.keys, "left_semi").join(redone.select(*self.keys, "c"), self._same("c"), "left_anti")
+                self.rounds += rounds - 1
+                return functools.reduce(DataFrame.unionByName, settled)
+            bad = numbers.join(still.select(*self.keys), self.keys, "left_semi").where(~F.col("_linked") & ~F.col("_entry.ended"))
+            again = _written(bad.select(*self.keys, (F.col("_s") * self.per).alias("c"), "_entry.i", "_entry.j"), "again")
+            redone = _written(self._walked(self._with_tokens(again), exact=True), "redone")
+            walked = walked.join(still.select(*self.keys), self.keys, "left_semi").join(redone.select(*self.keys, "_s"), self._same("_s"), "left_anti")
             walked = _written(walked.unionByName(redone), "walked")
-            span = max(span, min(4 * span, SPAN // self.size))
 
     def diff(self) -> DataFrame:
         """``(keys, mismatched, compared, len_a, len_b)``, as ``diff_table`` gives."""
@@ -285,13 +286,18 @@ class Chunked:
 
     def rows(self) -> DataFrame:
         """A row per mismatch, as ``diff_rows`` gives.  An event's number is its
-        place in its chunk and the events of the chunks before."""
-        seen = self._with_tokens(self.linked.select(*self.keys, "c", "i", "j"))
-        found = _written(seen.select(*self.keys, "c", _walk(self.size, True)["events"].alias("events")).where(F.size("events") > 0), "events")
-        earlier = Window.partitionBy(*self.keys).orderBy("c").rowsBetween(Window.unboundedPreceding, -1)
-        numbered = found.select(*self.keys, "c", F.size("events").alias("_n")).withColumn("_seq", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
-        rows = found.select(*self.keys, "c", F.posexplode("events").alias("_k", "e")).join(numbered, self._same("c"))
-        return rows.select(*self.keys, (F.col("_seq") + F.col("_k")).cast("bigint").alias("seq"), "e.i", "e.j", "e.kind", "e.cost", "e.a_context", "e.b_context")
+        place in its span and the events of the spans before."""
+        columns = [*self.keys, "seq", "i", "j", "kind", "cost", "a_context", "b_context"]
+        direct = self._in_tasks(self._nudged(self._direct), walks.events, _EVENTS, False).select(*columns)
+        if self._longer is None:
+            return direct
+        seen = self._with_tokens(self._longer.select(*self.keys, "c", "i", "j"))
+        found = _written(self._in_tasks(seen, walks.events, _EVENTS, True), "events")
+        earlier = Window.partitionBy(*self.keys).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+        counts = found.groupBy(*self.keys, "_s").agg(F.count(F.lit(1)).alias("_n"))
+        numbered = counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+        rows = found.join(numbered, self._same("_s")).withColumn("seq", (F.col("_before") + F.col("seq")).cast("bigint"))
+        return direct.unionByName(rows.select(*columns))
 
 
 def runs_of(df: DataFrame, keys: list[str], tokens: Column) -> DataFrame:
