@@ -79,3 +79,16 @@ def test_letters_before_a_token():
     assert walks._ink(tokens).tolist() == [0, 2, 2, 2, 6, 6, 7]
     assert walks._ink(tokens.slice(2, 2)).tolist() == [0, 0, 4]
     assert walks._ink(pa.array([], pa.string())).tolist() == [0]
+
+
+def test_spans_find_their_entries(spark, monkeypatch):
+    """The place is looked up among the letters of the span itself: no span is walked again
+    although the right list has commas in one half only."""
+    monkeypatch.setattr(chunked, "SPAN", 1024)
+    rng = random.Random(8)
+    base = [rng.choice([f"word{i}" for i in range(300)]) for _ in range(9000)]
+    other = [t for k, w in enumerate(base) for t in ([w, ","] if k % 1000 < 500 and k % 2 else [w])]
+    df = _frame(spark, [(base, other)])
+    chunks = Chunked(runs_of(df, ["k"], F.col("a")), runs_of(df, ["k"], F.col("b")), ["k"], 64)
+    assert chunks.rounds <= 5
+    _equal(chunks, df, "k")

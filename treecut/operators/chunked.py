@@ -50,6 +50,7 @@ BEFORE, BEHIND = 2, 16
 SPAN = 4 * CHUNK
 
 _PARTS = "array<struct<at:bigint,p:struct<n:int,joined:string,list:array<string>>>>"
+_ENTRIES = "array<struct<c:bigint,i:bigint,j:bigint,ink:bigint>>"
 _LINKED = "_s bigint, chunks array<struct<c:bigint,i:bigint,j:bigint,cost:bigint,ended:boolean,to:bigint>>, noted array<struct<i:bigint,j:bigint,cost:bigint>>, i bigint, j bigint, ended boolean, rounds bigint"
 _EVENTS = "_s bigint, seq bigint, i bigint, j bigint, kind string, cost bigint, a_context string, b_context string"
 
@@ -124,7 +125,7 @@ class Chunked:
         self._short = (own("a") < self.span) & (own("b") < self.span)
         # Lists that lie in their first span on both sides, told from that span alone.
         direct = self.spans.where(known & (F.col("_s") == 0) & F.col("has_a") & F.col("has_b") & self._short)
-        self._direct = direct.select(*keys, "_s", own("a").alias("len_a"), own("b").alias("len_b"), "a_at", "a", "b_at", "b", F.lit(None).cast("array<struct<c:bigint,i:bigint,j:bigint>>").alias("_e"))
+        self._direct = direct.select(*keys, "_s", own("a").alias("len_a"), own("b").alias("len_b"), "a_at", "a", "b_at", "b", F.lit(None).cast(_ENTRIES).alias("_e"))
         self.rounds = 0
         self.linked = self._link()
 
@@ -177,8 +178,9 @@ class Chunked:
         return side.select(*self.keys, "c", F.slice("tokens", (skipped + 1).cast("int"), self.size).alias("own"))
 
     def _guesses(self) -> DataFrame:
-        """``(keys, c, i, j)``: where the spans of lists longer than one look for their
-        entry, said of their first chunk; a row of numbers per span."""
+        """``(keys, c, i, j, ink)``: where the spans of lists longer than one look for their
+        entry, said of their first chunk: about at ``j``, behind ``ink`` letters and
+        digits of the span of ``j``.  A row of numbers per span."""
         longer = self.lengths.where((F.col("len_a") >= self.span) | (F.col("len_b") >= self.span)).select(*self.keys)
         sides = [self.spans.where(F.col(f"{side}_own") > 0).select(*self.keys, F.lit(k).alias("_side"), "_s", F.coalesce(f"{side}_ink", F.lit(0)).alias("_ink"), F.col(f"{side}_own").alias("_n")) for k, side in enumerate("ba")]
         numbers = _written(sides[0].unionByName(sides[1]).join(longer, self.keys, "left_semi"), "ink")
@@ -187,17 +189,20 @@ class Chunked:
         here = F.when(F.col("_side") == 0, F.struct("_s", "_before", "_ink", "_n"))
         upto = Window.partitionBy(*self.keys).orderBy("_before", "_side", "_s").rowsBetween(Window.unboundedPreceding, 0)
         found = placed.withColumn("_at", F.last(here, ignorenulls=True).over(upto)).where("_side = 1")
-        inside = F.least((F.col("_before") - F.col("_at._before")) / F.greatest("_at._ink", F.lit(1)), F.lit(1.0)) * F.col("_at._n")
-        j = F.when(F.col("_s") == 0, F.lit(0)).otherwise(F.coalesce(F.col("_at._s") * self.span + F.floor(inside), F.lit(0)))
-        return found.select(*self.keys, (F.col("_s") * self.per).alias("c"), (F.col("_s") * self.span).alias("i"), j.cast("bigint").alias("j"))
+        ink = F.least(F.col("_before") - F.col("_at._before"), F.col("_at._ink"))
+        inside = F.least(F.floor(ink / F.greatest("_at._ink", F.lit(1)) * F.col("_at._n")), F.col("_at._n") - 1)
+        j = F.when(F.col("_s") == 0, F.lit(0)).otherwise(F.coalesce(F.col("_at._s") * self.span + inside, F.lit(0)))
+        return found.select(*self.keys, (F.col("_s") * self.per).alias("c"), (F.col("_s") * self.span).alias("i"), j.cast("bigint").alias("j"), ink.cast("bigint").alias("ink"))
 
     def _with_tokens(self, entries: DataFrame) -> DataFrame:
-        """The spans in which ``entries`` (``keys, c, i, j``) lie, with these as ``_e`` and
-        the tokens that walks over the span from there see."""
-        e = entries.groupBy(*self.keys, F.floor(F.col("c") / self.per).alias("_s")).agg(F.sort_array(F.collect_list(F.struct("c", "i", "j"))).alias("_e"), F.min("j").alias("_low"), F.max("j").alias("_high"))
+        """The spans in which ``entries`` (``keys, c, i, j``, maybe ``ink``) lie, with these
+        as ``_e`` and the tokens that walks over the span from there see."""
+        told = "ink" in entries.columns
+        entry = F.struct("c", "i", "j", F.col("ink") if told else F.lit(None).cast("bigint").alias("ink"))
+        e = entries.groupBy(*self.keys, F.floor(F.col("c") / self.per).alias("_s")).agg(F.sort_array(F.collect_list(entry)).cast(_ENTRIES).alias("_e"), F.min("j").alias("_low"), F.max("j").alias("_high"))
         e = e.join(self.lengths.select(*self.keys, F.coalesce("len_a", F.lit(0)).alias("len_a"), F.coalesce("len_b", F.lit(0)).alias("len_b")), self.keys)
         # A walk moves three tokens on the right for two on the left at most.
-        room = walks.around(self.size) + 4 * BEHIND
+        room = walks.around(self.size) + 4 * BEHIND + (walks.slack(self.span) if told else 0)
         ahead = F.greatest(F.get("_e", 0)["j"] + self.span + self.span // 2, F.col("_high") + self.size + self.size // 2) + room
         first = F.floor(F.greatest(F.col("_low") - room, F.lit(0)) / self.span)
         last = F.floor(F.least(ahead, F.col("len_b") - 1) / self.span)
