@@ -13,7 +13,7 @@ aggregate whose state is a single row.
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 from ..functions.tokenize import byte_length, ptb_tokens
 from ..operators.batching import next_fit
 from ..session import cut_lineage
-from ..sources.files import line_ordinals, read_lines
+from ..sources.files import few_listing_tasks
 
 TEXT_SCHEMA = T.StructType([T.StructField("value", T.StringType())])
 
@@ -114,19 +114,25 @@ def part_tokens(spark: SparkSession, out: str) -> DataFrame:
     """The parts read back in order: ``(chunk, path, pos, token)``, every token with
     the file that the manifest says it came from and its place in that file.
 
-    Tokens are numbered by line in their part file, and the manifest's running sums
-    name the file in which a number falls (both per part, which a chunk's byte
-    limit bounds)."""
-    lines = line_ordinals(read_lines(spark, out))
-    place = [F.regexp_extract("path", r"/chunk=(\d+)/part-(\d+)", k).cast("bigint") for k in (1, 2)]
-    said = lines.where(F.col("line") != "").select(place[0].alias("chunk"), place[1].alias("part"), F.col("line_no").alias("at"), F.lit(1).alias("_kind"), F.lit(None).cast("string").alias("file"), F.col("line").alias("token"))
+    A part file is read as one text (like the files that it was made of) and meets
+    the list of its files, whose running sums name the lines of each.  Tokens become
+    rows only then: the texts of the parts move once, token rows never."""
+    with few_listing_tasks(spark):
+        texts = spark.read.text(out, wholetext=True)
+    place = [F.regexp_extract("_metadata.file_path", r"/chunk=(\d+)/part-(\d+)", k).cast("bigint") for k in (1, 2)]
+    texts = texts.select(place[0].alias("chunk"), place[1].alias("part"), F.col("value").alias("_text"))
     before = Window.partitionBy("chunk", "part").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
     starts = chunk_manifest(spark, out).where("tokens > 0").withColumn("at", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
-    starts = starts.select("chunk", F.col("part").cast("bigint").alias("part"), "at", F.lit(0).alias("_kind"), F.col("path").alias("file"), F.lit(None).cast("string").alias("token"))
-    upto = Window.partitionBy("chunk", "part").orderBy("at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    first = F.when(F.col("_kind") == 0, F.struct("file", "at"))
-    found = starts.unionByName(said).withColumn("_from", F.last(first, ignorenulls=True).over(upto)).where("_kind = 1")
-    return found.select("chunk", F.col("_from.file").alias("path"), (F.col("at") - F.col("_from.at")).cast("bigint").alias("pos"), "token")
+    files = starts.groupBy("chunk", F.col("part").cast("bigint").alias("part")).agg(F.collect_list(F.struct("path", "at", "tokens")).alias("_files"))
+
+    def own(lines: Column) -> Column:
+        return F.transform("_files", lambda f: F.struct(f["path"].alias("path"), F.slice(lines, (f["at"] + 1).cast("int"), f["tokens"].cast("int")).alias("tokens")))
+
+    # The outer list has one element, so that a text is cut into lines once.
+    found = F.flatten(F.transform(F.array(F.split("_text", "\n")), own))
+    found = texts.join(files, ["chunk", "part"]).select("chunk", F.explode(found).alias("_f"))
+    rows = found.select("chunk", "_f.path", F.posexplode_outer("_f.tokens").alias("pos", "token"))
+    return rows.where(F.col("token") != "").select("chunk", "path", F.col("pos").cast("bigint").alias("pos"), "token")
 
 
 def totals_to_table(tokenised: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
