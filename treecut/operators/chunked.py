@@ -72,16 +72,19 @@ def windows(runs: DataFrame, keys: list[str], size: int, before: int, behind: in
     + behind`` of every list, with the place of the first, for every ``c`` that has
     tokens of its own.  ``runs``: ``(keys, off, tokens)``, any pieces of the lists
     with the place of their first token.  Pieces are shuffled as one text each."""
-    pieces = _pieces(runs, keys, size, before, behind).where(F.size("part") > 0)
-    whole = pieces.select(*keys, "_s", F.struct("at", packed("part").alias("p")).alias("_p")).groupBy(*keys, "_s").agg(F.sort_array(F.collect_list("_p")).alias("_p"))
+    pieces = _pieces(runs, keys, size, before, behind).where(F.col("part.n") > 0)
+    whole = pieces.select(*keys, "_s", F.struct("at", F.col("part").alias("p")).alias("_p")).groupBy(*keys, "_s").agg(F.sort_array(F.collect_list("_p")).alias("_p"))
     at, tokens = _together(F.col("_p"))
     return whole.select(*keys, F.col("_s").alias("c"), at.alias("at"), unpacked(tokens).alias("tokens")).where(F.col("at") + F.size("tokens") > F.col("c") * size)
 
 
 def _pieces(runs: DataFrame, keys: list[str], size: int, before: int, behind: int) -> DataFrame:
-    """``(keys, _s, at, own, part)``: what the window ``_s`` takes of a run, and how many of
-    these tokens are its own.  A run without tokens is a piece of the first window."""
+    """``(keys, _s, at, own, part)``: what the window ``_s`` takes of a run, packed, and how
+    many of these tokens are its own.  A run without tokens is a piece of the first
+    window.  Runs that are packed stay so, unless a window takes a part of one only."""
     n, s = _count(runs), F.col("_s")
+    lists = isinstance(runs.schema["tokens"].dataType, T.ArrayType)
+    tokens = F.col("tokens") if lists else unpacked("tokens")
     some = F.coalesce(F.col("_n") > 0, F.lit(False))
     first = F.when(some, F.greatest(F.floor((F.col("off") - behind) / size), F.lit(0))).otherwise(F.lit(0))
     last = F.when(some, F.floor((F.col("off") + F.col("_n") - 1 + before) / size)).otherwise(F.lit(0))
@@ -89,8 +92,14 @@ def _pieces(runs: DataFrame, keys: list[str], size: int, before: int, behind: in
     off, end = F.col("off"), F.col("off") + F.col("_n")
     start, stop = F.greatest(off, s * size - before), F.least(end, (s + 1) * size + behind)
     own = F.greatest(F.least(end, (s + 1) * size) - F.greatest(off, s * size), F.lit(0))
-    part = F.when((start == off) & (stop == end), F.col("tokens")).otherwise(F.slice("tokens", (start - off + 1).cast("int"), F.greatest(stop - start, F.lit(0)).cast("int")))
-    part = F.when(some, part).otherwise(F.array().cast("array<string>"))
+    taken = F.slice(tokens, (start - off + 1).cast("int"), F.greatest(stop - start, F.lit(0)).cast("int"))
+    none, whole = F.array().cast("array<string>"), (start <= off) & (stop >= end)
+    if lists:
+        cut = cut.withColumn("_part", F.when(~some, none).when(whole, F.col("tokens")).otherwise(taken))
+        part = packed("_part")
+    else:
+        cut = cut.withColumn("_part", F.when(~some, none).when(~whole, taken))
+        part = F.when(some & whole, F.col("tokens")).otherwise(packed("_part"))
     return cut.select(*keys, s.cast("bigint").alias("_s"), F.greatest(start, F.lit(0)).cast("bigint").alias("at"), F.when(F.col("_n").isNotNull(), own).cast("bigint").alias("own"), part.alias("part"))
 
 
@@ -106,8 +115,8 @@ def _together(parts: Column) -> tuple[Column, Column]:
 
 class Chunked:
     """Two token lists per key as chunks.  ``left`` and ``right``: ``(keys, off,
-    tokens)``, any runs of the lists' tokens with the place of their first, and
-    maybe ``n``, their number; a list without tokens has a run without any.  Keys on
+    tokens)``, any runs of the lists' tokens (maybe packed) with the place of their first,
+    and maybe ``n``, their number; a list without tokens has a run without any.  Keys on
     both sides are compared (J1)."""
 
     def __init__(self, left: DataFrame, right: DataFrame, keys: list[str], size: int = CHUNK) -> None:
@@ -139,7 +148,7 @@ class Chunked:
         sides = []
         for side, runs, before, behind in ((0, left, BEFORE, BEHIND), (1, right, 0, 0)):
             pieces = _pieces(runs, self.keys, self.span, before, behind)
-            sides.append(pieces.select(*self.keys, "_s", F.lit(side).alias("_side"), "own", F.struct("at", packed("part").alias("p")).alias("_p")))
+            sides.append(pieces.select(*self.keys, "_s", F.lit(side).alias("_side"), "own", F.struct("at", F.col("part").alias("p")).alias("_p")))
         on = [F.col("_side") == side for side in (0, 1)]
         aggs = [F.max(x).alias(f"has_{side}") for x, side in zip(on, "ab")] + [F.sum(F.when(x, F.col("own"))).alias(f"{side}_own") for x, side in zip(on, "ab")]
         aggs += [F.sort_array(F.collect_list(F.when(x & (F.col("_p.p.n") > 0), F.col("_p")))).cast(_PARTS).alias(f"_{side}") for x, side in zip(on, "ab")]

@@ -213,26 +213,30 @@ def file_pairs(spark, path: str, base: str = "ptb", other: str = "ptb_lines") ->
 
 
 def batch_token_runs(batched: DataFrame, batch_col: str = "batch_id", order_cols: tuple[str, ...] = ("doc_id",),
-                     text_col: str = "text", method: str = "ptb") -> DataFrame:
+                     text_col: str = "text", method: str = "ptb", as_text: bool = False) -> DataFrame:
     """``(batch, off, n, tokens)``: the tokens of a batch's documents in order, each
-    document's with the place of its first token in the batch and their number.
+    document's (``as_text``: ``packed``) with the place of its first token in the batch
+    and their number.
 
     The marks ``...`` and ``--`` are spaced, as in parts that are read back.  The
     places are sums over a row of numbers per document; a batch's texts or
     tokens never meet in a row.
     """
-    from ..functions.tokenize import normalise_marks, split_tokens, token_text
+    from ..functions.tokenize import normalise_marks, ptb_text, split_tokens, token_text
     from ..session import scratch_path
-    spaced = split_tokens(normalise_marks(token_text(tokens(F.col(text_col), method))))
+    # The marks hold no blank, so they are spaced before the text is split, and once.
+    text = ptb_text(text_col) if method == "ptb" else token_text(tokens(F.col(text_col), method))
+    spaced = split_tokens(normalise_marks(text))
     t = batched.select(F.col(batch_col).cast("bigint").alias(batch_col), *order_cols, F.coalesce(spaced, F.array().cast("array<string>")).alias("tokens"))
-    t = t.select(batch_col, *order_cols, F.monotonically_increasing_id().alias("_row"), F.size("tokens").alias("_n"), "tokens")
+    t = t.select(batch_col, *order_cols, F.monotonically_increasing_id().alias("_row"), F.size("tokens").alias("_n"), packed("tokens").alias("tokens"))
     out = scratch_path(batched.sparkSession, f"batch_tokens/{uuid.uuid4().hex}")
     t.write.parquet(out)
     written = batched.sparkSession.read.schema(t.schema).parquet(out)
     earlier = Window.partitionBy(batch_col).orderBy(*order_cols, "_row").rowsBetween(Window.unboundedPreceding, -1)
     places = written.select("_row", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).cast("bigint").alias("off"))
-    lists = written.select(batch_col, "_row", F.col("_n").alias("n"), packed("tokens").alias("tokens"))
-    return lists.join(places, "_row").select(batch_col, "off", "n", unpacked("tokens").alias("tokens"))
+    lists = written.select(batch_col, "_row", F.col("_n").alias("n"), "tokens")
+    placed = lists.join(places, "_row").select(batch_col, "off", "n", "tokens")
+    return placed if as_text else placed.withColumn("tokens", unpacked("tokens"))
 
 
 def compare_with_parts(batched: DataFrame, folder: str, batch_col: str = "batch_id", order_cols: tuple[str, ...] = ("doc_id",),
@@ -241,8 +245,8 @@ def compare_with_parts(batched: DataFrame, folder: str, batch_col: str = "batch_
     ``folder``, in chunks (``chunked.Chunked``), so parts may have any size."""
     from ..sources.files import token_part_runs
     from .chunked import CHUNK, Chunked
-    left = batch_token_runs(batched, batch_col, order_cols, text_col, method)
-    return Chunked(left, token_part_runs(batched.sparkSession, folder, batch_col), [batch_col], size or CHUNK)
+    left = batch_token_runs(batched, batch_col, order_cols, text_col, method, as_text=True)
+    return Chunked(left, token_part_runs(batched.sparkSession, folder, batch_col, as_text=True), [batch_col], size or CHUNK)
 
 
 def compare_large_files(spark, path: str, base: str = "ptb", other: str = "ptb_lines", cut: str = "lines",
@@ -251,7 +255,7 @@ def compare_large_files(spark, path: str, base: str = "ptb", other: str = "ptb_l
     file as runs (S4), compared in chunks (``chunked.Chunked``)."""
     from ..sources.files import PIECE, file_token_runs
     from .chunked import CHUNK, Chunked
-    runs = [file_token_runs(spark, path, cut, piece or PIECE, method) for method in (base, other)]
+    runs = [file_token_runs(spark, path, cut, piece or PIECE, method, as_text=True) for method in (base, other)]
     return Chunked(*runs, ["path"], size or CHUNK)
 
 

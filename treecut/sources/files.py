@@ -87,10 +87,13 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return _corpus_files(spark, path, df)
 
 
-def _records(spark: SparkSession, path: str, sep: str) -> DataFrame:
-    """What stands between two ``sep`` in text files: ``(path, block, lid, line, file_size)``."""
+def _records(spark: SparkSession, path: str, sep: str, over: int = 0) -> DataFrame:
+    """What stands between two ``sep`` in text files of more than ``over`` bytes: ``(path,
+    block, lid, line, file_size)``."""
     with few_listing_tasks(spark):
         df = spark.read.option("lineSep", sep).text(path)
+    if over:
+        df = df.where(F.col("_metadata.file_size") > over)
     return df.select(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("block"),
@@ -115,14 +118,14 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 PIECE = 1 << 16
 
 
-def read_pieces(spark: SparkSession, path: str, least: int = PIECE, sep: str = " ") -> DataFrame:
+def read_pieces(spark: SparkSession, path: str, least: int = PIECE, sep: str = " ", over: int = 0) -> DataFrame:
     """Files cut at blanks (or another ``sep``), whatever lines they have: like
     ``read_lines``, with pieces of at least ``least`` characters as lines.
 
     Spark's reader finds the blanks of every split; neighbouring words of a
     split are put together again where they are read, so a line of any length
     is many pieces read in parallel and nothing is shuffled.  Only a stretch
-    without any blank has to fit into a cell.
+    without any blank has to fit into a cell.  ``over``: only files of more bytes.
     """
     schema = pa.schema([("path", pa.string()), ("block", pa.int64()), ("lid", pa.int64()), ("line", pa.string()), ("file_size", pa.int64())])
 
@@ -181,7 +184,7 @@ def read_pieces(spark: SparkSession, path: str, least: int = PIECE, sep: str = "
         if where is not None:
             yield pa.RecordBatch.from_pylist([{**dict(zip(("path", "block", "file_size", "lid"), where)), "line": sep.join(held)}], schema=schema)
 
-    return _records(spark, path, sep).mapInArrow(glue, "path string, block long, lid long, line string, file_size long")
+    return _records(spark, path, sep, over).mapInArrow(glue, "path string, block long, lid long, line string, file_size long")
 
 
 #: How a large file is cut: a reader and the character that stands at every cut.
@@ -282,7 +285,7 @@ def large_file_tokens(spark: SparkSession, path: str, cut: str = "lines", piece:
         "path", "block", "lid", F.col("pos").cast("bigint").alias("pos"), "token")
 
 
-def _runs(plain: DataFrame, edges: DataFrame | None, group: Column, name: str) -> DataFrame:
+def _runs(plain: DataFrame, edges: DataFrame | None, group: Column, name: str, as_text: bool = False) -> DataFrame:
     """``(name, off, n, tokens)``: pieces with the place of their first token in their
     group (a file, or the files of a part in the order of their names) and the
     number of their tokens.
@@ -292,6 +295,7 @@ def _runs(plain: DataFrame, edges: DataFrame | None, group: Column, name: str) -
     earlier pieces in its split (a window over one split).  The edge pieces, the
     offsets and the window share one hash partitioning on (path, block): tokens
     move once, as one text a piece, and not at all where only ``n`` is asked for.
+    ``as_text``: they stay ``packed``.
     """
     counts = plain.select("path", "block", "lid", "n")
     if edges is not None:
@@ -304,12 +308,13 @@ def _runs(plain: DataFrame, edges: DataFrame | None, group: Column, name: str) -
     lines = _with_edges(plain, edges).join(offsets, ["path", "block"])
     off = F.col("_off") + F.coalesce(F.sum("n").over(before), F.lit(0))
     placed = lines.select(F.col("_g").alias(name), off.cast("bigint").alias("off"), "n", "tokens")
-    return placed.select(name, "off", "n", unpacked("tokens").alias("tokens"))
+    return placed if as_text else placed.select(name, "off", "n", unpacked("tokens").alias("tokens"))
 
 
-def file_token_runs(spark: SparkSession, path: str, cut: str = "lines", piece: int = PIECE, method: str = "ptb") -> DataFrame:
-    """S4 as ``(path, off, n, tokens)``: the tokens of a piece, their number and the
-    place of the first one in its file."""
+def file_token_runs(spark: SparkSession, path: str, cut: str = "lines", piece: int = PIECE, method: str = "ptb",
+                    as_text: bool = False) -> DataFrame:
+    """S4 as ``(path, off, n, tokens)``: the tokens of a piece (``as_text``: ``packed``),
+    their number and the place of the first one in its file."""
     if method == "ptb":
         plain, edges = _plain_and_edges(spark, path, cut, piece)
         edges = cut_lineage(edges)
@@ -318,7 +323,7 @@ def file_token_runs(spark: SparkSession, path: str, cut: str = "lines", piece: i
         plain, edges = _tokenised(_cut(spark, path, cut, piece)[0], tokens("line", "ptb" if method == "ptb_lines" else method)), None
     else:
         raise ValueError(f"{method!r} cannot be made of files cut at {cut}")
-    return _runs(plain, edges, F.col("path"), "path")
+    return _runs(plain, edges, F.col("path"), "path", as_text)
 
 
 def file_token_table(spark: SparkSession, path: str, cut: str = "lines", piece: int = PIECE) -> DataFrame:
@@ -348,12 +353,22 @@ def read_token_parts(spark: SparkSession, folder: str, part_col: str = "batch_id
     return df.select(part_col, "path", split_tokens(normalise_marks(F.col("text"))).alias("tokens"))
 
 
-def token_part_runs(spark: SparkSession, folder: str, part_col: str = "batch_id", piece: int = PIECE) -> DataFrame:
+#: Bytes of a part that is read as one text, at most.
+WHOLE_PART = 4 << 20
+
+
+def token_part_runs(spark: SparkSession, folder: str, part_col: str = "batch_id", piece: int = PIECE, as_text: bool = False) -> DataFrame:
     """S7 for parts of any size: ``(part, off, n, tokens)``, a part's tokens in pieces
-    of lines with the place of the first token in the part."""
-    lines = read_pieces(spark, folder, piece, "\n")
+    of lines (``as_text``: ``packed``) with the place of the first token in the part.  A
+    small part is one piece; only larger ones are read line by line."""
+    with few_listing_tasks(spark):
+        whole = spark.read.text(folder, wholetext=True)
+    size = F.col("_metadata.file_size")
+    lines = whole.where(size <= WHOLE_PART).select(F.col("_metadata.file_path").alias("path"), F.lit(0).cast("bigint").alias("block"), F.lit(0).cast("bigint").alias("lid"), F.col("value").alias("line"))
+    if not whole.where(size > WHOLE_PART).select(size).isEmpty():
+        lines = lines.unionByName(read_pieces(spark, folder, piece, "\n", WHOLE_PART).select("path", "block", "lid", "line"))
     part = F.regexp_extract("path", f"/{part_col}=([^/]+)/", 1).cast("bigint")
-    return _runs(_tokenised(lines, split_tokens(normalise_marks(F.col("line")))), None, part, part_col)
+    return _runs(_tokenised(lines, split_tokens(normalise_marks(F.col("line")))), None, part, part_col, as_text)
 
 
 def line_ordinals(lines: DataFrame) -> DataFrame:
